@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modwarden import fixed_values as fv
 from modwarden.functions import scores as sc
+from modwarden.functions.text import let
 
 REASON_TYPE = "struct<source:string,action:string,image_key:string>"
 
@@ -21,9 +22,13 @@ def part(source: str, action: Column, detail: Column | None = None) -> Column:
 
 def fuse(*parts: Column) -> Column:
     """OR rule over the parts of one row: strongest action, and every non-clean part as a reason."""
-    listed = F.filter(F.array(*parts), lambda p: p["action"].isin("flag", "block"))
-    rank = F.greatest(*[sc.action_rank(p["action"]) for p in parts], F.lit(0))
-    return F.struct(sc.rank_action(rank).alias("action"), listed.alias("reasons"))
+
+    def fused(listed: Column) -> Column:
+        rank = F.array_max(F.transform(listed, lambda p: sc.action_rank(p["action"])))
+        reasons = F.filter(listed, lambda p: p["action"].isin("flag", "block"))
+        return let(rank, lambda r: F.struct(sc.rank_action(r).alias("action"), reasons.alias("reasons")))
+
+    return let(F.array(*parts), fused)
 
 
 def fuse_rows(parts: DataFrame, key: str, order: str, source: str = "source", action: str = "action") -> DataFrame:

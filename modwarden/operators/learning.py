@@ -44,7 +44,7 @@ def score_windows(
     windows: WindowPolicy = WindowPolicy(), policy: ScorePolicy = ScorePolicy(),
 ) -> DataFrame:
     """Windows of each text, a score per window, and the window that decides."""
-    cut = df.select(key, F.explode(wn.window_text(text, windows)).alias("w")).select(
+    cut = df.select(key, F.explode_outer(wn.window_text(text, windows)).alias("w")).filter("w is not null").select(
         key, F.col("w.ix").alias("ix"), F.col("w.text").alias("text")
     )
     scored = cut.withColumn("score", score("text"))
@@ -99,7 +99,7 @@ def append_run(runs: DataFrame, path: str) -> None:
 
 def score_documents(model: PipelineModel, df: DataFrame, key: str, text: str, policy: ScorePolicy = ScorePolicy()) -> DataFrame:
     """A trained model over windows of each document."""
-    cut = df.select(key, F.explode(wn.window_text(text)).alias("w")).select(
+    cut = df.select(key, F.explode_outer(wn.window_text(text)).alias("w")).filter("w is not null").select(
         key, F.col("w.ix").alias("ix"), F.col("w.text").alias("text")
     )
     return max_window_score(predict(model, cut), key, policy)

@@ -119,13 +119,13 @@ def hits_action(hits: Column | str) -> Column:
 
 
 def match_inline(df: DataFrame, text: str, lex: CompiledLexicon) -> DataFrame:
-    """Adds ``hits`` and ``lexicon_action``; one pass over the input."""
-    return (
-        df.withColumn("_norm", tx.normalize_for_match(text))
-        .withColumn("hits", inline_hits(F.col("_norm"), lex))
-        .withColumn("lexicon_action", hits_action("hits"))
-        .drop("_norm")
-    )
+    """Adds ``hits`` and ``lexicon_action``; one pass over the input.
+
+    Each column is one self-contained expression with its inputs bound once, so a filter that
+    Catalyst pushes through them repeats no more than one evaluation.
+    """
+    hits = tx.let(tx.normalize_for_match(text), lambda n: inline_hits(n, lex))
+    return df.withColumn("hits", hits).withColumn("lexicon_action", tx.let(F.col("hits"), hits_action))
 
 
 def token_hit_rows(df: DataFrame, id_col: str, text: str, lexicon: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from modwarden.profiles import GroupPolicy, PartPolicy, UnitPolicy
 
 def part_rows(pages: DataFrame, policy: PartPolicy = PartPolicy(), key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per text part of a page."""
-    parts = pages.select(key, F.explode(hm.extract_parts(html, policy)).alias("p"))
+    parts = pages.select(key, F.explode_outer(hm.extract_parts(html, policy)).alias("p")).filter("p is not null")
     return parts.select(key, F.col("p.ix").alias("ix"), F.col("p.tag").alias("tag"), F.col("p.text").alias("text"))
 
 

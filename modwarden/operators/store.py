@@ -46,9 +46,14 @@ def session_stats(store: DataFrame, action: str = "action") -> DataFrame:
 
 
 def stats_by_source(store: DataFrame, reasons: str = "reasons") -> DataFrame:
-    """Reasons per source and action over the store."""
+    """Reasons per source and action over the store.
+
+    The outer explode keeps Catalyst from adding a size filter, which would compute derived reasons
+    once more below the generator.
+    """
     return (
-        store.select(F.explode(reasons).alias("r"))
+        store.select(F.explode_outer(reasons).alias("r"))
+        .filter("r is not null")
         .groupBy(F.col("r.source").alias("source"), F.col("r.action").alias("action"))
         .agg(F.count("*").alias("n"))
     )

@@ -20,6 +20,7 @@ def build_session(master: str | None = None, cores: int = 8, app: str = "modward
             builder.master(master)
             .config("spark.sql.shuffle.partitions", str(cores))
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "12g")
         )
     return (

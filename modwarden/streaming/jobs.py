@@ -111,7 +111,7 @@ def with_settings(events: DataFrame, settings: DataFrame, policy: str = "setting
     ``settings`` has one row per scope; a changed policy invalidates and asks for a rescan.
     """
     current = settings.select("scope", F.col(policy).alias("current_policy"))
-    return events.join(F.broadcast(current.limit(1000)), "scope", "left").withColumn(
+    return events.join(current, "scope", "left").withColumn(
         "rescan", ~F.col(policy).eqNullSafe(F.col("current_policy"))
     )
 
