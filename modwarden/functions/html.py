@@ -95,8 +95,16 @@ NODE_SCHEMA = (
     "page_text string"
 )
 KEPT_ATTRS = ("class", "id", "role", "data-testid", "data-test-id", "aria-label", "data-pagelet", "source")
+# Start tags that end an open paragraph, and the elements a paragraph is looked for through.
+ENDS_PARAGRAPH = frozenset((
+    "p", "div", "ul", "ol", "dl", "table", "section", "article", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5",
+    "h6", "form", "nav", "aside", "footer", "header", "main", "figure", "address", "hr", "fieldset",
+))
+INLINE_TAGS = frozenset((
+    "a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "font", "i", "kbd", "mark", "q", "s", "small", "span",
+    "strong", "sub", "sup", "u",
+))
 CLOSED_BY = {
-    "p": frozenset(("p", "div", "ul", "ol", "table", "section", "article", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "form", "nav", "aside", "footer", "header", "main", "figure")),
     "li": frozenset(("li",)),
     "dt": frozenset(("dt", "dd")),
     "dd": frozenset(("dt", "dd")),
@@ -118,6 +126,8 @@ class _Tree(HTMLParser):
         self.size = 0
 
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_PARAGRAPH:
+            self._close_paragraph()
         while self.open and tag in CLOSED_BY.get(self.nodes[self.open[-1]]["tag"], ()):
             self._close()
         parent = self.open[-1] if self.open else -1
@@ -141,6 +151,16 @@ class _Tree(HTMLParser):
         self.text.append(data)
         self.size += len(data)
 
+    def _close_paragraph(self):
+        for depth in range(len(self.open) - 1, -1, -1):
+            name = self.nodes[self.open[depth]]["tag"]
+            if name == "p":
+                while len(self.open) > depth:
+                    self._close()
+                return
+            if name not in INLINE_TAGS:
+                return
+
     def _close(self):
         self.nodes[self.open.pop()]["end"] = self.size
 

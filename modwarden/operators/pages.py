@@ -11,6 +11,7 @@ from modwarden.functions import identity as idn
 from modwarden.functions import text as tx
 from modwarden.operators.lexicon import INLINE_LIMIT
 from modwarden.profiles import GroupPolicy, PartPolicy, UnitPolicy
+from modwarden.session import materialize
 
 
 def part_rows(pages: DataFrame, policy: PartPolicy = PartPolicy(), key: str = "page_id", html: str = "html") -> DataFrame:
@@ -100,8 +101,11 @@ def page_units(pages: DataFrame, policy: PartPolicy = PartPolicy()) -> DataFrame
 
 
 def node_table(pages: DataFrame) -> DataFrame:
-    """One row per element: place in the tree, attributes, span in the page's text, chrome flag."""
-    raw = pages.select("page_id", "html").mapInPandas(hm.node_frames, hm.NODE_SCHEMA)
+    """One row per element: place in the tree, attributes, span in the page's text, chrome flag.
+
+    Unit detection reads it several times, so the parsed table is written once to the shared folder.
+    """
+    raw = materialize(pages.select("page_id", "html").mapInPandas(hm.node_frames, hm.NODE_SCHEMA), "nodes")
     attrs = F.col("attrs")
 
     def attr(name: str) -> Column:

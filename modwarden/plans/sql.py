@@ -140,11 +140,11 @@ _NAMES = "|".join(fv.BLOCK_TAGS)
 PARTS = f"""
 marked AS MATERIALIZED (SELECT page_id, url, regexp_replace(regexp_replace({_drop_chrome('html')},
     '(?i)<({_NAMES})\\b[^>]*>', chr(2) || chr(1) || '\\1' || chr(3), 'g'), '(?i)</({_NAMES})\\s*>', chr(2), 'g') AS m FROM pages),
-segs AS (SELECT page_id, url, unnest(string_split(m, chr(2))) AS s, generate_subscripts(string_split(m, chr(2)), 1) AS at FROM marked),
-blocks AS (SELECT page_id, url, at, lower(substr(s, 2, strpos(s, chr(3)) - 2)) AS tag,
+segs AS (SELECT page_id, url, unnest(string_split(m, chr(2))) AS s, generate_subscripts(string_split(m, chr(2)), 1) AS pos FROM marked),
+blocks AS (SELECT page_id, url, pos, lower(substr(s, 2, strpos(s, chr(3)) - 2)) AS tag,
     {squeeze(_decode("regexp_replace(substr(s, strpos(s, chr(3)) + 1), '<[^>]*>', '', 'g')"))} AS text
   FROM segs WHERE starts_with(s, chr(1))),
-parts AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY at) - 1 AS ix, tag, text FROM blocks WHERE length(text) >= 12)"""
+parts AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS ix, tag, text FROM blocks WHERE length(text) >= 12)"""
 
 # Windows of the reference rule, over a table texts(id, t) of trimmed texts.
 _END = "[.!?…][\"''\\)\\]]?\\s|\\n+"

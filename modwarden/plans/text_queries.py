@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modwarden import fixed_values as fv
 from modwarden.functions import scores as sc
 from modwarden.functions import text as tx
 from modwarden.functions import windows as wn
@@ -91,7 +92,7 @@ _T = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 _RUNS = "|".join(
     f"{e}{{4,}}" for e in [c if c.isalnum() else f"\\x{ord(c):02x}" for c in map(chr, range(33, 127))] + list("äöüßéèêàçùâîôûïëñáíóúœÄÖÜÉÈÊÀÇÙÂÎÔÛÏËÑÁÍÓÚŒ¿¡") + ["\\x20", "\\t"]
 )
-_SHORT = ", ".join(f"'{w}'" for w in __import__("modwarden.fixed_values", fromlist=["SHORT_WORDS"]).SHORT_WORDS)
+_SHORT = ", ".join(f"'{w}'" for w in fv.SHORT_WORDS)
 
 
 def plausibility_sql(table: str, key: str, extra: str = "") -> str:
