@@ -8,28 +8,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modwarden.functions import text as tx
-from modwarden.operators.lexicon import rows_with_terms
-from modwarden.operators.ranking import hashed_order, rank_by_hash
+from modwarden.operators.lexicon import INLINE_LIMIT, contains_term, rows_with_terms
+from modwarden.operators.ranking import SALTS, hashed_order, rank_by_hash
+from modwarden.session import materialize
 
 
 def min_length(df: DataFrame, text: str = "text", n: int = 3) -> DataFrame:
     return df.filter(F.length(tx.normalize_for_dedupe(text)) >= n)
 
 
-def dedupe_keep_first(df: DataFrame, text: str, order: str) -> DataFrame:
+def _digest(text: str, digest: str | None) -> Column:
+    return F.col(digest) if digest else tx.text_digest(text)
+
+
+def dedupe_keep_first(df: DataFrame, text: str, order: str, digest: str | None = None) -> DataFrame:
     """First row of each normalised text in the order of a unique column.
 
     Only ``(digest, order)`` is aggregated, with map-side combining, so a text with a huge number
-    of copies shrinks to one pair per task before the shuffle.
+    of copies shrinks to one pair per task before the shuffle. ``digest`` names a column that
+    already holds :func:`text_digest`.
     """
-    first = df.groupBy(tx.text_digest(text).alias("_digest")).agg(F.min(order).alias(order)).select(order)
+    first = df.groupBy(_digest(text, digest).alias("_digest")).agg(F.min(order).alias(order)).select(order)
     return df.join(first, order, "left_semi")
 
 
-def remove_leakage(held: DataFrame, train: DataFrame, text: str = "text") -> DataFrame:
-    """Held-out rows whose normalised text does not occur in train."""
-    seen = train.select(tx.text_digest(text).alias("_digest")).distinct()
-    return held.withColumn("_digest", tx.text_digest(text)).join(seen, "_digest", "left_anti").drop("_digest")
+def remove_leakage(held: DataFrame, train: DataFrame, text: str = "text", digest: str | None = None) -> DataFrame:
+    """Held-out rows whose normalised text does not occur in train.
+
+    Both sides are first reduced to distinct digests; their overlap is the list of leaks. Held-out
+    rows then meet that list under a salt, so the copies of one hot text are spread over many tasks.
+    """
+    def digests(d: DataFrame) -> DataFrame:
+        return d.select(_digest(text, digest).alias("_d")).distinct()
+
+    leaks = digests(held).join(digests(train), "_d", "left_semi")
+    spread = leaks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*held.columns), F.lit(SALTS)).cast("int")
+    keyed = held.withColumn("_d", _digest(text, digest)).withColumn("_salt", salt)
+    return keyed.join(spread, ["_d", "_salt"], "left_anti").drop("_d", "_salt")
 
 
 def split_overlap(a: DataFrame, b: DataFrame, text: str = "text") -> DataFrame:
@@ -40,16 +56,47 @@ def split_overlap(a: DataFrame, b: DataFrame, text: str = "text") -> DataFrame:
     return digests(a).intersect(digests(b)).agg(F.count("*").alias("overlap"))
 
 
-def contradictions(df: DataFrame, id_col: str, terms: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
+def contradictions(
+    df: DataFrame, id_col: str, terms: DataFrame, text: str = "text", label: str = "label", limit: int = INLINE_LIMIT
+) -> DataFrame:
     """Rows labelled clean that contain a hard term."""
     clean = df.filter(F.col(label) == 0)
-    return clean.join(rows_with_terms(clean, id_col, text, terms), id_col, "left_semi")
+    hit = contains_term(tx.normalize_for_dedupe(text), terms, limit)
+    return clean.filter(hit) if hit is not None else clean.join(rows_with_terms(clean, id_col, text, terms), id_col, "left_semi")
 
 
-def contradiction_audit(df: DataFrame, id_col: str, terms: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
-    """The corpus without its provable label errors."""
-    bad = rows_with_terms(df.filter(F.col(label) == 0), id_col, text, terms)
-    return df.join(bad, id_col, "left_anti")
+def contradiction_audit(
+    df: DataFrame, id_col: str, terms: DataFrame, text: str = "text", label: str = "label", limit: int = INLINE_LIMIT
+) -> DataFrame:
+    """The corpus without its provable label errors: a filter for a short list, an anti-join for a long one."""
+    hit = contains_term(tx.normalize_for_dedupe(text), terms, limit)
+    if hit is not None:
+        return df.filter(~F.coalesce((F.col(label) == 0) & hit, F.lit(False)))
+    return df.join(rows_with_terms(df.filter(F.col(label) == 0), id_col, text, terms), id_col, "left_anti")
+
+
+def prepare_corpus(
+    df: DataFrame, id_col: str, terms: DataFrame, copies: Column, text: str = "text", label: str = "label", seed: int | str = 42
+) -> DataFrame:
+    """Length filter, dedupe, audit, split, leakage check and train-only oversampling, in that order.
+
+    Texts are read once and left behind as a digest and a mark; every shuffle after that carries
+    narrow rows. The result holds the input's other columns with ``split`` and ``copy``; join it to
+    the texts by id where they are needed.
+    """
+    hit = contains_term(tx.normalize_for_dedupe(text), terms)
+    kept = min_length(df, text).withColumn("_digest", tx.text_digest(text))
+    if hit is None:
+        bad = rows_with_terms(df.filter(F.col(label) == 0), id_col, text, terms)
+        marked = kept.join(bad.withColumn("_bad", F.lit(True)), id_col, "left")
+    else:
+        marked = kept.withColumn("_bad", (F.col(label) == 0) & hit)
+    narrow = materialize(marked.drop(text), "corpus")
+    unique = dedupe_keep_first(narrow, text, id_col, "_digest").filter(~F.coalesce("_bad", F.lit(False))).drop("_bad")
+    split = materialize(stratified_split(unique, label, id_col, seed), "split")
+    train = split.filter("split = 'train'")
+    clean = train.unionByName(remove_leakage(split.filter("split <> 'train'"), train, text, "_digest"))
+    return oversample(clean.drop("_digest"), copies)
 
 
 def stratified_split(

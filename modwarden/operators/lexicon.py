@@ -160,16 +160,15 @@ def substring_matches(df: DataFrame, id_col: str, text: str, terms: DataFrame, q
     """``(id, <columns of terms>)`` for each term that the text column contains.
 
     Exact, with no pairwise comparison: a term can only occur where its first ``q`` characters do,
-    so texts and terms meet on that gram and the containment test runs on those pairs alone. Every
-    term must have at least ``q`` characters.
+    so texts and terms meet on that gram, as narrow rows of id and gram, and only the candidates
+    that come out are looked up in their texts. Every term must have at least ``q`` characters.
     """
     anchored = terms.withColumn("_gram", F.substring("term", 1, q))
-    cut = df.select(id_col, F.col(text).alias("_text"), F.explode(grams(text, q)).alias("_gram"))
-    return (
-        cut.join(anchored, "_gram")
-        .filter(F.contains(F.col("_text"), F.col("term")))
-        .select(id_col, *[c for c in terms.columns])
-    )
+    cut = df.select(id_col, F.explode_outer(grams(text, q)).alias("_gram"))
+    candidates = cut.join(anchored, "_gram").select(id_col, *terms.columns)
+    texts = df.select(id_col, F.col(text).alias("_text"))
+    found = texts.join(candidates, id_col).filter(F.contains(F.col("_text"), F.col("term")))
+    return found.select(id_col, *terms.columns)
 
 
 def phrase_hit_rows(df: DataFrame, id_col: str, text: str, lexicon: DataFrame, q: int = 3) -> DataFrame:
@@ -225,14 +224,16 @@ def lexicon_label_audit(verdicts: DataFrame, label: str) -> DataFrame:
     )
 
 
-def rows_with_terms(
-    df: DataFrame, id_col: str, text: str, terms: DataFrame, q: int = 3, limit: int = INLINE_LIMIT
-) -> DataFrame:
-    """Ids of the rows whose dedupe-normalised text holds any of the terms as a substring."""
+def contains_term(norm: Column, terms: DataFrame, limit: int = INLINE_LIMIT) -> Column | None:
+    """Whether a normalised text holds any term, as a plain predicate; ``None`` for too many terms."""
+    found = [r.term for r in terms.select("term").distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        return None
+    literal = F.array(*[F.lit(t) for t in sorted(found)]).cast("array<string>")
+    return tx.let(norm, lambda n: F.exists(literal, lambda t: F.contains(n, t)))
+
+
+def rows_with_terms(df: DataFrame, id_col: str, text: str, terms: DataFrame, q: int = 3) -> DataFrame:
+    """Ids of the rows whose dedupe-normalised text holds any of the terms, for lists of any length."""
     norm = df.select(id_col, tx.normalize_for_dedupe(text).alias("_norm"))
-    distinct = terms.select("term").distinct()
-    found = [r.term for r in distinct.limit(limit + 1).collect()]
-    if len(found) <= limit:
-        literal = F.array(*[F.lit(t) for t in sorted(found)]).cast("array<string>")
-        return norm.filter(F.exists(literal, lambda t: F.contains(F.col("_norm"), t))).select(id_col)
-    return substring_matches(norm, id_col, "_norm", distinct, q).select(id_col).distinct()
+    return substring_matches(norm, id_col, "_norm", terms.select("term").distinct(), q).select(id_col).distinct()

@@ -19,12 +19,12 @@ def hashed_order(seed: int | str, id_col: Column | str) -> Column:
 def rank_by_hash(df: DataFrame, groups: Sequence[str], order: str, rank: str = "rank", size: str = "group_size") -> DataFrame:
     """Exact ``row_number`` per group over a hex hash column, plus the size of the group.
 
-    A plain window would pull a whole group into one task. The first three digits of the hash cut
-    every group into 4096 even slices: slice counts are aggregated on the map side, their running
+    A plain window would pull a whole group into one task. The first four digits of the hash cut
+    every group into 65536 even slices: slice counts are aggregated on the map side, their running
     sum gives each slice its offset, and only a slice is ranked in one place.
     """
     cols = list(groups)
-    sliced = df.withColumn("_slice", F.substring(order, 1, 3))
+    sliced = df.withColumn("_slice", F.substring(order, 1, 4))
     counts = sliced.groupBy(*cols, "_slice").agg(F.count("*").alias("_n"))
     running = Window.partitionBy(*cols).orderBy("_slice")
     total = Window.partitionBy(*cols)

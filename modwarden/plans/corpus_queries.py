@@ -81,6 +81,11 @@ def _(spark, d):
     return cp.contradiction_audit(labelled(spark, d), "doc_id", hard_terms(spark)).select("doc_id", "label")
 
 
+@query("contradiction_audit_by_join", f"WITH {LABELLED} SELECT doc_id, label FROM labelled WHERE NOT (label = 0 AND ({_BAD}))")
+def _(spark, d):
+    return cp.contradiction_audit(labelled(spark, d), "doc_id", hard_terms(spark), limit=0).select("doc_id", "label")
+
+
 @query("contradictions", f"WITH {LABELLED} SELECT doc_id, lang FROM labelled WHERE label = 0 AND ({_BAD})")
 def _(spark, d):
     return cp.contradictions(labelled(spark, d), "doc_id", hard_terms(spark)).select("doc_id", "lang")
@@ -222,14 +227,11 @@ def _(spark, d):
     grown AS (SELECT split, label, CASE WHEN split = 'train' THEN 1 + (label = 1)::INT + (lang = 'es')::INT ELSE 1 END AS c FROM clean)
     SELECT split, label, CAST(sum(c) AS BIGINT) AS rows FROM grown GROUP BY split, label""",
 )
-def prepare_corpus(spark, d):
-    """The whole path: length filter, dedupe, audit, split, leakage check, train-only oversampling."""
-    rows = cp.dedupe_keep_first(cp.min_length(labelled(spark, d)), "text", "doc_id")
-    audited = cp.contradiction_audit(rows, "doc_id", hard_terms(spark))
-    split = cp.stratified_split(audited, "label", "doc_id")
-    train = split.filter("split = 'train'")
-    clean = train.unionByName(cp.remove_leakage(split.filter("split <> 'train'"), train))
-    return _copies(clean, cp.copies_v2(F.col("label") == 1, F.col("lang") == "es"))
+def _(spark, d):
+    rows = cp.prepare_corpus(
+        labelled(spark, d), "doc_id", hard_terms(spark), cp.copies_v2(F.col("label") == 1, F.col("lang") == "es")
+    )
+    return rows.groupBy("split", "label").agg(F.count("*").alias("rows"))
 
 
 # ----------------------------------------------------------------------------------- evaluation

@@ -241,6 +241,7 @@ def _(spark, d):
     rows = sk.stamp(log, "v2", F.col("ts"))
     # Two writes, out of order: the later rows first.
     store.upsert(rows.filter("seq % 2 = 1"))
+    store.compact()
     store.upsert(rows.filter("seq % 2 = 0"))
     return store.read().select("key", "seq", "action", "policy_version")
 

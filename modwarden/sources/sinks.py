@@ -22,39 +22,37 @@ def write_splits(df: DataFrame, path: str, columns: Sequence[str], split: str =
 
 
 class VerdictStore:
-    """Keyed verdict table as immutable generations plus a pointer file.
+    """Keyed verdict table: an append-only log of writes, read as its newest row per key.
 
-    A write merges the current generation with the new rows into a fresh folder and only then moves
-    the pointer, so a lost executor or a killed job leaves the old state readable.
+    A write costs what it brings and no more. Each batch is one folder, overwritten when the batch
+    is replayed, so a lost executor or a restarted job leaves the same state. :meth:`compact` folds
+    the log into the next generation, which counts only once it is written whole; run it between
+    writers.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "key", order: Sequence[str] = ("ts", "seq")):
         self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, list(order)
 
-    def _fs(self):
+    def _generation(self) -> int:
         jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _pointers(self) -> list[str]:
-        fs, path = self._fs()
-        found = fs.globStatus(path(f"{self.path}/current-*"))
-        return sorted(s.getPath().getName() for s in found) if found else []
-
-    def read(self) -> DataFrame | None:
-        names = self._pointers()
-        if not names:
-            return None
-        return self.spark.read.parquet(f"{self.path}/{names[-1].split('~', 1)[1]}")
-
-    def upsert(self, rows: DataFrame) -> None:
-        current = self.read()
-        merged = rows if current is None else current.unionByName(rows)
-        name = f"gen-{uuid.uuid4().hex}"
-        last_write_wins(merged, self.key, self.order).write.parquet(f"{self.path}/{name}")
-        fs, path = self._fs()
-        n = len(self._pointers())
-        fs.create(path(f"{self.path}/current-{n:012d}~{name}")).close()
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/gen=*/batch=base/_SUCCESS")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        return max((int(str(s.getPath()).split("/gen=")[1].split("/")[0]) for s in found or []), default=0)
+
+    def upsert(self, rows: DataFrame, batch: int | str | None = None) -> None:
+        name = uuid.uuid4().hex if batch is None else batch
+        rows.write.mode("overwrite").parquet(f"{self.path}/gen={self._generation()}/batch={name}")
+
+    def log(self) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.path}/gen={self._generation()}").parquet(
+            f"{self.path}/gen={self._generation()}"
+        ).drop("batch")
+
+    def read(self) -> DataFrame:
+        return last_write_wins(self.log(), self.key, self.order)
+
+    def compact(self) -> None:
+        self.read().write.mode("overwrite").parquet(f"{self.path}/gen={self._generation() + 1}/batch=base")
 
 
 def append_feedback(df: DataFrame, path: str) -> None:

@@ -16,12 +16,13 @@ from modwarden.session import shared_dir
 from modwarden.sources.sinks import VerdictStore
 
 
-def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
-    """Parquet files as a stream; ``max_files`` bounds a micro-batch."""
-    reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+FILES_PER_BATCH = 64
+
+
+def read_stream(spark: SparkSession, path: str, schema, max_files: int = FILES_PER_BATCH) -> DataFrame:
+    """Parquet files as a stream. ``max_files`` bounds a micro-batch, and with it what any one key
+    can bring into a step of keyed state."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
@@ -95,7 +96,7 @@ def stream_upsert(stream: DataFrame, path: str, order: Sequence[str], key: str =
     spark = stream.sparkSession
     store = VerdictStore(spark, f"{path}/store", key, order)
     writer = stream.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(
-        lambda batch, _: store.upsert(batch)
+        lambda batch, batch_id: store.upsert(batch, batch_id)
     )
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     query = writer.start()
@@ -164,10 +165,7 @@ def media_lifecycle(policy: MediaPolicy = MediaPolicy()):
 
 
 def stream_media_lifecycle(events: DataFrame, policy: MediaPolicy = MediaPolicy()) -> DataFrame:
-    """Stale rejection and bounded retries; ``events`` has unit_key, seq, kind, fp, action.
-
-    ``maxFilesPerTrigger`` bounds what one key can bring into a step.
-    """
+    """Stale rejection and bounded retries; ``events`` has unit_key, seq, kind, fp, action."""
     return events.groupBy("unit_key").applyInPandasWithState(
         media_lifecycle(policy), MEDIA_OUT, MEDIA_STATE, "append", GroupStateTimeout.NoTimeout
     )
