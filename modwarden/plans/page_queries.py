@@ -232,7 +232,9 @@ def _(spark, d):
 
 @query(
     "semantic_units",
-    "SELECT page_id, 'article' AS tag, CAST(len(regexp_extract_all(html, '<article')) AS BIGINT) AS units FROM pages WHERE contains(html, '<article')",
+    f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<article\\b.*?</article>')) AS h FROM pages),
+    t AS (SELECT page_id, h, {q.squeeze(q.decode("regexp_replace(h, '<[^>]*>', '', 'g')"))} AS text FROM a)
+    SELECT page_id, 'article' AS tag, count(*) AS units FROM t WHERE length(text) >= 24 OR contains(h, '<img') GROUP BY page_id""",
 )
 def _(spark, d):
     return pg.semantic_units(pg.node_table(pages(spark, d))).groupBy("page_id", "tag").agg(F.count("*").alias("units"))

@@ -121,7 +121,7 @@ sited AS (SELECT page_id, url, html, {HOST} AS host,
     WHEN contains({HOST}, 'youtube') THEN 'youtube' ELSE 'generic' END AS site_id FROM pages)"""
 
 
-def _drop_chrome(expr: str) -> str:
+def drop_chrome(expr: str) -> str:
     from modwarden.functions.html import PAIRED_CHROME
 
     expr = f"regexp_replace({expr}, '(?is)<!--.*?-->', '', 'g')"
@@ -130,7 +130,7 @@ def _drop_chrome(expr: str) -> str:
     return expr
 
 
-def _decode(expr: str) -> str:
+def decode(expr: str) -> str:
     for name, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
         expr = f"replace({expr}, '{name}', '{ch}')"
     return expr
@@ -138,11 +138,11 @@ def _decode(expr: str) -> str:
 
 _NAMES = "|".join(fv.BLOCK_TAGS)
 PARTS = f"""
-marked AS MATERIALIZED (SELECT page_id, url, regexp_replace(regexp_replace({_drop_chrome('html')},
+marked AS MATERIALIZED (SELECT page_id, url, regexp_replace(regexp_replace({drop_chrome('html')},
     '(?i)<({_NAMES})\\b[^>]*>', chr(2) || chr(1) || '\\1' || chr(3), 'g'), '(?i)</({_NAMES})\\s*>', chr(2), 'g') AS m FROM pages),
 segs AS (SELECT page_id, url, unnest(string_split(m, chr(2))) AS s, generate_subscripts(string_split(m, chr(2)), 1) AS pos FROM marked),
 blocks AS (SELECT page_id, url, pos, lower(substr(s, 2, strpos(s, chr(3)) - 2)) AS tag,
-    {squeeze(_decode("regexp_replace(substr(s, strpos(s, chr(3)) + 1), '<[^>]*>', '', 'g')"))} AS text
+    {squeeze(decode("regexp_replace(substr(s, strpos(s, chr(3)) + 1), '<[^>]*>', '', 'g')"))} AS text
   FROM segs WHERE starts_with(s, chr(1))),
 parts AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS ix, tag, text FROM blocks WHERE length(text) >= 12)"""
 

@@ -145,7 +145,11 @@ def validate_image(content: Column | str, length: Column | str, mime: Column | N
 
 
 def read_images_validated(spark: SparkSession, path: str, policy: OcrPolicy = OcrPolicy()) -> DataFrame:
-    """Binary image files with format or refusal reason."""
+    """Binary image files with format or refusal reason.
+
+    Spark's file scan leaves files of no bytes out, so those show as missing paths; blobs held in a
+    table get their reason from :func:`validate_image`.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return df.select("path", "length", "content", validate_image("content", "length", policy=policy).alias("v")).select(
         "path", "length", "content", "v.format", "v.reason"

@@ -85,15 +85,16 @@ def test_eval_set(spark, tmp_path):
 
 
 def test_images(spark, tmp_path):
-    heads = {"a": b"\x89PNG\r\n", "b": b"\xff\xd8\xff\xe0", "c": b"GIF89a", "d": b"BM..", "e": b"RIFF\0\0\0\0WEBP", "f": b"<html>", "g": b""}
+    heads = {"a": b"\x89PNG\r\n", "b": b"\xff\xd8\xff\xe0", "c": b"GIF89a", "d": b"BM..", "e": b"RIFF\0\0\0\0WEBP", "f": b"<html>"}
     for n, h in heads.items():
         (tmp_path / n).write_bytes(h)
     out = {r.path[-1]: (r.format, r.reason) for r in rd.read_images_validated(spark, str(tmp_path)).collect()}
     assert [out[k][0] for k in "abcde"] == ["png", "jpeg", "gif", "bmp", "webp"]
-    assert out["f"][1] == "unrecognised-image-bytes" and out["g"][1] == "empty-blob (0 bytes)"
-    df = spark.createDataFrame([(bytearray(b"GIF8"), 11 << 20, None), (bytearray(b"GIF8"), 4, "text/html")], "c binary, n long, m string")
+    assert out["f"][1] == "unrecognised-image-bytes"
+    blobs = [(bytearray(b"GIF8"), 11 << 20, None), (bytearray(b"GIF8"), 4, "text/html"), (bytearray(), 0, None)]
+    df = spark.createDataFrame(blobs, "c binary, n long, m string")
     reasons = [r.v.reason for r in df.select(rd.validate_image("c", "n", F.col("m")).alias("v")).collect()]
-    assert reasons == ["too-large (11534336 > 10485760)", "non-image MIME: text/html"]
+    assert reasons == ["too-large (11534336 > 10485760)", "non-image MIME: text/html", "empty-blob (0 bytes)"]
 
 
 def test_feedback_export(spark, tmp_path):

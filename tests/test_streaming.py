@@ -60,10 +60,12 @@ def test_verdict_state_equals_batch_merge(spark, tmp_path):
 
 
 def test_late_media_is_kept(spark, tmp_path):
-    rows = [("a", "text", 0), ("a", "media", 4000), ("b", "text", 0), ("b", "media", 9000), ("c", "text", 0), ("z", "media", 60000)]
+    t = 1_700_000_000_000
+    rows = [("a", "text", t), ("a", "media", t + 4000), ("b", "text", t), ("b", "media", t + 9000), ("c", "text", t),
+            ("z", "media", t + 60000)]
     stream = files(spark, rows, "unit_key string, kind string, ts_ms long", str(tmp_path), 2)
     out = sj.run_to_table(sj.stream_late_media(stream.withColumn("at", F.timestamp_millis("ts_ms")), "at", MediaPolicy()), "t")
-    assert sorted(tuple(r) for r in out.collect()) == [
+    assert sorted((r.unit_key, r.at_ms - t, r.outcome) for r in out.collect()) == [
         ("a", 4000, "published-with-media"), ("b", 6000, "published-without-media"), ("b", 9000, "late-upgrade"),
         ("c", 6000, "published-without-media")]
 
