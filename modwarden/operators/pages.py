@@ -103,30 +103,27 @@ def page_units(pages: DataFrame, policy: PartPolicy = PartPolicy()) -> DataFrame
 def node_table(pages: DataFrame) -> DataFrame:
     """One row per element: place in the tree, attributes, span in the page's text, chrome flag.
 
-    Unit detection reads it several times, so the parsed table is written once to the shared folder.
+    Unit detection reads it several times, so it is written once to the shared folder.
     """
-    raw = materialize(pages.select("page_id", "html").mapInPandas(hm.node_frames, hm.NODE_SCHEMA), "nodes")
-    attrs = F.col("attrs")
+    raw = pages.select("page_id", "html").mapInPandas(hm.node_frames, hm.NODE_SCHEMA)
 
     def attr(name: str) -> Column:
-        return F.coalesce(F.try_element_at(attrs, F.lit(name)), F.lit(""))
+        return F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
 
+    named = raw.select("*", attr("class").alias("cls"), attr("id").alias("id_attr"), attr("role").alias("role"))
     own = (
         F.col("tag").isin(*fv.CHROME_TAGS)
-        | attr("role").isin(*fv.CHROME_ROLES)
-        | idn.is_furniture(attr("id"))
-        | idn.is_furniture(attr("class"))
+        | F.col("role").isin(*fv.CHROME_ROLES)
+        | idn.is_furniture("id_attr")
+        | idn.is_furniture("cls")
     )
-    named = raw.select(
-        "*", own.alias("own_chrome"), attr("class").alias("cls"), attr("id").alias("id_attr"), attr("role").alias("role")
-    )
-    marked = named.filter("own_chrome").groupBy("page_id").agg(F.collect_set("node").alias("chrome_nodes"))
-    inside = F.coalesce(F.arrays_overlap(F.col("path"), F.col("chrome_nodes")), F.lit(False))
-    return (
-        named.join(marked, "page_id", "left")
-        .withColumn("chrome", F.col("own_chrome") | inside)
-        .drop("chrome_nodes", "own_chrome")
+    # The elements of one page are one document's, so a page always fits a task.
+    whole_page = Window.partitionBy("page_id")
+    marked = named.withColumn("_own", own).withColumn(
+        "_chrome_nodes", F.collect_set(F.when(F.col("_own"), F.col("node"))).over(whole_page)
     )
+    chrome = F.col("_own") | F.arrays_overlap("path", "_chrome_nodes")
+    return materialize(marked.withColumn("chrome", chrome).drop("_own", "_chrome_nodes"), "nodes")
 
 
 def signature(tag: Column, cls: Column, role: Column, testid: Column) -> Column:
@@ -189,21 +186,44 @@ def repeated_group_units(nodes: DataFrame, policy: GroupPolicy = GroupPolicy())
     )
 
 
-def _rule_matches(rule: tuple[str, str, str, str]) -> Column:
-    tag, attr, how, value = rule
-    cond = F.lit(True) if tag == "*" else F.col("tag") == tag
-    if attr == "self":
-        return cond
-    got = F.try_element_at("attrs", F.lit(attr))
-    if how == "~":
-        test = F.array_contains(F.split(F.coalesce(got, F.lit("")), r"\s+"), value)
-    elif how == "^":
-        test = got.startswith(value)
-    elif how == "?":
-        test = got.isNotNull()
-    else:
-        test = got == value
-    return cond & F.coalesce(test, F.lit(False))
+def _rule_place() -> Column:
+    """Place of the first selector that an element matches, else null.
+
+    An element's own features are few; they are looked up among the selectors as one set operation,
+    where a test per selector would be a hundred.
+    """
+    exact = {}
+    prefixes = []
+    for i, (tag, attr, how, value) in enumerate(fv.SEMANTIC_RULES):
+        if how == "^":
+            prefixes.append((i, tag, attr, value))
+        else:
+            exact.setdefault(f"{tag}|{attr}|{value}", i)
+    both_tags = F.array(F.col("tag"), F.lit("*"))
+
+    def features(values: Column, attr: str) -> Column:
+        return F.flatten(F.transform(both_tags, lambda t: F.transform(values, lambda v: F.concat(t, F.lit(f"|{attr}|"), v))))
+
+    def value_of(attr: str) -> Column:
+        return F.array(F.coalesce(F.try_element_at("attrs", F.lit(attr)), F.lit("\x00")))
+
+    own = F.concat(
+        F.array(F.concat(F.col("tag"), F.lit("|self|"))),
+        features(F.split("cls", r"\s+"), "class"),
+        *[features(value_of(a), a) for a in ("data-testid", "role", "aria-label", "source")],
+        # Presence alone.
+        F.when(F.array_contains(F.map_keys("attrs"), "data-test-id"), F.array(F.concat(F.col("tag"), F.lit("|data-test-id|")))).otherwise(
+            F.array().cast("array<string>")
+        ),
+    )
+    known = F.array(*[F.lit(k) for k in exact])
+    places = F.create_map(*[F.lit(x) for kv in exact.items() for x in kv])
+    first = tx.let(F.array_intersect(own, known), lambda m: F.array_min(F.transform(m, lambda f: F.try_element_at(places, f))))
+    starts = [
+        F.when((F.col("tag") == tag) & F.try_element_at("attrs", F.lit(attr)).startswith(value), i)
+        for i, tag, attr, value in prefixes
+    ]
+    return F.least(first, *starts)
 
 
 def semantic_units(nodes: DataFrame, min_chars: int = 24) -> DataFrame:
@@ -215,24 +235,21 @@ def semantic_units(nodes: DataFrame, min_chars: int = 24) -> DataFrame:
     is_list = (F.col("tag").isin("ol", "ul") & F.array_contains(classes, fv.COMMENT_LIST_CLASS)) | F.col("id_attr").isin(
         *fv.COMMENT_LIST_IDS
     )
-    context = nodes.groupBy("page_id").agg(
+    # Pages with comment lists or feeds are few, so the context is a narrow side of a left join.
+    context = nodes.filter(is_list | (F.col("role") == "feed")).groupBy("page_id").agg(
         F.collect_set(F.when(is_list, F.col("node"))).alias("lists"),
         F.collect_set(F.when(F.col("role") == "feed", F.col("node"))).alias("feeds"),
     )
-    placed = nodes.join(context, "page_id")
-    rule = F.lit(None).cast("int")
-    rules = list(enumerate(fv.SEMANTIC_RULES))
-    after = len(rules)
+    usable = nodes.filter(~F.col("chrome") & ((F.col("text_len") >= min_chars) | F.col("has_img")))
+    after = len(fv.SEMANTIC_RULES)
     in_list = (F.col("tag") == "li") & F.arrays_overlap("path", "lists")
     in_feed = F.array_contains("feeds", F.col("parent"))
-    rule = F.coalesce(
-        *[F.when(_rule_matches(r), i) for i, r in rules], F.when(in_list, after), F.when(in_feed, after + 1)
-    )
-    micro = _rule_matches(("div", "data-testid", "=", "tweetText"))
+    micro = (F.col("tag") == "div") & (F.coalesce(F.try_element_at("attrs", F.lit("data-testid")), F.lit("")) == "tweetText")
     return (
-        placed.withColumn("rule", rule)
-        .filter(F.col("rule").isNotNull() & ~F.col("chrome") & ~micro)
-        .filter((F.col("text_len") >= min_chars) | F.col("has_img"))
+        usable.filter(~micro)
+        .join(context, "page_id", "left")
+        .withColumn("rule", F.coalesce(_rule_place(), F.when(in_list, after), F.when(in_feed, after + 1)))
+        .filter(F.col("rule").isNotNull())
         .select("page_id", "node", "path", "tag", "text_len", "start", "end", "has_img", "rule")
     )
 
@@ -277,13 +294,20 @@ def detect_units(nodes: DataFrame) -> DataFrame:
     cols = ["page_id", "node", "path", "tag", "text_len", "start", "end"]
     semantic = semantic_units(nodes).select(*cols, F.lit("semantic").alias("tier"))
     groups = repeated_group_units(nodes).select(*cols, F.lit("group").alias("tier"))
-    links = groups.select("page_id", F.col("node").alias("_n"), F.explode(F.concat("path", F.array("node"))).alias("node"))
-    inside = links.join(semantic.select("page_id", "node"), ["page_id", "node"], "left_semi").select(
-        "page_id", F.col("_n").alias("node")
-    ).distinct()
-    found = semantic.unionByName(groups.join(inside, ["page_id", "node"], "left_anti"))
-    rest = section_units(nodes).select(*cols, F.lit("section").alias("tier"))
-    return found.unionByName(rest.join(found.select("page_id").distinct(), "page_id", "left_anti"))
+    sections = section_units(nodes).select(*cols, F.lit("section").alias("tier"))
+    candidates = materialize(semantic.unionByName(groups).unionByName(sections), "units")
+    # Which tiers a page has, and its semantic elements; a page's units are one document's.
+    page = candidates.groupBy("page_id").agg(
+        F.collect_set(F.when(F.col("tier") == "semantic", F.col("node"))).alias("_claimed"),
+        F.bool_or(F.col("tier") != "section").alias("_has_units"),
+    )
+    inside = F.arrays_overlap(F.concat("path", F.array("node")), F.col("_claimed"))
+    keep = (
+        F.when(F.col("tier") == "semantic", True)
+        .when(F.col("tier") == "group", ~inside)
+        .otherwise(~F.col("_has_units"))
+    )
+    return candidates.join(page, "page_id").filter(keep).select(*cols, "tier")
 
 
 def unit_texts(units: DataFrame, nodes: DataFrame) -> DataFrame:
