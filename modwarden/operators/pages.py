@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from modwarden.functions import html as hm
 from modwarden.functions import identity as idn
 from modwarden.functions import text as tx
 from modwarden.operators.lexicon import INLINE_LIMIT
-from modwarden.profiles import GroupPolicy, PartPolicy, UnitPolicy
+from modwarden.profiles import SITE_RULES, GroupPolicy, PartPolicy, SiteRule, UnitPolicy
 from modwarden.session import materialize
 
 
@@ -54,6 +56,25 @@ def admit_units(units: DataFrame, site: str, text: str, images: str | None = Non
     return units.filter(keep | (F.size(images) > 0) if images else keep)
 
 
+def apply_site_rules(units: DataFrame, site: str, url: str, rules: Sequence[SiteRule] = SITE_RULES) -> DataFrame:
+    """Adds the id, the least text, the split flag and the image cap of each unit's site.
+
+    The rules are a parameter of a handful of rows, so they become one expression and no join.
+    """
+    def chosen(value) -> Column:
+        out = F.lit(None)
+        for rule in rules:
+            out = F.when(F.col(site) == rule.site, value(rule)).otherwise(out)
+        return out
+
+    return (
+        units.withColumn("stable_id", chosen(lambda r: F.regexp_extract(url, r.id_pattern, r.id_group)))
+        .withColumn("min_chars", chosen(lambda r: F.lit(r.min_chars)))
+        .withColumn("no_split", chosen(lambda r: F.lit(r.no_split)))
+        .withColumn("max_images", chosen(lambda r: F.lit(r.max_images)))
+    )
+
+
 def furniture_filter(parts: DataFrame, text: str = "text", marks: str | None = None) -> DataFrame:
     keep = ~idn.is_ui_label(text)
     return parts.filter(keep & ~idn.is_furniture(marks) if marks else keep)
@@ -89,11 +110,11 @@ def page_units(pages: DataFrame, policy: PartPolicy = PartPolicy()) -> DataFrame
         hm.extract_parts("html", policy).alias("parts"),
         idn.filter_image_urls(hm.image_urls("html")).alias("images"),
     )
-    sited = base.withColumn("site_id", idn.site_route(F.coalesce("host", F.lit("")))).withColumn(
+    routed = base.withColumn("site_id", idn.site_route(F.coalesce("host", F.lit(""))))
+    sited = apply_site_rules(routed, "site_id", "url").withColumn(
         "text", join_parts(F.col("parts"), policy.max_unit_chars)
     )
-    own = idn.site_stable_id("site_id", "url")
-    stable = F.when(own != "", own).otherwise(idn.generic_stable_id("url"))
+    stable = F.when(F.col("stable_id") != "", F.col("stable_id")).otherwise(idn.generic_stable_id("url"))
     return sited.withColumn("unit_key", idn.content_key(F.col("site_id"), stable, F.col("text"), F.col("images")))
 
 
@@ -181,7 +202,7 @@ def repeated_group_units(nodes: DataFrame, policy: GroupPolicy = GroupPolicy())
     members = kids.join(
         ranked.select("page_id", "parent", "sig", "rank", "group_score", "members"), ["page_id", "parent", "sig"]
     )
-    return drop_nested(members).select(
+    return drop_nested(materialize(members, "group-members")).select(
         "page_id", "node", "path", "tag", "sig", "text_len", "start", "end", "has_img", "rank", "group_score", "members"
     )
 

@@ -122,6 +122,16 @@ def _(spark, d):
     return sited(spark, d).select("page_id", idn.site_stable_id("site_id", "url").alias("stable_id"))
 
 
+@query(
+    "site_rules",
+    f"""WITH {_SITED2} SELECT page_id, CASE site_id WHEN 'twitter' THEN regexp_extract(url, 'status/(\\d+)', 1) WHEN 'instagram' THEN regexp_extract(url, '/(?:p|reel)/[^/?#]+', 0)
+    WHEN 'youtube' THEN regexp_extract(url, '[?&]v=([\\w-]+)', 1) WHEN 'reddit' THEN regexp_extract(url, '^(?:[a-z]+://[^/]+)?(/[^?#]*comments/[^?#]+)', 1) ELSE '' END AS stable_id,
+    CASE WHEN site_id = 'generic' THEN 24 ELSE 4 END AS min_chars, site_id IN ('instagram', 'youtube') AS no_split, CASE WHEN site_id = 'youtube' THEN 1 ELSE 3 END AS max_images FROM sited""",
+)
+def _(spark, d):
+    return pg.apply_site_rules(sited(spark, d), "site_id", "url").select("page_id", "stable_id", "min_chars", "no_split", "max_images")
+
+
 @query("host_key", f"WITH {_SITED2} SELECT {q.host_key('host')} AS host_key, count(*) AS n FROM sited GROUP BY 1")
 def _(spark, d):
     return sited(spark, d).groupBy(idn.host_key("host").alias("host_key")).agg(F.count("*").alias("n"))

@@ -331,15 +331,16 @@ def lexicon_stats(spark, d):
     return stats_by_source(text_verdicts(spark, d).select(F.col("verdict.reasons").alias("reasons")))
 
 
+# The same verdicts over conversation turns.
+_TURNS = q.VERDICTS.replace(
+    "WITH ", "WITH conv AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations), ", 1
+).replace("FROM documents", "FROM conv")
+
+
 @query(
     "ocr_text_verdict",
-    f"""WITH {q.LEXICON}, {q.CODES}, normed AS MATERIALIZED (SELECT conv_id, turn, text, {q.norm('text')} AS norm FROM conversations),
-    hit AS (SELECT conv_id, turn, text, {q.proxy('text')} AS s,
-      (SELECT max(CASE WHEN code % 2 = 0 THEN 2 ELSE 1 END) FROM codes WHERE kind = 'phrase' AND contains(norm, term)) AS pr,
-      (SELECT max(CASE WHEN c.code % 2 = 0 THEN 2 ELSE 1 END) FROM (SELECT unnest(string_split(trim(norm), ' ')) AS w) x JOIN codes c ON c.kind = 'token' AND c.term = x.w) AS tr
-      FROM normed),
-    acted AS (SELECT *, {q.name_of('greatest(coalesce(pr, 0), coalesce(tr, 0))')} AS lex, {q.action_of('s', 0.7, 0.35)} AS model FROM hit),
-    pick AS (SELECT *, CASE WHEN lex = 'block' THEN 'lexicon-ocr' WHEN model = 'block' THEN 'ocr-text' WHEN model = 'flag' THEN 'ocr-text' WHEN lex = 'flag' THEN 'lexicon-ocr' END AS src FROM acted)
+    f"""{_TURNS}, acted AS (SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, lexicon_action AS lex, {q.action_of(q.proxy('text'), 0.7, 0.35)} AS model FROM lex_verdicts),
+    pick AS (SELECT *, CASE WHEN lex = 'block' THEN 'lexicon-ocr' WHEN model IN ('block', 'flag') THEN 'ocr-text' WHEN lex = 'flag' THEN 'lexicon-ocr' END AS src FROM acted)
     SELECT conv_id, turn, CASE src WHEN 'lexicon-ocr' THEN lex WHEN 'ocr-text' THEN model ELSE 'clean' END AS ocr_action, src AS ocr_source FROM pick""",
 )
 def _(spark, d):

@@ -62,6 +62,28 @@ class UnitPolicy:
     max_images: int = 3
 
 
+@dataclass(frozen=True)
+class SiteRule:
+    """What one site's adapter says about a unit, as far as text and address show it."""
+
+    site: str
+    id_pattern: str
+    id_group: int = 1
+    min_chars: int = 4
+    no_split: bool = False
+    max_images: int = 3
+
+
+# The rules of the routed sites.
+SITE_RULES = (
+    SiteRule("twitter", r"status/(\d+)"),
+    SiteRule("instagram", r"/(?:p|reel)/[^/?#]+", id_group=0, no_split=True),
+    SiteRule("youtube", r"[?&]v=([\w-]+)", no_split=True, max_images=1),
+    SiteRule("reddit", r"^(?:[a-z]+://[^/]+)?(/[^?#]*comments/[^?#]+)"),
+    SiteRule("generic", r"$^", id_group=0, min_chars=24),
+)
+
+
 @dataclass(frozen=True)
 class GroupPolicy:
     """Repeated-sibling detection."""

@@ -17,6 +17,7 @@ from modwarden.sources.sinks import VerdictStore
 
 
 FILES_PER_BATCH = 64
+BROADCAST_ROWS = 10_000
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files: int = FILES_PER_BATCH) -> DataFrame:
@@ -109,12 +110,14 @@ def stream_upsert(stream: DataFrame, path: str, order: Sequence[str], key: str =
 def with_settings(events: DataFrame, settings: DataFrame, policy: str = "settings_policy") -> DataFrame:
     """Marks results made under other settings than the current row of the settings table.
 
-    ``settings`` has one row per scope; a changed policy invalidates and asks for a rescan.
+    ``settings`` has one row per scope; a changed policy invalidates and asks for a rescan. A table
+    counted to be small is broadcast, as a stream has few scopes and any of them can be hot; a
+    larger one is left to Catalyst.
     """
     current = settings.select("scope", F.col(policy).alias("current_policy"))
-    return events.join(current, "scope", "left").withColumn(
-        "rescan", ~F.col(policy).eqNullSafe(F.col("current_policy"))
-    )
+    if current.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        current = F.broadcast(current)
+    return events.join(current, "scope", "left").withColumn("rescan", ~F.col(policy).eqNullSafe(F.col("current_policy")))
 
 
 # ------------------------------------------------------------------------- custom keyed state
