@@ -26,16 +26,19 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     spark = build_session(f"local[{cores}]", cores)
     spark.sparkContext.setLogLevel("ERROR")
-    # One untimed query, so that JVM start-up is not charged to the first one.
-    QUERIES["text_policy"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     times = {}
     for name in names:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        taken = []
+        for _ in range(runs):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            taken.append(time.perf_counter() - start)
+        # The best run, so that class loading and compilation are not charged to a query.
+        times[name] = round(min(taken), 3)
     n_docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     print(json.dumps({
-        "metric": "total seconds over the headline queries",
+        "metric": f"total seconds over the headline queries, best of {runs}",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,

@@ -18,6 +18,8 @@ VOID_TAGS = frozenset(
 )
 PAIRED_CHROME = tuple(t for t in fv.CHROME_TAGS if t not in VOID_TAGS)
 OPEN, CLOSE, NAME_END = "\x01", "\x02", "\x03"
+# Where a block ends even when its own end tag is missing.
+BOUNDARY = r"(?i)</?(?:article|section|main|footer|header)\b[^>]*>|</(?:body|ul|ol|dl|table)\s*>"
 
 
 def drop_chrome(html: Column | str) -> Column:
@@ -29,8 +31,9 @@ def drop_chrome(html: Column | str) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    for name, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(ch))
+    """The common entities; the old ones also without their semicolon, as browsers read them."""
+    for name, ch in (("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"), ("&apos;", "'"), ("&amp;?", "&")):
+        c = F.regexp_replace(c, name, ch)
     return c
 
 
@@ -38,7 +41,7 @@ def _blocks(markup: Column, tags: tuple[str, ...]) -> Column:
     """Text of each block in page order as ``array<struct<tag,text>>``."""
     names = "|".join(tags)
     marked = F.regexp_replace(markup, rf"(?i)<({names})\b[^>]*>", f"{CLOSE}{OPEN}$1{NAME_END}")
-    marked = F.regexp_replace(marked, rf"(?i)</({names})\s*>", CLOSE)
+    marked = F.regexp_replace(F.regexp_replace(marked, rf"(?i)</({names})\s*>", CLOSE), BOUNDARY, CLOSE)
     segments = F.filter(F.split(marked, CLOSE), lambda s: s.startswith(OPEN))
     return F.transform(
         segments,
@@ -54,8 +57,8 @@ def _blocks(markup: Column, tags: tuple[str, ...]) -> Column:
 def extract_parts(html: Column | str, policy: PartPolicy = PartPolicy()) -> Column:
     """Ordered text parts of a page: ``array<struct<ix,tag,text>>``.
 
-    A block ends where the next one starts, so unclosed paragraphs part as a browser parts them and
-    the text of nested blocks belongs to the innermost one. Pages with no block at all fall back to
+    A block ends where the next one starts or its container ends, so unclosed paragraphs part as a
+    browser parts them and the text of nested blocks belongs to the innermost one. Pages with no block at all fall back to
     plain containers.
     """
 

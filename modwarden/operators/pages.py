@@ -291,7 +291,7 @@ def section_units(nodes: DataFrame, min_chars: int = 24, min_container: int = 40
         F.min(F.struct("node", "text_len", "tag", "path", "start", "end", "has_img")).alias("c")
     )
     container = (
-        first.filter(F.col("c.text_len") > min_container)
+        first.filter(F.col("c.end") - F.col("c.start") > min_container)
         .groupBy("page_id")
         .agg(F.min_by("c", "_sel").alias("c"))
     )
@@ -301,7 +301,7 @@ def section_units(nodes: DataFrame, min_chars: int = 24, min_container: int = 40
     cols = ["node", "path", "tag", "text_len", "start", "end", "has_img"]
     inside = (
         nodes.join(container.select("page_id", F.col("c.node").alias("_c")), "page_id")
-        .filter(F.array_contains("path", F.col("_c")) & is_section & ~F.col("chrome") & (F.col("text_len") >= min_chars))
+        .filter(F.array_contains("path", F.col("_c")) & is_section & ~F.col("chrome") & (F.col("end") - F.col("start") >= min_chars))
         .select("page_id", *cols)
     )
     alone = container.join(inside.select("page_id").distinct(), "page_id", "left_anti").select(

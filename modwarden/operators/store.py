@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modwarden.functions import scores as sc
@@ -80,9 +80,11 @@ def admit(requests: DataFrame, cycle: str, key: str, priority: str, arrival: str
     )
 
 
-def verdict_rows(action: Column, reasons: Column, **fields: Column) -> list[Column]:
-    """Columns of a stored verdict in one fixed order."""
-    return [*[c.alias(n) for n, c in fields.items()], action.alias("action"), reasons.alias("reasons")]
+def bound_queue(waiting: DataFrame, key: str, arrival: str, n: int) -> DataFrame:
+    """Bounded retry queue: the ``n`` newest entries stay, and each older one is reported as dropped."""
+    kept = top_n_per_group(waiting.withColumn("_queue", F.lit(0)), ["_queue"], [F.desc(arrival), F.desc(key)], n, key)
+    marked = kept.select(key, F.lit(False).alias("_dropped"))
+    return waiting.join(marked, key, "left").select("*", F.coalesce("_dropped", F.lit(True)).alias("dropped")).drop("_dropped")
 
 
 def cacheable(images: DataFrame, action: str, *reasons: str) -> DataFrame:

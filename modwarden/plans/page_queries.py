@@ -216,6 +216,8 @@ def _(spark, d):
 
 # ------------------------------------------------------------------------------ unit detection
 
+_SHAPE = "CASE WHEN length(text) < 20 THEN 0 WHEN length(text) < 60 THEN 1 WHEN length(text) < 300 THEN 2 WHEN length(text) < 1200 THEN 3 ELSE 2 END"
+
 
 @query(
     "nested_dedupe",
@@ -233,11 +235,19 @@ def _(spark, d):
     return pg.drop_nested(u).select("page_id", "node")
 
 
-@query("repeated_group_units")
+@query(
+    "repeated_group_units",
+    f"""WITH {q.PARTS}, p AS (SELECT page_id, tag, text, length(text) AS n, {_SHAPE} AS shape FROM parts WHERE tag = 'p' AND length(text) >= 24),
+    g AS (SELECT page_id, count(*) AS members, CAST(sum(n) AS BIGINT) AS chars, min(md5(text)) AS least_md5 FROM p GROUP BY page_id HAVING count(*) >= 2 AND count(DISTINCT shape) <= 2 AND avg(n) <= 4000)
+    SELECT page_id, 'p|||' AS sig, members, chars, round(members * least(chars / members::DOUBLE, 600), 6) AS score, least_md5 FROM g""",
+)
 def _(spark, d):
     nodes = pg.node_table(pages(spark, d))
     units = pg.unit_texts(pg.repeated_group_units(nodes), nodes)
-    return units.select("page_id", "node", "sig", "rank", "members", "text_len", F.md5("text").alias("text_md5"))
+    return units.groupBy("page_id", "sig").agg(
+        F.count("*").alias("members"), F.sum("text_len").cast("long").alias("chars"),
+        F.round(F.max("group_score"), 6).alias("score"), F.min(F.md5("text")).alias("least_md5"),
+    )
 
 
 @query(
@@ -250,12 +260,30 @@ def _(spark, d):
     return pg.semantic_units(pg.node_table(pages(spark, d))).groupBy("page_id", "tag").agg(F.count("*").alias("units"))
 
 
-@query("section_units")
+def _raw(tag: str) -> str:
+    text = q.decode(f"regexp_replace(regexp_extract(html, '(?is)<{tag}\\b.*?(?:</{tag}>|$)', 0), '<[^>]*>|<!--.*?-->', '', 'g')")
+    return f"replace(replace({text}, '&copy;', '©'), '&middot;', '·')"
+
+
+def _container(tag: str) -> str:
+    return q.squeeze(_raw(tag))
+
+
+@query(
+    "section_units",
+    f"""WITH t AS (SELECT page_id, length({_container('article')}) AS a, length({_container('body')}) AS b, length({_raw('article')}) AS ra, length({_raw('body')}) AS rb FROM pages)
+    SELECT page_id, CASE WHEN ra >= 24 THEN 'article' ELSE 'body' END AS tag, CASE WHEN ra >= 24 THEN a ELSE b END AS text_len FROM t WHERE ra > 400 OR rb > 400""",
+)
 def _(spark, d):
-    return pg.section_units(pg.node_table(pages(spark, d))).select("page_id", "node", "tag", "text_len")
+    return pg.section_units(pg.node_table(pages(spark, d))).select("page_id", "tag", F.col("text_len").cast("long").alias("text_len"))
 
 
-@query("detect_units")
+@query(
+    "detect_units",
+    f"""WITH t AS (SELECT page_id, {_container('article')} AS a, {_container('body')} AS b, {_raw('body')} AS rb FROM pages)
+    SELECT page_id, CASE WHEN length(a) >= 24 THEN 'semantic' ELSE 'section' END AS tier, CASE WHEN length(a) >= 24 THEN 'article' ELSE 'body' END AS tag,
+    md5(CASE WHEN length(a) >= 24 THEN a ELSE b END) AS text_md5 FROM t WHERE length(a) >= 24 OR length(rb) > 400""",
+)
 def _(spark, d):
     nodes = pg.node_table(pages(spark, d))
-    return pg.unit_texts(pg.detect_units(nodes), nodes).select("page_id", "node", "tier", "tag", F.md5("text").alias("text_md5"))
+    return pg.unit_texts(pg.detect_units(nodes), nodes).select("page_id", "tier", "tag", F.md5("text").alias("text_md5"))

@@ -131,22 +131,34 @@ def drop_chrome(expr: str) -> str:
 
 
 def decode(expr: str) -> str:
-    for name, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
-        expr = f"replace({expr}, '{name}', '{ch}')"
+    for name, ch in (("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "''"), ("&apos;", "''"), ("&amp;?", "&")):
+        expr = f"regexp_replace({expr}, '{name}', '{ch}', 'g')"
     return expr
 
 
-_NAMES = "|".join(fv.BLOCK_TAGS)
-PARTS = f"""
-marked AS MATERIALIZED (SELECT page_id, url, regexp_replace(regexp_replace({drop_chrome('html')},
-    '(?i)<({_NAMES})\\b[^>]*>', chr(2) || chr(1) || '\\1' || chr(3), 'g'), '(?i)</({_NAMES})\\s*>', chr(2), 'g') AS m FROM pages),
-segs AS (SELECT page_id, url, unnest(string_split(m, chr(2))) AS s, generate_subscripts(string_split(m, chr(2)), 1) AS pos FROM marked),
-blocks AS (SELECT page_id, url, pos, lower(substr(s, 2, strpos(s, chr(3)) - 2)) AS tag,
+BOUNDARY = r"(?i)</?(?:article|section|main|footer|header)\b[^>]*>|</(?:body|ul|ol|dl|table)\s*>"
+
+
+def _chain(tags: tuple[str, ...], source: str, suffix: str) -> str:
+    names = "|".join(tags)
+    return f"""
+marked{suffix} AS MATERIALIZED (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace({drop_chrome('html')},
+    '(?i)<({names})\\b[^>]*>', chr(2) || chr(1) || '\\1' || chr(3), 'g'), '(?i)</({names})\\s*>', chr(2), 'g'),
+    '{BOUNDARY}', chr(2), 'g') AS m FROM {source}),
+segs{suffix} AS (SELECT page_id, url, unnest(string_split(m, chr(2))) AS s, generate_subscripts(string_split(m, chr(2)), 1) AS pos FROM marked{suffix}),
+blocks{suffix} AS (SELECT page_id, url, pos, lower(substr(s, 2, strpos(s, chr(3)) - 2)) AS tag,
     {squeeze(decode("regexp_replace(substr(s, strpos(s, chr(3)) + 1), '<[^>]*>', '', 'g')"))} AS text
-  FROM segs WHERE starts_with(s, chr(1))),
-parts AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS ix, tag, text FROM blocks WHERE length(text) >= 12)"""
+  FROM segs{suffix} WHERE starts_with(s, chr(1))),
+parts{suffix} AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS ix, tag, text FROM blocks{suffix} WHERE length(text) >= 12)"""
+
+
+PARTS = (
+    _chain(fv.BLOCK_TAGS, "pages", "1") + ","
+    + _chain(fv.FALLBACK_TAGS, "(SELECT * FROM pages WHERE page_id NOT IN (SELECT page_id FROM parts1))", "2")
+    + ",\nparts AS (SELECT * FROM parts1 UNION ALL SELECT * FROM parts2)"
+)
 
-# Windows of the reference rule, over a table texts(id, t) of trimmed texts.
+# Windows of at most six, over trimmed texts.
 _END = "[.!?…][\"''\\)\\]]?\\s|\\n+"
 
 

@@ -94,6 +94,16 @@ def _(spark, d):
     return st.admit(log, "cycle", "key", "k", "seq", 12).select("cycle", "key", "priority", "arrival", "requests", "admitted")
 
 
+@query(
+    "bounded_retry_queue",
+    f"""WITH {q.EV}, w AS (SELECT key, max(seq) AS arrival FROM ev WHERE event_type = 'error' GROUP BY key)
+    SELECT key, arrival, row_number() OVER (ORDER BY arrival DESC, key DESC) > 30 AS dropped FROM w""",
+)
+def _(spark, d):
+    failed = verdict_log(spark, d).filter("event_type = 'error'").groupBy("key").agg(F.max("seq").alias("arrival"))
+    return st.bound_queue(failed, "key", "arrival", 30)
+
+
 _KEYS = ["key", "policy_version", "settings_policy"]
 _STORE = f"""{_LWW}, req AS (SELECT DISTINCT key, policy_version, settings_policy FROM ev)"""
 
