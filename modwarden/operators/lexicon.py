@@ -64,10 +64,14 @@ class CompiledLexicon:
 
 def compile_lexicon(lexicon: DataFrame, limit: int = INLINE_LIMIT) -> CompiledLexicon | None:
     """Literal form, or ``None`` when the table has more rows than the limit."""
-    rows = _precedence(lexicon).limit(limit + 1).collect()
+    rows = lexicon.filter(F.col("tier").isin("block", "flag")).select("term", "kind", "lang", "tier").limit(limit + 1).collect()
     if len(rows) > limit:
         return None
-    found = sorted((r.code, r.term, r.kind) for r in rows)
+    codes: dict[tuple[str, str], int] = {}
+    for r in rows:
+        code = (0 if r.lang == "en" else 2) + (0 if r.tier == "block" else 1)
+        codes[r.term, r.kind] = min(code, codes.get((r.term, r.kind), code))
+    found = sorted((code, term, kind) for (term, kind), code in codes.items())
     return CompiledLexicon(
         tuple((t, c) for c, t, k in found if k == "token"),
         tuple((t, "block" if c % 2 == 0 else "flag") for c, t, k in sorted(found, key=lambda x: (x[0] % 2, x[1])) if k == "phrase"),
@@ -226,10 +230,10 @@ def lexicon_label_audit(verdicts: DataFrame, label: str) -> DataFrame:
 
 def contains_term(norm: Column, terms: DataFrame, limit: int = INLINE_LIMIT) -> Column | None:
     """Whether a normalised text holds any term, as a plain predicate; ``None`` for too many terms."""
-    found = [r.term for r in terms.select("term").distinct().limit(limit + 1).collect()]
+    found = [r.term for r in terms.select("term").limit(limit + 1).collect()]
     if len(found) > limit:
         return None
-    literal = F.array(*[F.lit(t) for t in sorted(found)]).cast("array<string>")
+    literal = F.array(*[F.lit(t) for t in sorted(set(found))]).cast("array<string>")
     return tx.let(norm, lambda n: F.exists(literal, lambda t: F.contains(n, t)))
 
 

@@ -86,9 +86,9 @@ def paused_host_filter(units: DataFrame, host: str, paused: DataFrame, limit: in
     A short list is matched inside each row. A long one meets the distinct hosts in an equi-join on
     every entry that could pause them, and only the paused hosts go on to the anti-join.
     """
-    found = [r[0] for r in paused.select(paused.columns[0]).distinct().limit(limit + 1).collect()]
+    found = [r[0] for r in paused.select(paused.columns[0]).limit(limit + 1).collect()]
     if len(found) <= limit:
-        entries = F.array(*[F.lit(x) for x in sorted(found)]).cast("array<string>")
+        entries = F.array(*[F.lit(x) for x in sorted(set(found))]).cast("array<string>")
         hit = F.arrays_overlap(idn.pause_candidates(host), entries)
         return units.filter(~F.coalesce(hit, F.lit(False)))
     hosts = units.select(host).distinct()
