@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modwarden.llm import substrings
+import public_tokenizers
+
+from modwarden.llm import langid, pieces, simhash, substrings, webp
 from modwarden.sources.readers import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -24,3 +26,35 @@ def query(name, sql=None):
 def op4(spark, d):
     docs = read_table(spark, d, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op9_simhash_near_dedup")
+def op9(spark, d):
+    found = simhash.near_duplicates(read_table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
+
+
+@query("op5_sentencepiece")
+def op5(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_webp_media")
+def op10(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return webp.to_media(docs, with_media=False).drop("text")
+
+
+def fold(modulus: int, rest: int, id_col: str = "doc_id"):
+    """Whether a row is held out, by the checksum of its id as text."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus)) == rest
+
+
+@query("op3_language_id")
+def op3(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold(4, 2), F.lit(False)))
+    model = langid.fit(docs.filter("not held_out"))
+    found = langid.predict(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "entropy")
