@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from modwarden.llm import langid, pieces, simhash, substrings, webp
+from modwarden.llm import chats, decontaminate, langid, pieces, quality, simhash, substrings, toxicity, warc, webp
 from modwarden.sources.readers import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -58,3 +58,61 @@ def op3(spark, d):
     model = langid.fit(docs.filter("not held_out"))
     found = langid.predict(docs.select("doc_id", "held_out", "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "entropy")
+
+
+@query("op1_toxicity")
+def op1(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(fold(4, 2), F.lit(False)))
+    learned = docs.filter("not held_out")
+    labels = read_table(spark, d, "labels").filter(~F.coalesce(fold(4, 2), F.lit(False)))
+    index = toxicity.fit(learned, labels, all_docs=docs)
+    return toxicity.predict(docs, index).drop("text")
+
+
+_CHATS = """
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY pos) AS l FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM c)),
+kept AS (SELECT min(conv_id) AS conv_id, count(*) AS copies, any_value(n) AS n_turns FROM c ANTI JOIN p USING (l) GROUP BY l),
+r AS (SELECT conv_id, pos // 256 AS segment, any_value(n_turns) AS n_turns, any_value(copies) AS copies,
+             string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
+      FROM t JOIN kept USING (conv_id) GROUP BY ALL)
+SELECT conv_id, segment, n_turns, copies, length(rendered) AS n_chars, sha256(rendered) AS rendered_sha256 FROM r
+"""
+
+
+@query("op2_chat_formatting", _CHATS)
+def op2(spark, d):
+    found = chats.format_chats(read_table(spark, d, "conversations"))
+    return found.select("conv_id", "segment", "n_turns", "copies", F.length("rendered").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+_PAGES = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id IS NOT NULL),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+@query("op6_warc", _PAGES)
+def op6(spark, d):
+    found = warc.round_trip(read_table(spark, d, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_decontamination")
+def op7(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return decontaminate.find(docs, read_table(spark, d, "benchmark")).drop("text")
+
+
+@query("op8_quality")
+def op8(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(fold(5, 0), F.lit(False)))
+    labels = read_table(spark, d, "labels").filter(~F.coalesce(fold(5, 0), F.lit(False)))
+    model = quality.fit(docs.filter("not held_out"), labels)
+    return quality.predict(docs, model).drop("text")
