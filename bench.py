@@ -11,12 +11,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from modwarden.plans import QUERIES  # noqa: E402
 from modwarden.session import build_session  # noqa: E402
+from modwarden.sources.readers import INPUT_PARTITIONS  # noqa: E402
 
 HEADLINE = (
     "lexicon_verdict", "lexicon_stats", "fuse_verdict", "max_window_score", "dedupe_keep_first", "leakage_removal",
     "stratified_split", "prepare_corpus", "threshold_sweep", "pick_thresholds", "last_write_wins", "session_stats",
     "refine_verdict", "keep_newest_n", "priority_admission", "image_rollup", "otsu_threshold", "extract_parts",
-    "content_key", "stream_upsert", "stream_media_lifecycle",
+    "content_key", "stream_upsert", "stream_media_lifecycle", "detect_units", "lexicon_verdict_by_join", "score_documents",
 )
 
 
@@ -26,6 +27,7 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     spark = build_session(f"local[{cores}]", cores)
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set(INPUT_PARTITIONS, str(cores))
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     times = {}
     for name in names:

@@ -22,14 +22,16 @@ def _digest(text: str, digest: str | None) -> Column:
 
 
 def dedupe_keep_first(df: DataFrame, text: str, order: str, digest: str | None = None) -> DataFrame:
-    """First row of each normalised text in the order of a unique column.
+    """First row of each normalised text in the order of a column, ties by origin-free row content.
 
     Only ``(digest, order)`` is aggregated, with map-side combining, so a text with a huge number
-    of copies shrinks to one pair per task before the shuffle. ``digest`` names a column that
-    already holds :func:`text_digest`.
+    of copies shrinks to one pair per task before the shuffle. Rows are taken back by digest and
+    order, so an id that several texts share keeps one row of each text. ``digest`` names a column
+    that already holds :func:`text_digest`. Rows of one text that also share the order are one row.
     """
-    first = df.groupBy(_digest(text, digest).alias("_digest")).agg(F.min(order).alias(order)).select(order)
-    return df.join(first, order, "left_semi")
+    keyed = df.withColumn("_digest", _digest(text, digest))
+    first = keyed.groupBy("_digest").agg(F.min(order).alias(order))
+    return keyed.join(first, ["_digest", order], "left_semi").dropDuplicates(["_digest", order]).select(*df.columns)
 
 
 def remove_leakage(held: DataFrame, train: DataFrame, text: str = "text", digest: str | None = None) -> DataFrame:
@@ -43,7 +45,8 @@ def remove_leakage(held: DataFrame, train: DataFrame, text: str = "text", digest
 
     leaks = digests(held).join(digests(train), "_d", "left_semi")
     spread = leaks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(*held.columns), F.lit(SALTS)).cast("int")
+    # Copies without a column that tells them apart need a random salt; a lost task draws others with the same result.
+    salt = F.floor(F.rand() * SALTS).cast("int")
     keyed = held.withColumn("_d", _digest(text, digest)).withColumn("_salt", salt)
     return keyed.join(spread, ["_d", "_salt"], "left_anti").drop("_d", "_salt")
 
@@ -132,19 +135,45 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed: int | str = 42) -> DataFram
     return ranked.drop("_order", "_all", "group_size")
 
 
-def union_corpora(sources: Mapping[str, tuple[DataFrame, Mapping[str, str]]], columns: Sequence[str]) -> DataFrame:
-    """One corpus from several: columns renamed to one schema, provenance kept in ``origin``."""
+def union_corpora(
+    sources: Mapping[str, tuple[DataFrame, Mapping[str, str]]], columns: Sequence[str], id_col: str | None = None
+) -> DataFrame:
+    """One corpus from several: columns renamed to one schema, provenance kept in ``origin``.
+
+    With ``id_col`` ids become ``origin/id``, as two sources may number their rows alike.
+    """
     out = None
     for name, (df, renames) in sources.items():
         part = df.select(*[F.col(renames.get(c, c)).alias(c) for c in columns]).withColumn("origin", F.lit(name))
+        if id_col:
+            part = part.withColumn(id_col, F.concat_ws("/", "origin", F.col(id_col).cast("string")))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def prepare_merged(corpus: DataFrame, id_col: str, copies: Column, text: str = "text", label: str = "label", seed: int | str = 42) -> DataFrame:
+    """A merged and augmented corpus, ready to train on: length filter, dedupe, split, leakage check, weights.
+
+    Ids must be unique over sources and copies (see ``id_col`` of the functions above). After the length filter
+    only digests and narrow columns are shuffled; the result lacks the text, join it back by id.
+    """
+    narrow = materialize(min_length(corpus, text).withColumn("_digest", tx.text_digest(text)).drop(text), "merged")
+    unique = dedupe_keep_first(narrow, text, id_col, "_digest")
+    split = materialize(stratified_split(unique, label, id_col, seed), "split")
+    train = split.filter("split = 'train'")
+    clean = train.unionByName(remove_leakage(split.filter("split <> 'train'"), train, text, "_digest"))
+    return oversample(clean, copies)
+
+
 def oversample(df: DataFrame, copies: Column, split: str | None = "split") -> DataFrame:
-    """Rows repeated ``copies`` times, in the train split only."""
+    """Rows repeated ``copies`` times, in the train split only; below one, or null, counts as once."""
     times = F.when(F.col(split) == "train", copies).otherwise(1) if split else copies
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(times.cast("int"), F.lit(1))))))
+
+
+def _flag(c: Column) -> Column:
+    """A condition as 0 or 1; unknown counts as not met."""
+    return F.coalesce(c.cast("int"), F.lit(0))
 
 
 def copies_v1(target_lang: Column) -> Column:
@@ -154,7 +183,7 @@ def copies_v1(target_lang: Column) -> Column:
 
 def copies_v2(toxic: Column, target_lang: Column) -> Column:
     """One more copy for toxic rows and one more for target-language rows, each from the original."""
-    return F.lit(1) + toxic.cast("int") + target_lang.cast("int")
+    return F.lit(1) + _flag(toxic) + _flag(target_lang)
 
 
 def copies_v4(thread_row: Column, toxic: Column) -> Column:
@@ -162,9 +191,16 @@ def copies_v4(thread_row: Column, toxic: Column) -> Column:
     return F.when(thread_row, 4).otherwise(1) * F.when(toxic, 2).otherwise(1)
 
 
-def augment_union(df: DataFrame, matches: Column, transformed: Column, text: str, tag: str, lang: str = "lang") -> DataFrame:
-    """Appends transformed copies of matching rows with the same label, under a new language tag."""
+def augment_union(
+    df: DataFrame, matches: Column, transformed: Column, text: str, tag: str, lang: str = "lang", id_col: str | None = None
+) -> DataFrame:
+    """Appends transformed copies of matching rows with the same label, under a new language tag.
+
+    With ``id_col`` (a string column) a copy's id is its original's and the tag, so that ids stay unique.
+    """
     extra = df.filter(matches).withColumn(text, transformed).withColumn(lang, F.lit(tag))
+    if id_col:
+        extra = extra.withColumn(id_col, F.concat_ws("/", id_col, F.lit(tag)))
     return df.unionByName(extra)
 
 

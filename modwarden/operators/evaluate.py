@@ -44,9 +44,9 @@ def confusion_metrics(df: DataFrame, score: str, label: str, flag: float, block:
 
 
 def acceptance_gate(metrics: DataFrame, policy: GatePolicy = GatePolicy()) -> DataFrame:
-    return metrics.withColumn(
-        "passed", (F.col("precision") >= policy.precision) & (F.col("recall") >= policy.recall)
-    )
+    """Whether the counts reach the policy; the rounded columns are for reports only."""
+    precision, recall = (ratio(F.col("tp"), F.col("tp") + F.col(x)) for x in ("fp", "fn"))
+    return metrics.withColumn("passed", (precision >= policy.precision) & (recall >= policy.recall))
 
 
 def threshold_sweep(df: DataFrame, score: str, label: str, policy: ThresholdPolicy = ThresholdPolicy()) -> DataFrame:

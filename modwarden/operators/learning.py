@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from modwarden.functions import scores as sc
 from modwarden.functions import windows as wn
 from modwarden.operators.media import max_window_score
+from modwarden.operators.ranking import SALTS
 from modwarden.profiles import ScorePolicy, WindowPolicy
+from modwarden.session import materialize
+
+WHOLE = WindowPolicy(max_windows=None)
 
 Scorer = Callable[[pd.Series], pd.Series]
 
@@ -33,22 +37,62 @@ def scorer_column(load: Callable[[], Scorer], c: Column | str) -> Column:
 
 
 def score_distinct(df: DataFrame, text: str, score: Callable[[str], Column], out: str = "score") -> DataFrame:
-    """Scores each distinct text once and joins the score back; worth it where texts repeat."""
-    keyed = df.withColumn("_digest", F.md5(text))
-    scored = keyed.groupBy("_digest").agg(F.first(text).alias(text)).select("_digest", score(text).alias(out))
-    return keyed.join(scored, "_digest", "left").drop("_digest")
+    """Scores each distinct text about once and joins the score back; worth it where texts repeat.
+
+    Copies of a text are spread over salts, each of which scores it once, so a hot text is shared out.
+    """
+    keyed = df.withColumn("_digest", F.md5(text)).withColumn("_salt", F.floor(F.rand() * SALTS))
+    keyed = materialize(keyed, "scoring")
+    one = keyed.groupBy("_digest", "_salt").agg(F.first(text).alias(text))
+    scored = one.select("_digest", "_salt", score(text).alias(out))
+    both = (F.col("k._digest").eqNullSafe(F.col("s._digest"))) & (F.col("k._salt") == F.col("s._salt"))
+    return keyed.alias("k").join(scored.alias("s"), both, "left").select(*[F.col(f"k.{c}") for c in df.columns], f"s.{out}")
+
+
+def array_scorer(load: Callable[[], Scorer]) -> Callable[[Column], Column]:
+    """A text model over arrays of texts: all windows of an Arrow batch are scored in one call."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            sizes = texts.map(len)
+            flat = texts.explode().dropna()
+            scores = iter(model(flat).astype("float64")) if len(flat) else iter(())
+            yield pd.Series([[next(scores) for _ in range(n)] for n in sizes], index=texts.index, dtype=object)
+
+    return run
 
 
 def score_windows(
-    df: DataFrame, key: str, text: str, score: Callable[[str], Column],
-    windows: WindowPolicy = WindowPolicy(), policy: ScorePolicy = ScorePolicy(),
+    df: DataFrame, key: str, text: str, score: Callable[[Column], Column],
+    windows: WindowPolicy = WHOLE, policy: ScorePolicy = ScorePolicy(),
 ) -> DataFrame:
-    """Windows of each text, a score per window, and the window that decides."""
-    cut = df.select(key, F.explode_outer(wn.window_text(text, windows)).alias("w")).filter("w is not null").select(
-        key, F.col("w.ix").alias("ix"), F.col("w.text").alias("text")
+    """The window of each text that decides; ``score`` turns an array of texts into an array of scores.
+
+    Windows are an array of the row and ranked by higher-order functions, so a document never leaves its row.
+    Every row stays; a blank text is clean with score 0 and no window.
+    """
+    cut = df.select(key, F.coalesce(wn.window_text(text, windows), F.array().cast(wn.WINDOW_TYPE)).alias("w"))
+    return decide_windows(cut.withColumn("s", score(F.transform("w", lambda x: x["text"]))), key, policy, windows.evidence_chars)
+
+
+def decide_windows(df: DataFrame, key: str, policy: ScorePolicy = ScorePolicy(), evidence_chars: int = 240) -> DataFrame:
+    """The deciding window of rows with windows ``w`` and their scores ``s``: the first at the block cut-off, else the top one."""
+    rows = F.zip_with("w", "s", lambda w, s: F.struct(w["ix"].alias("ix"), F.coalesce(s, F.lit(0.0)).alias("score"), F.substring(w["text"], 1, evidence_chars).alias("window")))
+    ranked = df.select(key, rows.alias("r")).withColumn("b", F.filter("r", lambda x: x["score"] >= policy.block))
+    top = F.array_max(F.transform("r", lambda x: F.struct(x["score"].alias("score"), (-x["ix"]).alias("at"), x["window"].alias("window"))))
+    picked = ranked.select(key, F.size("r").alias("n"), F.try_element_at("b", F.lit(1)).alias("first"), top.alias("top"))
+    score = F.coalesce("first.score", "top.score", F.lit(0.0))
+    return picked.select(
+        key,
+        score.alias("score"),
+        F.coalesce("first.ix", -F.col("top.at")).alias("window_ix"),
+        F.coalesce("first.window", "top.window").alias("window"),
+        F.when(F.col("first").isNotNull(), F.col("first.ix") + 1).otherwise(F.col("n")).alias("windows"),
+        sc.text_action(score, policy).alias("action"),
+        sc.text_tier(score, policy).alias("tier"),
     )
-    scored = cut.withColumn("score", score("text"))
-    return max_window_score(scored, key, policy, windows.evidence_chars)
 
 
 def score_images(images: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
@@ -86,23 +130,26 @@ def train_classifier(
     for reg in regs:
         model = build_pipeline(reg, text=text, label=label).fit(train)
         row = confusion_metrics(predict(model, val), "score", label, 0.5, 0.9).withColumn("reg", F.lit(reg))
-        f1 = row.first()["f1"]
+        c = row.first()
+        f1 = 2 * c["tp"] / max(1, 2 * c["tp"] + c["fp"] + c["fn"])
         if f1 > best_f1:
             best, best_f1 = model, f1
         runs = row if runs is None else runs.unionByName(row)
     return best, runs
 
 
-def append_run(runs: DataFrame, path: str) -> None:
-    runs.write.mode("append").parquet(path)
-
+def score_documents(
+    model: PipelineModel, df: DataFrame, key: str, text: str, policy: ScorePolicy = ScorePolicy(), windows: WindowPolicy = WHOLE
+) -> DataFrame:
+    """A trained model over windows of each document; the whole text unless a window policy says otherwise.
 
-def score_documents(model: PipelineModel, df: DataFrame, key: str, text: str, policy: ScorePolicy = ScorePolicy()) -> DataFrame:
-    """A trained model over windows of each document."""
-    cut = df.select(key, F.explode_outer(wn.window_text(text)).alias("w")).filter("w is not null").select(
-        key, F.col("w.ix").alias("ix"), F.col("w.text").alias("text")
+    A JVM model scores rows, so windows are exploded; a document without one stays as clean, with score 0.
+    """
+    cut = df.select(key, F.explode_outer(wn.window_text(text, windows)).alias("w")).select(
+        key, F.col("w.ix").alias("ix"), F.coalesce("w.text", F.lit("")).alias("text")
     )
-    return max_window_score(predict(model, cut), key, policy)
+    scored = predict(model, cut).withColumn("score", F.when(F.col("ix").isNotNull(), F.col("score")))
+    return max_window_score(scored, key, policy)
 
 
 def image_decisions(df: DataFrame, nsfw_scores: str, violence_scores: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A lexicon is an input table ``(term, kind, lang, severity, tier)``. Small ones are compiled into
 literals and matched inside each row, with no shuffle and no join; a larger one is matched by
-equi-joins on tokens and on anchor grams.
+equi-joins on tokens and on anchor grams. Both ways give the same hits for terms of any length, and
+a null text has none.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from modwarden import fixed_values as fv
 from modwarden.functions import text as tx
+from modwarden.session import materialize
 
 LEXICON_SCHEMA = "term string, kind string, lang string, severity int, tier string"
 INLINE_LIMIT = 1000
+GRAM_LIMIT = 200_000
 HITS_TYPE = "array<struct<term:string,tier:string>>"
 
 
@@ -128,7 +131,7 @@ def match_inline(df: DataFrame, text: str, lex: CompiledLexicon) -> DataFrame:
     Each column is one self-contained expression with its inputs bound once, so a filter that
     Catalyst pushes through them repeats no more than one evaluation.
     """
-    hits = tx.let(tx.normalize_for_match(text), lambda n: inline_hits(n, lex))
+    hits = F.coalesce(tx.let(tx.normalize_for_match(text), lambda n: inline_hits(n, lex)), F.array().cast(HITS_TYPE))
     return df.withColumn("hits", hits).withColumn("lexicon_action", tx.let(F.col("hits"), hits_action))
 
 
@@ -164,11 +167,16 @@ def substring_matches(df: DataFrame, id_col: str, text: str, terms: DataFrame, q
     """``(id, <columns of terms>)`` for each term that the text column contains.
 
     Exact, with no pairwise comparison: a term can only occur where its first ``q`` characters do,
-    so texts and terms meet on that gram, as narrow rows of id and gram, and only the candidates
-    that come out are looked up in their texts. Every term must have at least ``q`` characters.
+    or all of a shorter term, so texts and terms meet on that anchor, as narrow rows of id and gram,
+    and only the candidates that come out are looked up in their texts. Grams that no term begins
+    with leave before the shuffle when the anchors, counted first, are few enough to be broadcast.
     """
-    anchored = terms.withColumn("_gram", F.substring("term", 1, q))
-    cut = df.select(id_col, F.explode_outer(grams(text, q)).alias("_gram"))
+    anchored = terms.filter("term != ''").withColumn("_gram", F.substring("term", 1, q))
+    anchors = materialize(anchored.groupBy("_gram").agg(F.max(F.length("term")).alias("_longest")), "anchors")
+    known = anchors.agg(F.count("*").alias("n"), F.collect_set(F.length("_gram")).alias("sizes")).first()
+    cut = df.select(id_col, F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *(grams(text, n) for n in known["sizes"])))).alias("_gram"))
+    if known["n"] <= GRAM_LIMIT:
+        cut = cut.join(F.broadcast(anchors.select("_gram")), "_gram", "left_semi")
     candidates = cut.join(anchored, "_gram").select(id_col, *terms.columns)
     texts = df.select(id_col, F.col(text).alias("_text"))
     found = texts.join(candidates, id_col).filter(F.contains(F.col("_text"), F.col("term")))

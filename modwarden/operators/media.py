@@ -19,14 +19,15 @@ def max_window_score(
     """Per unit the score that decides, the window it came from, and the action.
 
     The reported window is the first one at or above the block cut-off, else the highest one, the
-    first on ties. Both are conditional aggregates, combined before the shuffle.
+    first on ties. Both are conditional aggregates, combined before the shuffle. A row without ``ix``
+    stands for a unit without windows, which is clean with score 0.
     """
     s = F.col(score)
     row = F.struct(F.col(ix).alias("ix"), s.alias("score"), F.substring(text, 1, evidence_chars).alias("window"))
     out = windows.groupBy(key).agg(
         F.min_by(row, F.when(s >= policy.block, F.col(ix))).alias("first_block"),
         F.max_by(row, F.struct(s, -F.col(ix))).alias("top"),
-        F.count("*").cast("int").alias("n"),
+        F.count(ix).cast("int").alias("n"),
     )
     hit = F.coalesce("first_block", "top")
     return out.select(

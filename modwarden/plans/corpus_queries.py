@@ -11,7 +11,7 @@ from modwarden.operators import evaluate as ev
 from modwarden.plans import sql as q
 from modwarden.plans.registry import query
 from modwarden.plans.text_queries import documents
-from modwarden.sources.readers import read_table, spread
+from modwarden.sources.readers import read_table
 
 HARD_TERMS = ("scum", "idiot", "trash", "disgusting", "edonble", "auxment")
 
@@ -20,7 +20,7 @@ def labelled(spark, d):
     """Documents with a gold label."""
     docs = read_table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     labels = read_table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return spread(docs.join(labels, "doc_id"))
+    return docs.join(labels, "doc_id")
 
 
 LABELLED = "labelled AS (SELECT d.doc_id, d.text, d.lang, d.source, l.toxic AS label FROM documents d JOIN labels l USING (doc_id))"

@@ -11,13 +11,13 @@ from modwarden.operators import pages as pg
 from modwarden.plans import sql as q
 from modwarden.plans.registry import query
 from modwarden.profiles import PartPolicy
-from modwarden.sources.readers import read_pages, spread
+from modwarden.sources.readers import read_pages
 
 WHOLE = PartPolicy.whole()
 
 
 def pages(spark, d):
-    return spread(read_pages(spark, f"{d.rstrip('/')}/pages.parquet"))
+    return read_pages(spark, f"{d.rstrip('/')}/pages.parquet")
 
 
 def parts(spark, d, policy=WHOLE):

@@ -14,7 +14,7 @@ from modwarden.operators import store as st
 from modwarden.plans import sql as q
 from modwarden.plans.registry import query
 from modwarden.plans.text_queries import plausibility_sql
-from modwarden.sources.readers import read_table, spread
+from modwarden.sources.readers import read_table
 
 
 def micros(ts: str = "ts"):
@@ -415,7 +415,7 @@ def _(spark, d):
     SELECT conv_id, CASE WHEN s IS NOT NULL AND conf >= 25 THEN turn END AS pass_ix, round(CASE WHEN s IS NOT NULL AND conf >= 25 THEN s END, 6) AS score FROM r WHERE rn = 1""",
 )
 def _(spark, d):
-    turns = spread(read_table(spark, d, "conversations").select("conv_id", "turn", "text"))
+    turns = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
     passes = turns.withColumn("conf", sc.proxy_score("text") * 100)
     return md.best_ocr_candidate(passes, "conv_id", "turn", "text", "conf").select(
         "conv_id", "pass_ix", F.round("score", 6).alias("score")

@@ -14,9 +14,10 @@ from modwarden.operators import lexicon as lx
 from modwarden.operators import store as st
 from modwarden.plans import sql as q
 from modwarden.plans.corpus_queries import LABELLED, _SPLIT, _SWEEP, labelled, scored, split_rows
-from modwarden.plans.registry import query
+from modwarden.plans.registry import ORACLES, query
 from modwarden.plans.store_queries import _LWW, shape_events, verdict_log
-from modwarden.plans.text_queries import documents, lexicon
+from modwarden.plans.text_queries import documents, lexicon, short_terms
+from modwarden.profiles import MediaPolicy
 from modwarden.session import materialize, shared_dir
 from modwarden.sources import readers as rd
 from modwarden.sources import sinks as sk
@@ -36,10 +37,28 @@ def verdict_stream(spark, d):
 @query("stream_lexicon_verdicts", f"{q.VERDICTS} SELECT doc_id, hits, lexicon_action FROM lex_verdicts")
 def _(spark, d):
     units = stream_of(spark, d, "documents").select("doc_id", "text")
-    out = sj.stream_lexicon_verdicts(units, "text", lx.compile_lexicon(lexicon(spark)))
-    return sj.run_to_table(
-        out.select("doc_id", F.size("hits").cast("long").alias("hits"), "lexicon_action"), "stream-lexicon"
-    )
+    return sj.stream_lexicon_verdicts(units, "doc_id", "text", lexicon(spark), _LEXICON_OUT, "stream-lexicon")
+
+
+_LEXICON_OUT = ("doc_id", "CAST(size(hits) AS BIGINT) AS hits", "lexicon_action")
+
+
+def cut_stream(spark, d, name, parts, order):
+    """A table as a stream of ``parts`` files, dealt out by hash, so that no file follows the order of the rows."""
+    path = shared_dir(spark, f"cut-{name}")
+    rows = rd.read_table(spark, d, name).withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
+    rows.repartition(parts, "_part").write.partitionBy("_part").parquet(path)
+    schema = spark.read.parquet(path).drop("_part").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
+@query("stream_lexicon_verdicts_large", ORACLES["lexicon_verdict_by_join"])
+def _(spark, d):
+    """More terms than a literal holds: every word of the pages' addresses is a mild term, which never matches."""
+    mild = rd.read_table(spark, d, "pages").select(F.explode(F.split(F.lower("url"), "[^a-z0-9]+")).alias("term")).distinct()
+    terms = short_terms(spark).unionByName(mild.select("term", F.lit("token").alias("kind"), F.lit("demo").alias("lang"), F.lit(1).alias("severity"), F.lit("mild").alias("tier")))
+    units = cut_stream(spark, d, "documents", 4, "doc_id").select("doc_id", "text")
+    return sj.stream_lexicon_verdicts(units, "doc_id", "text", terms, _LEXICON_OUT, "stream-lexicon", limit=10)
 
 
 @query("stream_dedupe", f"WITH {q.EV} SELECT DISTINCT key, image_key FROM ev")
@@ -92,26 +111,31 @@ def _(spark, d):
 _WAIT = 6 * 3600 * 1000
 
 
-@query(
-    "stream_late_media",
+_LATE = (
     f"""WITH {q.EV}, m AS (SELECT key AS unit_key, ts_us // 1000 AS ts_ms, CASE WHEN event_type IN ('view', 'click') THEN 'text' ELSE 'media' END AS kind FROM ev),
     t AS (SELECT *, count(*) FILTER (kind = 'text') OVER (PARTITION BY unit_key ORDER BY ts_ms) AS g FROM m),
     x AS (SELECT unit_key, g, min(ts_ms) AS t0, lead(min(ts_ms)) OVER (PARTITION BY unit_key ORDER BY g) AS next_text FROM t WHERE kind = 'text' GROUP BY unit_key, g),
     f AS (SELECT x.*, (SELECT min(ts_ms) FROM t WHERE t.unit_key = x.unit_key AND t.g = x.g AND t.kind = 'media') AS first_media, (SELECT max(ts_ms) FROM m) AS wm FROM x),
     pub AS (SELECT unit_key, t0 + {_WAIT} AS at_ms, 'published-without-media' AS outcome FROM f WHERE coalesce(first_media, t0 + {_WAIT} + 1) > t0 + {_WAIT} AND (first_media IS NOT NULL OR next_text > t0 + {_WAIT} OR (next_text IS NULL AND wm > t0 + {_WAIT}))),
     med AS (SELECT t.unit_key, t.ts_ms AS at_ms, CASE WHEN t.ts_ms = f.first_media AND t.ts_ms <= t0 + {_WAIT} THEN 'published-with-media' ELSE 'late-upgrade' END AS outcome FROM t JOIN f USING (unit_key, g) WHERE t.kind = 'media')
-    SELECT * FROM pub UNION ALL SELECT * FROM med""",
+    SELECT * FROM pub UNION ALL SELECT * FROM med"""
 )
-def _(spark, d):
-    from modwarden.profiles import MediaPolicy
 
-    e = verdict_stream(spark, d)
+
+def late_media(e):
     kind = F.when(F.col("event_type").isin("view", "click"), "text").otherwise("media")
-    media = e.select(
-        F.col("key").alias("unit_key"), F.floor(F.col("ts_us") / 1000).alias("ts_ms"), kind.alias("kind"),
-        F.timestamp_micros("ts_us").alias("at"),
-    )
-    return sj.run_to_table(sj.stream_late_media(media, "at", MediaPolicy(ocr_wait_ms=_WAIT)), "stream-late")
+    media = e.select(F.col("key").alias("unit_key"), F.floor(F.col("ts_us") / 1000).alias("ts_ms"), kind.alias("kind"))
+    return sj.settled_media(sj.run_to_table(sj.stream_late_media(media, MediaPolicy(ocr_wait_ms=_WAIT)), "stream-late", "update"))
+
+
+@query("stream_late_media", _LATE)
+def _(spark, d):
+    return late_media(verdict_stream(spark, d))
+
+
+@query("stream_late_media_many_batches", _LATE)
+def _(spark, d):
+    return late_media(shape_events(cut_stream(spark, d, "events", 8, "event_id")))
 
 
 @query("stream_upsert", f"WITH {_LWW} SELECT key, seq, action FROM cur")

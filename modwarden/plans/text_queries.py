@@ -16,11 +16,11 @@ from modwarden.operators import media as md
 from modwarden.plans import sql as q
 from modwarden.plans.registry import query
 from modwarden.profiles import DEFAULT_PROFILES, WindowPolicy
-from modwarden.sources.readers import read_table, spread
+from modwarden.sources.readers import read_table
 
 
 def documents(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return spread(read_table(spark, d, "documents").select(*(cols or ("doc_id", "text"))))
+    return read_table(spark, d, "documents").select(*(cols or ("doc_id", "text")))
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
@@ -122,7 +122,7 @@ _CONF = f", {q.proxy('text')} * 100 AS conf"
     "SELECT conv_id, turn, round(CASE WHEN p > 0 THEN p * (0.4::DOUBLE + 0.6::DOUBLE * greatest(0, least(1, conf / 100))) END, 6) AS score FROM plaus",
 )
 def _(spark, d):
-    turns = spread(read_table(spark, d, "conversations").select("conv_id", "turn", "text"))
+    turns = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
     conf = sc.proxy_score("text") * 100
     return turns.select("conv_id", "turn", F.round(tx.ocr_candidate_score("text", conf), 6).alias("score"))
 
@@ -187,7 +187,14 @@ def max_window_sql(block: float, flag: float) -> str:
     "CAST(windows AS BIGINT) AS windows, action, md5(window_text) AS window_md5 FROM model",
 )
 def _(spark, d):
-    out = ml.score_windows(documents(spark, d), "doc_id", "text", sc.proxy_score)
+    return _decided(ml.score_windows(documents(spark, d), "doc_id", "text", _proxy_scores, WindowPolicy()))
+
+
+def _proxy_scores(texts):
+    return F.transform(texts, sc.proxy_score)
+
+
+def _decided(out):
     return out.select(
         "doc_id", F.round("score", 6).alias("score"), F.col("window_ix").cast("long").alias("window_ix"),
         F.col("windows").cast("long").alias("windows"), "action", F.md5("window").alias("window_md5"),
@@ -215,8 +222,8 @@ def _(spark, d):
     f"{q.HITS} SELECT term, tier, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM token_hits GROUP BY term, tier",
 )
 def _(spark, d):
-    lex = lx.compile_lexicon(lexicon(spark).filter("kind = 'token'"))
-    hits = lx.match_inline(documents(spark, d), "text", lex).select("doc_id", F.explode_outer("hits").alias("h"))
+    tokens = lexicon(spark).filter("kind = 'token'")
+    hits = lx.lexicon_verdicts(documents(spark, d), "doc_id", "text", tokens).select("doc_id", F.explode_outer("hits").alias("h"))
     return hits.filter("h is not null").groupBy(F.col("h.term").alias("term"), F.col("h.tier").alias("tier")).agg(
         F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs")
     )
@@ -233,8 +240,8 @@ def _(spark, d):
 
 @query("lexicon_phrase_match", f"{q.HITS} SELECT doc_id, term, tier FROM phrase_hits")
 def _(spark, d):
-    lex = lx.compile_lexicon(lexicon(spark).filter("kind = 'phrase'"))
-    return lx.match_inline(documents(spark, d), "text", lex).select("doc_id", F.inline_outer("hits")).filter("term is not null")
+    phrases = lexicon(spark).filter("kind = 'phrase'")
+    return lx.lexicon_verdicts(documents(spark, d), "doc_id", "text", phrases).select("doc_id", F.inline_outer("hits")).filter("term is not null")
 
 
 @query("lexicon_phrase_match_by_join", f"{q.HITS} SELECT doc_id, term, tier FROM phrase_hits")
@@ -242,6 +249,24 @@ def _(spark, d):
     return lx.phrase_hit_rows(documents(spark, d), "doc_id", "text", lexicon(spark))
 
 
+_SHORT_TERMS = "('nd', 'phrase', 'demo', 5, 'block'), ('q', 'phrase', 'demo', 3, 'flag'), ('z', 'token', 'demo', 3, 'flag')"
+
+
+def short_terms(spark):
+    """The lexicon with phrases and a token of one and two characters."""
+    rows = [("nd", "phrase", "demo", 5, "block"), ("q", "phrase", "demo", 3, "flag"), ("z", "token", "demo", 3, "flag")]
+    return lexicon(spark).unionByName(spark.createDataFrame(rows, lx.LEXICON_SCHEMA))
+
+
+@query(
+    "lexicon_verdict_by_join",
+    q.VERDICTS.replace(q.LEXICON_VALUES, f"{q.LEXICON_VALUES}, {_SHORT_TERMS}", 1) + " SELECT doc_id, hits, lexicon_action FROM lex_verdicts",
+)
+def _(spark, d):
+    out = lx.lexicon_verdicts(documents(spark, d), "doc_id", "text", short_terms(spark), limit=0)
+    return out.select("doc_id", F.size("hits").cast("long").alias("hits"), "lexicon_action")
+
+
 @query("lexicon_verdict", f"{q.VERDICTS} SELECT doc_id, hits, lexicon_action FROM lex_verdicts")
 def _(spark, d):
     out = lx.lexicon_verdicts(documents(spark, d), "doc_id", "text", lexicon(spark))
@@ -332,6 +357,21 @@ def lexicon_stats(spark, d):
 
 
 # The same verdicts over conversation turns.
+# Whole texts, every third of them blank: those are clean, with score 0.
+_BLANKED = "FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END AS text FROM documents)"
+
+
+@query(
+    "max_window_score_whole",
+    f"""WITH RECURSIVE {_WALK_ALL.replace('FROM documents', _BLANKED)}, {max_window_sql(0.9, 0.5)}
+    SELECT d.doc_id, round(coalesce(score, 0), 6) AS score, CAST(window_ix AS BIGINT) AS window_ix, CAST(coalesce(windows, 0) AS BIGINT) AS windows,
+      coalesce(action, 'clean') AS action, md5(window_text) AS window_md5 FROM documents d LEFT JOIN model USING (doc_id)""",
+)
+def _(spark, d):
+    blanked = documents(spark, d).withColumn("text", F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text")))
+    return _decided(ml.score_windows(blanked, "doc_id", "text", _proxy_scores))
+
+
 _TURNS = q.VERDICTS.replace(
     "WITH ", "WITH conv AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations), ", 1
 ).replace("FROM documents", "FROM conv")
@@ -344,7 +384,8 @@ _TURNS = q.VERDICTS.replace(
     SELECT conv_id, turn, CASE src WHEN 'lexicon-ocr' THEN lex WHEN 'ocr-text' THEN model ELSE 'clean' END AS ocr_action, src AS ocr_source FROM pick""",
 )
 def _(spark, d):
-    turns = spread(read_table(spark, d, "conversations").select("conv_id", "turn", "text"))
-    lex = lx.match_inline(turns, "text", lx.compile_lexicon(lexicon(spark))).withColumn("s", sc.proxy_score("text"))
+    turns = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
+    keyed = turns.withColumn("turn_id", F.struct("conv_id", "turn"))
+    lex = lx.lexicon_verdicts(keyed, "turn_id", "text", lexicon(spark)).withColumn("s", sc.proxy_score("text"))
     out = md.ocr_text_verdict(lex, "lexicon_action", "s", "text")
     return out.select("conv_id", "turn", "ocr_action", "ocr_source")

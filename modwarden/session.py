@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,15 +34,23 @@ def build_session(master: str | None = None, cores: int = 8, app: str = "modward
     )
 
 
+@lru_cache(maxsize=1)
+def _laptop_dir() -> str:
+    return tempfile.mkdtemp(prefix="modwarden-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's checkpoint folder.
 
-    Only where that setting is missing (tests, a laptop) is a local folder made.
+    Without that setting a job on a cluster fails here, before it writes where other executors cannot read.
+    In local mode driver and executors are one process, so a temporary folder serves tests and laptops.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="modwarden-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _laptop_dir()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -55,6 +64,7 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that :func:`shared_dir` named, once nothing reads it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -12,28 +12,29 @@ from modwarden.functions import text as tx
 from modwarden.operators.lexicon import severity_tier
 from modwarden.profiles import OcrPolicy
 
-SMALL_INPUT = 256 * 1024 * 1024
+
+INPUT_PARTITIONS = "spark.modwarden.inputPartitions"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table of the folder. Small benchmark files hold one row group, which is one task; a bench may set
+    ``spark.modwarden.inputPartitions`` to share them out. It is unset everywhere else, whatever the size."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
-def spread(df: DataFrame, limit: int = SMALL_INPUT) -> DataFrame:
-    """Shares out a small input that sits in fewer row groups than there are cores.
+def read_labelled_csv(
+    spark: SparkSession, paths: str | Sequence[str], schema: str = "text string, label int, lang string", multi_line: bool = True
+) -> DataFrame:
+    """Header CSV splits; rows without text or label are dropped.
 
-    The estimate comes from the plan's own statistics, so nothing runs; a large input already has
-    enough splits and is returned as it is, with no shuffle.
+    Texts may hold line breaks, and then a file is one task: keep files at split size, or pass
+    ``multi_line=False`` for files whose texts have none, which Spark splits.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
-
-
-def read_labelled_csv(spark: SparkSession, paths: str | Sequence[str], schema: str = "text string, label int, lang string") -> DataFrame:
-    """Header CSV splits; rows without text or label are dropped."""
     names = [f.split()[0] for f in schema.split(",")]
     df = spark.read.csv(
-        paths, header=True, schema=schema, multiLine=True, quote='"', escape='"', enforceSchema=False
+        paths, header=True, schema=schema, multiLine=multi_line, quote='"', escape='"', enforceSchema=False
     )
     return df.na.drop(subset=[n for n in ("text", "label", "labels") if n in names])
 

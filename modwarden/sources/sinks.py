@@ -25,34 +25,63 @@ class VerdictStore:
     """Keyed verdict table: an append-only log of writes, read as its newest row per key.
 
     A write costs what it brings and no more. Each batch is one folder, overwritten when the batch
-    is replayed, so a lost executor or a restarted job leaves the same state. :meth:`compact` folds
-    the log into the next generation, which counts only once it is written whole; run it between
-    writers.
+    is replayed, so a lost executor or a restarted job leaves the same state. Batch names hold the
+    name of their writer, and a plain number is refused, so two jobs never share one. :meth:`compact`
+    folds what it has listed into a base of its own; batches that are written meanwhile stay in the
+    log, and a compaction that breaks off counts for nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "key", order: Sequence[str] = ("ts", "seq")):
         self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, list(order)
 
-    def _generation(self) -> int:
-        jvm = self.spark._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/gen=*/batch=base/_SUCCESS")
-        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
-        return max((int(str(s.getPath()).split("/gen=")[1].split("/")[0]) for s in found or []), default=0)
-
-    def upsert(self, rows: DataFrame, batch: int | str | None = None) -> None:
-        name = uuid.uuid4().hex if batch is None else batch
-        rows.write.mode("overwrite").parquet(f"{self.path}/gen={self._generation()}/batch={name}")
+    def _fs(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def _done(self) -> list[str]:
+        """Names of the batches and bases that are written whole."""
+        fs, pattern = self._fs(f"{self.path}/batch=*/_SUCCESS")
+        return sorted(str(s.getPath().getParent().getName()).removeprefix("batch=") for s in fs.globStatus(pattern) or [])
+
+    def writer(self, checkpoint: str) -> str:
+        """The name that a stream with this checkpoint keeps for its batches: made once, stored beside it."""
+        fs, folder = self._fs(f"{checkpoint}/writer")
+        found = fs.listStatus(folder) if fs.exists(folder) else []
+        if not found:
+            name = uuid.uuid4().hex
+            fs.create(self._fs(f"{checkpoint}/writer/{name}")[1]).close()
+            return name
+        return found[0].getPath().getName()
+
+    def upsert(self, rows: DataFrame, batch: str | None = None) -> None:
+        """Adds rows as one batch; a name given again replaces the rows it brought before."""
+        if isinstance(batch, int) or (batch is not None and (batch.isdecimal() or batch.startswith("base"))):
+            raise ValueError("name a batch by its writer and number, as two writers count alike")
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch or uuid.uuid4().hex}")
+
+    def _live(self) -> list[str]:
+        """Batches that count: those that no whole base has folded in, and the bases that no other base has."""
+        done, folded = self._done(), set()
+        for name in done:
+            if name.startswith("base-"):
+                # What a base holds is listed beside its rows.
+                folded |= {r[0] for r in self.spark.read.text(f"{self.path}/_folded/{name}").collect()}
+        return [n for n in done if n not in folded]
 
     def log(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/gen={self._generation()}").parquet(
-            f"{self.path}/gen={self._generation()}"
-        ).drop("batch")
+        names = self._live()
+        return self.spark.read.parquet(*(f"{self.path}/batch={n}" for n in names))
 
     def read(self) -> DataFrame:
         return last_write_wins(self.log(), self.key, self.order)
 
     def compact(self) -> None:
-        self.read().write.mode("overwrite").parquet(f"{self.path}/gen={self._generation() + 1}/batch=base")
+        """Folds the batches that are there into one. A batch replayed later keeps its place: the newest row of a key wins."""
+        names, base = self._live(), f"base-{uuid.uuid4().hex}"
+        rows = last_write_wins(self.spark.read.parquet(*(f"{self.path}/batch={n}" for n in names)), self.key, self.order)
+        # The list first: a base counts once it is whole, and then its list is there.
+        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.text(f"{self.path}/_folded/{base}")
+        rows.write.parquet(f"{self.path}/batch={base}")
 
 
 def append_feedback(df: DataFrame, path: str) -> None:
