@@ -170,10 +170,9 @@ class Vocabulary:
     def encode_units(self, units: list[str]) -> list[list[int]]:
         """Ids of each unit, held against the library's ids and text of the same unit."""
         got = [self.to_ids(s) for s in self.merge_all(units)]
-        # The library puts a space sign before its input; units without one are checked with theirs taken back.
-        asked = [u[1:] if u[:1] == SPACE else u for u in units]
-        led = [i for i, u in enumerate(units) if u[:1] == SPACE]
-        for i, ids in zip(led, self.library.encode([asked[i] for i in led], num_threads=1), strict=True):
+        # The library puts a space sign before its input, but not before an empty one: a lone sign is one piece.
+        led = [i for i, u in enumerate(units) if len(u) > 1]
+        for i, ids in zip(led, self.library.encode([units[i][1:] for i in led], num_threads=1) if led else [], strict=True):
             if ids != got[i]:
                 raise ValueError(f"unit {units[i]!r}: {got[i]} differs from the library's {ids}")
         for ids, text in zip((got[i] for i in led), self.library.decode([got[i] for i in led]) if led else [], strict=True):
