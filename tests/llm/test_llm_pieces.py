@@ -34,7 +34,7 @@ def test_every_text_equals_the_library(library):
 def test_both_agendas_agree():
     v = pieces.vocabulary(PATH)
     units = [u for t in texts() for u in pieces.units_of(t)]
-    assert v.merge_all(units) == [v.heap_merge(u) for u in units]
+    assert v.merge_all(units) == [v.to_ids(v.heap_merge(u)) for u in units]
 
 
 def test_a_small_memory_changes_nothing():
@@ -45,9 +45,13 @@ def test_a_small_memory_changes_nothing():
 
 def test_a_difference_raises(monkeypatch):
     v = pieces.Vocabulary(PATH)
-    monkeypatch.setattr(v, "to_ids", lambda s: [5])
+    monkeypatch.setattr(v, "merge_all", lambda units: [[5] for _ in units])
     with pytest.raises(ValueError, match="differs"):
         v.encode_units(["▁hello"])
+    monkeypatch.undo()
+    monkeypatch.setattr(v, "to_text", lambda ids: "▁jello")
+    with pytest.raises(ValueError, match="another text"):
+        v.encode_units(["▁hello"])
 
 
 def test_rows(spark, library):
