@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import numpy as np
@@ -95,9 +96,10 @@ def image_urls(html: Column | str) -> Column:
 NODE_SCHEMA = (
     "page_id long, node int, parent int, path array<int>, tag string, attrs map<string,string>, "
     "start int, end int, text_len int, children int, child_ix int, visit int, chrome boolean, has_img boolean, "
-    "page_text string"
+    "part_text string, page_text string"
 )
-KEPT_ATTRS = ("class", "id", "role", "data-testid", "data-test-id", "aria-label", "data-pagelet", "source")
+KEPT_ATTRS = ("class", "id", "role", "data-testid", "data-test-id", "aria-label", "data-pagelet", "source", "src")
+NODES_AT_ONCE = 20_000
 # Start tags that end an open paragraph, and the elements a paragraph is looked for through.
 ENDS_PARAGRAPH = frozenset((
     "p", "div", "ul", "ol", "dl", "table", "section", "article", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5",
@@ -118,12 +120,18 @@ CLOSED_BY = {
 }
 
 
+_FURNITURE = re.compile(rf"(?:^|[\s_\-])(?:{'|'.join(fv.FURNITURE_WORDS)})(?:[\s_\-]|$)", re.IGNORECASE)
+_CHROME_TAGS, _CHROME_ROLES = frozenset(fv.CHROME_TAGS), frozenset(fv.CHROME_ROLES)
+_BLOCKS, _FALLBACKS = frozenset(fv.BLOCK_TAGS), frozenset(fv.FALLBACK_TAGS)
+
+
 class _Tree(HTMLParser):
-    """Elements with their place in the tree and their span in the page's text."""
+    """Elements with their place in the tree and their span in the page's text, as one list per property."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
+        self.tag, self.attrs, self.parent, self.path, self.start, self.end = [], [], [], [], [], []
+        self.kids, self.child_ix, self.img, self.chrome, self.own = [], [], [], [], []
         self.open: list[int] = []
         self.text: list[str] = []
         self.size = 0
@@ -131,32 +139,48 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_PARAGRAPH:
             self._close_paragraph()
-        while self.open and tag in CLOSED_BY.get(self.nodes[self.open[-1]]["tag"], ()):
+        while self.open and tag in CLOSED_BY.get(self.tag[self.open[-1]], ()):
             self._close()
         parent = self.open[-1] if self.open else -1
-        node = {
-            "tag": tag, "attrs": {k: v or "" for k, v in attrs if k in KEPT_ATTRS}, "parent": parent,
-            "path": list(self.open), "start": self.size, "end": self.size, "kids": [], "img": tag == "img",
-        }
+        kept = {k: v or "" for k, v in attrs if k in KEPT_ATTRS}
+        self.tag.append(tag)
+        self.attrs.append(kept)
+        self.parent.append(parent)
+        self.path.append(tuple(self.open))
+        self.start.append(self.size)
+        self.end.append(self.size)
+        self.img.append(tag == "img")
+        self.own.append(None)
+        self.child_ix.append(len(self.kids[parent]) if parent >= 0 else 0)
+        self.chrome.append(
+            (parent >= 0 and self.chrome[parent]) or tag in _CHROME_TAGS or kept.get("role") in _CHROME_ROLES
+            or any(_FURNITURE.search(kept[k]) for k in ("id", "class") if k in kept)
+        )
+        self.kids.append([])
+        node = len(self.tag) - 1
         if parent >= 0:
-            self.nodes[parent]["kids"].append(len(self.nodes))
-        self.nodes.append(node)
+            self.kids[parent].append(node)
+            if tag == "img":
+                self.img[parent] = True
         if tag not in VOID_TAGS:
-            self.open.append(len(self.nodes) - 1)
+            self.open.append(node)
 
     def handle_endtag(self, tag):
-        if any(self.nodes[i]["tag"] == tag for i in self.open):
-            while self.nodes[self.open[-1]]["tag"] != tag:
+        if any(self.tag[i] == tag for i in self.open):
+            while self.tag[self.open[-1]] != tag:
                 self._close()
             self._close()
 
     def handle_data(self, data):
         self.text.append(data)
         self.size += len(data)
+        if self.open and (self.tag[self.open[-1]] in _BLOCKS or self.tag[self.open[-1]] in _FALLBACKS):
+            # Only the text that stands directly in an element counts as its own.
+            self.own[self.open[-1]] = (self.own[self.open[-1]] or []) + [data]
 
     def _close_paragraph(self):
         for depth in range(len(self.open) - 1, -1, -1):
-            name = self.nodes[self.open[depth]]["tag"]
+            name = self.tag[self.open[depth]]
             if name == "p":
                 while len(self.open) > depth:
                     self._close()
@@ -165,54 +189,72 @@ class _Tree(HTMLParser):
                 return
 
     def _close(self):
-        self.nodes[self.open.pop()]["end"] = self.size
+        self.end[self.open.pop()] = self.size
 
     def finish(self):
         self.close()
         while self.open:
             self._close()
 
+    def visits(self) -> list[int]:
+        """Place of each element when the last child is visited first."""
+        order, stack = [-1] * len(self.tag), [0] if self.tag else []
+        n = 0
+        while stack:
+            i = stack.pop()
+            order[i] = n
+            n += 1
+            stack.extend(self.kids[i])
+        return [v if v >= 0 else len(order) + i for i, v in enumerate(order)]
+
 
-def page_nodes(html: str) -> tuple[list[dict], str]:
+def page_tree(html: str) -> tuple[_Tree, str]:
     tree = _Tree()
     tree.feed(html or "")
     tree.finish()
-    return tree.nodes, "".join(tree.text)
+    return tree, "".join(tree.text)
 
 
-def _squeezed_lengths(text: str, spans: list[tuple[int, int]]) -> list[int]:
+def _squeezed_lengths(text: str, starts: list[int], ends: list[int]) -> list[int]:
     """Length of each span once its whitespace runs are single and its ends are trimmed."""
-    solid = np.array([not c.isspace() for c in text], dtype=np.int64)
-    starts = solid.copy()
-    starts[1:] &= 1 - solid[:-1]
-    chars, words = np.concatenate(([0], solid.cumsum())), np.concatenate(([0], starts.cumsum()))
-    out = []
-    for a, b in spans:
-        n = int(chars[b] - chars[a])
-        w = int(words[b] - words[a]) + int(b > a and solid[a] == 1 and starts[a] == 0)
-        out.append(n + max(0, w - 1))
-    return out
-
-
-def node_frames(batches):
-    """Node table of each page; the text of a page is carried once, on its first node."""
+    points, inverse = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    solid = np.array([not chr(c).isspace() for c in points.tolist()], bool)[inverse] if len(points) else np.zeros(0, bool)
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    chars, words = np.append(0, np.cumsum(solid)), np.append(0, np.cumsum(first))
+    a, b = np.array(starts, np.int64), np.array(ends, np.int64)
+    at = np.minimum(a, max(len(text) - 1, 0))
+    inside = (b > a) & (solid[at] & ~first[at] if len(text) else False)
+    return (chars[b] - chars[a] + np.maximum(0, words[b] - words[a] + inside - 1)).tolist()
+
+
+def _part_text(tree: _Tree, i: int, text: str, least: int) -> str | None:
+    """Text of an element as a part: what stands directly in it, or all of it when that is short."""
+    if tree.tag[i] not in _BLOCKS and tree.tag[i] not in _FALLBACKS:
+        return None
+    own = " ".join("".join(tree.own[i] or ()).split())
+    if len(own) >= least:
+        return own
+    whole = " ".join(text[tree.start[i] : tree.end[i]].split()) if tree.tag[i] in _BLOCKS else ""
+    return max(own, whole, key=len)
+
+
+def node_frames(batches, least: int = PartPolicy().min_chars):
+    """Node table of each page, in bounded pieces; the text of a page is carried once, on its first node."""
+    names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
     for pdf in batches:
         rows = []
         for page_id, html in zip(pdf["page_id"], pdf["html"]):
-            nodes, text = page_nodes(html)
-            lengths = _squeezed_lengths(text, [(n["start"], n["end"]) for n in nodes])
-            order, stack = {}, [0] if nodes else []
-            while stack:
-                i = stack.pop()
-                order[i] = len(order)
-                stack.extend(nodes[i]["kids"])
-            for n in reversed(nodes):
-                if n["img"] and n["parent"] >= 0:
-                    nodes[n["parent"]]["img"] = True
-            for i, n in enumerate(nodes):
+            tree, text = page_tree(html)
+            lengths, visits = _squeezed_lengths(text, tree.start, tree.end), tree.visits()
+            for i in range(len(tree.tag)):
                 rows.append((
-                    page_id, i, n["parent"], n["path"], n["tag"], n["attrs"], n["start"], n["end"], lengths[i],
-                    len(n["kids"]), nodes[n["parent"]]["kids"].index(i) if n["parent"] >= 0 else 0,
-                    order.get(i, len(nodes) + i), False, n["img"], text if i == 0 else None,
+                    page_id, i, tree.parent[i], tree.path[i], tree.tag[i], tree.attrs[i], tree.start[i], tree.end[i], lengths[i],
+                    len(tree.kids[i]), tree.child_ix[i], visits[i], tree.chrome[i], tree.img[i], _part_text(tree, i, text, least),
+                    text if i == 0 else None,
                 ))
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in NODE_SCHEMA.split(", ")])
+                if len(rows) >= NODES_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from modwarden import fixed_values as fv
 from modwarden.functions.text import _col
+from modwarden.profiles import SITE_RULES, SiteRule
 
 
 def url_host(url: Column | str) -> Column:
@@ -57,16 +60,13 @@ def is_core_host(host: Column | str) -> Column:
     return h.rlike(fv.CORE_HOST_PATTERN) | h.isin("x.com", "reddit.com", "youtube.com", "instagram.com")
 
 
-def site_stable_id(site: Column | str, url: Column | str) -> Column:
-    """Immutable id of a post as its URL shows it, per site; empty when there is none."""
+def site_stable_id(site: Column | str, url: Column | str, rules: Sequence[SiteRule] = SITE_RULES) -> Column:
+    """Immutable id of a post as its URL shows it, by the rule of its site; empty when there is none."""
     site, url = _col(site), _col(url)
-    return (
-        F.when(site == "twitter", F.regexp_extract(url, r"status/(\d+)", 1))
-        .when(site == "instagram", F.regexp_extract(url, r"/(?:p|reel)/[^/?#]+", 0))
-        .when(site == "youtube", F.regexp_extract(url, r"[?&]v=([\w-]+)", 1))
-        .when(site == "reddit", F.regexp_extract(url, r"^(?:[a-z]+://[^/]+)?(/[^?#]*comments/[^?#]+)", 1))
-        .otherwise("")
-    )
+    out = F.lit("")
+    for rule in rules:
+        out = F.when(site == rule.site, F.regexp_extract(url, rule.id_pattern, rule.id_group)).otherwise(out)
+    return out
 
 
 def generic_stable_id(href: Column | str) -> Column:
@@ -79,7 +79,7 @@ def generic_stable_id(href: Column | str) -> Column:
 def content_key(prefix: Column | str, stable_id: Column, text: Column, image_urls: Column | None = None) -> Column:
     """Identity from content: independent of where the unit stands on its page."""
     prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
-    urls = F.lit("") if image_urls is None else F.substring(F.array_join(image_urls, ","), 1, 200)
+    urls = F.lit("") if image_urls is None else F.array_join(image_urls, ",")
     text = F.coalesce(text, F.lit(""))
     return F.sha2(
         F.concat_ws(":", prefix, F.coalesce(stable_id, F.lit("")), text, urls, F.length(text).cast("string")), 256
@@ -95,9 +95,10 @@ def source_key(url: Column | str, data: Column | str) -> Column:
     )
 
 
-def media_fingerprint(source_keys: Column | str, cap: int = 3) -> Column:
-    """Identity of an image set: the first keys, in any order."""
-    return F.sha2(F.to_json(F.array_sort(F.slice(_col(source_keys), 1, cap))), 256)
+def media_fingerprint(source_keys: Column | str, cap: int | None = None) -> Column:
+    """Identity of an image set, in any order; ``cap`` looks at the first keys only, as the product does."""
+    keys = _col(source_keys)
+    return F.sha2(F.to_json(F.array_sort(F.slice(keys, 1, cap) if cap else keys)), 256)
 
 
 def filter_image_urls(urls: Column | str, cap: int | None = 3) -> Column:

@@ -16,19 +16,19 @@ from modwarden.profiles import SITE_RULES, GroupPolicy, PartPolicy, SiteRule, Un
 from modwarden.session import materialize
 
 
-def part_rows(pages: DataFrame, policy: PartPolicy = PartPolicy(), key: str = "page_id", html: str = "html") -> DataFrame:
+def part_rows(pages: DataFrame, policy: PartPolicy = PartPolicy.whole(), key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per text part of a page."""
     parts = pages.select(key, F.explode_outer(hm.extract_parts(html, policy)).alias("p")).filter("p is not null")
     return parts.select(key, F.col("p.ix").alias("ix"), F.col("p.tag").alias("tag"), F.col("p.text").alias("text"))
 
 
-def join_parts(parts: Column, max_chars: int | None = 12000) -> Column:
+def join_parts(parts: Column, max_chars: int | None = None) -> Column:
     """Parts of one row in order, joined by newlines."""
     joined = F.array_join(F.transform(parts, lambda p: p["text"]), "\n")
     return F.substring(joined, 1, max_chars) if max_chars else joined
 
 
-def join_part_rows(parts: DataFrame, key: str, ix: str = "ix", text: str = "text", max_chars: int | None = 12000) -> DataFrame:
+def join_part_rows(parts: DataFrame, key: str, ix: str = "ix", text: str = "text", max_chars: int | None = None) -> DataFrame:
     """The same for parts in separate rows. A unit's parts are one page's or one thread's."""
     listed = F.array_sort(F.collect_list(F.struct(F.col(ix).alias("ix"), F.col(text).alias("text"))))
     return parts.groupBy(key).agg(listed.alias("_p"), F.count("*").alias("parts")).select(
@@ -49,9 +49,11 @@ def split_long_unit(text: Column, children: Column, policy: UnitPolicy = UnitPol
     return F.when((F.length(text) > policy.split_above) & (F.size(big) >= 2), big).otherwise(F.array(text))
 
 
-def admit_units(units: DataFrame, site: str, text: str, images: str | None = None, policy: UnitPolicy = UnitPolicy()) -> DataFrame:
+def admit_units(units: DataFrame, site: str, text: str, images: str | None = None, rules: Sequence[SiteRule] = SITE_RULES) -> DataFrame:
     """Units with enough text for their site, or with an image."""
-    least = F.when(F.col(site) == "generic", policy.min_chars_generic).otherwise(policy.min_chars_site)
+    least = F.lit(UnitPolicy().min_chars_generic)
+    for rule in rules:
+        least = F.when(F.col(site) == rule.site, rule.min_chars).otherwise(least)
     keep = F.length(F.coalesce(F.col(text), F.lit(""))) >= least
     return units.filter(keep | (F.size(images) > 0) if images else keep)
 
@@ -103,16 +105,19 @@ def scope_filter(units: DataFrame, host: str, scope: str = "all", enabled: bool
     return units.filter(idn.is_core_host(host)) if scope == "core" else units
 
 
-def page_units(pages: DataFrame, policy: PartPolicy = PartPolicy()) -> DataFrame:
-    """Content units of pages: parts, text, images, site, host and a content key."""
+def page_units(pages: DataFrame, policy: PartPolicy = PartPolicy.whole()) -> DataFrame:
+    """Each page as one content unit: parts, text, images, site, host and a content key.
+
+    Keys stand for the whole content; :func:`detected_units` has the units inside a page.
+    """
     base = pages.select(
         "page_id", "url", idn.url_host("url").alias("host"),
         hm.extract_parts("html", policy).alias("parts"),
-        idn.filter_image_urls(hm.image_urls("html")).alias("images"),
+        idn.filter_image_urls(hm.image_urls("html"), None).alias("images"),
     )
     routed = base.withColumn("site_id", idn.site_route(F.coalesce("host", F.lit(""))))
-    sited = apply_site_rules(routed, "site_id", "url").withColumn(
-        "text", join_parts(F.col("parts"), policy.max_unit_chars)
+    sited = apply_site_rules(routed, "site_id", "url").withColumn("text", join_parts(F.col("parts"), policy.max_unit_chars)).withColumn(
+        "images", F.slice("images", 1, F.col("max_images"))
     )
     stable = F.when(F.col("stable_id") != "", F.col("stable_id")).otherwise(idn.generic_stable_id("url"))
     return sited.withColumn("unit_key", idn.content_key(F.col("site_id"), stable, F.col("text"), F.col("images")))
@@ -122,9 +127,10 @@ def page_units(pages: DataFrame, policy: PartPolicy = PartPolicy()) -> DataFrame
 
 
 def node_table(pages: DataFrame) -> DataFrame:
-    """One row per element: place in the tree, attributes, span in the page's text, chrome flag.
+    """One row per element: place in the tree, attributes, span in the page's text, chrome flag, text as a part.
 
-    Unit detection reads it several times, so it is written once to the shared folder.
+    Chrome is marked while a page is parsed, where its ancestors are at hand, so nothing is shuffled. Unit
+    detection reads the table several times, so it is written once to the shared folder.
     """
     raw = pages.select("page_id", "html").mapInPandas(hm.node_frames, hm.NODE_SCHEMA)
 
@@ -132,19 +138,7 @@ def node_table(pages: DataFrame) -> DataFrame:
         return F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
 
     named = raw.select("*", attr("class").alias("cls"), attr("id").alias("id_attr"), attr("role").alias("role"))
-    own = (
-        F.col("tag").isin(*fv.CHROME_TAGS)
-        | F.col("role").isin(*fv.CHROME_ROLES)
-        | idn.is_furniture("id_attr")
-        | idn.is_furniture("cls")
-    )
-    # The elements of one page are one document's, so a page always fits a task.
-    whole_page = Window.partitionBy("page_id")
-    marked = named.withColumn("_own", own).withColumn(
-        "_chrome_nodes", F.collect_set(F.when(F.col("_own"), F.col("node"))).over(whole_page)
-    )
-    chrome = F.col("_own") | F.arrays_overlap("path", "_chrome_nodes")
-    return materialize(marked.withColumn("chrome", chrome).drop("_own", "_chrome_nodes"), "nodes")
+    return materialize(named, "nodes")
 
 
 def signature(tag: Column, cls: Column, role: Column, testid: Column) -> Column:
@@ -331,6 +325,100 @@ def detect_units(nodes: DataFrame) -> DataFrame:
     return candidates.join(page, "page_id").filter(keep).select(*cols, "tier")
 
 
+def _inside(units: DataFrame, nodes: DataFrame, *cols: str) -> DataFrame:
+    """Elements inside each unit, by an equi-join on the unit as one of their ancestors."""
+    under = nodes.select("page_id", F.explode("path").alias("_unit"), "node", "path", *cols)
+    return units.select("page_id", F.col("node").alias("_unit")).distinct().join(under, ["page_id", "_unit"])
+
+
+def unit_parts(units: DataFrame, nodes: DataFrame, policy: PartPolicy = PartPolicy.whole()) -> DataFrame:
+    """``(page_id, node, parts)``: the text parts of each unit in page order, without chrome.
+
+    A block with enough text is a part, unless it stands inside another one. A unit without blocks falls back to
+    plain containers, and one that is itself a text element to itself.
+    """
+    def pick(tags: Sequence[str], of: DataFrame) -> DataFrame:
+        found = _inside(of, nodes.filter(F.col("tag").isin(*tags) & ~F.col("chrome") & (F.length("part_text") >= policy.min_chars)), "tag", "part_text")
+        listed = found.groupBy("page_id", F.col("_unit").alias("node")).agg(
+            F.array_sort(F.collect_list(F.struct(F.col("node").alias("n"), "path", "tag", F.col("part_text").alias("text")))).alias("all")
+        )
+        outer = F.filter("all", lambda p: ~F.arrays_overlap(p["path"], F.transform("all", lambda x: x["n"])))
+        return listed.select("page_id", "node", outer.alias("parts"))
+
+    keys = units.select("page_id", "node").distinct()
+    blocks = pick(fv.BLOCK_TAGS, keys)
+    rest = keys.join(blocks, ["page_id", "node"], "left_anti")
+    plain = pick(fv.FALLBACK_TAGS, rest)
+    alone = rest.join(plain, ["page_id", "node"], "left_anti").join(nodes.filter(F.length("part_text") >= policy.min_chars), ["page_id", "node"]).select(
+        "page_id", "node", F.array(F.struct(F.col("node").alias("n"), "path", "tag", F.col("part_text").alias("text"))).alias("parts")
+    )
+    found = blocks.unionByName(plain).unionByName(alone)
+    cut = F.col("parts")
+    if policy.max_parts:
+        cut = F.slice(cut, 1, policy.max_parts)
+    if policy.max_chars:
+        long = lambda t: F.when(F.length(t) > policy.max_chars, F.concat(F.substring(t, 1, policy.max_chars), F.lit("…"))).otherwise(t)
+    else:
+        long = lambda t: t
+    return found.select("page_id", "node", F.transform(cut, lambda p, i: F.struct(i.alias("ix"), p["n"].alias("node"), p["tag"].alias("tag"), long(p["text"]).alias("text"))).alias("parts"))
+
+
+def unit_images(units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(page_id, node, images)``: addresses of the images in each unit or that a unit is, in page order."""
+    src = F.try_element_at("attrs", F.lit("src"))
+    images = nodes.filter((F.col("tag") == "img") & src.isNotNull() & ~F.col("chrome")).withColumn("src", src)
+    # An image element that is a unit of its own lies inside itself.
+    within = _inside(units, images.withColumn("path", F.concat("path", F.array("node"))), "src")
+    listed = F.array_sort(F.collect_list(F.struct("node", "src")))
+    return within.groupBy("page_id", F.col("_unit").alias("node")).agg(listed.alias("i")).select("page_id", "node", F.col("i.src").alias("images"))
+
+
+def media_units(nodes: DataFrame) -> DataFrame:
+    """Elements that hold standalone media: figures, pictures, photo and gallery containers, images of a group."""
+    classes, testid = F.split("cls", r"\s+"), F.coalesce(F.try_element_at("attrs", F.lit("data-testid")), F.lit(""))
+    box = (F.col("tag") == "div") & (testid.isin(*fv.MEDIA_TESTIDS) | F.arrays_overlap(classes, F.array(*[F.lit(c) for c in fv.MEDIA_CLASSES])))
+    holders = nodes.filter((F.col("tag") == "div") & ((F.col("role") == "group") | (testid == fv.MEDIA_TESTIDS[0]))).select("page_id", F.col("node").alias("_a")).distinct()
+    up = nodes.filter("tag = 'img'").select("page_id", "node", F.explode("path").alias("_a"))
+    grouped = up.join(holders, ["page_id", "_a"], "left_semi").select("page_id", "node").distinct().withColumn("_in", F.lit(True))
+    hit = F.col("tag").isin("figure", "picture") | box | F.coalesce("_in", F.lit(False))
+    return nodes.join(grouped, ["page_id", "node"], "left").filter(hit & ~F.col("chrome")).select("page_id", "node", "path", "tag", "text_len", "start", "end")
+
+
+def detected_units(pages: DataFrame, policy: PartPolicy = PartPolicy.whole(), units: UnitPolicy = UnitPolicy(), rules: Sequence[SiteRule] = SITE_RULES, media_below: int = 8) -> DataFrame:
+    """From pages to admitted content units, each with parts, text, images, site and key.
+
+    Units are detected, get their parts and images, are split into their big child elements where a site allows
+    it, and are admitted by the least text of their site or by an image. A page with fewer than ``media_below``
+    units also offers its standalone media. The site rules decide least text, splitting and images.
+    """
+    nodes = node_table(pages)
+    cols = ["page_id", "node", "tier"]
+    text_units = detect_units(nodes).select(*cols)
+    few = text_units.groupBy("page_id").agg(F.count("*").alias("n")).filter(F.col("n") >= media_below).select("page_id")
+    media = media_units(nodes).join(few, "page_id", "left_anti").withColumn("tier", F.lit("media")).select(*cols)
+    media = media.join(text_units, ["page_id", "node"], "left_anti")
+    found = materialize(text_units.unionByName(media), "detected")
+    routed = pages.select("page_id", "url", idn.url_host("url").alias("host"))
+    routed = apply_site_rules(routed.withColumn("site_id", idn.site_route(F.coalesce("host", F.lit("")))), "site_id", "url", rules)
+
+    def filled(of: DataFrame) -> DataFrame:
+        full = of.join(unit_parts(of, nodes, policy), ["page_id", "node"], "left").join(unit_images(of, nodes), ["page_id", "node"], "left").join(routed, "page_id")
+        text = F.coalesce(join_parts(F.col("parts"), policy.max_unit_chars), F.lit(""))
+        return full.withColumn("text", text).withColumn("images", F.slice(F.coalesce(idn.filter_image_urls("images", None), F.array().cast("array<string>")), 1, F.col("max_images")))
+
+    whole = materialize(filled(found), "units")
+    kids = nodes.filter(~F.col("chrome") & (F.col("text_len") >= units.split_min_child)).select("page_id", F.col("parent").alias("node"), F.col("node").alias("kid"))
+    long = whole.filter((F.length("text") > units.split_above) & ~F.coalesce("no_split", F.lit(False))).select("page_id", "node", "tier")
+    big = long.join(kids, ["page_id", "node"])
+    many = big.groupBy("page_id", "node").agg(F.count("*").alias("n")).filter("n >= 2").select("page_id", "node")
+    split = big.join(many, ["page_id", "node"], "left_semi").select("page_id", F.col("kid").alias("node"), "tier").distinct()
+    least = F.coalesce("min_chars", F.lit(units.min_chars_generic))
+    kept = whole.join(many, ["page_id", "node"], "left_anti").filter((F.length("text") >= least) | (F.size("images") > 0))
+    out = kept.withColumn("was_split", F.lit(False)).unionByName(filled(split).withColumn("was_split", F.lit(True)))
+    stable = F.when(F.col("stable_id") != "", F.col("stable_id")).otherwise(idn.generic_stable_id("url"))
+    return out.withColumn("unit_key", idn.content_key(F.col("site_id"), stable, F.col("text"), F.col("images")))
+
+
 def unit_texts(units: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds the text of each unit, cut from its page's text by span."""
     texts = nodes.filter("page_text is not null").select("page_id", F.col("page_text").alias("_t"))

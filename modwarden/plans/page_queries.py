@@ -41,7 +41,7 @@ def _(spark, d):
 _JOINED = f"{q.PARTS}, joined AS (SELECT page_id, any_value(url) AS url, string_agg(text, chr(10) ORDER BY ix) AS text, count(*) AS parts FROM parts GROUP BY page_id)"
 
 
-@query("join_parts", f"WITH {_JOINED} SELECT page_id, parts, md5(substr(text, 1, 12000)) AS text_md5 FROM joined")
+@query("join_parts", f"WITH {_JOINED} SELECT page_id, parts, md5(text) AS text_md5 FROM joined")
 def _(spark, d):
     return pg.join_part_rows(parts(spark, d), "page_id").select("page_id", "parts", F.md5("text").alias("text_md5"))
 
@@ -278,6 +278,41 @@ def _(spark, d):
     return pg.section_units(pg.node_table(pages(spark, d))).select("page_id", "tag", F.col("text_len").cast("long").alias("text_len"))
 
 
+_UNITS = f"""WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article>(.*?)</article>', 1) AS h FROM pages),
+    s AS (SELECT page_id, unnest(string_split_regex(h, '</?(?:p|h1)>')) AS seg, generate_subscripts(string_split_regex(h, '</?(?:p|h1)>'), 1) AS pos FROM a),
+    t AS (SELECT page_id, pos, {q.squeeze(q.decode("regexp_replace(seg, '<[^>]*>', '', 'g')"))} AS text FROM s),
+    b AS (SELECT * FROM t WHERE length(text) >= 12),
+    u AS (SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS text, count(*) FILTER (length(text) >= 140) AS big FROM b GROUP BY page_id),
+    k AS (SELECT page_id, length(text) > 700 AND big >= 2 AS cut, text FROM u)
+    SELECT page_id, false AS was_split, text FROM k WHERE NOT cut AND length(text) >= 24
+    UNION ALL SELECT b.page_id, true, b.text FROM b JOIN k USING (page_id) WHERE cut AND length(b.text) >= 140"""
+
+
+@query(
+    "page_units_detected",
+    f"WITH units AS ({_UNITS}) SELECT page_id, was_split, sha256('generic:' || CASE WHEN regexp_matches(url, '/p/|/status/|\\?v=|/comments/') AND length(url) < 200 THEN 'href:' || url ELSE '' END "
+    "|| ':' || text || '::' || length(text)) AS unit_key, md5(text) AS text_md5 FROM units JOIN pages USING (page_id)",
+)
+def _(spark, d):
+    units = pg.detected_units(pages(spark, d).select("page_id", "url", "html"))
+    return units.select("page_id", "was_split", "unit_key", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "unit_parts",
+    """WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article>(.*?)</article>', 1) AS h FROM pages)
+    SELECT page_id, len(list_filter(string_split_regex(h, '</?(?:p|h1)>'), lambda s: length(trim(regexp_replace(s, '<[^>]*>', '', 'g'))) > 60)) AS long_parts FROM a
+    WHERE length(regexp_replace(h, '<[^>]*>', '', 'g')) > 400""",
+)
+def _(spark, d):
+    """Parts of well over the least length, counted on the raw markup on the other side."""
+    nodes = pg.node_table(pages(spark, d))
+    articles = nodes.filter("tag = 'article'").select("page_id", "node")
+    raw = pages(spark, d).select("page_id", F.regexp_replace(F.regexp_extract("html", "(?is)<article>(.*?)</article>", 1), "<[^>]*>", "").alias("t"))
+    parts = pg.unit_parts(articles, nodes).join(raw.filter("length(t) > 400"), "page_id")
+    return parts.select("page_id", F.size(F.filter("parts", lambda p: F.length(p["text"]) > 60)).cast("long").alias("long_parts"))
+
+
 @query(
     "detect_units",
     f"""WITH t AS (SELECT page_id, {_container('article')} AS a, {_container('body')} AS b, {_raw('body')} AS rb FROM pages)
