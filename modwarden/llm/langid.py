@@ -34,7 +34,9 @@ _CUT = 1_500_000
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+    # No code point above this one is a letter.
+    low = np.array([chr(c).isalpha() for c in range(0x40000)])
+    return np.append(low, np.zeros(0x110000 - len(low), bool))
 
 
 def symbols(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,18 +62,22 @@ def symbols(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return out, first, n_letters
 
 
-def gram_hashes(sym: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order from 1: the hash of the n-gram that ends at each place (wrong for the first ones)."""
+def gram_sums(sym: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order from 1: the polynomial sum of the n-gram that ends at each place (wrong for the first ones)."""
     wide = sym.astype(np.uint64) + np.uint64(1)
     total, out = np.zeros(len(sym), np.uint64), []
     for k in range(order):
         part = np.zeros(len(sym), np.uint64)
         part[k:] = wide[: len(sym) - k] if k else wide
         total = total + part * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-        out.append(ar.mix(total + np.uint64(k)))
+        out.append(total)
     return out
 
 
+def gram_hash(sums: np.ndarray, order: int) -> np.ndarray:
+    return ar.mix(sums + np.uint64(order - 1))
+
+
 def _counts(order: int):
     """Per task and language: each n-gram with its count; flushed when many are held."""
 
@@ -98,10 +104,9 @@ def _counts(order: int):
             texts = batch.column("text").to_pylist()
             for lang in sorted(set(langs)):
                 sym, first, _ = symbols([t for t, x in zip(texts, langs, strict=True) if x == lang], order)
-                hashed = gram_hashes(sym, order)[-1]
                 row, place = ar.spread(np.diff(first) - (order - 1))
                 ends = first[row] + order - 1 + place
-                keys, at, n = np.unique(hashed[ends], return_index=True, return_counts=True)
+                keys, at, n = np.unique(gram_hash(gram_sums(sym, order)[-1][ends], order), return_index=True, return_counts=True)
                 gram = sym[ends[at][:, None] - np.arange(order - 1, -1, -1)]
                 held.setdefault(lang, []).append((keys, gram, n))
                 if len(held[lang]) > 8:
@@ -130,9 +135,9 @@ def _gram_array(grams: list[str], order: int) -> np.ndarray:
 
 
 def _hash_rows(rows: np.ndarray) -> np.ndarray:
-    """The hash of each row as an n-gram; equal to :func:`gram_hashes` of its length."""
+    """The hash of each row as an n-gram; equal to :func:`gram_hash` of its length."""
     k = rows.shape[1]
-    return gram_hashes(rows.reshape(-1), k)[-1].reshape(-1, k)[:, -1] if k else np.zeros(len(rows), np.uint64)
+    return gram_hash(gram_sums(rows.reshape(-1), k)[-1].reshape(-1, k)[:, -1], k) if k else np.zeros(len(rows), np.uint64)
 
 
 def build(langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]], order: int) -> Model:
@@ -205,24 +210,30 @@ class Scorer:
         self.m = model
         self.grams = [Finder(k) for k, _ in model.log_prob]
         self.contexts = [Finder(k) for k, _ in model.back_off]
+        # A row more, for hashes behind the last one.
+        self.top = np.concatenate([model.log_prob[-1][1], np.zeros((1, len(model.langs)), np.float32)])
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per symbol in every language, the symbols and the letters of each text."""
         m = self.m
         sym, first, letters = symbols(texts, m.order)
-        hashed = gram_hashes(sym, m.order)
+        sums_of = gram_sums(sym, m.order)
         row, place = ar.spread(np.diff(first) - (m.order - 1))
         ends = first[row] + m.order - 1 + place
-        total = np.zeros((len(ends), len(m.langs)), np.float32)
-        left = np.arange(len(ends))
+        # Most n-grams are found in the top order; only the rest goes down.
+        at, hit = self.grams[-1](gram_hash(sums_of[-1][ends], m.order))
+        total = self.top[at]
+        left = np.flatnonzero(~hit)
+        total[left] = 0
         for k in range(m.order, 0, -1):
-            at, hit = self.grams[k - 1](hashed[k - 1][ends[left]])
-            total[left[hit]] += m.log_prob[k - 1][1][at[hit]]
-            left = left[~hit]
+            if k < m.order:
+                at, hit = self.grams[k - 1](gram_hash(sums_of[k - 1][ends[left]], k))
+                total[left[hit]] += m.log_prob[k - 1][1][at[hit]]
+                left = left[~hit]
             if not len(left):
                 break
             if k > 1:
-                at, hit = self.contexts[k - 1](hashed[k - 2][ends[left] - 1])
+                at, hit = self.contexts[k - 1](gram_hash(sums_of[k - 2][ends[left] - 1], k - 1))
                 total[left[hit]] += m.back_off[k - 1][1][at[hit]]
             else:
                 # An unseen symbol: the weight of the empty context and the uniform share.
