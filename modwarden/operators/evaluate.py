@@ -64,13 +64,14 @@ def threshold_sweep(df: DataFrame, score: str, label: str, policy: ThresholdPoli
     counted = (
         df.filter(s.isNotNull())
         .groupBy(cell.alias("cell"))
-        .agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"))
+        .agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"), F.max(s).alias("top"))
     )
     spark = df.sparkSession
     grid = spark.range(lo - 1, hi + 1).select(
-        F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pos")
+        F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"),
+        F.lit(None).cast("double").alias("top"),
     )
-    cells = counted.unionByName(grid).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    cells = counted.unionByName(grid).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.max("top").alias("top"))
     down = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     run = cells.select(
@@ -78,16 +79,17 @@ def threshold_sweep(df: DataFrame, score: str, label: str, policy: ThresholdPoli
         F.sum("n").over(down).alias("n_pred"),
         F.sum("pos").over(down).alias("tp"),
         F.sum("pos").over(everything).alias("positives"),
+        F.max("top").over(everything).alias("max_score"),
     ).filter(F.col("cell") >= lo)
     p, r, f1 = _prf(F.col("tp"), F.col("n_pred"), F.col("positives"))
     return run.select(
         (F.col("cell") / 100.0).alias("threshold"), "n_pred", "tp",
-        p.alias("precision"), r.alias("recall"), f1.alias("f1"),
+        p.alias("precision"), r.alias("recall"), f1.alias("f1"), "max_score",
     )
 
 
-def pick_thresholds(sweep: DataFrame, max_score: DataFrame | None = None, policy: ThresholdPolicy = ThresholdPolicy()) -> DataFrame:
-    """One report row: flag and block thresholds with their metrics.
+def pick_thresholds(sweep: DataFrame, policy: ThresholdPolicy = ThresholdPolicy()) -> DataFrame:
+    """One report row: flag and block thresholds with their metrics, and the highest score seen.
 
     Flag: best F1, lowest threshold on ties, a default when all are 0. Block: scanning downwards,
     the first with enough precision and coverage; else the first with coverage and any precision,
@@ -102,18 +104,17 @@ def pick_thresholds(sweep: DataFrame, max_score: DataFrame | None = None, policy
         F.max(F.when(good, row)).alias("good"),
         F.max(F.when(any_precision, row)).alias("fallback"),
         F.min(F.when(covered, row)).alias("covered"),
+        F.round(F.max("max_score"), 3).alias("max_score"),
     )
     empty = F.struct(*[F.lit(0.0).alias(n) for n in ("precision", "recall", "f1")])
     block = F.coalesce("good", "fallback", "covered")
-    out = best.select(
+    return best.select(
         F.coalesce("flag.threshold", F.lit(policy.default_flag)).alias("flag_threshold"),
         *[F.round(F.coalesce(F.col("flag")[n], empty[n]), 4).alias(f"flag_{n}") for n in ("precision", "recall", "f1")],
         F.coalesce(block["threshold"], F.lit(policy.default_block)).alias("block_threshold"),
         *[F.round(F.coalesce(block[n], empty[n]), 4).alias(f"block_{n}") for n in ("precision", "recall", "f1")],
+        "max_score",
     )
-    if max_score is not None:
-        out = out.withColumn("max_score", max_score.scalar())
-    return out
 
 
 def compare_versions(a: DataFrame, b: DataFrame, key: str, score: str = "score") -> DataFrame:

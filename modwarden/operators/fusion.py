@@ -75,11 +75,18 @@ def refine_verdict(base: DataFrame, additions: DataFrame, key: str, order: str)
     )
 
 
-def reconcile_media(reasons: Column, current_keys: Column) -> Column:
-    """Reasons that still hold: text findings, and media findings on images the unit still shows."""
-    return F.filter(
-        reasons, lambda r: ~r["source"].isin(*fv.MEDIA_SOURCES) | F.array_contains(current_keys, r["image_key"])
-    )
+def reconcile_media(reasons: Column, current_keys: Column, current_urls: Column | None = None) -> Column:
+    """Reasons that still hold: text findings, and media findings on images the unit still shows.
+
+    A finding without a source key is looked up by its ``image_url`` where the current addresses are given.
+    """
+    def holds(r: Column) -> Column:
+        shown = F.array_contains(current_keys, r["image_key"])
+        if current_urls is not None:
+            shown = F.coalesce(shown, F.array_contains(current_urls, r["image_url"]))
+        return ~F.coalesce(r["source"].isin(*fv.MEDIA_SOURCES), F.lit(False)) | F.coalesce(shown, F.lit(False))
+
+    return F.filter(reasons, holds)
 
 
 def reasons_action(reasons: Column) -> Column:

@@ -23,22 +23,19 @@ def rank_by_hash(df: DataFrame, groups: Sequence[str], order: str, rank: str = "
     every group into 65536 even slices: slice counts are aggregated on the map side, their running
     sum gives each slice its offset, and only a slice is ranked in one place.
     """
-    cols = list(groups)
-    sliced = df.withColumn("_slice", F.substring(order, 1, 4))
-    counts = sliced.groupBy(*cols, "_slice").agg(F.count("*").alias("_n"))
-    running = Window.partitionBy(*cols).orderBy("_slice")
-    total = Window.partitionBy(*cols)
+    # Group and slice are one struct: its null fields compare as equal, and one shuffle by it serves the join
+    # and the window alike.
+    group = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(groups)])
+    sliced = df.withColumn("_key", F.struct(group.alias("group"), F.substring(order, 1, 4).alias("slice")))
+    counts = sliced.groupBy("_key").agg(F.count("*").alias("_n"))
+    total = Window.partitionBy("_key.group")
     offsets = counts.select(
-        *cols,
-        "_slice",
-        (F.sum("_n").over(running) - F.col("_n")).alias("_offset"),
+        "_key",
+        (F.sum("_n").over(total.orderBy("_key.slice")) - F.col("_n")).alias("_offset"),
         F.sum("_n").over(total).alias(size),
     )
-    keys = [*cols, "_slice"]
-    match = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    joined = sliced.alias("l").join(offsets.alias("r"), match).select("l.*", "r._offset", f"r.{size}")
-    local = Window.partitionBy(*keys).orderBy(order)
-    return joined.withColumn(rank, F.row_number().over(local) + F.col("_offset")).drop("_slice", "_offset")
+    local = Window.partitionBy("_key").orderBy(order)
+    return sliced.join(offsets, "_key").withColumn(rank, F.row_number().over(local) + F.col("_offset")).drop("_key", "_offset")
 
 
 def top_n_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, tie: str) -> DataFrame:

@@ -127,20 +127,17 @@ _UNION = """corpus AS (SELECT doc_id AS id, text, lang, 'documents' AS origin FR
   UNION ALL SELECT item_id, text, 'bench', 'benchmark' FROM benchmark)"""
 
 
+def corpus_sources(spark, d):
+    turns = read_table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return {
+        "documents": (read_table(spark, d, "documents"), {"id": "doc_id"}),
+        "conversations": (turns, {"lang": "role"}),
+        "benchmark": (read_table(spark, d, "benchmark").withColumn("lang", F.lit("bench")), {"id": "item_id"}),
+    }
+
+
 def corpus_union(spark, d):
-    return cp.union_corpora(
-        {
-            "documents": (read_table(spark, d, "documents"), {"id": "doc_id"}),
-            "conversations": (
-                read_table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")),
-                {"lang": "role"},
-            ),
-            "benchmark": (
-                read_table(spark, d, "benchmark").withColumn("lang", F.lit("bench")), {"id": "item_id"},
-            ),
-        },
-        ["id", "text", "lang"],
-    )
+    return cp.union_corpora(corpus_sources(spark, d), ["id", "text", "lang"])
 
 
 @query(
@@ -153,6 +150,30 @@ def _(spark, d):
     )
 
 
+_ACCENTS = "strip_accents(lower(text))"
+
+
+@query(
+    "prepare_corpus_v4",
+    f"""WITH {_UNION}, grown AS (SELECT origin || '/' || id AS id, text, lang, origin FROM corpus
+      UNION ALL SELECT origin || '/' || id || '/plain', {_ACCENTS}, 'plain', origin FROM corpus WHERE lang IN ('fr', 'user')),
+    n AS (SELECT *, {q.dedupe('text')} AS g, CASE WHEN md5(id) < '4' THEN 1 ELSE 0 END AS label FROM grown),
+    u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY md5(g) ORDER BY id) AS first FROM n WHERE length(g) >= 3) WHERE first = 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id)) AS rn, count(*) OVER (PARTITION BY label) AS n FROM u),
+    s AS (SELECT *, CASE WHEN rn <= floor(n * 0.10::DOUBLE) THEN 'val' WHEN rn <= floor(n * 0.20::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM o),
+    c AS (SELECT *, CASE WHEN split = 'train' THEN (CASE WHEN origin = 'conversations' THEN 4 ELSE 1 END) * (CASE WHEN label = 1 THEN 2 ELSE 1 END) ELSE 1 END AS copies FROM s)
+    SELECT id, lang, origin, label, split, CAST(unnest(range(1, copies + 1)) AS BIGINT) AS copy FROM c""",
+)
+def _(spark, d):
+    """Three sources and the accent-free copies of two kinds of rows; threads four times, toxic rows twice."""
+    merged = cp.union_corpora(corpus_sources(spark, d), ["id", "text", "lang"], "id")
+    grown = cp.augment_union(merged, F.col("lang").isin("fr", "user"), tx.fold_accents(F.lower("text")), "text", "plain", id_col="id")
+    labels = F.when(F.md5("id") < "4", 1).otherwise(0)
+    copies = cp.copies_v4(F.col("origin") == "conversations", F.col("label") == 1)
+    out = cp.prepare_merged(grown.withColumn("label", labels), "id", copies)
+    return out.select("id", "lang", "origin", "label", "split", F.col("copy").cast("long").alias("copy"))
+
+
 def split_rows(spark, d):
     return cp.stratified_split(labelled(spark, d).select("doc_id", "label", "lang", "source"), "label", "doc_id")
 
@@ -295,9 +316,7 @@ def _(spark, d):
     (SELECT round(max(score), 3) FROM scored) AS max_score""",
 )
 def _(spark, d):
-    s = scored(spark, d)
-    top = s.agg(F.round(F.max("score"), 3).alias("max_score"))
-    return ev.pick_thresholds(ev.threshold_sweep(s, "score", "toxic"), top)
+    return ev.pick_thresholds(ev.threshold_sweep(scored(spark, d), "score", "toxic"))
 
 
 _TWO = f"""a AS (SELECT doc_id, {q.proxy('text')} AS score_a FROM documents WHERE lang <> 'de'),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modwarden.functions import scores as sc
+from modwarden.functions import windows as wn
 from modwarden.operators import corpus as cp
 from modwarden.operators import evaluate as ev
 from modwarden.operators import learning as ml
@@ -16,7 +17,7 @@ from modwarden.plans import sql as q
 from modwarden.plans.corpus_queries import LABELLED, _SPLIT, _SWEEP, labelled, scored, split_rows
 from modwarden.plans.registry import ORACLES, query
 from modwarden.plans.store_queries import _LWW, shape_events, verdict_log
-from modwarden.plans.text_queries import documents, lexicon, short_terms
+from modwarden.plans.text_queries import _WALK_ALL, documents, lexicon, short_terms
 from modwarden.profiles import MediaPolicy
 from modwarden.session import materialize, shared_dir
 from modwarden.sources import readers as rd
@@ -70,12 +71,28 @@ def _(spark, d):
 
 @query(
     "stream_verdict_state",
-    f"""WITH {q.EV}, per AS (SELECT key, source, max({q.rank_of('action')}) AS r FROM ev WHERE action <> 'clean' GROUP BY key, source)
+    f"""WITH {q.EV}, per AS (SELECT key, source, image_key, max({q.rank_of('action')}) AS r FROM ev WHERE action <> 'clean' GROUP BY key, source, image_key)
     SELECT key, {q.name_of('max(r)')} AS action, count(*) AS reasons, count(*) FILTER (r = 2) AS block_reasons FROM per GROUP BY key""",
 )
 def _(spark, d):
-    updates = sj.run_to_table(sj.stream_verdict_state(verdict_stream(spark, d), "key", "seq"), "stream-state", "update")
-    return sj.latest_verdicts(updates, "key")
+    return sj.latest_verdicts(verdict_updates(shape_events(cut_stream(spark, d, "events", 3, "event_id"))), "key")
+
+
+def verdict_updates(findings):
+    return sj.run_to_table(sj.stream_verdict_state(findings, "key", "seq"), "stream-state", "update")
+
+
+@query(
+    "stream_verdict_reconciled",
+    f"""WITH {q.EV}, shown AS (SELECT DISTINCT key, image_key FROM ev WHERE k >= 50),
+    per AS (SELECT key, source, image_key, max({q.rank_of('action')}) AS r FROM ev WHERE action <> 'clean' GROUP BY key, source, image_key),
+    held AS (SELECT per.* FROM per LEFT JOIN shown s ON s.key = per.key AND s.image_key = per.image_key WHERE source NOT IN ('image', 'ocr-text', 'lexicon-ocr') OR s.key IS NOT NULL)
+    SELECT key, {q.name_of('max(r)')} AS action, count(*) AS reasons, count(*) FILTER (r = 2) AS block_reasons FROM held GROUP BY key""",
+)
+def _(spark, d):
+    """Findings on images that a unit no longer shows do not count."""
+    shown = verdict_log(spark, d).filter("k >= 50").select("key", "image_key")
+    return sj.latest_verdicts(verdict_updates(verdict_stream(spark, d)), "key", shown=shown)
 
 
 _KIND = """CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'image' WHEN 'purchase' THEN 'ocr' WHEN 'error' THEN 'image-failed' ELSE 'ocr-failed' END"""
@@ -83,7 +100,7 @@ _KIND = """CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'image'
 
 @query(
     "stream_media_lifecycle",
-    f"""WITH {q.EV}, m AS (SELECT key AS unit_key, seq, {_KIND} AS kind, 'f' || (k // 50) AS fp, action FROM ev),
+    f"""WITH {q.EV}, m AS (SELECT key AS unit_key, seq, {_KIND} AS kind, 'f' || (k // 50) || '|' || settings_policy AS fp, action FROM ev),
     p AS (SELECT *, last_value(CASE WHEN kind = 'request' THEN fp END IGNORE NULLS) OVER (PARTITION BY unit_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cur FROM m),
     o AS (SELECT *, kind = 'request' AND fp IS DISTINCT FROM cur AS accepted, kind <> 'request' AND fp IS DISTINCT FROM cur AS stale FROM p),
     g AS (SELECT *, count(*) FILTER (accepted) OVER (PARTITION BY unit_key ORDER BY seq) AS gen,
@@ -102,7 +119,7 @@ def _(spark, d):
         .when(t == "error", "image-failed").otherwise("ocr-failed")
     )
     fp = F.concat(F.lit("f"), F.floor(F.col("k") / 50).cast("string"))
-    media = e.select(F.col("key").alias("unit_key"), "seq", kind.alias("kind"), fp.alias("fp"), "action")
+    media = e.select(F.col("key").alias("unit_key"), "seq", kind.alias("kind"), sj.media_identity(fp, F.col("settings_policy")).alias("fp"), "action")
     out = sj.run_to_table(sj.stream_media_lifecycle(media), "stream-media")
     return out.select("unit_key", "seq", "kind", "outcome", F.col("attempt").cast("long").alias("attempt"))
 
@@ -160,6 +177,20 @@ def _(spark, d):
     return sj.run_to_table(sj.stream_recycled_units(e), "stream-recycled")
 
 
+@query(
+    "stream_recycled_verdicts",
+    f"""WITH {q.EV}, v AS (SELECT image_key, arg_max(action, seq) AS action FROM ev WHERE k % 2 = 0 GROUP BY image_key),
+    l AS (SELECT key AS slot, seq, image_key AS unit_key, lag(image_key) OVER (PARTITION BY key ORDER BY seq) AS prev FROM ev)
+    SELECT slot, seq, unit_key, coalesce(v.action, 'pending') AS shown FROM l LEFT JOIN v ON v.image_key = unit_key WHERE prev IS DISTINCT FROM unit_key""",
+)
+def _(spark, d):
+    """A key that comes back to a slot takes its stored verdict at once."""
+    e = verdict_stream(spark, d).select(F.col("key").alias("slot"), "seq", F.col("image_key").alias("unit_key"))
+    moved = sj.run_to_table(sj.stream_recycled_units(e), "stream-recycled").filter("outcome <> 'same'")
+    store = st.last_write_wins(verdict_log(spark, d).filter("k % 2 = 0").select(F.col("image_key").alias("unit_key"), "seq", "action"), "unit_key", ["seq"])
+    return sj.stored_verdicts(moved, store).select("slot", "seq", "unit_key", "shown")
+
+
 @query(
     "stream_settings_change",
     f"""WITH {q.EV}, now AS (SELECT event_type AS scope, arg_max(settings_policy, seq) AS current_policy FROM ev GROUP BY event_type)
@@ -296,6 +327,68 @@ def _(spark, d):
     return spark.read.json(path).select("flag_threshold")
 
 
+@query("export_feedback_json", f"WITH {q.EV} SELECT CAST(ts_us AS VARCHAR) AS ts, key, action AS \"verdictAction\", CASE WHEN k % 3 <> 0 THEN 'clean' END AS \"expectedAction\" FROM ev")
+def _(spark, d):
+    path = shared_dir(spark, "feedback-json")
+    log = verdict_log(spark, d)
+    sk.export_feedback_json(log.select(
+        F.col("ts_us").cast("string").alias("ts"), "key", F.col("action").alias("verdictAction"), F.when(F.col("k") % 3 != 0, "clean").alias("expectedAction")
+    ), path)
+    return spark.read.schema("ts string, key string, verdictAction string, expectedAction string").json(path)
+
+
+@query(
+    "read_thread_corpus",
+    """WITH p AS (SELECT conv_id, turn, md5(conv_id || ':' || turn) AS id, text, CASE WHEN conv_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, 't' || conv_id % 4 AS topic FROM conversations),
+    k AS (SELECT *, CASE WHEN substr(id, 1, 1) < '6' THEN 'HOF' WHEN substr(id, 1, 1) < 'd' THEN 'NONE' END AS mark FROM p)
+    SELECT id, md5(text) AS text_md5, CASE WHEN mark = 'HOF' THEN 1 ELSE 0 END AS label, topic, split FROM k WHERE mark IS NOT NULL""",
+)
+def _(spark, d):
+    """Every conversation written as a thread folder of two JSON files, then read as a corpus."""
+    root = shared_dir(spark, "threads")
+    posts = rd.read_table(spark, d, "conversations").select(
+        "conv_id", "turn", F.md5(F.concat_ws(":", "conv_id", "turn")).alias("tweet_id"), F.col("text").alias("tweet"),
+        F.when(F.col("conv_id") % 3 == 0, "test").otherwise("train").alias("split"), F.concat(F.lit("t"), F.col("conv_id") % 4).alias("topic"),
+    )
+    first = F.substring("tweet_id", 1, 1)
+    mark = F.when(first < "6", "HOF").when(first < "d", "NONE")
+    thread = posts.groupBy("split", "topic", "conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "tweet_id", "tweet"))).alias("p"),
+        F.map_from_entries(F.collect_list(F.when(mark.isNotNull(), F.struct(F.col("tweet_id"), mark.alias("mark"))))).alias("m"),
+    )
+    data = F.struct(F.col("p")[0]["tweet_id"].alias("tweet_id"), F.col("p")[0]["tweet"].alias("tweet"), F.transform(F.slice("p", 2, 1_000_000), lambda x: F.struct(x["tweet_id"].alias("tweet_id"), x["tweet"].alias("tweet"))).alias("comments"))
+    where = F.concat_ws("/", F.lit("a/data"), "split", "topic", "conv_id")
+    return rd.read_thread_corpus(spark, sk.write_named(thread, root, {"data.json": (where, F.to_json(data)), "labels.json": (where, F.to_json("m"))})).select(
+        "id", F.md5("text").alias("text_md5"), "label", "topic", "split"
+    )
+
+
+@query("read_eval_set", "SELECT row_number() OVER (ORDER BY item_id) - 1 AS ix, md5(text) AS text_md5, CAST(item_id % 2 AS INTEGER) AS label FROM benchmark")
+def _(spark, d):
+    """The benchmark as one nested file of sentences, read back in order."""
+    root = shared_dir(spark, "eval-set")
+    rows = rd.read_table(spark, d, "benchmark").select("item_id", "text", (F.col("item_id") % 2).cast("int").alias("label"))
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct("item_id", "text", "label"))).alias("s"))
+    listed.select(F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))).alias("sentences")).write.json(root)
+    return rd.read_eval_set(spark, root).select(F.col("ix").cast("long").alias("ix"), F.md5("text").alias("text_md5"), "label")
+
+
+@query(
+    "read_images_validated",
+    """SELECT CASE WHEN page_id % 3 = 0 THEN 'png' WHEN page_id % 3 = 1 THEN 'gif' END AS format, CASE WHEN page_id % 3 = 2 THEN 'unrecognised-image-bytes' END AS reason,
+    count(*) AS n, CAST(sum(8 + octet_length(encode(url))) AS BIGINT) AS bytes FROM pages GROUP BY 1, 2""",
+)
+def _(spark, d):
+    """A file per page, an image head and the address as its body, read as binary files."""
+    root = shared_dir(spark, "images")
+    n = F.col("page_id") % 3
+    head = F.when(n == 0, "89504E470D0A1A0A").when(n == 1, "4749463839610000").otherwise("3C68746D6C3E0A0A")
+    files = rd.read_table(spark, d, "pages").select("page_id", F.concat(F.unhex(head), F.encode("url", "UTF-8")).alias("body"))
+    where = F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    out = rd.read_images_validated(spark, sk.write_named(files, root, {"image": (where, F.col("body"))}))
+    return out.groupBy("format", "reason").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
 # ------------------------------------------------------------------------------ learning
 
 
@@ -354,6 +447,34 @@ def _(spark, d):
     return runs.select("reg", "tp", "fp", "tn", "fn", "precision", "recall", "f1")
 
 
+@query(
+    "train_classifier_totals",
+    f"""WITH {LABELLED}, {_SPLIT.format(src="labelled")}, v AS (SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM split WHERE split = 'val')
+    SELECT reg, positives, negatives, true AS consistent FROM v, (VALUES (0.01::DOUBLE), (0.1::DOUBLE)) r(reg)""",
+)
+def _(spark, d):
+    """Every run of the grid judges the whole validation split, and its metrics follow from its counts."""
+    train, val = training_split(spark, d)
+    _, runs = ml.train_classifier(train, val)
+    p, r = ev.ratio(F.col("tp"), F.col("tp") + F.col("fp")), ev.ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    same = (F.abs(F.col("precision") - p) < 1e-6) & (F.abs(F.col("recall") - r) < 1e-6)
+    return runs.select("reg", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"), same.alias("consistent"))
+
+
+@query(
+    "score_documents_coverage",
+    f"WITH RECURSIVE {_WALK_ALL} SELECT doc_id, count(ix) AS n_windows, true AS decided FROM documents LEFT JOIN windows USING (doc_id) GROUP BY doc_id",
+)
+def _(spark, d):
+    """Every document gets a verdict on one of the windows of its whole text."""
+    train, _ = training_split(spark, d)
+    docs = documents(spark, d)
+    out = ml.score_documents(ml.build_pipeline(0.1).fit(train), docs, "doc_id", "text")
+    counted = docs.select("doc_id", F.size(wn.window_text("text", ml.WHOLE)).cast("long").alias("n_windows")).join(out, "doc_id", "left")
+    inside = F.col("action").isin("clean", "flag", "block") & ((F.col("n_windows") == 0) | (F.col("window_ix") < F.col("n_windows"))) & (F.col("windows") <= F.col("n_windows"))
+    return counted.select("doc_id", "n_windows", F.coalesce(inside, F.lit(False)).alias("decided"))
+
+
 @query("score_documents")
 def _(spark, d):
     train, _ = training_split(spark, d)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modwarden.operators.store import last_write_wins
@@ -84,6 +86,33 @@ class VerdictStore:
         rows.write.parquet(f"{self.path}/batch={base}")
 
 
+def write_named(df: DataFrame, root: str, files: Mapping[str, tuple[Column, Column]]) -> str:
+    """Small files with names of their own, one per row and entry: ``{file name: (folder, content)}``.
+
+    Spark names the files it writes itself, so tasks write these through ``pyarrow.fs``, each under a temporary
+    name first; a repeated task writes the same files again.
+    """
+    names = list(files)
+    picked = df.select(*[c.alias(f"{part}{i}") for i, n in enumerate(names) for part, c in (("at", files[n][0]), ("body", files[n][1].cast("binary")))])
+
+    def write(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        n = 0
+        for batch in batches:
+            for i, name in enumerate(names):
+                for at, body in zip(batch.column(f"at{i}").to_pylist(), batch.column(f"body{i}").to_pylist(), strict=True):
+                    folder, part = f"{base}/{at}", uuid.uuid4().hex
+                    fs.create_dir(folder, recursive=True)
+                    with fs.open_output_stream(f"{folder}/.{part}") as out:
+                        out.write(body or b"")
+                    fs.move(f"{folder}/.{part}", f"{folder}/{name}")
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    picked.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return root
+
+
 def append_feedback(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from modwarden import fixed_values as fv
 from modwarden.functions import scores as sc
 from modwarden.operators.lexicon import INLINE_LIMIT, compile_lexicon, match_by_join, match_inline
 from modwarden.profiles import MediaPolicy
@@ -80,8 +81,8 @@ def stream_stats(verdicts: DataFrame, *by: str) -> DataFrame:
     return verdicts.groupBy(*by).count()
 
 
-def stream_verdict_state(findings: DataFrame, key: str, order: str) -> DataFrame:
-    """Two-phase verdict per unit and source: the strongest finding so far, newest among equals.
+def stream_verdict_state(findings: DataFrame, key: str, order: str, image: str = "image_key") -> DataFrame:
+    """Two-phase verdict per unit, source and image: the strongest finding so far, newest among equals.
 
     Merging is a maximum over (is block, order), so Spark's own incremental aggregation keeps the
     state: partial results are combined before the shuffle and a unit with very many findings costs
@@ -90,15 +91,22 @@ def stream_verdict_state(findings: DataFrame, key: str, order: str) -> DataFrame
     is_block = (F.col("action") == "block").cast("int")
     return (
         findings.filter(F.col("action").isin("flag", "block"))
-        .groupBy(key, "source")
+        .groupBy(key, "source", F.coalesce(F.col(image), F.lit("")).alias(image))
         .agg(F.max(F.struct(is_block.alias("b"), F.col(order).alias("seen"), "action")).alias("m"))
-        .select(key, "source", "m.seen", "m.action")
+        .select(key, "source", image, "m.seen", "m.action")
     )
 
 
-def latest_verdicts(updates: DataFrame, key: str) -> DataFrame:
-    """Current verdict per unit from the update log of :func:`stream_verdict_state`."""
-    newest = updates.groupBy(key, "source").agg(F.max_by(F.struct("action", "seen"), "batch_id").alias("r"))
+def latest_verdicts(updates: DataFrame, key: str, image: str = "image_key", shown: DataFrame | None = None) -> DataFrame:
+    """Current verdict per unit from the update log of :func:`stream_verdict_state`.
+
+    With ``shown`` (key, image) media findings count only on images that their unit still shows.
+    """
+    newest = updates.groupBy(key, "source", image).agg(F.max_by(F.struct("action", "seen"), "batch_id").alias("r"))
+    if shown is not None:
+        media = F.col("source").isin(*fv.MEDIA_SOURCES)
+        still = newest.filter(media).join(shown.select(key, image).distinct(), [key, image], "left_semi")
+        newest = newest.filter(~media).unionByName(still)
     return newest.groupBy(key).agg(
         sc.rank_action(F.max(sc.action_rank(F.col("r.action")))).alias("action"),
         F.count("*").alias("reasons"),
@@ -145,11 +153,17 @@ MEDIA_OUT = "unit_key string, seq long, kind string, outcome string, attempt int
 MEDIA_STATE = "fp string, image_attempts int, ocr_attempts int, action string"
 
 
+def media_identity(fp: Column, settings_policy: Column, generation: Column | None = None) -> Column:
+    """What a media result must match to count: the image set, the settings it was made under, the unit's generation."""
+    return F.concat_ws("|", fp, settings_policy, *([generation.cast("string")] if generation is not None else []))
+
+
 def media_lifecycle(policy: MediaPolicy = MediaPolicy()):
     """State step of one unit's media: which results count, which are stale, what is retried.
 
-    Input rows: ``seq, kind (request | image | ocr | image-failed | ocr-failed), fp, action``. A
-    request names the unit's latest image set; results of another set are stale. Failures are
+    Input rows: ``seq, kind (request | image | ocr | image-failed | ocr-failed), fp, action``, where
+    ``fp`` is the :func:`media_identity`, so a result under other settings is as stale as one of other
+    images. A request names the unit's latest image set; results of another set are stale. Failures are
     retried within their allowance, which starts again with a new image set. A verdict only rises.
     """
 
@@ -286,12 +300,18 @@ def recycled(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def stream_recycled_units(events: DataFrame) -> DataFrame:
-    """``events`` has slot, seq, unit_key; join returning keys with the store for their verdicts."""
+    """``events`` has slot, seq, unit_key."""
     return events.groupBy("slot").applyInPandasWithState(
         recycled, SLOT_OUT, "current string", "append", GroupStateTimeout.NoTimeout
     )
 
 
+def stored_verdicts(slots: DataFrame, store: DataFrame, key: str = "unit_key", action: str = "action") -> DataFrame:
+    """Slot changes with the verdict to show: a key that is known takes its stored one, a new one waits as ``pending``."""
+    known = store.select(F.col(key), F.col(action).alias("shown"))
+    return slots.join(known, key, "left").withColumn("shown", F.coalesce("shown", F.lit("pending")))
+
+
 def late_media_batch(texts: DataFrame, media: DataFrame, key: str, wait_ms: int) -> DataFrame:
     """Batch form of the bounded wait for one text per key: in time, late or never."""
     first = media.groupBy(key).agg(F.min("ts_ms").alias("media_ms"))
