@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,7 @@ class Vocabulary:
         self.bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
         self.piece = [p.piece for p in model.pieces]
         self.is_byte = {i: b for b, i in self.bytes_.items()}
+        self.last_byte = max(self.is_byte, default=-1)
         # Symbols: ids of pieces; every other character gets a number above them, for the units of one batch.
         self.ids = {p: i for p, (i, _) in plain.items()}
         order = {s: r for r, s in enumerate(sorted({s for _, s in plain.values()}, reverse=True))}
@@ -99,13 +101,13 @@ class Vocabulary:
             offer(i, after[i])
         return [s for s, on in zip(sym, alive, strict=True) if on]
 
-    def merge_all(self, units: list[str]) -> list[list[int | str]]:
-        """The agenda over many short units of one length each: per round, every unit's best pair is merged."""
+    def merge_all(self, units: list[str]) -> list[list[int]]:
+        """Ids of many units, by an agenda over all short units of one length: per round, every unit's best pair is merged."""
         out: list = [None] * len(units)
         by_length: dict[int, list[int]] = {}
         for i, u in enumerate(units):
             if len(u) > LONG_UNIT:
-                out[i] = self.heap_merge(u)
+                out[i] = self.to_ids(self.heap_merge(u))
             else:
                 by_length.setdefault(len(u), []).append(i)
         for length, members in by_length.items():
@@ -123,7 +125,10 @@ class Vocabulary:
 
             def finish(rows, held, names=None, seen=seen):
                 for i, s in zip(rows.tolist(), held.tolist(), strict=True):
-                    out[i] = [x if x < len(self.piece) else chr(seen[x - len(self.piece)]) for x in s]
+                    out[i] = s
+                for r in np.flatnonzero((held >= len(self.piece)).any(1)).tolist():
+                    i = int(rows[r])
+                    out[i] = self.to_ids([x if x < len(self.piece) else chr(seen[x - len(self.piece)]) for x in out[i]])
 
             while True:
                 rank = self.rank[pair]
@@ -164,21 +169,23 @@ class Vocabulary:
 
     def to_text(self, ids: list[int]) -> str:
         """Pieces joined, bytes decoded; the space sign stays."""
+        if not ids or min(ids) > self.last_byte:
+            return "".join(map(self.piece.__getitem__, ids))
         raw = b"".join(bytes((self.is_byte[i],)) if i in self.is_byte else self.piece[i].encode() for i in ids)
         return raw.decode("utf-8", "replace")
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        """Ids of each unit, held against the library's ids and text of the same unit."""
-        got = [self.to_ids(s) for s in self.merge_all(units)]
+    def encode_units(self, units: list[str]) -> tuple[list[list[int]], list[str]]:
+        """Ids and text of each unit, held against the library's ids of the same unit and its text of all ids in a row."""
+        got = self.merge_all(units)
+        texts = [self.to_text(ids) for ids in got]
         # The library puts a space sign before its input, but not before an empty one: a lone sign is one piece.
         led = [i for i, u in enumerate(units) if len(u) > 1]
         for i, ids in zip(led, self.library.encode([units[i][1:] for i in led], num_threads=1) if led else [], strict=True):
             if ids != got[i]:
                 raise ValueError(f"unit {units[i]!r}: {got[i]} differs from the library's {ids}")
-        for ids, text in zip((got[i] for i in led), self.library.decode([got[i] for i in led]) if led else [], strict=True):
-            if self.to_text(ids)[1:].replace(SPACE, " ") != text:
-                raise ValueError(f"ids {ids} decode to {text!r} in the library")
-        return got
+        if units and "".join(texts)[1:].replace(SPACE, " ") != self.library.decode(list(chain.from_iterable(got))):
+            raise ValueError("the library decodes these ids to another text")
+        return got, texts
 
 
 @lru_cache(maxsize=2)
@@ -200,6 +207,7 @@ class Encoder:
 
     def __init__(self, path: str, kept: int = KEPT_UNITS):
         self.vocab, self.kept = vocabulary(path), kept
+        self.digits = list(map(str, range(len(self.vocab.piece))))
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
 
@@ -207,9 +215,9 @@ class Encoder:
         """(decimal ids joined by one space, end id last; decoded text) of each text."""
         cut = [units_of(t) for t in texts]
         new = list(set().union(*cut).difference(self.ids)) if cut else []
-        for u, ids in zip(new, self.vocab.encode_units(new), strict=True):
-            self.ids[u] = " ".join(map(str, ids))
-            self.text[u] = self.vocab.to_text(ids).replace(SPACE, " ")
+        for u, ids, text in zip(new, *self.vocab.encode_units(new), strict=True):
+            self.ids[u] = " ".join(map(self.digits.__getitem__, ids))
+            self.text[u] = text.replace(SPACE, " ")
         end = str(self.vocab.end)
         out = []
         for us in cut:
