@@ -51,7 +51,7 @@ def split_long_unit(text: Column, children: Column, policy: UnitPolicy = UnitPol
 
 def admit_units(units: DataFrame, site: str, text: str, images: str | None = None, rules: Sequence[SiteRule] = SITE_RULES) -> DataFrame:
     """Units with enough text for their site, or with an image."""
-    least = F.lit(UnitPolicy().min_chars_generic)
+    least = F.lit(UnitPolicy().min_chars_site)
     for rule in rules:
         least = F.when(F.col(site) == rule.site, rule.min_chars).otherwise(least)
     keep = F.length(F.coalesce(F.col(text), F.lit(""))) >= least

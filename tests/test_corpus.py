@@ -103,6 +103,47 @@ def test_copies(spark):
     assert counts(cp.copies_v4(t, y)) == [8, 2, 4, 1]
 
 
+def test_unknown_flags_and_no_copies_keep_the_row(spark):
+    df = spark.createDataFrame([(1, "train", 1, None), (2, "train", None, "t"), (3, None, 1, "t"), (4, "val", None, None)], "id int, split string, y int, l string")
+    y, t = F.col("y") == 1, F.col("l") == "t"
+    for copies, want in ((cp.copies_v2(y, t), [2, 2, 1, 1]), (F.lit(0), [1, 1, 1, 1]), (F.lit(None), [1, 1, 1, 1]), (F.lit(-3), [1, 1, 1, 1])):
+        assert [r["count"] for r in cp.oversample(df, copies).groupBy("id").count().orderBy("id").collect()] == want
+
+
+def test_merged_corpus_has_unique_texts(spark):
+    rows = [(1, "Une phrase sans accent", "fr"), (2, "Déjà vu encore", "fr"), (3, "deja vu encore", "en"), (4, "x", "fr")] + [(i, f"row number {i}", "en") for i in range(5, 60)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    merged = cp.union_corpora({"a": (df, {}), "b": (df, {})}, ["id", "text", "lang"], "id")
+    grown = cp.augment_union(merged, F.col("lang") == "fr", tx.fold_accents(F.lower("text")), "text", "plain", id_col="id")
+    assert grown.select("id").distinct().count() == grown.count()
+    out = cp.prepare_merged(grown.withColumn("label", F.lit(0)), "id", F.lit(2)).collect()
+    text = {r.id: norm(r.text) for r in grown.collect()}
+    first = [r for r in out if r.copy == 1]
+    assert len({text[r.id] for r in first}) == len(first) == len({t for t in text.values() if len(t) >= 3})
+    assert not {text[r.id] for r in out if r.split == "train"} & {text[r.id] for r in out if r.split != "train"}
+
+
+def test_ranks_take_one_shuffle(spark):
+    """The rank window reuses the shuffle of its join; nulls in the group are a group."""
+    from modwarden.operators.ranking import hashed_order, rank_by_hash
+
+    rows = [(i, None if i % 3 == 0 else i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, g int").withColumn("_o", hashed_order(42, "k"))
+    out = rank_by_hash(df, ["g"], "_o").collect()
+    for g in (None, 1, 2):
+        own = sorted((r["_o"], r["rank"]) for r in out if r.g == g)
+        assert [x[1] for x in own] == list(range(1, 31)) and {r.group_size for r in out if r.g == g} == {30}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rank_by_hash(df, ["g"], "_o")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One for the rows, one for the slice counts, one for their running sums, one to bring those back.
+    assert plan.count("Exchange hashpartitioning") <= 4
+
+
 def test_audit_and_prepare_leave_no_leak(spark):
     rows, df = corpus(spark)
     terms = spark.createDataFrame([("text 7",)], "term string")

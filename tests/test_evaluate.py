@@ -57,7 +57,7 @@ def test_sweep_and_pick_equal_brute_force(spark, name):
     sweep = ev.threshold_sweep(frame(spark, rows), "s", "y")
     got = sorted(tuple(r) for r in sweep.collect())
     assert len(got) == 91
-    for t, n, tp, p, r, f1 in got:
+    for t, n, tp, p, r, f1, _ in got:
         assert (n, tp) == pr(rows, t)[:2] and abs(f1 - pr(rows, t)[4]) < 1e-12
     row = ev.pick_thresholds(sweep).first()
     assert (row.flag_threshold, row.block_threshold) == pick(rows)
@@ -79,6 +79,11 @@ def test_metrics_gate_and_empty(spark):
     assert empty.precision == empty.recall == empty.f1 == 0.0
 
 
+def test_gate_compares_exact_ratios(spark):
+    m = spark.createDataFrame([(6_999_997, 3_000_003, 0, 0), (7, 3, 0, 3), (0, 0, 5, 0)], "tp long, fp long, tn long, fn long")
+    assert [r.passed for r in ev.acceptance_gate(m).collect()] == [False, True, False]
+
+
 def test_compare_versions_keeps_one_sided_rows(spark):
     a = spark.createDataFrame([(1, .5), (2, .25)], "k int, score double")
     b = spark.createDataFrame([(2, .5), (3, .1)], "k int, score double")

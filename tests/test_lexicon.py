@@ -73,6 +73,19 @@ def test_join_equals_inline(spark, lexicon):
     assert flat(lx.match_by_join(df, "id", "text", lexicon)) == flat(lx.lexicon_verdicts(df, "id", "text", lexicon))
 
 
+def test_paths_agree_on_short_terms_and_nulls(spark):
+    rows = [("q", "phrase", "demo", 5, "block"), ("nd", "phrase", "demo", 3, "flag"), ("xyz", "phrase", "demo", 3, "flag"), ("z", "token", "demo", 5, "block"), ("र", "phrase", "demo", 5, "block")]
+    lexicon = spark.createDataFrame(rows, lx.LEXICON_SCHEMA)
+    df = spark.createDataFrame(list(enumerate(["a quick end", "z", "and so", "xyzzy", "", None, "र र", "plain"])), "id int, text string")
+
+    def flat(d):
+        return sorted((r.id, r.lexicon_action, sorted((h.term, h.tier) for h in r.hits)) for r in d.collect())
+
+    inline, joined = flat(lx.lexicon_verdicts(df, "id", "text", lexicon)), flat(lx.lexicon_verdicts(df, "id", "text", lexicon, limit=0))
+    assert inline == joined
+    assert [x[1] for x in inline] == ["block", "block", "flag", "flag", "none", "none", "block", "none"]
+
+
 def test_size_decides_the_path(spark, lexicon):
     assert lx.compile_lexicon(lexicon, limit=3) is None
     df = spark.createDataFrame([(1, "you badword")], "id int, text string")
@@ -96,7 +109,7 @@ def test_default_lexicon_cases(spark, text, action):
 
 def test_contains_paths_agree(spark):
     df = spark.createDataFrame([(1, "An Abc def"), (2, "ab"), (3, "xabcx"), (4, "de f")], "id int, text string")
-    terms = spark.createDataFrame([("abc",), ("c d",)], "term string")
+    terms = spark.createDataFrame([("abc",), ("c d",), ("",)][:2], "term string")
     joined = sorted(r.id for r in lx.rows_with_terms(df, "id", "text", terms, 3).collect())
     inline = sorted(r.id for r in df.filter(lx.contains_term(F.lower("text"), terms)).collect())
     assert joined == inline == [1, 3]

@@ -28,7 +28,7 @@ def test_parts_limits_fallback_and_entities(spark):
     long = "<p>" + "word " * 500 + "</p>" + "<li>an entry of the list</li>" * 70
     bare = "<div>Bare text of a modern &amp; simple site<br>here</div><div>short</div>"
     out = pages(spark, long, bare)
-    limited = pg.part_rows(out).collect()
+    limited = pg.part_rows(out, PartPolicy()).collect()
     assert sum(r.page_id == 0 for r in limited) == 60
     assert max(len(r.text) for r in limited) == 2001
     whole = pg.part_rows(out, PartPolicy.whole()).collect()
@@ -37,18 +37,68 @@ def test_parts_limits_fallback_and_entities(spark):
 
 
 def test_node_spans_and_squeezed_lengths():
-    nodes, text = hm.page_nodes("<div> a  b<p>c <b>d</p>\n<p>e</div><img src=x>tail")
-    got = {n["tag"]: text[n["start"]:n["end"]] for n in nodes if n["tag"] in ("div", "b")}
+    tree, text = hm.page_tree("<div> a  b<p>c <b>d</p>\n<p>e</div><img src=x>tail")
+    spans = list(zip(tree.start, tree.end, strict=True))
+    got = {t: text[a:b] for t, (a, b) in zip(tree.tag, spans, strict=True) if t in ("div", "b")}
     assert got["div"] == " a  bc d\ne" and got["b"] == "d"
-    spans = [(n["start"], n["end"]) for n in nodes]
-    assert hm._squeezed_lengths(text, spans) == [len(" ".join(text[a:b].split())) for a, b in spans]
-    paragraphs = [n for n in nodes if n["tag"] == "p"]
-    assert len({n["parent"] for n in paragraphs}) == 1
+    assert hm._squeezed_lengths(text, tree.start, tree.end) == [len(" ".join(text[a:b].split())) for a, b in spans]
+    assert len({p for t, p in zip(tree.tag, tree.parent, strict=True) if t == "p"}) == 1
+    assert hm._squeezed_lengths("", [0], [0]) == [0]
 
 
 def test_unclosed_inline_does_not_nest_paragraphs():
-    nodes, _ = hm.page_nodes("<article><p><b>one<br><p>two</p><p>three</p></article>")
-    assert [n["parent"] for n in nodes if n["tag"] == "p"] == [0, 0, 0]
+    tree, _ = hm.page_tree("<article><p><b>one<br><p>two</p><p>three</p></article>")
+    assert [p for t, p in zip(tree.tag, tree.parent, strict=True) if t == "p"] == [0, 0, 0]
+
+
+def test_many_siblings_are_parsed_in_pieces():
+    import time
+
+    import pandas as pd
+
+    html = "<ul>" + "<li>entry of a very long list</li>" * 50_000 + "</ul>"
+    start = time.perf_counter()
+    frames = list(hm.node_frames(iter([pd.DataFrame({"page_id": [1], "html": [html]})])))
+    assert time.perf_counter() - start < 20
+    assert max(map(len, frames)) <= hm.NODES_AT_ONCE and sum(map(len, frames)) == 50_001
+    last = frames[-1].iloc[-1]
+    assert (last["child_ix"], last["text_len"], last["part_text"]) == (49_999, 25, "entry of a very long list")
+
+
+POST = """<html><body><div class="sidebar"><p>A paragraph of the side bar</p></div><div role="navigation"><p>Where to go from here</p></div>
+<article><header><p>Byline of the article</p></header><aside><p>outer aside text here</p><aside>inner</aside>still the outer aside here</aside>
+<blockquote><p>A quoted paragraph of text</p></blockquote><p>{long}</p><p>{long}<img src="https://cdn.test/photo.jpg"></p>
+<div class="ad-slot"><p>Buy this thing right now</p></div><img src="https://cdn.test/logo.png"><img src="https://cdn.test/a.jpg"></article>
+<div class="gallery-item"><img src="https://cdn.test/g.jpg"></div></body></html>"""
+
+
+def test_parts_of_units_leave_chrome_out(spark):
+    nodes = pg.node_table(pages(spark, POST.format(long="word " * 40)))
+    article = nodes.filter("tag = 'article'").select("page_id", "node")
+    (row,) = pg.unit_parts(article, nodes).collect()
+    assert [(p.tag, p.text[:12]) for p in row.parts] == [("p", "Byline of th"), ("blockquote", "A quoted par"), ("p", "word word wo"), ("p", "word word wo")]
+    assert [p.ix for p in row.parts] == [0, 1, 2, 3]
+    (row,) = pg.unit_images(article, nodes).collect()
+    assert [u.rsplit("/", 1)[1] for u in row.images] == ["photo.jpg", "logo.png", "a.jpg"]
+    short = pg.unit_parts(article, nodes, PartPolicy(max_chars=20, max_parts=3)).first().parts
+    assert len(short) == 3 and short[2].text == "word word word word …"
+
+
+def test_detected_units_are_split_admitted_and_keyed(spark):
+    whole, long = POST.format(long="two words"), POST.format(long="many words " * 40)
+    rows = [(0, "https://a.test/x", whole), (1, "https://a.test/x", long), (2, "https://www.instagram.com/p/abc/", long), (3, "https://a.test/y", "<p>hi</p>"), (4, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    units = pg.detected_units(df).collect()
+    of = {i: [u for u in units if u.page_id == i] for i in range(5)}
+    assert not of[3] and not of[4]
+    # One article and the gallery beside it; images filtered, text without the chrome.
+    assert sorted((u.tier, len(u.images)) for u in of[0]) == [("media", 1), ("semantic", 2)]
+    assert all("Buy" not in u.text and "aside" not in u.text for u in units)
+    # A long one becomes its big children, each with its own images, unless the site forbids it.
+    split = [u for u in of[1] if u.was_split]
+    assert sorted(u.images for u in split) == [[], ["https://cdn.test/photo.jpg"]] and all(len(u.text) >= 140 for u in split)
+    assert len(of[2]) == 2 and not any(u.was_split for u in of[2])
+    assert len({u.unit_key for u in of[1]}) == len(of[1])
 
 
 def test_detection_tiers(spark):

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from modwarden.functions import identity as idn
@@ -26,13 +27,59 @@ def test_store_upserts_replays_and_compacts(spark, tmp_path):
     rows = log(spark).drop("reasons")
     newer = rows.filter("key = 'a'").withColumn("ts", F.lit(900).cast("long")).withColumn("action", F.lit("clean"))
     older = rows.filter("key = 'a'").withColumn("ts", F.lit(1).cast("long"))
-    store.upsert(rows, 0)
-    store.upsert(newer, 1)
-    store.upsert(newer, 1)
+    store.upsert(rows, "w-0")
+    store.upsert(newer, "w-1")
+    store.upsert(newer, "w-1")
     store.compact()
-    store.upsert(older, 2)
+    store.upsert(older, "w-2")
     got = {r.key: (r.ts, r.action) for r in store.read().collect()}
     assert got["a"] == (900, "clean") and len(got) == 4 and store.log().count() == 5
+    store.compact()
+    assert store.log().count() == 4
+    for name in (0, "7", "base-x"):
+        with pytest.raises(ValueError, match="name a batch"):
+            store.upsert(rows, name)
+
+
+def test_a_batch_written_during_compaction_stays(spark, tmp_path):
+    store = sk.VerdictStore(spark, str(tmp_path / "s"), "key", ["ts"])
+    store.upsert(spark.createDataFrame([("a", 1)], "key string, ts long"), "w-0")
+    names = store._live()
+    store.upsert(spark.createDataFrame([("b", 2)], "key string, ts long"), "w-1")
+    store._live, live = (lambda: names), store._live
+    store.compact()
+    store._live = live
+    assert sorted(r.key for r in store.read().collect()) == ["a", "b"]
+
+
+def test_two_streams_share_a_store(spark, tmp_path):
+    """Batch numbers of two jobs, or of a job that starts afresh, never overwrite each other."""
+    from modwarden.streaming import jobs as sj
+
+    for i, key in enumerate(("k1", "k2")):
+        spark.createDataFrame([(key, i)], "key string, seq long").write.parquet(str(tmp_path / f"in{i}"))
+        stream = sj.read_stream(spark, str(tmp_path / f"in{i}"), "key string, seq long")
+        store = sk.VerdictStore(spark, str(tmp_path / "out/store"), "key", ["seq"])
+        writer = store.writer(str(tmp_path / f"state{i}"))
+        assert writer == store.writer(str(tmp_path / f"state{i}"))
+        query = stream.writeStream.option("checkpointLocation", str(tmp_path / f"state{i}")).trigger(availableNow=True).foreachBatch(
+            lambda batch, n, writer=writer: store.upsert(batch, f"{writer}-{n}")
+        ).start()
+        query.awaitTermination()
+    assert sorted(r.key for r in store.read().collect()) == ["k1", "k2"]
+
+
+def test_no_shared_folder_on_a_cluster():
+    from modwarden.session import shared_dir
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster, "x")
+    Cluster.conf.get = staticmethod(lambda key, default=None: {"spark.checkpoint.dir": "hdfs:///shared/"}.get(key, default))
+    assert shared_dir(Cluster, "x").startswith("hdfs:///shared/x-")
 
 
 def test_cache_needs_both_policies(spark):
@@ -132,7 +179,9 @@ def test_fingerprints(spark):
     df = spark.createDataFrame(rows, "i array<struct<url:string,data:string>>")
     keys = F.transform("i", lambda x: idn.source_key(x["url"], x["data"]))
     a, b, c, d, e = [r.f for r in df.select(idn.media_fingerprint(keys).alias("f")).collect()]
-    assert a == b != c and d == e != a
+    assert a == b != c and len({a, c, d, e}) == 4
+    d, e = [r.f for r in df.select(idn.media_fingerprint(keys, 3).alias("f")).collect()][3:]
+    assert d == e
 
 
 def test_gif_and_video(spark):

@@ -63,11 +63,76 @@ def test_late_media_is_kept(spark, tmp_path):
     t = 1_700_000_000_000
     rows = [("a", "text", t), ("a", "media", t + 4000), ("b", "text", t), ("b", "media", t + 9000), ("c", "text", t),
             ("z", "media", t + 60000)]
-    stream = files(spark, rows, "unit_key string, kind string, ts_ms long", str(tmp_path), 2)
-    out = sj.run_to_table(sj.stream_late_media(stream.withColumn("at", F.timestamp_millis("ts_ms")), "at", MediaPolicy()), "t")
-    assert sorted((r.unit_key, r.at_ms - t, r.outcome) for r in out.collect()) == [
+    want = [
         ("a", 4000, "published-with-media"), ("b", 6000, "published-without-media"), ("b", 9000, "late-upgrade"),
         ("c", 6000, "published-without-media")]
+    for i, (order, n) in enumerate(((rows, 2), (rows[::-1], 6), (rows[3:] + rows[:3], 5))):
+        stream = files(spark, order, WAIT_SCHEMA, str(tmp_path / str(i)), n)
+        out = sj.settled_media(sj.run_to_table(sj.stream_late_media(stream, MediaPolicy()), "t", "update"))
+        assert sorted((r.unit_key, r.at_ms - t, r.outcome) for r in out.collect()) == want
+
+
+WAIT_SCHEMA = "unit_key string, kind string, ts_ms long"
+
+
+def test_bounded_wait_is_the_same_for_any_cut():
+    """The state step over random cuts and orders, held against all events at once."""
+    import pandas as pd
+
+    class State:
+        exists, value = False, None
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+    def settle(chunks, keep):
+        state, step, rows = State(), sj.late_media(50, keep), []
+        for chunk in chunks:
+            frame = pd.DataFrame(chunk, columns=["kind", "ts_ms"])
+            for out in step(("u",), iter([frame[:1], frame[1:]] if len(chunk) > 1 else [frame]), state):
+                rows += list(out.itertuples(index=False, name=None))
+        last = max(r[3] for r in rows)
+        return sorted((r[1], r[2]) for r in rows if r[3] in (0, last) and r[2] is not None)
+
+    rng = random.Random(11)
+    for _ in range(60):
+        events = [(rng.choice(("text", "media")), t) for t in rng.sample(range(1000), 12)]
+        whole = settle([events], 10_000)
+        shuffled = rng.sample(events, len(events))
+        cuts = sorted(rng.sample(range(1, 12), 4))
+        parts = [shuffled[a:b] for a, b in zip([0, *cuts], [*cuts, 12], strict=True)]
+        assert settle(parts, 10_000) == whole
+        # In time order a short memory is enough, and what is old enough leaves the state.
+        ordered = sorted(events, key=lambda e: e[1])
+        assert settle([ordered[a:b] for a, b in zip([0, *cuts], [*cuts, 12], strict=True)], 200) == whole
+
+
+def test_large_lexicons_stream(spark, tmp_path):
+    from modwarden.operators import lexicon as lx
+
+    rows = [(1, "you badword"), (2, "nothing here"), (3, None), (4, "BADWORD z")]
+    terms = [("badword", "token", "en", 5, "block"), ("z", "token", "en", 3, "flag")] + [(f"filler{i}", "token", "en", 3, "flag") for i in range(1100)]
+    lexicon = spark.createDataFrame(terms, lx.LEXICON_SCHEMA)
+    got = []
+    for i, limit in enumerate((2000, lx.INLINE_LIMIT)):
+        stream = files(spark, rows, "id int, text string", str(tmp_path / str(i)), 4)
+        out = sj.stream_lexicon_verdicts(stream, "id", "text", lexicon, ["id", "size(hits) AS n", "lexicon_action"], "t", limit)
+        got.append(sorted(map(tuple, out.collect())))
+    assert got[0] == got[1] == [(1, 1, "block"), (2, 0, "none"), (3, 0, "none"), (4, 2, "block")]
+
+
+def test_returning_keys_and_images_no_longer_shown(spark):
+    slots = spark.createDataFrame([("s", 1, "a", "first"), ("s", 2, "b", "recycled")], "slot string, seq long, unit_key string, outcome string")
+    store = spark.createDataFrame([("a", "block")], "unit_key string, action string")
+    assert {r.unit_key: r.shown for r in sj.stored_verdicts(slots, store).collect()} == {"a": "block", "b": "pending"}
+    updates = spark.createDataFrame(
+        [("k", "image", "i1", 1, "block", 0), ("k", "image", "i2", 2, "flag", 0), ("k", "text", "", 3, "flag", 1)],
+        "key string, source string, image_key string, seen long, action string, batch_id long",
+    )
+    shown = spark.createDataFrame([("k", "i2")], "key string, image_key string")
+    assert tuple(sj.latest_verdicts(updates, "key").first()) == ("k", "block", 3, 1)
+    assert tuple(sj.latest_verdicts(updates, "key", shown=shown).first()) == ("k", "flag", 2, 0)
 
 
 def test_recycled_slots(spark, tmp_path):
