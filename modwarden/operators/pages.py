@@ -337,22 +337,24 @@ def unit_parts(units: DataFrame, nodes: DataFrame, policy: PartPolicy = PartPoli
     A block with enough text is a part, unless it stands inside another one. A unit without blocks falls back to
     plain containers, and one that is itself a text element to itself.
     """
-    def pick(tags: Sequence[str], of: DataFrame) -> DataFrame:
-        found = _inside(of, nodes.filter(F.col("tag").isin(*tags) & ~F.col("chrome") & (F.length("part_text") >= policy.min_chars)), "tag", "part_text")
-        listed = found.groupBy("page_id", F.col("_unit").alias("node")).agg(
-            F.array_sort(F.collect_list(F.struct(F.col("node").alias("n"), "path", "tag", F.col("part_text").alias("text")))).alias("all")
-        )
-        outer = F.filter("all", lambda p: ~F.arrays_overlap(p["path"], F.transform("all", lambda x: x["n"])))
-        return listed.select("page_id", "node", outer.alias("parts"))
-
-    keys = units.select("page_id", "node").distinct()
-    blocks = pick(fv.BLOCK_TAGS, keys)
-    rest = keys.join(blocks, ["page_id", "node"], "left_anti")
-    plain = pick(fv.FALLBACK_TAGS, rest)
-    alone = rest.join(plain, ["page_id", "node"], "left_anti").join(nodes.filter(F.length("part_text") >= policy.min_chars), ["page_id", "node"]).select(
-        "page_id", "node", F.array(F.struct(F.col("node").alias("n"), "path", "tag", F.col("part_text").alias("text"))).alias("parts")
+    texts = nodes.filter(F.length("part_text") >= policy.min_chars)
+    inside = _inside(units, texts.filter(~F.col("chrome")), "tag", "part_text")
+    row = F.struct(F.col("node").alias("n"), "path", "tag", F.col("part_text").alias("text"))
+    listed = inside.groupBy("page_id", F.col("_unit").alias("node")).agg(F.array_sort(F.collect_list(row)).alias("all"))
+    own = texts.select("page_id", "node", F.array(row).alias("own"))
+    none = F.array().cast(own.schema["own"].dataType)
+
+    def outer(tags: Sequence[str]) -> Column:
+        """Of the elements with one of these tags those that stand in no other of them."""
+        of = F.filter(F.coalesce("all", none), lambda p: p["tag"].isin(*tags))
+        return tx.let(of, lambda x: F.filter(x, lambda p: ~F.arrays_overlap(p["path"], F.transform(x, lambda y: y["n"]))))
+
+    both = units.select("page_id", "node").distinct().join(listed, ["page_id", "node"], "left").join(own, ["page_id", "node"], "left")
+    chosen = both.select("page_id", "node", outer(fv.BLOCK_TAGS).alias("blocks"), outer(fv.FALLBACK_TAGS).alias("plain"), "own").select(
+        "page_id", "node",
+        F.when(F.size("blocks") > 0, F.col("blocks")).when(F.size("plain") > 0, F.col("plain")).otherwise(F.coalesce("own", none)).alias("parts"),
     )
-    found = blocks.unionByName(plain).unionByName(alone)
+    found = chosen.filter(F.size("parts") > 0)
     cut = F.col("parts")
     if policy.max_parts:
         cut = F.slice(cut, 1, policy.max_parts)
