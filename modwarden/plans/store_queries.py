@@ -375,13 +375,12 @@ def _(spark, d):
     return s.groupBy(F.col("s.state").alias("state"), F.col("s.retry").alias("retry")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "media_fingerprint",
-    f"""WITH {q.EV}, m AS (SELECT seq, ['https://cdn.test/' || image_key || '.jpg|d:' || length(props2) || ':' || md5(props2), 'https://cdn.test/u' || user_id || '.png', 'https://cdn.test/' || event_type || '.gif', 'https://cdn.test/extra.jpg'] AS keys
+_FINGERPRINT = f"""WITH {q.EV}, m AS (SELECT seq, ['https://cdn.test/' || image_key || '.jpg|d:' || length(props2) || ':' || md5(props2), 'https://cdn.test/u' || user_id || '.png', 'https://cdn.test/' || event_type || '.gif', 'https://cdn.test/extra.jpg'] AS keys
       FROM (SELECT *, 'k=' || k AS props2 FROM ev))
-    SELECT seq, sha256(to_json(list_sort(keys[1:3]))::VARCHAR) AS media_fp FROM m""",
-)
-def _(spark, d):
+    SELECT seq, sha256(to_json(list_sort(keys[1:3]))::VARCHAR) AS media_fp FROM m"""
+
+
+def image_source_keys():
     data = F.concat(F.lit("k="), F.col("k").cast("string"))
     cdn = F.lit("https://cdn.test/")
     keys = F.array(
@@ -390,7 +389,17 @@ def _(spark, d):
         idn.source_key(F.concat(cdn, "event_type", F.lit(".gif")), F.lit("")),
         F.concat(cdn, F.lit("extra.jpg")),
     )
-    return verdict_log(spark, d).select("seq", idn.media_fingerprint(keys).alias("media_fp"))
+    return keys
+
+
+@query("media_fingerprint", _FINGERPRINT)
+def _(spark, d):
+    return verdict_log(spark, d).select("seq", idn.media_fingerprint(image_source_keys(), 3).alias("media_fp"))
+
+
+@query("media_fingerprint_whole", _FINGERPRINT.replace("keys[1:3]", "keys"))
+def _(spark, d):
+    return verdict_log(spark, d).select("seq", idn.media_fingerprint(image_source_keys()).alias("media_fp"))
 
 
 @query(
