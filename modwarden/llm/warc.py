@@ -53,12 +53,12 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 
 def chunked(records: DataFrame, size: int = CHUNK) -> DataFrame:
-    """The record table as chunk rows; a record without payload is one empty chunk. Records get a number of their own."""
+    """The record table as chunk rows, each record's in a row; a record without payload is one empty chunk."""
     n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.length("payload"), F.lit(0)) / size)).cast("int")
-    rows = records.withColumn("chunks", n).withColumn("record", F.monotonically_increasing_id())
+    rows = records.withColumn("chunks", n)
     flat = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     data = F.coalesce(F.expr(f"substring(payload, chunk * {size} + 1, {size})"), F.lit(b""))
-    return flat.select("record", "page_id", "chunk", (F.col("chunk") == F.col("chunks") - 1).alias("last"), "url", "record_type", "refers_to", "payload_bytes", "payload_digest", data.alias("data"))
+    return flat.select("page_id", "chunk", (F.col("chunk") == F.col("chunks") - 1).alias("last"), "url", "record_type", "refers_to", "payload_bytes", "payload_digest", data.alias("data"))
 
 
 def _header(row: dict, length: int) -> bytes:
@@ -114,13 +114,12 @@ def _writer(folder: str, level: int):
 def write(records: DataFrame, folder: str, chunk: int = CHUNK, level: int = 1) -> DataFrame:
     """Archives of all records in ``folder``; returns the manifest ``(file, records, bytes)``, the files that count.
 
-    A record's chunks meet in one task, in order. Files that a lost or repeated task left are in no manifest.
+    Chunk rows are made where their record is, one record after the other, so they reach the writer in order
+    without a shuffle. Files that a lost or repeated task left are in no manifest.
     """
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    rows = chunked(records, chunk)
-    ordered = rows.repartition("page_id").sortWithinPartitions("page_id", "record", "chunk")
-    return materialize(ordered.mapInArrow(_writer(folder, level), "file string, records bigint, bytes bigint"), "manifest")
+    return materialize(chunked(records, chunk).mapInArrow(_writer(folder, level), "file string, records bigint, bytes bigint"), "manifest")
 
 
 class _Stream:
