@@ -40,9 +40,9 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each run of non-space bytes, and the first word of each row (plus the total)."""
-    space = _SPACE[data]
+    space = _SPACE[data] if space is None else space
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     before[offsets[:-1][offsets[:-1] < len(data)]] = True

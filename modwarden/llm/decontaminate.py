@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-Words are lower-cased runs of letters, marks and digits. An item is the multiset of its word shingles; its
+Words are lower-cased runs of digits, letters and other characters beyond ASCII punctuation. An item is the multiset of its word shingles; its
 fingerprint is their SimHash. In a document every window of as many words as an item has is fingerprinted from
 running bit counts, looked up in the blocks of the items of that size, and kept if within ``radius`` bits: with
 ``radius + 1`` blocks two such fingerprints agree in one block at least, so no window in the radius is missed.
@@ -19,12 +19,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -36,20 +34,40 @@ from modwarden.llm.simhash import majority
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS = 21
 ITEM_BLOCK, ITEM_BYTES = 5_000, 4 << 20
-_WORD = re.compile(r"[^\W_]+")
+# Runs of digits, letters and everything beyond ASCII but its signs and the general punctuation.
+_WORD = re.compile("[0-9a-z\u00c0-\u1fff\u2080-\U0010ffff]+")
 _PIECE = 1 << 15
+_SIGN = np.ones(256, bool)
+_SIGN[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = False
+_SIGN[128:] = False
+_BYTES, _WORDS = ar.Rolling(), ar.Rolling(0xD6E8FEB86659FD93)
+
+
+def _between_words(data: np.ndarray) -> np.ndarray:
+    """Which bytes of lower-cased UTF-8 stand between words, as the pattern has it."""
+    out = _SIGN[data]
+    # U+0080-U+00BF are two bytes that begin with C2, U+2000-U+207F three that begin with E2 80 or E2 81.
+    at = np.flatnonzero(data == 0xC2)
+    out[at] = out[at + 1] = True
+    at = np.flatnonzero(data == 0xE2)
+    at = at[(data[at + 1] & 0xFE) == 0x80]
+    out[at] = out[at + 1] = out[at + 2] = True
+    return out
+
 
+def shingle_hashes(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of all texts in order, repeats included, and the first of each text (plus the total).
 
-def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the word shingles in order, repeats included; a shorter text is one shingle."""
-    words = _WORD.findall(text.lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - size + 1)
-    joined = "\x1f".join(words).encode()
-    cuts = np.append(0, np.cumsum([len(w.encode()) + 1 for w in words])) if not joined.isascii() else np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))
-    spans = map(slice, cuts[:n].tolist(), (cuts[np.minimum(np.arange(n) + size, len(words))] - 1).tolist())
-    return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, spans)), np.uint64, n)
+    A text of fewer words is one shingle.
+    """
+    data, offsets = ar.utf8(pa.array([t.lower() for t in texts], pa.string()))
+    starts, ends, first = ar.words(data, offsets, _between_words(data))
+    hashed = ar.word_hashes(data, starts, ends, _BYTES)
+    n = np.diff(first)
+    counts = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+    row, at = ar.spread(counts)
+    at += first[:-1][row]
+    return ar.mix(_WORDS.spans(hashed, at, at + np.minimum(size, n[row]))), np.append(0, np.cumsum(counts))
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -71,10 +89,11 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], radius: int = RADIUS):
         self.radius, seen = radius, {}
-        for i, text in sorted(rows):
-            h = shingle_hashes(text)
-            if len(h):
-                seen.setdefault(h.tobytes(), (i, h))
+        rows = sorted(rows)
+        hashed, first = shingle_hashes([t for _, t in rows])
+        for (i, _), a, b in zip(rows, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b > a:
+                seen.setdefault(hashed[a:b].tobytes(), (i, hashed[a:b]))
         self.ids = [i for i, _ in seen.values()]
         self.shingles = [Counter(h.tolist()) for _, h in seen.values()]
         self.known = np.unique(np.concatenate([h for _, h in seen.values()])) if seen else np.zeros(0, np.uint64)
@@ -110,13 +129,23 @@ class Items:
 
     def found_in(self, text: str, least: float = SIMILARITY) -> dict[int, float]:
         """Items with a window of the text at or above the similarity, with the best one."""
-        h = shingle_hashes(text)
+        return self.found([text], least)[0]
+
+    def found(self, texts: list[str], least: float = SIMILARITY) -> list[dict[int, float]]:
+        """The same for many texts: hashed together, and only those that share a shingle are looked into."""
+        h, first = shingle_hashes(texts)
+        out: list[dict[int, float]] = [{} for _ in texts]
         if not len(h) or not len(self.known):
-            return {}
+            return out
         at = np.searchsorted(self.known, h)
-        shared = self.known[np.minimum(at, len(self.known) - 1)] == h
-        if not shared.any():
-            return {}
+        at[at == len(self.known)] = 0
+        shared = self.known[at] == h
+        for i in np.flatnonzero(ar.group_sums(shared, first)).tolist():
+            a, b = first[i], first[i + 1]
+            out[i] = self._search(h[a:b], shared[a:b], least)
+        return out
+
+    def _search(self, h: np.ndarray, shared: np.ndarray, least: float) -> dict[int, float]:
         best: dict[int, float] = {}
         before = np.append(0, np.cumsum(shared))
         for size in self.by_size:
@@ -187,11 +216,10 @@ def _search(docs: DataFrame, text_col: str, rows: list[tuple[int, str]], least:
 
     def run(batches):
         items = Items(shared.value, radius)
-        for batch in ar.slices(batches, "_dc_text"):
+        for batch in ar.slices(batches, "_dc_text", 2 << 20):
             texts = pc.fill_null(batch.column("_dc_text"), "").to_pylist()
             got = []
-            for text, have in zip(texts, batch.column("items").to_pylist(), strict=True):
-                best = items.found_in(text, least)
+            for best, have in zip(items.found(texts, least), batch.column("items").to_pylist(), strict=True):
                 got.append([*have, *({"item_id": i, "similarity": s} for i, s in best.items())])
             yield pa.RecordBatch.from_arrays([pa.array(got, f.type) if f.name == "items" else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
