@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modwarden.session import materialize
+from modwarden.session import discard, shared_dir
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,10 +14,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large-star and small-star rounds: each node's neighbours move to its smallest neighbour until nothing
     changes, after a number of rounds that is logarithmic in practice. The smallest neighbour is a combined
     minimum and joins back, so no task gathers the neighbours of a hot node. Every round is written to the
-    shared folder, which cuts the lineage.
+    shared folder, which cuts the lineage; the round before it is deleted then.
     """
+    spark = edges.sparkSession
+
+    def written(df: DataFrame) -> tuple[str, DataFrame]:
+        path = shared_dir(spark, "edges")
+        df.write.parquet(path)
+        return path, spark.read.parquet(path)
+
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
-    now = materialize(edges.filter(F.col(a) != F.col(b)).select(u, v).distinct(), "edges")
+    path, now = written(edges.filter(F.col(a) != F.col(b)).select(u, v).distinct())
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(down.withColumnRenamed("m", "v")).distinct(), "edges")
+        old, (path, now) = path, written(small.unionByName(down.withColumnRenamed("m", "v")).distinct())
+        discard(spark, old)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == mark:
             break
