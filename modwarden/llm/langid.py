@@ -29,6 +29,7 @@ MAX_GRAMS = 150_000
 CALIBRATION_ROWS = 4_000
 FRAGMENTS = (6, 12, 24)
 UNKNOWN = "und"
+SLICE = 2 << 20
 _CUT = 1_500_000
 
 
@@ -99,7 +100,7 @@ def _counts(order: int):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), names, pa.array(n[a : a + 100_000])], ["lang", "gram", "n"])
             held.clear()
 
-        for batch in ar.slices(batches, "text"):
+        for batch in ar.slices(batches, "text", SLICE):
             langs = batch.column("lang").to_pylist()
             texts = batch.column("text").to_pylist()
             for lang in sorted(set(langs)):
@@ -109,7 +110,7 @@ def _counts(order: int):
                 keys, at, n = np.unique(gram_hash(gram_sums(sym, order)[-1][ends], order), return_index=True, return_counts=True)
                 gram = sym[ends[at][:, None] - np.arange(order - 1, -1, -1)]
                 held.setdefault(lang, []).append((keys, gram, n))
-                if len(held[lang]) > 8:
+                if len(held[lang]) > 12:
                     held[lang] = [merge(held[lang])]
             if sum(len(p[0]) for ps in held.values() for p in ps) > _CUT:
                 yield from emit()
@@ -318,7 +319,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", reject
     def run(batches):
         model = shared.value
         scorer = Scorer(model) if model else None
-        for batch in ar.slices(batches, "_li_text"):
+        for batch in ar.slices(batches, "_li_text", SLICE):
             texts = pc.fill_null(batch.column("_li_text"), "").to_pylist()
             if model:
                 entropy, n, letters = scorer.entropies(texts)
