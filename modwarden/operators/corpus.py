@@ -22,16 +22,15 @@ def _digest(text: str, digest: str | None) -> Column:
 
 
 def dedupe_keep_first(df: DataFrame, text: str, order: str, digest: str | None = None) -> DataFrame:
-    """First row of each normalised text in the order of a column, ties by origin-free row content.
+    """First row of each normalised text in the order of a unique column.
 
     Only ``(digest, order)`` is aggregated, with map-side combining, so a text with a huge number
-    of copies shrinks to one pair per task before the shuffle. Rows are taken back by digest and
-    order, so an id that several texts share keeps one row of each text. ``digest`` names a column
-    that already holds :func:`text_digest`. Rows of one text that also share the order are one row.
+    of copies shrinks to one pair per task before the shuffle. ``digest`` names a column that
+    already holds :func:`text_digest`. Rows of several sources, and augmented copies, get ids of
+    their own from ``id_col`` of :func:`union_corpora` and :func:`augment_union`.
     """
-    keyed = df.withColumn("_digest", _digest(text, digest))
-    first = keyed.groupBy("_digest").agg(F.min(order).alias(order))
-    return keyed.join(first, ["_digest", order], "left_semi").dropDuplicates(["_digest", order]).select(*df.columns)
+    first = df.groupBy(_digest(text, digest).alias("_digest")).agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi")
 
 
 def remove_leakage(held: DataFrame, train: DataFrame, text: str = "text", digest: str | None = None) -> DataFrame:

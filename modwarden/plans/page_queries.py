@@ -17,7 +17,7 @@ WHOLE = PartPolicy.whole()
 
 
 def pages(spark, d):
-    return read_pages(spark, f"{d.rstrip('/')}/pages.parquet")
+    return read_pages(spark, d)
 
 
 def parts(spark, d, policy=WHOLE):

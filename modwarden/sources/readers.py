@@ -114,8 +114,8 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.posexplode("sentences").alias("ix", "s")).select("ix", "s.text", "s.label")
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("page_id", "url", "html")
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
 def sniff_format(content: Column | str) -> Column:
