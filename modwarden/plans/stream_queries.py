@@ -337,6 +337,10 @@ def _(spark, d):
     return spark.read.schema("ts string, key string, verdictAction string, expectedAction string").json(path)
 
 
+#: Posts in one thread file; a longer conversation is several threads.
+THREAD_POSTS = 1_000
+
+
 @query(
     "read_thread_corpus",
     """WITH p AS (SELECT conv_id, turn, md5(conv_id || ':' || turn) AS id, text, CASE WHEN conv_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, 't' || conv_id % 4 AS topic FROM conversations),
@@ -344,20 +348,21 @@ def _(spark, d):
     SELECT id, md5(text) AS text_md5, CASE WHEN mark = 'HOF' THEN 1 ELSE 0 END AS label, topic, split FROM k WHERE mark IS NOT NULL""",
 )
 def _(spark, d):
-    """Every conversation written as a thread folder of two JSON files, then read as a corpus."""
+    """Every conversation written as thread folders of two JSON files and bounded length, then read as a corpus."""
     root = shared_dir(spark, "threads")
     posts = rd.read_table(spark, d, "conversations").select(
         "conv_id", "turn", F.md5(F.concat_ws(":", "conv_id", "turn")).alias("tweet_id"), F.col("text").alias("tweet"),
+        F.floor(F.col("turn") / THREAD_POSTS).alias("block"),
         F.when(F.col("conv_id") % 3 == 0, "test").otherwise("train").alias("split"), F.concat(F.lit("t"), F.col("conv_id") % 4).alias("topic"),
     )
     first = F.substring("tweet_id", 1, 1)
     mark = F.when(first < "6", "HOF").when(first < "d", "NONE")
-    thread = posts.groupBy("split", "topic", "conv_id").agg(
+    thread = posts.groupBy("split", "topic", "conv_id", "block").agg(
         F.array_sort(F.collect_list(F.struct("turn", "tweet_id", "tweet"))).alias("p"),
         F.map_from_entries(F.collect_list(F.when(mark.isNotNull(), F.struct(F.col("tweet_id"), mark.alias("mark"))))).alias("m"),
     )
-    data = F.struct(F.col("p")[0]["tweet_id"].alias("tweet_id"), F.col("p")[0]["tweet"].alias("tweet"), F.transform(F.slice("p", 2, 1_000_000), lambda x: F.struct(x["tweet_id"].alias("tweet_id"), x["tweet"].alias("tweet"))).alias("comments"))
-    where = F.concat_ws("/", F.lit("a/data"), "split", "topic", "conv_id")
+    data = F.struct(F.col("p")[0]["tweet_id"].alias("tweet_id"), F.col("p")[0]["tweet"].alias("tweet"), F.transform(F.slice("p", 2, F.size("p")), lambda x: F.struct(x["tweet_id"].alias("tweet_id"), x["tweet"].alias("tweet"))).alias("comments"))
+    where = F.concat_ws("/", F.lit("a/data"), "split", "topic", F.concat_ws("-", "conv_id", "block"))
     return rd.read_thread_corpus(spark, sk.write_named(thread, root, {"data.json": (where, F.to_json(data)), "labels.json": (where, F.to_json("m"))})).select(
         "id", F.md5("text").alias("text_md5"), "label", "topic", "split"
     )

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -188,3 +189,17 @@ def test_gif_and_video(spark):
     df = spark.createDataFrame([("a.gif?x", 60.), ("data:image/gif;base64,x", 61.), ("a.gifv", float("inf")), (None, float("nan")), ("b.GIF", 0.)], "u string, d double")
     rows = df.select(idn.is_gif("u").alias("g"), idn.is_short_video("d").alias("v")).collect()
     assert [r.g for r in rows] == [True, True, False, False, True] and [r.v for r in rows] == [True, False, False, False, False]
+
+
+def test_long_conversation_is_written_as_bounded_threads(spark, tmp_path, monkeypatch):
+    from modwarden.plans import stream_queries as sq
+    from modwarden.plans.registry import QUERIES
+
+    monkeypatch.setattr(sq, "shared_dir", lambda spark, purpose: f"file://{tmp_path}/{purpose}")
+    rows = [(7, t, f"text {t}") for t in range(2_501)] + [(8, 0, "short")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/in/conversations.parquet")
+    out = {r.id: r.split for r in QUERIES["read_thread_corpus"](spark, f"{tmp_path}/in").collect()}
+    digests = [hashlib.md5(f"{c}:{t}".encode()).hexdigest() for c, t, _ in rows]
+    assert out.keys() == {x for x in digests if x[0] < "d"} and set(out.values()) == {"train"}
+    sizes = sorted(1 + len(json.loads(p.read_text())["comments"]) for p in (tmp_path / "threads").rglob("data.json"))
+    assert sizes == [1, 501, 1000, 1000]
