@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from modwarden.llm import chats, decontaminate, langid, pieces, quality, simhash, substrings, toxicity, warc, webp
+from modwarden.llm import balltree, chats, collocations, decontaminate, infill, langid, pieces, quality, simhash, substrings, toxicity, warc, webp
 from modwarden.sources.readers import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -116,3 +116,70 @@ def op8(spark, d):
     labels = read_table(spark, d, "labels").filter(~F.coalesce(fold(5, 0), F.lit(False)))
     model = quality.fit(docs.filter("not held_out"), labels)
     return quality.predict(docs, model).drop("text")
+
+
+_NEAREST = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)]) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND len(q.e) = len(c.e) AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op11_exact_top_k", _NEAREST)
+def op11(spark, d):
+    return balltree.top_k(read_table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+_PHRASES = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, m, unnest([ws[i : i + m - 1] for i in range(1, len(ws) - m + 2)]) AS w
+      FROM p, (VALUES (1), (2), (3)) AS k(m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, w, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, w, f AS a FROM f WHERE m > 1 AND f >= 10),
+held AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([w[1:2], w[2:3]]) AS part FROM c WHERE m = 3) GROUP BY ALL),
+cuts AS (SELECT c.*, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+         FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+         JOIN f x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1 : c.m]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+kept AS (SELECT best.lang, array_to_string(w, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN held ON held.lang = best.lang AND held.part = best.w
+         WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", _PHRASES)
+def op12(spark, d):
+    found = collocations.collocations(read_table(spark, d, "documents"))
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+_INFILL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+                  sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS h1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS h2,
+             ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT *, array_to_string(u[1 : least(h1, h2)], '') AS p, array_to_string(u[least(h1, h2) + 1 : greatest(h1, h2)], '') AS m,
+             array_to_string(u[greatest(h1, h2) + 1 : n], '') AS s,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM x)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+@query("op13_fill_in_middle", _INFILL)
+def op13(spark, d):
+    found = infill.transform(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "infill.*")
+    whole = infill.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256")
+    )

@@ -40,7 +40,7 @@ def sha(text):
 def test_equal_to_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("pages", "conversations", "documents"):
+    for t in ("pages", "conversations", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     cur = con.execute(ORACLES[name])
     columns = [c[0] for c in cur.description]
