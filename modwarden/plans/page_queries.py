@@ -300,17 +300,17 @@ def _(spark, d):
 
 @query(
     "unit_parts",
-    """WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article>(.*?)</article>', 1) AS h FROM pages)
-    SELECT page_id, len(list_filter(string_split_regex(h, '</?(?:p|h1)>'), lambda s: length(trim(regexp_replace(s, '<[^>]*>', '', 'g'))) > 60)) AS long_parts FROM a
-    WHERE length(regexp_replace(h, '<[^>]*>', '', 'g')) > 400""",
+    f"""WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article>(.*?)</article>', 1) AS h FROM pages),
+    s AS (SELECT page_id, unnest(string_split_regex(h, '</?(?:p|h1)>')) AS seg, generate_subscripts(string_split_regex(h, '</?(?:p|h1)>'), 1) AS pos FROM a),
+    t AS (SELECT page_id, pos, {q.squeeze(q.decode("regexp_replace(seg, '<[^>]*>', '', 'g')"))} AS text FROM s)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS ix, length(text) AS chars, md5(text) AS text_md5 FROM t WHERE length(text) >= 12""",
 )
 def _(spark, d):
-    """Parts of well over the least length, counted on the raw markup on the other side."""
+    """Every part of every article, in the order of the page."""
     nodes = pg.node_table(pages(spark, d))
-    articles = nodes.filter("tag = 'article'").select("page_id", "node")
-    raw = pages(spark, d).select("page_id", F.regexp_replace(F.regexp_extract("html", "(?is)<article>(.*?)</article>", 1), "<[^>]*>", "").alias("t"))
-    parts = pg.unit_parts(articles, nodes).join(raw.filter("length(t) > 400"), "page_id")
-    return parts.select("page_id", F.size(F.filter("parts", lambda p: F.length(p["text"]) > 60)).cast("long").alias("long_parts"))
+    parts = pg.unit_parts(nodes.filter("tag = 'article'").select("page_id", "node"), nodes)
+    part = parts.select("page_id", F.posexplode("parts").alias("ix", "p"))
+    return part.select("page_id", (F.col("ix") + 1).alias("ix"), F.length("p.text").cast("long").alias("chars"), F.md5("p.text").alias("text_md5"))
 
 
 @query(
