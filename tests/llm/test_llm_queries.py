@@ -17,6 +17,7 @@ import sentencepiece  # noqa: E402
 from modwarden.llm import decontaminate  # noqa: E402
 from modwarden.llm.queries import ORACLES, QUERIES  # noqa: E402
 from test_llm_dedup import brute_fingerprint, brute_removal, roots  # noqa: E402
+from test_llm_nearcopies import brute_kept  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
@@ -118,9 +119,7 @@ def test_pipeline_against_brute_force(spark, docs, library):
             gone = {r.doc_id for r in before} - {r.doc_id for r in after}
             assert sum(y.get(i, 1) for i in gone) / len(gone) > 0.8 and {r.doc_id: r for r in after} == {i: docs[i] for i in docs if i not in gone}
         elif name == "near_dedup":
-            fp = {r.doc_id: brute_fingerprint(r.text) for r in before}
-            root = roots(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3)
-            assert {r.doc_id for r in after} == set(root.values())
+            assert {r.doc_id for r in after} == brute_kept([(r.doc_id, r.text) for r in before])
         elif name == "substring_dedup":
             want = {i: (t if m else None) for i, _, m, t in brute_removal([(r.doc_id, r.text) for r in before], 50)}
             text = {r.doc_id: r.text for r in before}
