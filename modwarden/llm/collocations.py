@@ -32,7 +32,7 @@ from modwarden.session import materialize
 
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
 # Text per chunk of counting, windows per slice of a stream, and sampled keys per cut.
-CHUNK, SLICE_ROWS, PER_CUT = 8 << 20, 1 << 20, 64
+CHUNK, SLICE_ROWS, PER_CUT = 2 << 20, 1 << 20, 64
 SAMPLED_TEXTS = 2_000
 _BLANKS, _BREAKS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -111,12 +111,14 @@ def _windows(width: int, cuts: list[tuple[bytes, bytes]]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for piece in ar.slices(batches, "t", CHUNK):
-            held.append(piece)
-            size += pc.sum(pc.binary_length(piece.column("t"))).as_py() or 0
-            if size >= CHUNK:
+        # Pieces of half a chunk, so that what is held is a chunk at most, or one longer text.
+        for piece in ar.slices(batches, "t", CHUNK // 2):
+            more = pc.sum(pc.binary_length(piece.column("t"))).as_py() or 0
+            if held and size + more > CHUNK:
                 yield from told(held)
                 held, size = [], 0
+            held.append(piece)
+            size += more
         if held:
             yield from told(held)
 
