@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from modwarden import fixed_values as fv
 from modwarden.functions import scores as sc
-from modwarden.operators.lexicon import INLINE_LIMIT, compile_lexicon, match_by_join, match_inline
+from modwarden.operators.lexicon import INLINE_LIMIT, compile_automata, compile_lexicon, match_by_automaton, match_by_join, match_inline
 from modwarden.profiles import MediaPolicy
 from modwarden.session import shared_dir
 from modwarden.sources.sinks import VerdictStore
@@ -61,12 +61,15 @@ def stream_lexicon_verdicts(
 ) -> DataFrame:
     """Provisional verdict of each arriving unit, as a table of the given expressions.
 
-    A small lexicon is a literal and the job one stateless pass; with a larger one every micro-batch is joined
-    to it. Both give the same rows.
+    A small lexicon is a literal or a set of automata and the job one stateless pass; with a larger one every
+    micro-batch is joined to it. All give the same rows.
     """
     compiled = compile_lexicon(lexicon, limit)
     if compiled:
         return run_to_table(match_inline(units, text, compiled).selectExpr(*columns), purpose)
+    automata = compile_automata(lexicon)
+    if automata:
+        return run_to_table(match_by_automaton(units, text, automata).selectExpr(*columns), purpose)
     out = run_to_table(units, purpose, per_batch=lambda batch: match_by_join(batch, id_col, text, lexicon).selectExpr(*columns))
     return out.drop("batch_id")
 

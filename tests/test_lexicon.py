@@ -113,3 +113,75 @@ def test_contains_paths_agree(spark):
     joined = sorted(r.id for r in lx.rows_with_terms(df, "id", "text", terms, 3).collect())
     inline = sorted(r.id for r in df.filter(lx.contains_term(F.lower("text"), terms)).collect())
     assert joined == inline == [1, 3]
+
+
+def flat(d):
+    return sorted((r.id, r.lexicon_action, [(h.term, h.tier) for h in r.hits]) for r in d.collect())
+
+
+def test_automaton_equals_inline(spark, lexicon, monkeypatch):
+    """Order of hits included; blocks of a few bytes give the same as one."""
+    df = spark.createDataFrame([*enumerate(texts()), (-1, None)], "id int, text string")
+    inline = flat(lx.lexicon_verdicts(df, "id", "text", lexicon))
+    for size in (lx.BLOCK_BYTES, 9):
+        monkeypatch.setattr(lx, "BLOCK_BYTES", size)
+        automata = lx.compile_automata(lexicon)
+        assert len(automata.phrases) == (1 if size > 9 else 2)
+        assert flat(lx.match_by_automaton(df, "text", automata)) == inline
+    assert lx.compile_automata(lexicon, limit=20) is None
+    plan = lx.match_by_automaton(df, "text", automata)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "Join" not in plan
+
+
+def test_automaton_of_many_terms_equals_inline(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    rows = [(word(rng.randint(1, 50)), rng.choice(["phrase", "token"]), rng.choice(["en", "xx"]), 5, rng.choice(["block", "flag", "mild"])) for _ in range(900)]
+    rows = [r for r in rows if r[0].strip() and (r[1] == "token" or "  " not in r[0])]
+    lexicon = spark.createDataFrame(rows, lx.LEXICON_SCHEMA)
+    df = spark.createDataFrame([(i, word(rng.randint(0, 2000)) + rng.choice(rows)[0]) for i in range(60)], "id int, text string")
+    monkeypatch.setattr(lx, "BATCH", 5000)
+    assert flat(lx.lexicon_verdicts(df, "id", "text", lexicon, limit=0)) == flat(lx.lexicon_verdicts(df, "id", "text", lexicon))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_automaton_finds_all(seed):
+    import pyarrow as pa
+
+    from modwarden.functions import automaton as am
+
+    rng = random.Random(seed)
+    letters = rng.choice(["ab", "abc ", "aéर ", "abcdefghij "])
+    terms = list({"".join(rng.choice(letters) for _ in range(rng.randint(1, rng.choice([3, 9, 50])))) for _ in range(rng.choice([1, 5, 300]))})
+    rows = ["".join(rng.choice(letters + "z") for _ in range(rng.choice([0, 3, 60, 900, 3000]))) for _ in range(20)] + [None]
+    data, offsets = am.utf8(pa.array(rows))
+    row, at, term = am.Automaton(terms).find(data, offsets)
+    want = []
+    for i, text in enumerate(rows):
+        raw = (text or "").encode()
+        for k, t in enumerate(terms):
+            p = raw.find(t.encode())
+            while p >= 0:
+                want.append((i, p, k))
+                p = raw.find(t.encode(), p + 1)
+    assert sorted(zip(row.tolist(), (at - offsets[row]).tolist(), term.tolist(), strict=True)) == sorted(want)
+
+
+def test_hundred_thousand_terms(spark):
+    rng = random.Random(4)
+    terms = {"".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 30))) for _ in range(100_000)}
+    lexicon = spark.createDataFrame([(t, "phrase" if len(t) % 2 else "token", "xx", 5, "block") for t in terms], lx.LEXICON_SCHEMA)
+    some = rng.sample(sorted(terms), 40)
+    df = spark.createDataFrame([(i, f"zz {t} zz") for i, t in enumerate(some)] + [(99, "zz q")], "id int, text string")
+    rows = {r.id: {h.term for h in r.hits} for r in lx.lexicon_verdicts(df, "id", "text", lexicon).collect()}
+    from tests.test_text import model_norm
+
+    assert all((t in rows[i]) == (model_norm(t) == t) for i, t in enumerate(some)) and rows[99] == set()
+
+
+def test_long_list_by_automaton(spark):
+    df = spark.createDataFrame([(1, "An Abc def"), (2, "ab"), (3, "xabcx"), (4, None)], "id int, text string")
+    terms = spark.createDataFrame([("abc",), ("c d",), ("",), ("abc",)], "term string")
+    hit = lx.contains_term(F.lower("text"), terms, limit=1)
+    assert [(r.id, r.h) for r in df.select("id", hit.alias("h")).orderBy("id").collect()] == [(1, True), (2, False), (3, True), (4, None)]
+    assert lx.holds_term(F.col("text"), terms, limit=3) is None
