@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +70,20 @@ def discard(spark: SparkSession, path: str) -> None:
     """Deletes a folder that :func:`shared_dir` named, once nothing reads it any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A :func:`materialize` whose folders are deleted when the block ends. What the block hands out must not read them."""
+    made: list[str] = []
+
+    def kept(df: DataFrame, purpose: str) -> DataFrame:
+        made.append(shared_dir(spark, purpose))
+        df.write.parquet(made[-1])
+        return spark.read.parquet(made[-1])
+
+    try:
+        yield kept
+    finally:
+        for path in made:
+            discard(spark, path)
