@@ -23,6 +23,7 @@ from modwarden.session import materialize, shared_dir
 from modwarden.sources import readers as rd
 from modwarden.sources import sinks as sk
 from modwarden.streaming import jobs as sj
+from modwarden.streaming import waits as wt
 
 
 def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -142,7 +143,7 @@ _LATE = (
 def late_media(e):
     kind = F.when(F.col("event_type").isin("view", "click"), "text").otherwise("media")
     media = e.select(F.col("key").alias("unit_key"), F.floor(F.col("ts_us") / 1000).alias("ts_ms"), kind.alias("kind"))
-    return sj.settled_media(sj.run_to_table(sj.stream_late_media(media, MediaPolicy(ocr_wait_ms=_WAIT)), "stream-late", "update"))
+    return wt.settled_media(sj.run_to_table(wt.stream_late_media(media, MediaPolicy(ocr_wait_ms=_WAIT)), "stream-late", timers=True))
 
 
 @query("stream_late_media", _LATE)

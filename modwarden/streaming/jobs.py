@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from modwarden.operators.lexicon import INLINE_LIMIT, compile_automata, compile_
 from modwarden.profiles import MediaPolicy
 from modwarden.session import shared_dir
 from modwarden.sources.sinks import VerdictStore
+from modwarden.streaming.waits import keyed_state
 
 
 FILES_PER_BATCH = 64
@@ -28,10 +30,13 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int = FILES_P
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def run_to_table(stream: DataFrame, purpose: str, mode: str = "append", per_batch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_to_table(
+    stream: DataFrame, purpose: str, mode: str = "append", per_batch: Callable[[DataFrame], DataFrame] | None = None, timers: bool = False
+) -> DataFrame:
     """Runs a stream over all data that is there and returns what it wrote.
 
-    ``per_batch`` is a batch job over each micro-batch, for steps that a stream cannot express.
+    ``per_batch`` is a batch job over each micro-batch, for steps that a stream cannot express; ``timers`` says that the
+    stream holds keyed state with timers.
 
     Append results go through the exactly-once file sink. Update and complete results are written
     one folder per micro-batch, overwritten on a replay, with the batch number as a column; nothing
@@ -43,7 +48,9 @@ def run_to_table(stream: DataFrame, purpose: str, mode: str = "append", per_batc
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
     schema = stream.schema
     if mode == "append" and not per_batch:
-        query = writer.outputMode("append").format("parquet").start(out)
+        writer = writer.outputMode("append").format("parquet")
+        with keyed_state(spark) if timers else nullcontext():
+            query = writer.start(out)
     else:
         if per_batch:
             schema = per_batch(spark.createDataFrame([], stream.schema)).schema
@@ -210,83 +217,6 @@ def stream_media_lifecycle(events: DataFrame, policy: MediaPolicy = MediaPolicy(
     )
 
 
-WAIT_OUT = "unit_key string, at_ms long, outcome string, revision long, seen_ms long"
-WAIT_STATE = "ts array<long>, is_text array<boolean>, revision long, seen_ms long, text_ms long, published boolean"
-WITHOUT, WITH, LATE, WAITING = "published-without-media", "published-with-media", "late-upgrade", "waiting"
-
-
-def wait_outcomes(ts: Sequence[int], is_text: Sequence[bool], wait_ms: int, text_ms: int = -1, published: bool = False):
-    """Outcomes of one unit's events in time order, and the open text after the last one.
-
-    A text at T publishes at T + wait without its media, or with it as soon as it comes; media after
-    that still upgrades, and media before any text belongs to none.
-    """
-    rows = []
-    for at, text in zip(ts, is_text, strict=True):
-        if text_ms >= 0 and not published and at > text_ms + wait_ms:
-            rows.append((text_ms + wait_ms, WITHOUT))
-            published = True
-        if text:
-            text_ms, published = at, False
-        elif text_ms >= 0:
-            rows.append((at, LATE if published else WITH))
-            published = True
-    return rows, text_ms, published
-
-
-def late_media(wait_ms: int, keep_ms: int):
-    """State step of the bounded wait, the same for any cut of the events into micro-batches.
-
-    A unit's events of the last ``keep_ms`` stay in its state, so an event that comes out of order takes its
-    place among them: text that follows its media, or media behind a later text. Each step gives the unit's
-    outcomes over these events under a new revision; what is older than that is settled, revision 0, and leaves.
-    """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, is_text, revision, seen, text_ms, published = state.get if state.exists else ([], [], 0, -1, -1, False)
-        events = list(zip(ts, is_text, strict=True))
-        for part in batches:
-            events.extend(zip(part["ts_ms"].tolist(), (part["kind"] == "text").tolist(), strict=True))
-        # At one time the text comes first.
-        events.sort(key=lambda e: (e[0], not e[1]))
-        seen, revision = max(seen, events[-1][0]), revision + 1
-        cut = next((i for i, e in enumerate(events) if e[0] >= seen - keep_ms), len(events))
-        old, events = events[:cut], events[cut:]
-        settled, text_ms, published = wait_outcomes(*(zip(*old, strict=True) if old else ((), ())), wait_ms, text_ms, published)
-        ts, is_text = [e[0] for e in events], [e[1] for e in events]
-        rows, open_ms, done = wait_outcomes(ts, is_text, wait_ms, text_ms, published)
-        if open_ms >= 0 and not done:
-            rows.append((open_ms + wait_ms, WAITING))
-        state.update((ts, is_text, revision, seen, text_ms, published))
-        out = [(key[0], at, what, 0, seen) for at, what in settled] + [(key[0], at, what, revision, seen) for at, what in rows]
-        # A unit without outcomes still reports its revision, so that it takes earlier ones back.
-        out = out or [(key[0], None, None, revision, seen)]
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in WAIT_OUT.split(", ")])
-
-    return step
-
-
-def stream_late_media(events: DataFrame, policy: MediaPolicy = MediaPolicy(), keep_ms: int = 60 * 24 * 3600 * 1000) -> DataFrame:
-    """``events`` has unit_key, kind (text | media) and ts_ms. Run in update mode, read by :func:`settled_media`.
-
-    No watermark drops late events. An event older than ``keep_ms`` behind its unit's newest one is settled on
-    its own, after what is settled already: late, but not lost.
-    """
-    return (
-        events.select("unit_key", "kind", "ts_ms")
-        .groupBy("unit_key")
-        .applyInPandasWithState(late_media(policy.ocr_wait_ms, keep_ms), WAIT_OUT, WAIT_STATE, "update", GroupStateTimeout.NoTimeout)
-    )
-
-
-def settled_media(updates: DataFrame) -> DataFrame:
-    """``(unit_key, at_ms, outcome)`` so far: the last revision of each unit, waits over once the stream is past them."""
-    now = updates.agg(F.max("seen_ms").alias("now_ms"))
-    last = updates.groupBy("unit_key").agg(F.max("revision").alias("last"))
-    rows = updates.join(last, "unit_key").filter("revision in (0, last) and outcome is not null")
-    due = F.when(F.col("outcome") != WAITING, F.col("outcome")).when(F.col("at_ms") < now.scalar(), WITHOUT)
-    return rows.withColumn("outcome", due).filter("outcome is not null").select("unit_key", "at_ms", "outcome")
-
-
 SLOT_OUT = "slot string, seq long, unit_key string, outcome string"
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from modwarden.operators import fusion as fu
 from modwarden.profiles import MediaPolicy
 from modwarden.streaming import jobs as sj
+from modwarden.streaming import waits as wt
 
 SCHEMA = "unit_key string, seq long, kind string, fp string, action string"
 
@@ -68,44 +69,175 @@ def test_late_media_is_kept(spark, tmp_path):
         ("c", 6000, "published-without-media")]
     for i, (order, n) in enumerate(((rows, 2), (rows[::-1], 6), (rows[3:] + rows[:3], 5))):
         stream = files(spark, order, WAIT_SCHEMA, str(tmp_path / str(i)), n)
-        out = sj.settled_media(sj.run_to_table(sj.stream_late_media(stream, MediaPolicy()), "t", "update"))
+        out = wt.settled_media(sj.run_to_table(wt.stream_late_media(stream, MediaPolicy()), "t", timers=True))
         assert sorted((r.unit_key, r.at_ms - t, r.outcome) for r in out.collect()) == want
 
 
 WAIT_SCHEMA = "unit_key string, kind string, ts_ms long"
 
 
-def test_bounded_wait_is_the_same_for_any_cut():
-    """The state step over random cuts and orders, held against all events at once."""
-    import pandas as pd
+class Handle:
+    """State of one key in memory, with the calls that a step makes."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def getListState(self, name, schema, ttlDurationMs):  # noqa: N802
+        return Listed()
+
+    def getValueState(self, name, schema, ttlDurationMs=None):  # noqa: N802
+        return Valued()
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+class Listed:
+    def __init__(self):
+        self.rows = []
+
+    def get(self):
+        return iter(self.rows)
+
+    def appendValue(self, row):  # noqa: N802
+        self.rows.append(row)
+
+
+class Valued:
+    value = None
 
-    class State:
-        exists, value = False, None
-        get = property(lambda self: self.value)
+    def exists(self):
+        return self.value is not None
 
-        def update(self, value):
-            self.exists, self.value = True, value
+    def get(self):
+        return self.value
 
-    def settle(chunks, keep):
-        state, step, rows = State(), sj.late_media(50, keep), []
-        for chunk in chunks:
-            frame = pd.DataFrame(chunk, columns=["kind", "ts_ms"])
-            for out in step(("u",), iter([frame[:1], frame[1:]] if len(chunk) > 1 else [frame]), state):
-                rows += list(out.itertuples(index=False, name=None))
-        last = max(r[3] for r in rows)
-        return sorted((r[1], r[2]) for r in rows if r[3] in (0, last) and r[2] is not None)
+    def update(self, value):
+        self.value = value
 
+    def clear(self):
+        self.value = None
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs  # noqa: N815
+
+
+def waited(chunks, wait_ms=50, now=0):
+    """All rows that a unit writes over chunks of its events, and its step for what follows."""
+    import pandas as pd
+
+    step = wt.BoundedWait(wait_ms, 10**9)
+    step.init(Handle())
+    rows = []
+    for i, chunk in enumerate(chunks):
+        frame = pd.DataFrame(chunk, columns=["kind", "ts_ms"])
+        parts = iter([frame[:1], frame[1:]] if len(chunk) > 1 else [frame])
+        for out in step.handleInputRows(("u",), parts, Clock(now + i)):
+            rows += list(out.itertuples(index=False))
+    return rows, step
+
+
+def newest(rows, over):
+    last = {(r.event_ms, r.is_text, r.nth): r for r in sorted(rows, key=lambda r: r.revision)}
+    due = [(r.at_ms, r.outcome if r.outcome != wt.WAITING else wt.WITHOUT if r.at_ms < over else None) for r in last.values()]
+    return sorted(x for x in due if x[1])
+
+
+def plain_wait(events, wait_ms, over):
+    """The rule, event by event."""
+    rows, text, published = [], None, False
+    for ts, kind in sorted((ts, kind != "text") for kind, ts in events) + [(over, None)]:
+        if text is not None and not published and ts > text + wait_ms:
+            rows.append((text + wait_ms, wt.WITHOUT))
+            published = True
+        if kind is False:
+            text, published = ts, False
+        elif kind and text is not None:
+            rows.append((ts, wt.LATE if published else wt.WITH))
+            published = True
+    return sorted(rows)
+
+
+def test_bounded_wait_is_the_same_for_any_cut():
+    """Random cuts and orders, equal times and repeated events included, held against the rule."""
     rng = random.Random(11)
-    for _ in range(60):
-        events = [(rng.choice(("text", "media")), t) for t in rng.sample(range(1000), 12)]
-        whole = settle([events], 10_000)
+    for trial in range(150):
+        events = [(rng.choice(("text", "media")), rng.randrange(400 if trial % 3 else 12)) for _ in range(14)]
+        over = max(300, *(ts for _, ts in events))
         shuffled = rng.sample(events, len(events))
-        cuts = sorted(rng.sample(range(1, 12), 4))
-        parts = [shuffled[a:b] for a, b in zip([0, *cuts], [*cuts, 12], strict=True)]
-        assert settle(parts, 10_000) == whole
-        # In time order a short memory is enough, and what is old enough leaves the state.
-        ordered = sorted(events, key=lambda e: e[1])
-        assert settle([ordered[a:b] for a, b in zip([0, *cuts], [*cuts, 12], strict=True)], 200) == whole
+        cuts = sorted(rng.sample(range(1, 14), 5))
+        for order in ([events], [shuffled[a:b] for a, b in zip([0, *cuts], [*cuts, 14], strict=True)], [[e] for e in shuffled]):
+            rows, _ = waited(order)
+            assert newest(rows, over) == plain_wait(events, 50, over)
+
+
+def test_bounded_wait_writes_each_event_a_bounded_number_of_times():
+    """In time order a text is written twice at most, media once, whatever the number of micro-batches."""
+    rng = random.Random(2)
+    events = sorted(((rng.choice(("text", "media")), t) for t in rng.sample(range(20_000), 600)), key=lambda e: e[1])
+    rows, _ = waited([events[i : i + 2] for i in range(0, 600, 2)])
+    written = {}
+    for r in rows:
+        written.setdefault((r.event_ms, r.is_text), []).append(r.outcome)
+    assert len(rows) < 1200 and all(len(v) <= (2 if is_text else 1) for (_, is_text), v in written.items())
+
+
+def test_open_wait_has_one_timer():
+    rows, step = waited([[("text", 100)], [("text", 120)]], now=1000)
+    assert [(r.event_ms, r.outcome) for r in rows] == [(100, wt.WAITING), (100, None), (120, wt.WAITING)]
+    (at,) = step.handle.timers
+    out = [r for f in step.handleExpiredTimer(("u",), Clock(at), Clock(at)) for r in f.itertuples(index=False)]
+    assert [(r.event_ms, r.at_ms, r.outcome) for r in out] == [(120, 170, wt.WITHOUT)]
+    assert [r for f in step.handleExpiredTimer(("u",), Clock(at), Clock(at)) for r in f.itertuples(index=False)] == []
+    # Media that was in time but came late takes that back.
+    import pandas as pd
+
+    late = pd.concat(list(step.handleInputRows(("u",), iter([pd.DataFrame({"kind": ["media"], "ts_ms": [150]})]), Clock(2000))))
+    assert [(r.event_ms, r.outcome) for r in late.itertuples()] == [(120, None), (150, wt.WITH)]
+
+
+def test_wait_ends_by_itself_and_state_by_its_ttl(spark, tmp_path):
+    """A live stream: no event follows, the timer ends the wait; after the time to live the text is forgotten."""
+    import time
+
+    def put(name, *rows):
+        spark.createDataFrame(rows, WAIT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def rows():
+        return sorted((r.unit_key, r.outcome) for r in spark.read.schema(wt.OUT).parquet(f"{tmp_path}/out").collect() if r.outcome != wt.WAITING)
+
+    def until(done, seconds=60):
+        end = time.time() + seconds
+        while time.time() < end and not done():
+            time.sleep(0.3)
+        assert done(), rows()
+
+    put("a", ("u", "text", 1000), ("v", "text", 1000), ("v", "media", 1100))
+    stream = sj.read_stream(spark, f"{tmp_path}/in/*", spark.createDataFrame([], WAIT_SCHEMA).schema, 1)
+    with wt.keyed_state(spark, live=True):
+        query = (
+            wt.stream_late_media(stream, MediaPolicy(ocr_wait_ms=400), keep_ms=6000)
+            .writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="200 milliseconds").start(f"{tmp_path}/out", format="parquet")
+        )
+    try:
+        until(lambda: rows() == [("u", wt.WITHOUT), ("v", wt.WITH)])
+        time.sleep(8)
+        put("b", ("u", "media", 5000), ("w", "media", 5000), ("x", "text", 5000))
+        until(lambda: ("x", wt.WITHOUT) in rows())
+        assert rows() == [("u", wt.WITHOUT), ("v", wt.WITH), ("x", wt.WITHOUT)]
+    finally:
+        query.stop()
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
 
 
 def test_large_lexicons_stream(spark, tmp_path):
