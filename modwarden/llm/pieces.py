@@ -22,12 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
 from modwarden.llm import arrays as ar
 
 SPACE = "▁"
-KEPT_UNITS = 150_000
+KEPT_UNITS = 200_000
 LONG_UNIT = 48
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = np.iinfo(np.int32).max
@@ -203,46 +203,64 @@ def units_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts unit by unit and keeps the strings of a bounded number of units."""
+    """Encodes texts unit by unit and keeps the ids of units that came lately, in two generations of bounded size."""
 
     def __init__(self, path: str, kept: int = KEPT_UNITS):
         self.vocab, self.kept = vocabulary(path), kept
         self.digits = list(map(str, range(len(self.vocab.piece))))
-        self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        # Units that are decoded to another text than their own.
+        self.other: dict[str, str] = {}
 
     def run(self, texts: list[str]) -> list[tuple[str, str]]:
         """(decimal ids joined by one space, end id last; decoded text) of each text."""
         cut = [units_of(t) for t in texts]
-        new = list(set().union(*cut).difference(self.ids)) if cut else []
+        missing = set().union(*cut).difference(self.young) if cut else set()
+        known = missing.intersection(self.old)
+        self.young.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        new = list(missing.difference(known))
         for u, ids, text in zip(new, *self.vocab.encode_units(new), strict=True):
-            self.ids[u] = " ".join(map(self.digits.__getitem__, ids))
-            self.text[u] = text.replace(SPACE, " ")
+            self.young[u] = " ".join(map(self.digits.__getitem__, ids))
+            if text != u:
+                self.other[u] = text
         end = str(self.vocab.end)
         out = []
         for us in cut:
-            out.append((" ".join([*map(self.ids.__getitem__, us), end]), "".join(map(self.text.__getitem__, us))[1:]))
-        if len(self.ids) > self.kept:
-            self.ids.clear()
-            self.text.clear()
+            shown = us if self.other.keys().isdisjoint(us) else [self.other.get(u, u) for u in us]
+            out.append((" ".join([*map(self.young.__getitem__, us), end]), "".join(shown).replace(SPACE, " ")[1:]))
+        if len(self.young) > self.kept:
+            # Texts of the generation that leaves are found again with their units.
+            self.old, self.young = self.young, {}
+            self.other = {u: t for u, t in self.other.items() if u in self.old}
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for the tasks of a Python worker, which share the units they know."""
+    return Encoder(path)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """The rows with ``n_tokens``, ``ids`` (decimal, joined by one space, end id last) and ``decoded``.
 
-    Columns of the input that bear one of these names are replaced.
+    Null texts count as empty; equal texts and repeated rows get equal results. Columns of the input that bear one of
+    these names are replaced; a text column that is no string is read as one, in a column ``_sp_text`` that must be free.
     """
     kept = docs.drop("n_tokens", "ids", "decoded")
     out = StructType([*kept.schema.fields, *_parse_datatype_string("n_tokens bigint, ids string, decoded string").fields])
     schema = to_arrow_schema(out)
+    read, rows = text_col, kept
+    if not isinstance(kept.schema[text_col].dataType, StringType):
+        read, rows = "_sp_text", kept.withColumn("_sp_text", F.col(text_col).cast("string"))
 
     def run(batches):
-        encoder = Encoder(path)
-        for batch in ar.slices(batches, "_sp_text"):
-            found = encoder.run(pc.fill_null(batch.column("_sp_text"), "").to_pylist())
+        code = encoder(path)
+        for batch in ar.slices(batches, read):
+            found = code.run(pc.fill_null(batch.column(read), "").to_pylist())
             ids = [x[0] for x in found]
             cols = {"n_tokens": [x.count(" ") + 1 for x in ids], "ids": ids, "decoded": [x[1] for x in found]}
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
-    return kept.withColumn("_sp_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, out)
+    return rows.mapInArrow(run, out)
