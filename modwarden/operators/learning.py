@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modwarden.functions import scores as sc
 from modwarden.functions import windows as wn
-from modwarden.operators.media import max_window_score
+from modwarden.functions.automaton import utf8
+from modwarden.functions.hashed import murmur3
 from modwarden.operators.ranking import SALTS
 from modwarden.profiles import ScorePolicy, WindowPolicy
 from modwarden.session import materialize
@@ -138,18 +143,58 @@ def train_classifier(
     return best, runs
 
 
+@dataclass(frozen=True)
+class FoldedModel:
+    """A trained text pipeline as one weight per feature: the inverse document frequencies are multiplied in."""
+
+    weights: np.ndarray
+    intercept: float
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Probability of each text of words that single spaces part."""
+        data, offsets = utf8(texts)
+        word = data != 32
+        before, after = np.append(True, ~word[:-1]), np.append(~word[1:], True)
+        inner = offsets[(offsets > 0) & (offsets < len(data))]
+        before[inner], after[inner - 1] = True, True
+        starts, ends = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
+        sums = np.append(0.0, np.cumsum(self.weights[murmur3(data, starts, ends) % len(self.weights)]))
+        first = np.searchsorted(starts, offsets)
+        return 1 / (1 + np.exp(-(sums[first[1:]] - sums[first[:-1]] + self.intercept)))
+
+
+def fold(model: PipelineModel) -> FoldedModel:
+    """The weights of a model of :func:`build_pipeline`."""
+    _, tf, idf, linear = model.stages
+    if tf.getNumFeatures() != len(idf.idf):
+        raise ValueError("the stages of this model do not belong together")
+    return FoldedModel(linear.coefficients.toArray() * idf.idf.toArray(), float(linear.intercept))
+
+
+def folded_scorer(spark: SparkSession, model: FoldedModel) -> Callable[[Column], Column]:
+    """Scores of an array of texts by a folded model; words are cut in the JVM, as the pipeline's tokenizer cuts them."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            if len(lists):
+                found = shared.value.scores(lists.flatten())
+                bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+                yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found))
+
+    return lambda texts: score(F.transform(texts, lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}]+", " ")))
+
+
 def score_documents(
     model: PipelineModel, df: DataFrame, key: str, text: str, policy: ScorePolicy = ScorePolicy(), windows: WindowPolicy = WHOLE
 ) -> DataFrame:
     """A trained model over windows of each document; the whole text unless a window policy says otherwise.
 
-    A JVM model scores rows, so windows are exploded; a document without one stays as clean, with score 0.
+    The model is folded into one vector and scores the array of windows inside the row, so nothing is shuffled. A document
+    without a window stays as clean, with score 0.
     """
-    cut = df.select(key, F.explode_outer(wn.window_text(text, windows)).alias("w")).select(
-        key, F.col("w.ix").alias("ix"), F.coalesce("w.text", F.lit("")).alias("text")
-    )
-    scored = predict(model, cut).withColumn("score", F.when(F.col("ix").isNotNull(), F.col("score")))
-    return max_window_score(scored, key, policy)
+    return score_windows(df, key, text, folded_scorer(df.sparkSession, fold(model)), windows, policy)
 
 
 def image_decisions(df: DataFrame, nsfw_scores: str, violence_scores: str) -> DataFrame:
