@@ -23,6 +23,7 @@ from modwarden.session import materialize, shared_dir
 from modwarden.sources import readers as rd
 from modwarden.sources import sinks as sk
 from modwarden.streaming import jobs as sj
+from modwarden.streaming import keyed as ky
 from modwarden.streaming import waits as wt
 
 
@@ -120,8 +121,8 @@ def _(spark, d):
         .when(t == "error", "image-failed").otherwise("ocr-failed")
     )
     fp = F.concat(F.lit("f"), F.floor(F.col("k") / 50).cast("string"))
-    media = e.select(F.col("key").alias("unit_key"), "seq", kind.alias("kind"), sj.media_identity(fp, F.col("settings_policy")).alias("fp"), "action")
-    out = sj.run_to_table(sj.stream_media_lifecycle(media), "stream-media")
+    media = e.select(F.col("key").alias("unit_key"), "seq", kind.alias("kind"), ky.media_identity(fp, F.col("settings_policy")).alias("fp"), "action")
+    out = sj.run_to_table(ky.stream_media_lifecycle(media), "stream-media", timers=True)
     return out.select("unit_key", "seq", "kind", "outcome", F.col("attempt").cast("long").alias("attempt"))
 
 
@@ -175,20 +176,20 @@ def _(spark, d):
 )
 def _(spark, d):
     e = verdict_stream(spark, d).select(F.col("key").alias("slot"), "seq", F.col("image_key").alias("unit_key"))
-    return sj.run_to_table(sj.stream_recycled_units(e), "stream-recycled")
+    return sj.run_to_table(ky.stream_recycled_units(e), "stream-recycled", timers=True)
 
 
 @query(
     "stream_recycled_verdicts",
-    f"""WITH {q.EV}, v AS (SELECT image_key, arg_max(action, seq) AS action FROM ev WHERE k % 2 = 0 GROUP BY image_key),
+    f"""WITH {q.EV}, v AS (SELECT image_key, arg_max(action, seq) AS action FROM ev WHERE action <> 'clean' GROUP BY image_key),
     l AS (SELECT key AS slot, seq, image_key AS unit_key, lag(image_key) OVER (PARTITION BY key ORDER BY seq) AS prev FROM ev)
     SELECT slot, seq, unit_key, coalesce(v.action, 'pending') AS shown FROM l LEFT JOIN v ON v.image_key = unit_key WHERE prev IS DISTINCT FROM unit_key""",
 )
 def _(spark, d):
-    """A key that comes back to a slot takes its stored verdict at once."""
+    """A key that comes back to a slot takes its stored verdict at once; only findings are stored, so clean keys wait."""
     e = verdict_stream(spark, d).select(F.col("key").alias("slot"), "seq", F.col("image_key").alias("unit_key"))
-    moved = sj.run_to_table(sj.stream_recycled_units(e), "stream-recycled").filter("outcome <> 'same'")
-    store = st.last_write_wins(verdict_log(spark, d).filter("k % 2 = 0").select(F.col("image_key").alias("unit_key"), "seq", "action"), "unit_key", ["seq"])
+    moved = sj.run_to_table(ky.stream_recycled_units(e), "stream-recycled", timers=True).filter("outcome <> 'same'")
+    store = st.last_write_wins(verdict_log(spark, d).filter("action <> 'clean'").select(F.col("image_key").alias("unit_key"), "seq", "action"), "unit_key", ["seq"])
     return sj.stored_verdicts(moved, store).select("slot", "seq", "unit_key", "shown")
 
 

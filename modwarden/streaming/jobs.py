@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from contextlib import nullcontext
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from modwarden import fixed_values as fv
 from modwarden.functions import scores as sc
 from modwarden.operators.lexicon import INLINE_LIMIT, compile_automata, compile_lexicon, match_by_automaton, match_by_join, match_inline
-from modwarden.profiles import MediaPolicy
 from modwarden.session import shared_dir
 from modwarden.sources.sinks import VerdictStore
 from modwarden.streaming.waits import keyed_state
@@ -157,88 +154,6 @@ def with_settings(events: DataFrame, settings: DataFrame, policy: str = "setting
     return events.join(current, "scope", "left").withColumn("rescan", ~F.col(policy).eqNullSafe(F.col("current_policy")))
 
 
-# ------------------------------------------------------------------------- custom keyed state
-
-MEDIA_OUT = "unit_key string, seq long, kind string, outcome string, attempt int, action string"
-MEDIA_STATE = "fp string, image_attempts int, ocr_attempts int, action string"
-
-
-def media_identity(fp: Column, settings_policy: Column, generation: Column | None = None) -> Column:
-    """What a media result must match to count: the image set, the settings it was made under, the unit's generation."""
-    return F.concat_ws("|", fp, settings_policy, *([generation.cast("string")] if generation is not None else []))
-
-
-def media_lifecycle(policy: MediaPolicy = MediaPolicy()):
-    """State step of one unit's media: which results count, which are stale, what is retried.
-
-    Input rows: ``seq, kind (request | image | ocr | image-failed | ocr-failed), fp, action``, where
-    ``fp`` is the :func:`media_identity`, so a result under other settings is as stale as one of other
-    images. A request names the unit's latest image set; results of another set are stale. Failures are
-    retried within their allowance, which starts again with a new image set. A verdict only rises.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fp, image_n, ocr_n, action = state.get if state.exists else (None, 0, 0, "clean")
-        rank = {"clean": 0, "flag": 1, "block": 2}
-        rows = []
-        arrived = pd.concat(list(batches)).sort_values("seq")
-        for r in arrived.itertuples(index=False):
-            attempt = 0
-            if r.kind == "request":
-                if r.fp == fp:
-                    outcome = "duplicate"
-                else:
-                    fp, image_n, ocr_n, outcome = r.fp, 0, 0, "accepted"
-            elif r.fp != fp:
-                outcome = "stale"
-            elif r.kind == "image-failed":
-                image_n += 1
-                attempt = image_n
-                outcome = "retry" if image_n <= policy.image_retries else "given-up"
-            elif r.kind == "ocr-failed":
-                ocr_n += 1
-                attempt = ocr_n
-                outcome = "retry" if ocr_n <= policy.ocr_retries else "given-up"
-            elif rank[r.action] > rank[action]:
-                action, outcome = r.action, "upgrade"
-            else:
-                outcome = "kept"
-            rows.append((key[0], r.seq, r.kind, outcome, attempt, action))
-        state.update((fp, image_n, ocr_n, action))
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in MEDIA_OUT.split(", ")])
-
-    return step
-
-
-def stream_media_lifecycle(events: DataFrame, policy: MediaPolicy = MediaPolicy()) -> DataFrame:
-    """Stale rejection and bounded retries; ``events`` has unit_key, seq, kind, fp, action."""
-    return events.groupBy("unit_key").applyInPandasWithState(
-        media_lifecycle(policy), MEDIA_OUT, MEDIA_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-SLOT_OUT = "slot string, seq long, unit_key string, outcome string"
-
-
-def recycled(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State step of one slot: the key it shows, so content that moved in starts with no verdict."""
-    current = state.get[0] if state.exists else None
-    rows = []
-    for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-        outcome = "first" if current is None else "same" if r.unit_key == current else "recycled"
-        current = r.unit_key
-        rows.append((key[0], r.seq, r.unit_key, outcome))
-    state.update((current,))
-    yield pd.DataFrame(rows, columns=[f.split()[0] for f in SLOT_OUT.split(", ")])
-
-
-def stream_recycled_units(events: DataFrame) -> DataFrame:
-    """``events`` has slot, seq, unit_key."""
-    return events.groupBy("slot").applyInPandasWithState(
-        recycled, SLOT_OUT, "current string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def stored_verdicts(slots: DataFrame, store: DataFrame, key: str = "unit_key", action: str = "action") -> DataFrame:
     """Slot changes with the verdict to show: a key that is known takes its stored one, a new one waits as ``pending``."""
     known = store.select(F.col(key), F.col(action).alias("shown"))

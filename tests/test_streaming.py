@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from modwarden.operators import fusion as fu
 from modwarden.profiles import MediaPolicy
 from modwarden.streaming import jobs as sj
+from modwarden.streaming import keyed as ky
 from modwarden.streaming import waits as wt
 
 SCHEMA = "unit_key string, seq long, kind string, fp string, action string"
@@ -45,7 +46,7 @@ def test_media_lifecycle_over_batches(spark, tmp_path):
     rng = random.Random(6)
     rows = [(f"u{rng.randint(0, 3)}", i, rng.choice(("request", "image", "ocr", "image-failed", "ocr-failed")),
              rng.choice(("f1", "f2")), rng.choice(("clean", "flag", "block"))) for i in range(240)]
-    out = sj.run_to_table(sj.stream_media_lifecycle(files(spark, rows, SCHEMA, str(tmp_path))), "t")
+    out = sj.run_to_table(ky.stream_media_lifecycle(files(spark, rows, SCHEMA, str(tmp_path))), "t", timers=True)
     assert sorted((r.unit_key, r.seq, r.outcome, r.action) for r in out.collect()) == lifecycle(rows)
 
 
@@ -82,7 +83,7 @@ class Handle:
     def __init__(self):
         self.timers = set()
 
-    def getListState(self, name, schema, ttlDurationMs):  # noqa: N802
+    def getListState(self, name, schema, ttlDurationMs=None):  # noqa: N802
         return Listed()
 
     def getValueState(self, name, schema, ttlDurationMs=None):  # noqa: N802
@@ -105,6 +106,9 @@ class Listed:
     def appendValue(self, row):  # noqa: N802
         self.rows.append(row)
 
+    def clear(self):
+        self.rows = []
+
 
 class Valued:
     value = None
@@ -269,7 +273,7 @@ def test_returning_keys_and_images_no_longer_shown(spark):
 
 def test_recycled_slots(spark, tmp_path):
     rows = [("s", i, k) for i, k in enumerate(["x", "x", "y", "x", "x", "z"])]
-    out = sj.run_to_table(sj.stream_recycled_units(files(spark, rows, "slot string, seq long, unit_key string", str(tmp_path), 3)), "t")
+    out = sj.run_to_table(ky.stream_recycled_units(files(spark, rows, "slot string, seq long, unit_key string", str(tmp_path), 3)), "t", timers=True)
     assert [r.outcome for r in out.orderBy("seq").collect()] == ["first", "same", "recycled", "recycled", "same", "recycled"]
 
 
@@ -297,3 +301,43 @@ def test_settings_change_asks_for_rescan(spark, tmp_path):
     settings = spark.createDataFrame([("all", "1:0:1")], "scope string, settings_policy string")
     out = sj.run_to_table(sj.with_settings(stream, settings).select("key", "rescan"), "t")
     assert {r.key: r.rescan for r in out.collect()} == {"a": True, "b": False}
+
+
+def cut(rows, rng):
+    import pandas as pd
+
+    at = sorted(rng.sample(range(1, len(rows)), 6))
+    return [pd.DataFrame(rows[a:b], columns=[f.split()[0] for f in SCHEMA.split(", ")]) for a, b in zip([0, *at], [*at, len(rows)], strict=True)]
+
+
+def test_lifecycle_steps_equal_the_rule_for_any_chunks():
+    """Shuffled chunks of a few rows in memory, the rest through the state list."""
+    rng = random.Random(12)
+    for trial in range(60):
+        rows = [("u", i, rng.choice(("request", "image", "ocr", "image-failed", "ocr-failed")), rng.choice(("f1", "f2", None)), rng.choice(("clean", "flag", "block")))
+                for i in range(60)]
+        batches, got = (rows[:25], rows[25:]), []
+        step = ky.MediaLifecycle(MediaPolicy(), most=rng.choice((5, 1000)))
+        step.init(Handle())
+        for batch in batches:
+            for out in step.handleInputRows(("u",), iter(cut(rng.sample(batch, len(batch)), rng)), None):
+                got += [(r.unit_key, r.seq, r.outcome, r.action) for r in out.itertuples()]
+        assert [g[1] for g in got] == list(range(60))
+        assert got == lifecycle([(k, s, kind, "none" if fp is None else fp, a) for k, s, kind, fp, a in rows]), trial
+
+
+def test_hot_key_keeps_bounded_memory(monkeypatch):
+    """A million rows of one key in chunks: few are held at any time, and they come in order."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(ky, "ENTRY", 5_000)
+    order = np.random.default_rng(0).permutation(1_000_000)
+    order[::3] = 500_000  # a third of the rows at one place
+    spill, largest = Listed(), 0
+    chunks = (pd.DataFrame({"seq": order[a : a + 10_000]}) for a in range(0, len(order), 10_000))
+    seen = []
+    for part in ky.in_order(chunks, "seq", spill, most=50_000):
+        largest = max(largest, len(part))
+        seen.append(part["seq"].to_numpy())
+    assert (np.concatenate(seen) == np.sort(order)).all() and largest < 100_000 and not spill.rows
