@@ -9,7 +9,12 @@ from modwarden import fixed_values as fv
 from modwarden.functions import scores as sc
 from modwarden.functions.text import let
 
-REASON_TYPE = "struct<source:string,action:string,image_key:string>"
+REASON_TYPE = "struct<source:string,action:string,image_key:string,image_url:string>"
+
+
+def _filled(c: Column) -> Column:
+    """Null in place of an empty string."""
+    return F.when(c != "", c)
 
 
 def part(source: str, action: Column, detail: Column | None = None) -> Column:
@@ -46,16 +51,22 @@ def fuse_rows(parts: DataFrame, key: str, order: str, source: str = "source", ac
 
 
 def strongest_reasons(
-    reasons: DataFrame, key: str, order: str, source: str = "source", action: str = "action", image: str = "image_key"
+    reasons: DataFrame, key: str, order: str, source: str = "source", action: str = "action", image: str = "image_key", url: str | None = None
 ) -> DataFrame:
-    """One reason per source and image: the newest, unless that would replace a block by less."""
+    """One reason per source and image: the newest, unless that would replace a block by less.
+
+    An image is known by its key, or by its address where it has none and ``url`` names the column of addresses.
+    """
     row = F.struct(F.col(action).alias("action"), F.col(order).alias("seen"))
     is_block = (F.col(action) == "block").cast("int")
+    by = [F.coalesce(F.col(image), F.lit("")).alias(image)]
+    if url:
+        by.append(F.when(_filled(F.col(image)).isNull(), F.coalesce(F.col(url), F.lit(""))).otherwise("").alias(url))
     return (
         reasons.filter(F.col(action).isin("flag", "block"))
-        .groupBy(key, source, F.coalesce(F.col(image), F.lit("")).alias(image))
+        .groupBy(key, source, *by)
         .agg(F.max_by(row, F.struct(is_block, F.col(order))).alias("_r"), F.min(order).alias("first_seen"))
-        .select(key, source, image, "_r.action", "_r.seen", "first_seen")
+        .select(key, source, image, *([url] if url else []), "_r.action", "_r.seen", "first_seen")
     )
 
 
@@ -78,12 +89,12 @@ def refine_verdict(base: DataFrame, additions: DataFrame, key: str, order: str)
 def reconcile_media(reasons: Column, current_keys: Column, current_urls: Column | None = None) -> Column:
     """Reasons that still hold: text findings, and media findings on images the unit still shows.
 
-    A finding without a source key is looked up by its ``image_url`` where the current addresses are given.
+    A finding without a source key, null or empty, is looked up by its ``image_url`` among the current addresses.
     """
     def holds(r: Column) -> Column:
-        shown = F.array_contains(current_keys, r["image_key"])
+        shown = F.array_contains(current_keys, _filled(r["image_key"]))
         if current_urls is not None:
-            shown = F.coalesce(shown, F.array_contains(current_urls, r["image_url"]))
+            shown = F.when(_filled(r["image_key"]).isNotNull(), shown).otherwise(F.array_contains(current_urls, _filled(r["image_url"])))
         return ~F.coalesce(r["source"].isin(*fv.MEDIA_SOURCES), F.lit(False)) | F.coalesce(shown, F.lit(False))
 
     return F.filter(reasons, holds)
@@ -97,9 +108,12 @@ def reasons_action(reasons: Column) -> Column:
     )
 
 
-def reconcile_verdicts(verdicts: DataFrame, reasons: str, current_keys: str, now: Column, ts: str = "ts") -> DataFrame:
+def reconcile_verdicts(
+    verdicts: DataFrame, reasons: str, current_keys: str, now: Column, ts: str = "ts", current_urls: str | None = None
+) -> DataFrame:
     """Recomputes action and time where a finding was dropped; other rows pass unchanged."""
-    kept = verdicts.withColumn("_kept", reconcile_media(F.col(reasons), F.col(current_keys)))
+    urls = F.col(current_urls) if current_urls else None
+    kept = verdicts.withColumn("_kept", reconcile_media(F.col(reasons), F.col(current_keys), urls))
     changed = F.size("_kept") != F.size(reasons)
     return (
         kept.withColumn("action", F.when(changed, reasons_action(F.col("_kept"))).otherwise(F.col("action")))

@@ -217,6 +217,37 @@ def _(spark, d):
     )
 
 
+_ADDRESSED = f"""{q.EV}, rs AS (SELECT key, source, CASE WHEN source = 'image' THEN image_key ELSE '' END AS image_key,
+  CASE WHEN source IN ('ocr-text', 'lexicon-ocr') THEN 'https://media.example/' || image_key ELSE '' END AS image_url, action, seq FROM ev WHERE action <> 'clean'),
+best AS (SELECT *, row_number() OVER (PARTITION BY key, source, image_key, image_url ORDER BY (action = 'block')::INT DESC, seq DESC) AS rn FROM rs)"""
+
+
+@query(
+    "reconcile_by_address",
+    f"""WITH {_ADDRESSED}, st AS (SELECT * FROM best WHERE rn = 1),
+    keep AS (SELECT *, CASE WHEN source NOT IN ('image', 'ocr-text', 'lexicon-ocr') THEN true WHEN image_key <> '' THEN image_key IN ('img1', 'img2', 'img3')
+      ELSE image_url IN ('https://media.example/img2', 'https://media.example/img5') END AS ok FROM st)
+    SELECT key, {q.name_of('coalesce(max(CASE WHEN ok THEN ' + q.rank_of('action') + ' END), 0)')} AS action, count(*) FILTER (ok) AS reasons,
+    count(*) FILTER (ok AND image_url <> '') AS by_address, bool_or(NOT ok) AS changed FROM keep GROUP BY key""",
+)
+def _(spark, d):
+    """Text read off images names its image by address only; findings on images carry their keys."""
+    source, key = F.col("source"), F.col("image_key")
+    log = verdict_log(spark, d).select(
+        "key", "source", F.when(source == "image", key).alias("image_key"),
+        F.when(source.isin("ocr-text", "lexicon-ocr"), F.concat(F.lit("https://media.example/"), key)).alias("image_url"), "action", "seq",
+    )
+    stored = fu.strongest_reasons(log, "key", "seq", url="image_url").groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("source", "action", "image_key", "image_url"))).alias("reasons"),
+        sc.rank_action(F.max(sc.action_rank("action"))).alias("action"),
+    ).withColumns({
+        "shown": F.array(*[F.lit(f"img{i}") for i in (1, 2, 3)]), "urls": F.array(*[F.lit(f"https://media.example/img{i}") for i in (2, 5)]), "ts": F.lit(0),
+    })
+    out = fu.reconcile_verdicts(stored, "reasons", "shown", F.lit(1), current_urls="urls")
+    by_address = F.size(F.filter("reasons", lambda r: r["image_url"] != ""))
+    return out.select("key", "action", F.size("reasons").cast("long").alias("reasons"), by_address.cast("long").alias("by_address"), (F.col("ts") == 1).alias("changed"))
+
+
 # ------------------------------------------------------------------------------ media decisions
 
 VIOLENCE_LABELS = ("violence", "sensitive", "weapon", "l4", "l5", "l6", "l7", "l8")

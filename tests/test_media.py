@@ -124,12 +124,28 @@ def test_refine_leaves_untouched_keys_out(spark):
 
 def test_reconcile(spark):
     schema = f"key string, action string, reasons array<{fu.REASON_TYPE}>, shown array<string>, ts long"
-    rows = [("a", "block", [("image", "block", "gone"), ("text", "flag", None)], ["new"], 5),
-            ("b", "block", [("image", "block", "new")], ["new"], 5), ("c", "flag", [("ocr-text", "flag", "gone")], [], 5)]
+    rows = [("a", "block", [("image", "block", "gone", "u"), ("text", "flag", None, None)], ["new"], 5),
+            ("b", "block", [("image", "block", "new", None)], ["new"], 5), ("c", "flag", [("ocr-text", "flag", "gone", None)], [], 5)]
     out = fu.reconcile_verdicts(spark.createDataFrame(rows, schema), "reasons", "shown", F.lit(9)).orderBy("key").collect()
     assert [(r.action, len(r.reasons), r.ts) for r in out] == [("flag", 1, 9), ("block", 1, 5), ("clean", 0, 9)]
 
 
+def test_reconcile_by_address(spark):
+    """An address counts only where there is no key, and only among the current addresses."""
+    schema = f"key string, action string, reasons array<{fu.REASON_TYPE}>, shown array<string>, urls array<string>, ts long"
+    cases = [(None, "u1", True), ("", "u1", True), ("", "u9", False), ("k1", "u9", True), ("k9", "u1", False), (None, None, False), ("", "", False)]
+    rows = [(str(i), "flag", [("image", "flag", key, url)], ["k1", ""], ["u1", ""], 5) for i, (key, url, _) in enumerate(cases)]
+    out = fu.reconcile_verdicts(spark.createDataFrame(rows, schema), "reasons", "shown", F.lit(9), current_urls="urls").collect()
+    assert {r.key: (r.action, len(r.reasons), r.ts) for r in out} == {str(i): ("flag", 1, 5) if kept else ("clean", 0, 9) for i, (*_, kept) in enumerate(cases)}
+
+
+def test_reasons_by_address(spark):
+    schema = "key string, source string, image_key string, image_url string, action string, seq long"
+    rows = [("a", "image", "k", "u1", "block", 1), ("a", "image", "k", "u2", "flag", 2), ("a", "image", None, "u1", "flag", 3), ("a", "image", "", "u1", "flag", 4), ("a", "image", None, None, "flag", 5)]
+    out = fu.strongest_reasons(spark.createDataFrame(rows, schema), "key", "seq", url="image_url").collect()
+    assert sorted((r.image_key, r.image_url, r.action, r.seen) for r in out) == [("", "", "flag", 5), ("", "u1", "flag", 4), ("k", "", "block", 1)]
+
+
 def test_fuse(spark):
     df = spark.createDataFrame([("flag", "block"), ("clean", "clean"), ("clean", "flag")], "a string, b string")
     out = [r.v for r in df.select(fu.fuse(fu.part("lexicon", F.col("a")), fu.part("text", F.col("b"))).alias("v")).collect()]
