@@ -14,6 +14,8 @@ from modwarden.operators import store as st
 from modwarden.plans import sql as q
 from modwarden.plans.registry import query
 from modwarden.plans.text_queries import plausibility_sql
+from modwarden.session import shared_dir
+from modwarden.sources.buckets import BucketedStore
 from modwarden.sources.readers import read_table
 
 
@@ -122,6 +124,23 @@ def _(spark, d):
     return st.cache_lookup(_requests(spark, d), stored, _KEYS, ["cached_action"])
 
 
+@query(
+    "bucketed_store_lookup",
+    f"""WITH {_STORE} SELECT req.*, CASE WHEN cur.policy_version = req.policy_version AND cur.settings_policy = req.settings_policy THEN cur.action END AS cached_action
+    FROM req LEFT JOIN cur USING (key)""",
+)
+def _(spark, d):
+    """Two batches, folded into one, a third after it: the filters say which buckets are read, and the store stays where it lies."""
+    log = verdict_log(spark, d).filter("policy_version = 'v2'").select("key", "policy_version", "settings_policy", F.col("action").alias("cached_action"), "ts_us", "seq")
+    schema = "key string, policy_version string, settings_policy string, cached_action string, ts_us bigint, seq bigint"
+    store = BucketedStore(spark, shared_dir(spark, "bucketed-store"), schema, "key", ["ts_us", "seq"], buckets=16)
+    store.upsert(log.filter("cached_action = 'clean'"), "w-0")
+    store.upsert(log.filter("cached_action = 'flag'"), "w-1")
+    store.compact(0)
+    store.upsert(log.filter("cached_action = 'block'"), "w-2")
+    return store.lookup(_requests(spark, d), ["cached_action"], ["policy_version", "settings_policy"])
+
+
 @query(
     "verdict_cache_misses",
     f"""WITH {_STORE} SELECT req.* FROM req WHERE NOT EXISTS (SELECT 1 FROM cur WHERE cur.key = req.key AND cur.policy_version = req.policy_version AND cur.settings_policy = req.settings_policy)""",
