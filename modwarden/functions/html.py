@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,10 +95,11 @@ def image_urls(html: Column | str) -> Column:
 
 
 NODE_SCHEMA = (
-    "page_id long, node int, parent int, path array<int>, tag string, attrs map<string,string>, "
+    "page_id long, node int, last int, parent int, tag string, attrs map<string,string>, "
     "start int, end int, text_len int, children int, child_ix int, visit int, chrome boolean, has_img boolean, "
     "part_text string, page_text string"
 )
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 KEPT_ATTRS = ("class", "id", "role", "data-testid", "data-test-id", "aria-label", "data-pagelet", "source", "src")
 NODES_AT_ONCE = 20_000
 # Start tags that end an open paragraph, and the elements a paragraph is looked for through.
@@ -126,11 +128,15 @@ _BLOCKS, _FALLBACKS = frozenset(fv.BLOCK_TAGS), frozenset(fv.FALLBACK_TAGS)
 
 
 class _Tree(HTMLParser):
-    """Elements with their place in the tree and their span in the page's text, as one list per property."""
+    """Elements with their place in the tree and their span in the page's text, as one list per property.
+
+    Elements are numbered as they start, and ``last`` is the last number inside one: ``b`` stands in ``a`` if
+    ``a < b <= last[a]``.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tag, self.attrs, self.parent, self.path, self.start, self.end = [], [], [], [], [], []
+        self.tag, self.attrs, self.parent, self.last, self.start, self.end = [], [], [], [], [], []
         self.kids, self.child_ix, self.img, self.chrome, self.own = [], [], [], [], []
         self.open: list[int] = []
         self.text: list[str] = []
@@ -146,7 +152,7 @@ class _Tree(HTMLParser):
         self.tag.append(tag)
         self.attrs.append(kept)
         self.parent.append(parent)
-        self.path.append(tuple(self.open))
+        self.last.append(len(self.tag) - 1)
         self.start.append(self.size)
         self.end.append(self.size)
         self.img.append(tag == "img")
@@ -189,7 +195,8 @@ class _Tree(HTMLParser):
                 return
 
     def _close(self):
-        self.end[self.open.pop()] = self.size
+        node = self.open.pop()
+        self.end[node], self.last[node] = self.size, len(self.tag) - 1
 
     def finish(self):
         self.close()
@@ -239,22 +246,32 @@ def _part_text(tree: _Tree, i: int, text: str, least: int) -> str | None:
     return max(own, whole, key=len)
 
 
-def node_frames(batches, least: int = PartPolicy().min_chars):
+def node_batches(batches: Iterator[pa.RecordBatch], least: int = PartPolicy().min_chars) -> Iterator[pa.RecordBatch]:
     """Node table of each page, in bounded pieces; the text of a page is carried once, on its first node."""
-    names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
-    for pdf in batches:
-        rows = []
-        for page_id, html in zip(pdf["page_id"], pdf["html"]):
-            tree, text = page_tree(html)
+    schema = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split(" ") for f in NODE_SCHEMA.split(", "))])
+    held: list[list] = [[] for _ in schema]
+
+    def told() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema, strict=True)], schema=schema)
+        for c in held:
+            c.clear()
+        return out
+
+    for batch in batches:
+        for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html"), strict=True):
+            tree, text = page_tree(html.as_py())
+            n = len(tree.tag)
             lengths, visits = _squeezed_lengths(text, tree.start, tree.end), tree.visits()
-            for i in range(len(tree.tag)):
-                rows.append((
-                    page_id, i, tree.parent[i], tree.path[i], tree.tag[i], tree.attrs[i], tree.start[i], tree.end[i], lengths[i],
-                    len(tree.kids[i]), tree.child_ix[i], visits[i], tree.chrome[i], tree.img[i], _part_text(tree, i, text, least),
-                    text if i == 0 else None,
-                ))
-                if len(rows) >= NODES_AT_ONCE:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
+            for a in range(0, n, NODES_AT_ONCE):
+                b = min(n, a + NODES_AT_ONCE)
+                columns = (
+                    [page_id] * (b - a), range(a, b), tree.last[a:b], tree.parent[a:b], tree.tag[a:b], [list(x.items()) for x in tree.attrs[a:b]], tree.start[a:b],
+                    tree.end[a:b], lengths[a:b], [len(k) for k in tree.kids[a:b]], tree.child_ix[a:b], visits[a:b], tree.chrome[a:b], tree.img[a:b],
+                    [_part_text(tree, i, text, least) for i in range(a, b)], [text if i == 0 else None for i in range(a, b)],
+                )
+                for c, more in zip(held, columns, strict=True):
+                    c.extend(more)
+                if len(held[0]) >= NODES_AT_ONCE:
+                    yield told()
+    if held[0]:
+        yield told()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from modwarden import fixed_values as fv
 from modwarden.functions import html as hm
@@ -132,7 +134,7 @@ def node_table(pages: DataFrame) -> DataFrame:
     Chrome is marked while a page is parsed, where its ancestors are at hand, so nothing is shuffled. Unit
     detection reads the table several times, so it is written once to the shared folder.
     """
-    raw = pages.select("page_id", "html").mapInPandas(hm.node_frames, hm.NODE_SCHEMA)
+    raw = pages.select("page_id", "html").mapInArrow(hm.node_batches, hm.NODE_SCHEMA)
 
     def attr(name: str) -> Column:
         return F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
@@ -151,18 +153,71 @@ def length_shape(n: Column) -> Column:
     return F.when(n < 20, 0).when(n < 60, 1).when(n < 300, 2).when(n < 1200, 3).otherwise(2)
 
 
-def drop_nested(units: DataFrame, page: str = "page_id", node: str = "node", path: str = "path", rank: str = "rank") -> DataFrame:
+def _sweep(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType, *then: str) -> DataFrame:
+    """``step`` over rows sorted by page and element: what is open at an element is a stack, as deep as the page."""
+    return rows.repartition("page_id").sortWithinPartitions("page_id", "node", *then).mapInArrow(step, schema)
+
+
+def drop_nested(units: DataFrame, rank: str = "rank") -> DataFrame:
     """Drops a unit that has an accepted ancestor of an earlier rank.
 
-    The earliest-ranked ancestor of a unit always survives itself, so one anti-join against all
-    candidates gives the outcome of accepting them one by one.
+    The earliest-ranked ancestor of a unit always survives itself, so the earliest rank of all open candidates gives the
+    outcome of accepting them one by one. ``units`` has page_id, node, last.
+    """
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, stack = None, []  # (node, last, earliest rank down to here)
+        for batch in batches:
+            kept = []
+            for i, (at, node, last, r) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "node", "last", rank)), strict=True)):
+                if at != page:
+                    page, stack = at, []
+                while stack and (stack[-1][1] < node or stack[-1][0] == node):
+                    stack.pop()
+                if not stack or stack[-1][2] >= r:
+                    kept.append(i)
+                stack.append((node, last, min(r, stack[-1][2]) if stack else r))
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return _sweep(units, step, units.schema)
+
+
+def _inside(outer: DataFrame, inner: DataFrame, *cols: str, itself: bool = False) -> DataFrame:
+    """``(page_id, _unit, node, last, <cols>)``: each element with every one of ``outer`` that it stands in, or is.
+
+    One sorted sweep over both, with the open outer elements on a stack.
     """
-    links = units.select(page, F.col(node).alias("_n"), F.col(rank).alias("_r"), F.explode(path).alias("_a"))
-    above = units.select(page, F.col(node).alias("_a"), F.col(rank).alias("_ar"))
-    covered = links.join(above, [page, "_a"]).filter(F.col("_ar") < F.col("_r")).select(
-        page, F.col("_n").alias(node)
-    ).distinct()
-    return units.join(covered, [page, node], "left_anti")
+    names = ["page_id", "node", "last", *cols]
+    marks = outer.select("page_id", "node", F.col("last").cast("int").alias("last")).distinct().withColumn("_outer", F.lit(True))
+    rows = inner.select(*names).withColumn("_outer", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, stack = None, []
+        for batch in batches:
+            at, units = [], []
+            for i, (p, node, last, opens) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "node", "last", "_outer")), strict=True)):
+                if p != page:
+                    page, stack = p, []
+                while stack and stack[-1][1] < node:
+                    stack.pop()
+                if opens:
+                    stack.append((node, last))
+                else:
+                    for unit, _ in stack:
+                        if itself or unit != node:
+                            at.append(i)
+                            units.append(unit)
+            found = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([found.column("page_id"), pa.array(units, pa.int32()), *(found.column(c) for c in names[1:])], ["page_id", "_unit", *names[1:]])
+
+    fields = [rows.schema[c] for c in names]
+    schema = StructType([fields[0], StructField("_unit", IntegerType()), *fields[1:]])
+    # Outer elements come before the inner one of the same number, so an element finds itself open.
+    return _sweep(rows.withColumn("_inner", ~F.col("_outer")), step, schema, "_inner")
+
+
+def _located(units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Units with the ends of their elements, which are looked up where a caller does not bring them."""
+    return units if "last" in units.columns else units.join(nodes.select("page_id", "node", "last"), ["page_id", "node"])
 
 
 def repeated_group_units(nodes: DataFrame, policy: GroupPolicy = GroupPolicy()) -> DataFrame:
@@ -196,9 +251,8 @@ def repeated_group_units(nodes: DataFrame, policy: GroupPolicy = GroupPolicy())
     members = kids.join(
         ranked.select("page_id", "parent", "sig", "rank", "group_score", "members"), ["page_id", "parent", "sig"]
     )
-    return drop_nested(materialize(members, "group-members")).select(
-        "page_id", "node", "path", "tag", "sig", "text_len", "start", "end", "has_img", "rank", "group_score", "members"
-    )
+    cols = ["page_id", "node", "last", "tag", "sig", "text_len", "start", "end", "has_img", "rank", "group_score", "members"]
+    return drop_nested(members.select(*cols))
 
 
 def _rule_place() -> Column:
@@ -252,12 +306,12 @@ def semantic_units(nodes: DataFrame, min_chars: int = 24) -> DataFrame:
     )
     # Pages with comment lists or feeds are few, so the context is a narrow side of a left join.
     context = nodes.filter(is_list | (F.col("role") == "feed")).groupBy("page_id").agg(
-        F.collect_set(F.when(is_list, F.col("node"))).alias("lists"),
+        F.collect_set(F.when(is_list, F.struct("node", "last"))).alias("lists"),
         F.collect_set(F.when(F.col("role") == "feed", F.col("node"))).alias("feeds"),
     )
     usable = nodes.filter(~F.col("chrome") & ((F.col("text_len") >= min_chars) | F.col("has_img")))
     after = len(fv.SEMANTIC_RULES)
-    in_list = (F.col("tag") == "li") & F.arrays_overlap("path", "lists")
+    in_list = (F.col("tag") == "li") & F.exists("lists", lambda x: (x["node"] < F.col("node")) & (F.col("node") <= x["last"]))
     in_feed = F.array_contains("feeds", F.col("parent"))
     micro = (F.col("tag") == "div") & (F.coalesce(F.try_element_at("attrs", F.lit("data-testid")), F.lit("")) == "tweetText")
     return (
@@ -265,7 +319,7 @@ def semantic_units(nodes: DataFrame, min_chars: int = 24) -> DataFrame:
         .join(context, "page_id", "left")
         .withColumn("rule", F.coalesce(_rule_place(), F.when(in_list, after), F.when(in_feed, after + 1)))
         .filter(F.col("rule").isNotNull())
-        .select("page_id", "node", "path", "tag", "text_len", "start", "end", "has_img", "rule")
+        .select("page_id", "node", "last", "tag", "text_len", "start", "end", "has_img", "rule")
     )
 
 
@@ -282,7 +336,7 @@ def section_units(nodes: DataFrame, min_chars: int = 24, min_container: int = 40
         place = F.when(hit, i).otherwise(place)
     # Only the first element of each selector is looked at, as a page is read.
     first = nodes.withColumn("_sel", place).filter("_sel is not null").groupBy("page_id", "_sel").agg(
-        F.min(F.struct("node", "text_len", "tag", "path", "start", "end", "has_img")).alias("c")
+        F.min(F.struct("node", "text_len", "tag", "last", "start", "end", "has_img")).alias("c")
     )
     container = (
         first.filter(F.col("c.end") - F.col("c.start") > min_container)
@@ -292,10 +346,10 @@ def section_units(nodes: DataFrame, min_chars: int = 24, min_container: int = 40
     is_section = F.col("tag").isin(*fv.SECTION_TAGS) | F.arrays_overlap(
         classes, F.array(*[F.lit(c) for c in fv.SECTION_CLASSES])
     ) | F.col("id_attr").isin("comments")
-    cols = ["node", "path", "tag", "text_len", "start", "end", "has_img"]
+    cols = ["node", "last", "tag", "text_len", "start", "end", "has_img"]
     inside = (
-        nodes.join(container.select("page_id", F.col("c.node").alias("_c")), "page_id")
-        .filter(F.array_contains("path", F.col("_c")) & is_section & ~F.col("chrome") & (F.col("end") - F.col("start") >= min_chars))
+        nodes.join(container.select("page_id", F.col("c.node").alias("_c"), F.col("c.last").alias("_c_last")), "page_id")
+        .filter((F.col("node") > F.col("_c")) & (F.col("node") <= F.col("_c_last")) & is_section & ~F.col("chrome") & (F.col("end") - F.col("start") >= min_chars))
         .select("page_id", *cols)
     )
     alone = container.join(inside.select("page_id").distinct(), "page_id", "left_anti").select(
@@ -306,29 +360,31 @@ def section_units(nodes: DataFrame, min_chars: int = 24, min_container: int = 40
 
 def detect_units(nodes: DataFrame) -> DataFrame:
     """Semantic units, then repeated groups outside them; sections only where a page has neither."""
-    cols = ["page_id", "node", "path", "tag", "text_len", "start", "end"]
+    cols = ["page_id", "node", "last", "tag", "text_len", "start", "end"]
     semantic = semantic_units(nodes).select(*cols, F.lit("semantic").alias("tier"))
     groups = repeated_group_units(nodes).select(*cols, F.lit("group").alias("tier"))
     sections = section_units(nodes).select(*cols, F.lit("section").alias("tier"))
-    candidates = materialize(semantic.unionByName(groups).unionByName(sections), "units")
-    # Which tiers a page has, and its semantic elements; a page's units are one document's.
-    page = candidates.groupBy("page_id").agg(
-        F.collect_set(F.when(F.col("tier") == "semantic", F.col("node"))).alias("_claimed"),
-        F.bool_or(F.col("tier") != "section").alias("_has_units"),
-    )
-    inside = F.arrays_overlap(F.concat("path", F.array("node")), F.col("_claimed"))
-    keep = (
-        F.when(F.col("tier") == "semantic", True)
-        .when(F.col("tier") == "group", ~inside)
-        .otherwise(~F.col("_has_units"))
-    )
-    return candidates.join(page, "page_id").filter(keep).select(*cols, "tier")
-
 
-def _inside(units: DataFrame, nodes: DataFrame, *cols: str) -> DataFrame:
-    """Elements inside each unit, by an equi-join on the unit as one of their ancestors."""
-    under = nodes.select("page_id", F.explode("path").alias("_unit"), "node", "path", *cols)
-    return units.select("page_id", F.col("node").alias("_unit")).distinct().join(under, ["page_id", "_unit"])
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sections come last on their page, when it is known whether it has other units."""
+        page, claimed, has_units = None, -1, False
+        for batch in batches:
+            kept = []
+            for i, (at, node, last, tier) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "node", "last", "tier")), strict=True)):
+                if at != page:
+                    page, claimed, has_units = at, -1, False
+                if tier == "semantic":
+                    claimed = max(claimed, last)
+                # Elements nest, so one stands in a claimed element if it starts before the last end of those.
+                if tier == "semantic" or (tier == "group" and node > claimed) or (tier == "section" and not has_units):
+                    kept.append(i)
+                has_units |= tier != "section"
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    candidates = semantic.unionByName(groups).unionByName(sections)
+    order = candidates.withColumns({"_late": F.col("tier") == "section", "_other": F.col("tier") != "semantic"})
+    swept = order.repartition("page_id").sortWithinPartitions("page_id", "_late", "node", "_other")
+    return swept.select(*cols, "tier").mapInArrow(step, semantic.schema)
 
 
 def unit_parts(units: DataFrame, nodes: DataFrame, policy: PartPolicy = PartPolicy.whole()) -> DataFrame:
@@ -338,8 +394,8 @@ def unit_parts(units: DataFrame, nodes: DataFrame, policy: PartPolicy = PartPoli
     plain containers, and one that is itself a text element to itself.
     """
     texts = nodes.filter(F.length("part_text") >= policy.min_chars)
-    inside = _inside(units, texts.filter(~F.col("chrome")), "tag", "part_text")
-    row = F.struct(F.col("node").alias("n"), "path", "tag", F.col("part_text").alias("text"))
+    inside = _inside(_located(units, nodes), texts.filter(~F.col("chrome")), "tag", "part_text")
+    row = F.struct(F.col("node").alias("n"), "last", "tag", F.col("part_text").alias("text"))
     listed = inside.groupBy("page_id", F.col("_unit").alias("node")).agg(F.array_sort(F.collect_list(row)).alias("all"))
     own = texts.select("page_id", "node", F.array(row).alias("own"))
     none = F.array().cast(own.schema["own"].dataType)
@@ -347,7 +403,16 @@ def unit_parts(units: DataFrame, nodes: DataFrame, policy: PartPolicy = PartPoli
     def outer(tags: Sequence[str]) -> Column:
         """Of the elements with one of these tags those that stand in no other of them."""
         of = F.filter(F.coalesce("all", none), lambda p: p["tag"].isin(*tags))
-        return tx.let(of, lambda x: F.filter(x, lambda p: ~F.arrays_overlap(p["path"], F.transform(x, lambda y: y["n"]))))
+
+        # In order of their numbers, an element stands in an earlier one if that has not ended: the last end is carried along.
+        def step(done: Column, p: Column) -> Column:
+            first = p["n"] > done["end"]
+            return F.struct(
+                F.when(first, p["last"]).otherwise(done["end"]).alias("end"),
+                F.when(first, F.concat(done["kept"], F.array(p))).otherwise(done["kept"]).alias("kept"),
+            )
+
+        return F.aggregate(of, F.struct(F.lit(-1).alias("end"), none.alias("kept")), step, lambda done: done["kept"])
 
     both = units.select("page_id", "node").distinct().join(listed, ["page_id", "node"], "left").join(own, ["page_id", "node"], "left")
     chosen = both.select("page_id", "node", outer(fv.BLOCK_TAGS).alias("blocks"), outer(fv.FALLBACK_TAGS).alias("plain"), "own").select(
@@ -370,7 +435,7 @@ def unit_images(units: DataFrame, nodes: DataFrame) -> DataFrame:
     src = F.try_element_at("attrs", F.lit("src"))
     images = nodes.filter((F.col("tag") == "img") & src.isNotNull() & ~F.col("chrome")).withColumn("src", src)
     # An image element that is a unit of its own lies inside itself.
-    within = _inside(units, images.withColumn("path", F.concat("path", F.array("node"))), "src")
+    within = _inside(_located(units, nodes), images, "src", itself=True)
     listed = F.array_sort(F.collect_list(F.struct("node", "src")))
     return within.groupBy("page_id", F.col("_unit").alias("node")).agg(listed.alias("i")).select("page_id", "node", F.col("i.src").alias("images"))
 
@@ -379,11 +444,10 @@ def media_units(nodes: DataFrame) -> DataFrame:
     """Elements that hold standalone media: figures, pictures, photo and gallery containers, images of a group."""
     classes, testid = F.split("cls", r"\s+"), F.coalesce(F.try_element_at("attrs", F.lit("data-testid")), F.lit(""))
     box = (F.col("tag") == "div") & (testid.isin(*fv.MEDIA_TESTIDS) | F.arrays_overlap(classes, F.array(*[F.lit(c) for c in fv.MEDIA_CLASSES])))
-    holders = nodes.filter((F.col("tag") == "div") & ((F.col("role") == "group") | (testid == fv.MEDIA_TESTIDS[0]))).select("page_id", F.col("node").alias("_a")).distinct()
-    up = nodes.filter("tag = 'img'").select("page_id", "node", F.explode("path").alias("_a"))
-    grouped = up.join(holders, ["page_id", "_a"], "left_semi").select("page_id", "node").distinct().withColumn("_in", F.lit(True))
+    holders = nodes.filter((F.col("tag") == "div") & ((F.col("role") == "group") | (testid == fv.MEDIA_TESTIDS[0])))
+    grouped = _inside(holders, nodes.filter("tag = 'img'")).select("page_id", "node").distinct().withColumn("_in", F.lit(True))
     hit = F.col("tag").isin("figure", "picture") | box | F.coalesce("_in", F.lit(False))
-    return nodes.join(grouped, ["page_id", "node"], "left").filter(hit & ~F.col("chrome")).select("page_id", "node", "path", "tag", "text_len", "start", "end")
+    return nodes.join(grouped, ["page_id", "node"], "left").filter(hit & ~F.col("chrome")).select("page_id", "node", "last", "tag", "text_len", "start", "end")
 
 
 def detected_units(pages: DataFrame, policy: PartPolicy = PartPolicy.whole(), units: UnitPolicy = UnitPolicy(), rules: Sequence[SiteRule] = SITE_RULES, media_below: int = 8) -> DataFrame:
@@ -394,7 +458,7 @@ def detected_units(pages: DataFrame, policy: PartPolicy = PartPolicy.whole(), un
     units also offers its standalone media. The site rules decide least text, splitting and images.
     """
     nodes = node_table(pages)
-    cols = ["page_id", "node", "tier"]
+    cols = ["page_id", "node", "last", "tier"]
     text_units = detect_units(nodes).select(*cols)
     few = text_units.groupBy("page_id").agg(F.count("*").alias("n")).filter(F.col("n") >= media_below).select("page_id")
     media = media_units(nodes).join(few, "page_id", "left_anti").withColumn("tier", F.lit("media")).select(*cols)
@@ -409,11 +473,11 @@ def detected_units(pages: DataFrame, policy: PartPolicy = PartPolicy.whole(), un
         return full.withColumn("text", text).withColumn("images", F.slice(F.coalesce(idn.filter_image_urls("images", None), F.array().cast("array<string>")), 1, F.col("max_images")))
 
     whole = materialize(filled(found), "units")
-    kids = nodes.filter(~F.col("chrome") & (F.col("text_len") >= units.split_min_child)).select("page_id", F.col("parent").alias("node"), F.col("node").alias("kid"))
+    kids = nodes.filter(~F.col("chrome") & (F.col("text_len") >= units.split_min_child)).select("page_id", F.col("parent").alias("node"), F.col("node").alias("kid"), F.col("last").alias("kid_last"))
     long = whole.filter((F.length("text") > units.split_above) & ~F.coalesce("no_split", F.lit(False))).select("page_id", "node", "tier")
     big = long.join(kids, ["page_id", "node"])
     many = big.groupBy("page_id", "node").agg(F.count("*").alias("n")).filter("n >= 2").select("page_id", "node")
-    split = big.join(many, ["page_id", "node"], "left_semi").select("page_id", F.col("kid").alias("node"), "tier").distinct()
+    split = big.join(many, ["page_id", "node"], "left_semi").select("page_id", F.col("kid").alias("node"), F.col("kid_last").alias("last"), "tier").distinct()
     least = F.coalesce("min_chars", F.lit(units.min_chars_generic))
     kept = whole.join(many, ["page_id", "node"], "left_anti").filter((F.length("text") >= least) | (F.size("images") > 0))
     out = kept.withColumn("was_split", F.lit(False)).unionByName(filled(split).withColumn("was_split", F.lit(True)))

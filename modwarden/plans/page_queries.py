@@ -11,7 +11,7 @@ from modwarden.operators import pages as pg
 from modwarden.plans import sql as q
 from modwarden.plans.registry import query
 from modwarden.profiles import PartPolicy
-from modwarden.sources.readers import read_pages
+from modwarden.sources.readers import read_pages, read_table
 
 WHOLE = PartPolicy.whole()
 
@@ -226,13 +226,16 @@ _SHAPE = "CASE WHEN length(text) < 20 THEN 0 WHEN length(text) < 60 THEN 1 WHEN
     SELECT page_id, node FROM u WHERE NOT EXISTS (SELECT 1 FROM l JOIN u up ON up.page_id = l.page_id AND up.node = l.a WHERE l.page_id = u.page_id AND l.node = u.node AND up.rank < l.rank)""",
 )
 def _(spark, d):
-    node = F.col("doc_id") % 15 + 1
-    above = F.filter(F.array(F.floor(node / 8), F.floor(node / 4), F.floor(node / 2)), lambda a: a > 0)
-    u = spark.read.parquet(f"{d.rstrip('/')}/documents.parquet").select(
-        F.floor(F.col("doc_id") / 15).alias("page_id"), node.alias("node"), above.alias("path"),
-        F.md5(F.col("doc_id").cast("string")).alias("rank"),
+    # Fifteen elements a page as a binary tree: the children of ``k`` are ``2k`` and ``2k + 1``. Their numbers in the order
+    # of a page, and the last number inside each:
+    order = (0, 1, 8, 2, 5, 9, 12, 3, 4, 6, 7, 10, 11, 13, 14)
+    last = (14, 7, 14, 4, 7, 11, 14, 3, 4, 6, 7, 10, 11, 13, 14)
+    heap = (F.col("doc_id") % 15).cast("int")
+    u = read_table(spark, d, "documents").select(
+        F.floor(F.col("doc_id") / 15).alias("page_id"), *(F.array(*map(F.lit, x))[heap].alias(n) for x, n in ((order, "node"), (last, "last"))),
+        (F.col("doc_id") % 15 + 1).alias("heap"), F.md5(F.col("doc_id").cast("string")).alias("rank"),
     )
-    return pg.drop_nested(u).select("page_id", "node")
+    return pg.drop_nested(u).select("page_id", F.col("heap").alias("node"))
 
 
 @query(

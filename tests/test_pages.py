@@ -54,14 +54,14 @@ def test_unclosed_inline_does_not_nest_paragraphs():
 def test_many_siblings_are_parsed_in_pieces():
     import time
 
-    import pandas as pd
+    import pyarrow as pa
 
     html = "<ul>" + "<li>entry of a very long list</li>" * 50_000 + "</ul>"
     start = time.perf_counter()
-    frames = list(hm.node_frames(iter([pd.DataFrame({"page_id": [1], "html": [html]})])))
+    frames = list(hm.node_batches(iter([pa.RecordBatch.from_pydict({"page_id": [1], "html": [html]})])))
     assert time.perf_counter() - start < 20
     assert max(map(len, frames)) <= hm.NODES_AT_ONCE and sum(map(len, frames)) == 50_001
-    last = frames[-1].iloc[-1]
+    last = frames[-1].slice(frames[-1].num_rows - 1).to_pylist()[0]
     assert (last["child_ix"], last["text_len"], last["part_text"]) == (49_999, 25, "entry of a very long list")
 
 
@@ -128,13 +128,42 @@ def test_nested_units_equal_greedy(spark):
     rng = random.Random(2)
     for _ in range(3):
         parent = {n: rng.randint(0, n - 1) for n in range(1, 40)}
+        number, last = {}, {}
 
-        def path(n):
+        def walk(n, parent=parent, number=number, last=last):
+            number[n] = len(number)
+            for kid in (k for k, p in parent.items() if p == n):
+                walk(kid)
+            last[n] = len(number) - 1
+
+        def path(n, parent=parent):
             return path(parent[n]) + [parent[n]] if n else []
 
+        walk(0)
         units = [(n, path(n), r) for n, r in zip(rng.sample(range(1, 40), 25), range(25))]
-        df = spark.createDataFrame([(0, *u) for u in units], "page_id int, node int, path array<int>, rank int")
-        assert {r.node for r in pg.drop_nested(df).collect()} == accept_one_by_one(units)
+        df = spark.createDataFrame([(page, number[n], last[n], r, n) for page in (0, 1) for n, _, r in units], "page_id long, node int, last int, rank int, own int")
+        found = pg.drop_nested(df.repartition(3)).collect()
+        for page in (0, 1):
+            assert {r.own for r in found if r.page_id == page} == accept_one_by_one(units)
+
+
+def test_elements_inside_each_unit(spark):
+    """The sweep against ancestors walked one by one, units inside units and units that are elements themselves."""
+    html = "<div><p>a<b>b</b></p><div><p>c</p><img src=x></div></div><p>d</p>" * 3
+    tree, _ = hm.page_tree(html)
+    rows = [(page, n, tree.last[n], tree.tag[n]) for page in (1, 2) for n in range(len(tree.tag))]
+    nodes = spark.createDataFrame(rows, "page_id long, node int, last int, tag string")
+    units = nodes.filter("tag = 'div' or tag = 'img'")
+    for itself in (False, True):
+        got = sorted((r.page_id, r._unit, r.node, r.tag) for r in pg._inside(units, nodes, "tag", itself=itself).collect())
+        want = []
+        for page, n, _, tag in rows:
+            up, seen = tree.parent[n], [n] if itself else []
+            while up >= 0:
+                seen.append(up)
+                up = tree.parent[up]
+            want += [(page, u, n, tag) for u in seen if tree.tag[u] in ("div", "img")]
+        assert got == sorted(want)
 
 
 def test_join_split_dominant(spark):
