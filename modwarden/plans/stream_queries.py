@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from modwarden.functions import scores as sc
 from modwarden.functions import windows as wn
 from modwarden.operators import corpus as cp
+from modwarden.operators import epochs as ep
 from modwarden.operators import evaluate as ev
 from modwarden.operators import learning as ml
 from modwarden.operators import lexicon as lx
@@ -468,6 +469,42 @@ def _(spark, d):
     return runs.select("reg", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"), same.alias("consistent"))
 
 
+@query("train_epochs")
+def _(spark, d):
+    train, val = training_split(spark, d)
+    _, runs = ep.train_epochs(train, val)
+    return runs
+
+
+@query(
+    "train_epochs_runs",
+    f"""WITH {LABELLED}, {_SPLIT.format(src="labelled")}, v AS (SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM split WHERE split = 'val')
+    SELECT run, positives, negatives, 1::BIGINT AS best_epochs, true AS consistent FROM v, (VALUES ('a'), ('b')) r(run)""",
+)
+def _(spark, d):
+    """A table of two runs, one of them added twice: every epoch judges all validation rows, its figures follow from its
+    counts, the stored predictions of the best model give those counts again, and one epoch of a run is the best."""
+    train, val = training_split(spark, d)
+    path = shared_dir(spark, "runs")
+    for name, policy in (("a", ep.EpochPolicy(epochs=3)), ("b", ep.EpochPolicy(epochs=2, rate=0.5))):
+        model, runs = ep.train_epochs(train, val, policy=policy)
+        stored = materialize(model.scores(val, "text", "label"), "predictions")
+        hit, gold = F.col("score") >= policy.cutoff, F.col("label") == 1
+        again = stored.agg(F.count_if(hit & gold).alias("tp2"), F.count_if(hit & ~gold).alias("fp2"), F.count_if(~hit & gold).alias("fn2")).first()
+        runs = runs.withColumns({c: F.lit(again[c]) for c in ("tp2", "fp2", "fn2")})
+        runs = runs.withColumn("same", ~F.col("best") | ((F.col("tp") == F.col("tp2")) & (F.col("fp") == F.col("fp2")) & (F.col("fn") == F.col("fn2"))))
+        ep.append_run(runs, path, name)
+    ep.append_run(runs, path, "b")
+    rows = spark.read.parquet(path).withColumn("run", F.col("run").cast("string"))
+    p, r = ev.ratio(F.col("tp"), F.col("tp") + F.col("fp")), ev.ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    right = F.col("same") & (F.abs(F.col("precision") - p) < 1e-6) & (F.abs(F.col("recall") - r) < 1e-6) & (F.col("loss") > 0)
+    top = rows.groupBy("run").agg(F.max("f1").alias("top"))
+    return (
+        rows.join(top, "run").groupBy("run", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"))
+        .agg(F.count_if("best").alias("best_epochs"), (F.bool_and(right) & F.bool_and(~F.col("best") | (F.col("f1") == F.col("top")))).alias("consistent"))
+    )
+
+
 @query(
     "score_documents_coverage",
     f"WITH RECURSIVE {_WALK_ALL} SELECT doc_id, count(ix) AS n_windows, true AS decided FROM documents LEFT JOIN windows USING (doc_id) GROUP BY doc_id",

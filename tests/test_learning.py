@@ -53,3 +53,50 @@ def test_documents_stay_in_their_rows(spark, rows, model):
     by_id = {r.id: r for r in out.collect()}
     assert len(by_id) == rows.count()
     assert all((by_id[i].score, by_id[i].action, by_id[i].windows) == (0.0, "clean", 0) for i in (900, 901))
+
+
+def test_epochs_learn_stop_and_keep_the_best(spark, tmp_path):
+    from modwarden.operators import epochs as ep
+
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = [(" ".join(rng.choice(words) for _ in range(8)) + (" vile vile" if i % 3 == 0 and i % 41 else ""), int(i % 3 == 0)) for i in range(900)]
+    train = spark.createDataFrame(rows[:700] + [(None, 0), ("", 0), ("...", None)], "text string, label int").repartition(3)
+    val = spark.createDataFrame(rows[700:], "text string, label int")
+    model, runs = ep.train_epochs(train, val, policy=ep.EpochPolicy(epochs=12, patience=3, rate=4.0, features=1 << 12))
+    log = sorted(runs.collect())
+    best = [r for r in log if r.best]
+    assert len(best) == 1 and best[0].f1 == max(r.f1 for r in log) > 0.9, log
+    assert [r.epoch for r in log] == list(range(1, len(log) + 1)) and (len(log) == 12 or len(log) == best[0].epoch + 3)
+    assert all(r.tp + r.fp + r.tn + r.fn == 200 for r in log) and log[-1].loss < log[0].loss
+    # The stored predictions of the kept model give the best epoch's counts.
+    scores = model.scores(val, "text", "label").collect()
+    assert sum(s.score >= 0.5 and s.label == 1 for s in scores) == best[0].tp and sum(s.score >= 0.5 and s.label == 0 for s in scores) == best[0].fp
+    for _ in range(2):
+        ep.append_run(runs, str(tmp_path), "r1")
+    ep.append_run(runs.limit(1), str(tmp_path), "r2")
+    assert ep.read_runs(spark, str(tmp_path)).count() == len(log) + 1
+
+
+def test_an_epoch_in_one_task_is_plain_gradient_descent(spark):
+    from modwarden.operators import epochs as ep
+
+    rows = [("a b b", 1), ("b c", 0), ("a", 1), ("", 0)]
+    df = spark.createDataFrame(rows, "text string, label int").coalesce(1)
+    policy = ep.EpochPolicy(batch=2, decay=0.0, rate=0.5, features=64)
+    hashed = ep.hashed_texts(df, "text", "label", 64)
+    idf = ep.inverse_frequencies(hashed, 64)
+    got, b = ep._epoch(hashed, np.zeros(64), 0.0, idf, policy)
+    at = dict(zip("abc", (HashingTF(numFeatures=64).indexOf(w) for w in "abc"), strict=True))
+    w, c = np.zeros(64), 0.0
+    for batch in (rows[:2], rows[2:]):
+        off, xs = [], []
+        for text, y in batch:
+            x = np.zeros(64)
+            for t in text.split():
+                x[at[t]] += idf[at[t]]
+            x /= max(1e-12, np.sqrt((x * x).sum()))
+            xs.append(x)
+            off.append(1 / (1 + np.exp(-(w @ x + c))) - y)
+        w, c = w - 0.25 * sum(o * x for o, x in zip(off, xs, strict=True)), c - 0.25 * sum(off)
+    assert np.allclose(got, w) and np.isclose(b, c)
