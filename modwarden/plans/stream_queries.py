@@ -373,12 +373,11 @@ def _(spark, d):
 
 @query("read_eval_set", "SELECT row_number() OVER (ORDER BY item_id) - 1 AS ix, md5(text) AS text_md5, CAST(item_id % 2 AS INTEGER) AS label FROM benchmark")
 def _(spark, d):
-    """The benchmark as one nested file of sentences, read back in order."""
+    """The benchmark as nested records of sentences, written and read by many tasks."""
     root = shared_dir(spark, "eval-set")
     rows = rd.read_table(spark, d, "benchmark").select("item_id", "text", (F.col("item_id") % 2).cast("int").alias("label"))
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct("item_id", "text", "label"))).alias("s"))
-    listed.select(F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))).alias("sentences")).write.json(root)
-    return rd.read_eval_set(spark, root).select(F.col("ix").cast("long").alias("ix"), F.md5("text").alias("text_md5"), "label")
+    sk.write_eval_set(rows, root, "item_id", per_record=100)
+    return rd.read_eval_set(spark, root, multi_line=False).select("ix", F.md5("text").alias("text_md5"), "label")
 
 
 @query(

@@ -108,10 +108,15 @@ def read_thread_corpus(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
-    """Nested ``{sentences:[{text,label}]}`` to rows."""
-    df = spark.read.json(path, multiLine=True, schema="sentences array<struct<text:string,label:int>>")
-    return df.select(F.posexplode("sentences").alias("ix", "s")).select("ix", "s.text", "s.label")
+def read_eval_set(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Nested ``{sentences:[{text,label}]}`` to rows in their order.
+
+    A set in one nested file is one record and one task. A set written in ranges (``sinks.write_eval_set``) has a record a
+    line, each with the ``offset`` of its first sentence; with ``multi_line=False`` such files are read by many tasks.
+    """
+    df = spark.read.json(path, multiLine=multi_line, schema="offset bigint, sentences array<struct<text:string,label:int>>")
+    rows = df.select(F.coalesce("offset", F.lit(0)).alias("at"), F.posexplode("sentences").alias("i", "s"))
+    return rows.select((F.col("at") + F.col("i")).alias("ix"), "s.text", "s.label")
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modwarden.operators.store import last_write_wins
+from modwarden.session import scratch
 from modwarden.sources.readers import feedback_columns
 
 
@@ -113,6 +114,23 @@ def write_named(df: DataFrame, root: str, files: Mapping[str, tuple[Column, Colu
     return root
 
 
+def write_eval_set(df: DataFrame, path: str, order: str, text: str = "text", label: str = "label", per_record: int = 1000) -> None:
+    """An evaluation set in the order of a unique column, in records of so many sentences, one JSON line each.
+
+    Rows are dealt by ranges of the order; each record names the place of its first sentence, so no task holds them all.
+    """
+    with scratch(df.sparkSession) as held:
+        dealt = df.select(F.col(order).alias("_o"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).repartitionByRange("_o")
+        rows = held(dealt.withColumn("_part", F.spark_partition_id()), "eval-set")
+        sizes = rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_o").alias("first"))
+        # A row per partition, so one window over all of them is small.
+        before = sizes.select("_part", (F.sum("n").over(Window.orderBy("first")) - F.col("n")).alias("before"))
+        ix = F.col("before") + F.row_number().over(Window.partitionBy("_part").orderBy("_o")) - 1
+        placed = rows.join(F.broadcast(before), "_part").withColumn("ix", ix)
+        records = placed.groupBy((F.col("ix") - F.col("ix") % per_record).alias("offset")).agg(F.array_sort(F.collect_list(F.struct("ix", "text", "label"))).alias("s"))
+        records.select("offset", F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))).alias("sentences")).write.json(path)
+
+
 def append_feedback(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -127,6 +127,17 @@ def test_thread_corpus(spark, tmp_path):
     assert out == [("1", "root", 1, "t1", "train"), ("2", "c2", 0, "t1", "train")]
 
 
+def test_eval_set_in_ranges(spark, tmp_path):
+    rows = spark.range(1000, 3050).select(F.col("id"), F.concat(F.lit("t\n"), "id").alias("text"), (F.col("id") % 2).alias("label"))
+    path = str(tmp_path / "e")
+    sk.write_eval_set(rows.orderBy(F.rand(1)), path, "id", per_record=100)
+    assert spark.read.text(path).count() == 21
+    back = rd.read_eval_set(spark, path, multi_line=False)
+    assert sorted(map(tuple, back.collect())) == [(i, f"t\n{1000 + i}", i % 2) for i in range(2050)]
+    sk.write_eval_set(rows.limit(0), str(tmp_path / "none"), "id")
+    assert rd.read_eval_set(spark, str(tmp_path / "none"), multi_line=False).count() == 0
+
+
 def test_eval_set(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps({"note": "x", "sentences": [{"text": "a", "label": 1}, {"text": "b", "label": 0}]}))
     assert [tuple(r) for r in rd.read_eval_set(spark, str(tmp_path / "e.json")).collect()] == [(0, "a", 1), (1, "b", 0)]
