@@ -236,12 +236,6 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One for the tasks of a Python worker, which share the units they know."""
-    return Encoder(path)
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """The rows with ``n_tokens``, ``ids`` (decimal, joined by one space, end id last) and ``decoded``.
 
@@ -256,7 +250,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         read, rows = "_sp_text", kept.withColumn("_sp_text", F.col(text_col).cast("string"))
 
     def run(batches):
-        code = encoder(path)
+        # A task's units go with it: a worker that kept them would take their memory into later stages.
+        code = Encoder(path)
         for batch in ar.slices(batches, read):
             found = code.run(pc.fill_null(batch.column(read), "").to_pylist())
             ids = [x[0] for x in found]
