@@ -31,8 +31,9 @@ from modwarden.operators.ranking import top_n_per_group
 from modwarden.session import materialize
 
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
-# Text per chunk of counting, windows per slice of a stream, and sampled keys per cut.
-CHUNK, SLICE_ROWS, PER_CUT = 2 << 20, 1 << 20, 64
+# Text per chunk of counting, windows per slice of a stream, and sampled keys per cut. Cuts are sent to all tasks, so
+# there are so many slices at most; in a larger input slices are longer, and their sorts spill.
+CHUNK, SLICE_ROWS, PER_CUT, MOST_SLICES = 2 << 20, 1 << 20, 32, 8_192
 SAMPLED_TEXTS = 2_000
 _BLANKS, _BREAKS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -226,7 +227,7 @@ def phrase_counts(texts: DataFrame, max_words: int = MAX_WORDS, min_count: int =
     ``texts`` has ``lang`` and ``t``. Words end in a space each; ``m`` is their number. The row of no words counts them all.
     """
     rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
-    slices = max(1, -(-size // (6 * slice_rows)))
+    slices = min(MOST_SLICES, max(1, -(-size // (6 * slice_rows))))
     cuts = []
     if slices > 1:
         # The cuts come from some of the texts, which is all that they decide: how even the slices are.
@@ -286,7 +287,7 @@ def _walk(max_words: int) -> Callable:
 def _lockstep(counts: DataFrame, max_words: int, slice_rows: int, rows: int) -> DataFrame:
     """For each phrase ``w`` of two words or more: counts of its beginnings, and the greatest count among phrases one
     word longer that it begins (``longer``, one row per slice that holds such)."""
-    cuts = _cuts(counts, max(1, -(-rows // slice_rows)))
+    cuts = _cuts(counts, min(MOST_SLICES, max(1, -(-rows // slice_rows))))
     spark = counts.sparkSession
     # The beginnings of a key that cuts two slices are shown to the slice that starts with it.
     shown = [(lang.decode(), " ".join(w.decode().split(" ")[:k]) + " ", at) for at, (lang, w) in enumerate(cuts, 1) for k in range(1, w.count(b" "))]
