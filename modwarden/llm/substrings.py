@@ -49,7 +49,7 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
 def _documents(code: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The documents that occur, as steps of sorted ids and tags, and each window's number among them."""
     used, number = np.unique(code, return_inverse=True)
-    return np.diff(ids[used], prepend=0).view(np.uint64), tags[used].astype(np.uint16), number.astype(np.uint32)
+    return np.diff(ids[used], prepend=0).view(np.uint64), tags[used].astype(np.uint64), number.astype(np.uint32)
 
 
 def _least(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -186,14 +186,14 @@ def _per_document(table: pa.Table) -> pa.Table:
 
 
 def _keys(id_col: str, text_col: str):
-    tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).bitwiseAND(0xFFFF)
+    tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("_sd_id"), tag.alias("_sd_tag")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """``(id, tag, starts)``: per document, the first words of its windows that also start under a smaller id.
 
-    ``tag`` tells apart different texts with one id. ``buckets`` is the number of hash ranges and of document
+    ``tag``, a hash of 64 bits, tells apart different texts with one id. ``buckets`` is the number of hash ranges and of document
     groups (the shuffle partitions if unset); a task holds the windows of one, so size it for a few million.
     """
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -219,3 +219,15 @@ def test_hashes_are_what_spark_hashes(spark):
     text = "one two three"
     assert spark.range(1).select(F.xxhash64(F.lit(text))).first()[0] & (2**64 - 1) == xxhash.xxh64_intdigest(text.encode(), seed=42)
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_texts_of_one_id_are_told_apart_by_whole_hashes(spark):
+    """A short text whose hash ends in the same 16 bits as that of a long one with its id loses nothing."""
+    import xxhash
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    tail = xxhash.xxh64_intdigest(passage, 42) & 0xFFFF
+    short = next(w for w in (f"w{i}" for i in range(2_000_000)) if xxhash.xxh64_intdigest(w, 42) & 0xFFFF == tail)
+    df = spark.createDataFrame([(1, passage), (5, passage), (5, short)], "doc_id long, text string")
+    rows = {(r.doc_id, r.n_words): (r.n_removed, r.kept_text) for r in substrings.remove_repeats(df).collect()}
+    assert rows == {(1, 60): (0, passage), (5, 60): (60, ""), (5, 1): (0, short)}
