@@ -1,11 +1,14 @@
-"""Lossless WebP: a complete decoder of the lossless bitstream, and the plain encoder that stores bytes as samples.
+"""Lossless WebP: a complete decoder of the lossless bitstream, and the encoder that stores bytes as grey samples.
 
 The decoder reads prefix codes, back-references, the colour cache and meta prefix images and inverts the
-predictor, cross-colour, subtract-green and palette transforms. Images whose only varying channel has codes of
-one length, as the encoder writes them, are unpacked as arrays; all others are read symbol by symbol.
+predictor, cross-colour, subtract-green and palette transforms. Codes are looked up in tables of their bits, so the
+symbol reader is the only way through an image.
 
-A payload becomes one image of 64 samples a row per MiB, a sample in the green channel; a payload of several
-MiB becomes several images in a row, so memory stays bounded. Equal payloads give equal bytes.
+A payload becomes one image of 64 samples a row per MiB, a sample a grey pixel; a payload of several MiB becomes
+several images in a row, so memory stays bounded. The encoder subtracts green, which leaves one channel, looks for
+earlier occurrences of each sample's next four, and writes literals and back-references in prefix codes of the
+frequencies of each image. A colour cache or several code groups cannot shorten images of one channel and are not
+written. Equal payloads give equal bytes.
 
 Defined results: a null or empty text is stored as 64 zero bytes; extra columns pass through.
 """
@@ -16,6 +19,7 @@ import hashlib
 import struct
 import zlib
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,16 @@ NEAR = (
     (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 CACHE_FACTOR = 0x1E35A7BD
+LITERALS, LENGTHS, DISTANCES = 256, 24, 40
+LONGEST_CODE = 15
+# Bits of each symbol in the code in which the encoder writes code lengths: short for those of texts.
+LENGTH_BITS = (3, 7, 7, 5, 4, 4, 3, 3, 3, 3, 4, 7, 7, 7, 7, 7, 7, 4, 5)
+# Shortest and longest back-reference, and the farthest one beside the numbers of near places.
+SHORTEST, LONGEST, FARTHEST = 6, 4096, (1 << 20) - 120
+# Samples that are encoded together, if not those of one image.
+TOGETHER = 1 << 20
+_REVERSED = np.packbits(np.unpackbits(np.arange(1 << 16, dtype=np.uint16).view(np.uint8).reshape(-1, 2), axis=1, bitorder="little"), axis=1).astype(np.int64)
+_REVERSED = (_REVERSED[: 1 << 15, 0] << 8 | _REVERSED[: 1 << 15, 1]) >> 1
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 
 
@@ -60,6 +74,16 @@ class Bits:
         self.at += n
         return value & ((1 << n) - 1)
 
+    def peek(self) -> int:
+        """At least 17 of the next bits; those past the end are zero."""
+        first = self.at >> 3
+        return int.from_bytes(self.data[first : first + 3], "little") >> (self.at & 7)
+
+    def skip(self, n: int) -> None:
+        self.at += n
+        if self.at > self.end:
+            raise ValueError("the image ends early")
+
 
 class Code:
     """A canonical prefix code; a single symbol takes no bits."""
@@ -69,27 +93,37 @@ class Code:
         if not used:
             used = [(1, 0)]
         self.only = used[0][1] if len(used) == 1 else None
-        self.width = used[0][0] if used[0][0] == used[-1][0] else None
-        self.symbols = [s for _, s in used]
-        if self.only is None and sum(2.0**-n for n, _ in used) != 1:
-            raise ValueError("a prefix code is not complete")
-        self.by_length: dict[int, tuple[int, int, int]] = {}
-        code = before = at = 0
-        for n in sorted({n for n, _ in used}):
-            code <<= n - before
-            count = sum(1 for m, _ in used if m == n)
-            self.by_length[n] = (code, count, at)
-            code, before, at = code + count, n, at + count
+        self.width = 0 if len(used) == 1 else used[-1][0]
+        # ``symbol << 4 | length`` by the next ``width`` bits, lowest first.
+        self.entries = np.array([used[0][1] << 4], np.int64)
+        if self.only is None:
+            n, symbols = np.array(used, np.int64).T
+            share = 1 << (self.width - n)
+            if share.sum() != 1 << self.width:
+                raise ValueError("a prefix code is not complete")
+            self.entries = np.repeat(symbols << 4 | n, share)[_REVERSED[: 1 << self.width] >> (LONGEST_CODE - self.width)]
+        self.table, self.mask = self.entries.tolist(), (1 << self.width) - 1
+
+    def pairs(self) -> tuple[list[int], int]:
+        """A table of 12 bits or more, and its mask: two literals whose codes fit are one entry, ``1 + both << 13 | length``."""
+        width = max(self.width, 12)
+        one = np.tile(self.entries, 1 << (width - self.width))
+        n = one & 15
+        then = one[np.arange(len(one)) >> n]
+        both = n + (then & 15)
+        fit = (one < LITERALS << 4) & (then < LITERALS << 4) & (both <= 12) & (n > 0)
+        return np.where(fit, (1 + (one >> 4) + (then >> 4) * 256) << 13 | both, one).tolist(), (1 << width) - 1
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        code = n = 0
-        while True:
-            code, n = code << 1 | bits.read(1), n + 1
-            first, count, at = self.by_length.get(n, (0, 0, 0))
-            if code - first < count:
-                return self.symbols[at + code - first]
+        found = self.table[bits.peek() & self.mask]
+        bits.skip(found & 15)
+        return found >> 4
+
+
+@lru_cache(maxsize=4096)
+def _code_of(lengths: tuple[tuple[int, int], ...]) -> Code:
+    """Codes of one or two symbols, and those of code lengths, come again and again."""
+    return Code(dict(lengths))
 
 
 def read_code(bits: Bits, size: int) -> Code:
@@ -98,26 +132,35 @@ def read_code(bits: Bits, size: int) -> Code:
         symbols = [bits.read(8 if bits.read(1) else 1)]
         if two:
             symbols.append(bits.read(8))
-        return Code({s: 1 for s in symbols})
+        return _code_of(tuple((s, 1) for s in symbols))
     count = 4 + bits.read(4)
-    lengths = Code({s: n for s in LENGTH_ORDER[:count] if (n := bits.read(3))})
+    lengths = _code_of(tuple((s, n) for s in LENGTH_ORDER[:count] if (n := bits.read(3))))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     found: dict[int, int] = {}
-    at, last = 0, 8
+    at, last, table, mask = 0, 8, lengths.table, lengths.mask
+    # No code length takes more than 14 bits.
+    first = bits.at >> 3
+    held, begin = int.from_bytes(bits.data[first : first + 2 * size + 2], "little"), bits.at & 7
+    now = begin
     while at < size and left:
         left -= 1
-        s = lengths.read(bits)
+        s = table[(held >> now) & mask]
+        now += s & 15
+        s >>= 4
         if s < 16:
-            found[at] = s
-            last = s or last
+            if s:
+                found[at] = last = s
             at += 1
             continue
-        n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
+        wide = 2 if s == 16 else 3 if s == 17 else 7
+        n = (11 if s == 18 else 3) + ((held >> now) & ((1 << wide) - 1))
+        now += wide
         if at + n > size:
             raise ValueError("a run of code lengths is too long")
         if s == 16:
             found.update(dict.fromkeys(range(at, at + n), last))
         at += n
+    bits.skip(now - begin)
     return Code(found)
 
 
@@ -145,8 +188,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     codes = [[read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
     total = width * height
     green, red, blue, alpha, _ = codes[0]
-    if groups == 1 and None not in (red.only, blue.only, alpha.only) and (green.only is not None or green.width) and max(green.symbols) < 256:
-        value = _unpack(bits, green, total).astype(np.uint32) << np.uint32(8)
+    if groups == 1 and not cache_size and None not in (red.only, blue.only, alpha.only):
+        value = _one_channel(bits, green, codes[0][4], width, total).astype(np.uint32) << np.uint32(8)
         return value | np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
     out = [0] * total
     cache = [0] * cache_size
@@ -167,11 +210,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         elif s < 280:
             n = _number(s - 256, bits)
             code = _number(far.read(bits), bits)
-            if code > 120:
-                back = code - 120
-            else:
-                dx, dy = NEAR[code - 1]
-                back = max(1, dx + dy * width)
+            back = code - 120 if code > 120 else _near(width)[code - 1]
             if back > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
             for k in range(at, at + n):
@@ -187,20 +226,80 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _unpack(bits: Bits, code: Code, n: int) -> np.ndarray:
-    """``n`` symbols of a code whose symbols all have one length."""
-    if code.only is not None:
-        return np.full(n, code.only, np.uint8)
-    w = code.width
-    end = bits.at + n * w
-    if end > bits.end:
+@lru_cache(maxsize=64)
+def _near(width: int) -> tuple[int, ...]:
+    """How far back the numbered near places lie."""
+    return tuple(max(1, dx + dy * width) for dx, dy in NEAR)
+
+
+@lru_cache(maxsize=1)
+def _two_bytes() -> list[bytes]:
+    return [b"", *((k).to_bytes(2, "little") for k in range(1 << 16))]
+
+
+def _one_channel(bits: Bits, green: Code, far: Code, width: int, total: int) -> np.ndarray:
+    """Symbols and back-references of an image in which only green varies; bits are held ahead in one number."""
+    data, near, out, size = bits.data, _near(width), bytearray(), 0
+    far_table, far_mask, two = far.table, far.mask, _two_bytes()
+    at = bits.at >> 3
+    held, left = int.from_bytes(data[at : at + 32], "little") >> (bits.at & 7), 8 * len(data[at : at + 32]) - (bits.at & 7)
+    at += 32
+    add = out.append
+    # Two literals at a time up to the last sample; small images are not worth that table.
+    ways = [(*green.pairs(), total - 1)] if total >= 1024 else []
+    for table, mask, stop in (*ways, (green.table, green.mask, total)):
+        while size < stop:
+            if left < 64:
+                if left < 0:
+                    raise ValueError("the image ends early")
+                more = data[at : at + 32]
+                held |= int.from_bytes(more, "little") << left
+                left += 8 * len(more)
+                at += 32
+            found = table[held & mask]
+            n = found & 15
+            held >>= n
+            left -= n
+            if found >= 8192:
+                out += two[found >> 13]
+                size += 2
+                continue
+            s = found >> 4
+            if s < 256:
+                add(s)
+                size += 1
+                continue
+            s -= 256
+            if s < 4:
+                n = s + 1
+            else:
+                extra = (s - 2) >> 1
+                n = ((2 + (s & 1)) << extra) + (held & ((1 << extra) - 1)) + 1
+                held >>= extra
+                left -= extra
+            found = far_table[held & far_mask]
+            held >>= found & 15
+            left -= found & 15
+            s = found >> 4
+            if s < 4:
+                back = s + 1
+            else:
+                extra = (s - 2) >> 1
+                back = ((2 + (s & 1)) << extra) + (held & ((1 << extra) - 1)) + 1
+                held >>= extra
+                left -= extra
+            back = back - 120 if back > 120 else near[back - 1]
+            if back > size or size + n > total:
+                raise ValueError("a back-reference leaves the image")
+            if back >= n:
+                out += out[size - back : size - back + n]
+            else:
+                out += (out[size - back :] * (n // back + 1))[:n]
+            size += n
+    if left < 0:
         raise ValueError("the image ends early")
-    part = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 : (end + 7) >> 3]
-    skip = bits.at & 7
-    one = np.unpackbits(part, bitorder="little")[skip : skip + n * w].reshape(n, w)
-    bits.at = end
-    ranks = np.packbits(one, axis=1).reshape(n) >> np.uint8(8 - w)
-    return np.array(code.symbols, np.uint8)[ranks]
+    bits.at = bits.end - 8 * max(0, len(data) - at) - left
+    return np.frombuffer(out, np.uint8)
 
 
 def _mean(a, b):
@@ -294,6 +393,8 @@ def decode(image: bytes) -> np.ndarray:
     if image[:4] != b"RIFF" or image[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     (size,) = struct.unpack_from("<I", image, 16)
+    if 20 + size > len(image):
+        raise ValueError("the image ends early")
     bits = Bits(image[20 : 20 + size])
     if bits.read(8) != 0x2F:
         raise ValueError("the signature is wrong")
@@ -336,65 +437,238 @@ class Writer:
         self.value |= value << self.n
         self.n += n
 
-    def bits(self) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(self.value.to_bytes((self.n + 7) // 8, "little"), np.uint8), bitorder="little")[: self.n]
-
-
-@lru_cache(maxsize=4096)
-def _head(height: int, symbols: bytes) -> np.ndarray:
-    """Everything before the samples: sizes, no transform, no cache, five codes. ``symbols`` are the used bytes."""
-    w = Writer()
-    for value, n in ((0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        w.put(value, n)
-    if len(symbols) <= 2:
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bits as numbers of 16 bits, and how many bits of each count."""
+        count = (self.n + 15) // 16
+        width = np.full(count, 16, np.int64)
+        width[-1] = self.n - 16 * (count - 1)
+        return np.frombuffer(self.value.to_bytes(2 * count, "little"), "<u2").astype(np.int64), width
+
+
+def code_lengths(counts: list[int], longest: int) -> list[int]:
+    """Lengths of a prefix code of two symbols or more for these frequencies (Huffman); rare ones count more if codes get too long."""
+    n, least = len(counts), 1
+    order = sorted(range(n), key=counts.__getitem__)
+    while True:
+        weight = [max(counts[i], least) for i in order]
+        parent, leaf, inner = [0] * (2 * n - 1), 0, n
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner >= node or weight[leaf] <= weight[inner]):
+                    parent[leaf] = node
+                    total += weight[leaf]
+                    leaf += 1
+                else:
+                    parent[inner] = node
+                    total += weight[inner]
+                    inner += 1
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth[:n]) <= longest:
+            out = [0] * n
+            for i, d in zip(order, depth[:n], strict=True):
+                out[i] = d
+            return out
+        least *= 2
+
+
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """The code of each symbol, its first bit lowest; zero for symbols without a length."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    share = np.int64(1) << (LONGEST_CODE - lengths[used])
+    out = np.zeros(len(lengths), np.int64)
+    out[used] = _REVERSED[np.cumsum(share) - share]
+    return out
+
+
+@lru_cache(maxsize=1)
+def _length_codes() -> list[int]:
+    return canonical(np.array(LENGTH_BITS, np.int64)).tolist()
+
+
+def _runs(lengths: list[int]):
+    """Code lengths as ``(symbol, extra, bits of it)``: 16 repeats the last one, 17 and 18 are runs of zeros."""
+    for value, run in ((v, len(list(same))) for v, same in groupby(lengths)):
+        if value:
+            yield value, 0, 0
+            run -= 1
+            while run >= 3:
+                n = min(run, 6)
+                yield 16, n - 3, 2
+                run -= n
+        while not value and run >= 3:
+            n = min(run, 138)
+            yield (18, n - 11, 7) if n >= 11 else (17, n - 3, 3)
+            run -= n
+        for _ in range(run):
+            yield value, 0, 0
+
+
+def write_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the code of the symbols that occur; codes and lengths by symbol (a single symbol takes no bits)."""
+    used = np.flatnonzero(counts)
+    lengths = np.zeros(len(counts), np.int64)
+    if len(used) <= 1 or (len(used) == 2 and used[-1] < 256):
+        symbols = used.tolist() or [0]
         for value, n in ((1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols)):
             w.put(value, n)
-    else:
-        width = (len(symbols) - 1).bit_length()
-        # Code lengths are zero or the width: two symbols of one bit each in the code of the lengths.
-        place = LENGTH_ORDER.index(width)
-        w.put(0, 1)
-        w.put(max(place, 2) + 1 - 4 if max(place, 2) >= 3 else 0, 4)
-        for s in LENGTH_ORDER[: max(4, max(place, 2) + 1)]:
-            w.put(1 if s in (0, width) else 0, 3)
-        used = set(symbols)
-        last = max(used) + 1
-        # The number of lengths that follow, so that those after the last used byte are left out.
-        w.put(1, 1)
-        w.put(3, 3)
-        w.put(last - 2, 8)
-        for s in range(last):
-            w.put(int(s in used), 1)
-    for only in (0, 0, 255, 0):
+        lengths[used] = len(used) - 1
+        return canonical(lengths), lengths
+    lengths[used] = code_lengths(counts[used].tolist(), LONGEST_CODE)
+    w.put(0, 1)
+    w.put(len(LENGTH_ORDER) - 4, 4)
+    for s in LENGTH_ORDER:
+        w.put(LENGTH_BITS[s], 3)
+    w.put(0, 1)
+    codes, value, at, last = _length_codes(), 0, 0, int(used[-1]) + 1
+    for s, extra, n in (*_runs(lengths[:last].tolist()), *_runs([0] * (len(counts) - last))):
+        value |= (codes[s] | extra << LENGTH_BITS[s]) << at
+        at += LENGTH_BITS[s] + n
+    w.put(value, at)
+    return canonical(lengths), lengths
+
+
+def _head(height: int, green: np.ndarray, far: np.ndarray) -> tuple[Writer, list[np.ndarray]]:
+    """Everything before the samples: sizes, the transform that subtracts green, five codes for these frequencies."""
+    w = Writer()
+    for value, n in ((0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)):
+        w.put(value, n)
+    codes = [*write_code(w, green)]
+    for only in (0, 0, 255):
         for value, n in ((1, 1), (0, 1), (1, 1), (only, 8)):
             w.put(value, n)
-    return w.bits()
-
-
-def encode_samples(samples: np.ndarray) -> bytes:
-    """One file for at most 64 x 16,384 samples, a multiple of 64."""
-    present = np.flatnonzero(np.bincount(samples, minlength=256))
-    w = (len(present) - 1).bit_length()
-    if len(present) > 2 and len(present) < 1 << w:
-        # A complete code needs 2**w symbols; the lowest bytes that do not occur fill it.
-        free = np.setdiff1d(np.arange(256), present)[: (1 << w) - len(present)]
-        present = np.sort(np.concatenate([present, free]))
-    rank = np.zeros(256, np.uint8)
-    rank[present] = np.arange(len(present))
-    head = _head(len(samples) // WIDTH, present.astype(np.uint8).tobytes())
-    if w:
-        body = np.unpackbits(rank[samples][:, None] << np.uint8(8 - w), axis=1, count=w).reshape(-1)
-        head = np.concatenate([head, body])
-    data = np.packbits(head, bitorder="little").tobytes()
+    return w, [*codes, *write_code(w, far)]
+
+
+def _references(data: np.ndarray, image: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each sample how far back its next four occur last in its image, and for how long at least the samples agree there."""
+    n = len(data)
+    back = np.zeros(n, np.int64)
+    if n >= 4:
+        x = data.astype(np.uint64)
+        four = x[:-3] | x[1:-2] << np.uint64(8) | x[2:-1] << np.uint64(16) | x[3:] << np.uint64(24)
+        keys = np.sort(four << np.uint64(32) | np.arange(n - 3, dtype=np.uint64))
+        at = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        same = np.flatnonzero(keys[1:] >> np.uint64(32) == keys[:-1] >> np.uint64(32))
+        late, early = at[same + 1], at[same]
+        ok = (image[late] == image[early]) & (late + 4 <= end[image[late]]) & (late - early <= FARTHEST)
+        back[late[ok]] = (late - early)[ok]
+    # Samples in a row that lie equally far from their last occurrences agree as a whole.
+    ends = np.append(np.flatnonzero(back[1:] != back[:-1]), n - 1)
+    length = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n) + 4
+    return back, np.where(back > 0, np.minimum(length, LONGEST), 0)
+
+
+def _prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of each length or distance."""
+    x = v - 1
+    high = np.log2(np.maximum(x, 1)).astype(np.int64)
+    more = np.maximum(high - 1, 0)
+    small = v <= 4
+    return np.where(small, x, 2 * high + ((x >> more) & 1)), np.where(small, 0, x & ((1 << more) - 1)), np.where(small, 0, more)
+
+
+@lru_cache(maxsize=1)
+def _near_numbers() -> np.ndarray:
+    """The smallest number of a near place for each distance that has one."""
+    places = _near(WIDTH)
+    out = np.zeros(max(places) + 1, np.int64)
+    for k in range(len(places), 0, -1):
+        out[places[k - 1]] = k
+    return out
+
+
+def encode_images(images: list[np.ndarray]) -> list[bytes]:
+    """A file per image of at most 64 x 16,384 samples, a multiple of 64."""
+    data, sizes = np.concatenate(images), np.array([len(x) for x in images], np.int64)
+    end, image = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    back, length = _references(data, image, end)
+    taken = length >= SHORTEST
+    # The first agreement is taken as a whole, then the first one after it.
+    start, free = [], 0
+    for at, to in zip(*(x[taken].tolist() for x in (np.arange(len(data)), np.arange(len(data)) + length)), strict=True):
+        if at >= free:
+            start.append(at)
+            free = to
+    start = np.array(start, np.int64)
+    covered = np.zeros(len(data) + 1, np.int8)
+    covered[start + 1] += 1
+    covered[start + length[start]] -= 1
+    token = np.flatnonzero(np.cumsum(covered[:-1], dtype=np.int8) == 0)
+    of, copied = image[token], np.zeros(len(data), bool)
+    copied[start] = True
+    copied = copied[token]
+    symbol = data[token].astype(np.int64)
+    c = np.flatnonzero(copied)
+    s, more, more_bits = _prefixed(length[token[c]])
+    symbol[c] = LITERALS + s
+    far = back[token[c]]
+    numbers = _near_numbers()
+    near = numbers[np.minimum(far, len(numbers) - 1)] * (far < len(numbers))
+    place, step, step_bits = _prefixed(np.where(near > 0, near, far + 120))
+    wide = LITERALS + LENGTHS
+    green = np.bincount(of * wide + symbol, minlength=len(sizes) * wide).reshape(-1, wide)
+    distance = np.bincount(of[c] * DISTANCES + place, minlength=len(sizes) * DISTANCES).reshape(-1, DISTANCES)
+    heads = [_head(n // WIDTH, g, d) for n, g, d in zip(sizes.tolist(), green, distance, strict=True)]
+    codes, lengths, far_codes, far_lengths = (np.concatenate(x) for x in zip(*(h[1] for h in heads), strict=True))
+    # A literal is one number; a reference is its length, more bits of that, its distance, more bits of that.
+    first = np.cumsum(1 + 3 * copied) - (1 + 3 * copied)
+    value, bits = (np.zeros(len(token) + 3 * len(c), np.int64) for _ in range(2))
+    value[first], bits[first] = codes[of * wide + symbol], lengths[of * wide + symbol]
+    own, at = of[c] * DISTANCES + place, first[c]
+    for k, (v, n) in enumerate(((more, more_bits), (far_codes[own], far_lengths[own]), (step, step_bits)), 1):
+        value[at + k], bits[at + k] = v, n
+    first = np.append(first, len(value))[np.searchsorted(of, np.arange(len(sizes) + 1))]
+    parts = [x for (w, _), a, b in zip(heads, first[:-1], first[1:], strict=True) for x in (w.pieces(), (value[a:b], bits[a:b]))]
+    owner = np.repeat(np.arange(len(parts)) // 2, [len(v) for v, _ in parts])
+    value, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return [_file(x) for x in _packed(value.astype(np.uint64), bits, owner, len(images))]
+
+
+def _packed(value: np.ndarray, bits: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
+    """The numbers of each owner one after the other, lowest bit first; each owner starts in a word of its own."""
+    total = np.bincount(owner, bits, n).astype(np.int64)
+    words = (total + 31) >> 5
+    base = np.cumsum(words) - words
+    at = np.cumsum(bits) - bits + (32 * base - (np.cumsum(total) - total))[owner]
+    word, value = at >> 5, value << (at & 31).astype(np.uint64)
+    new = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    out = np.zeros(int(words.sum()) + 2, np.uint64)
+    out[word[new]] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), new)
+    out[word[new] + 1] += np.add.reduceat(value >> np.uint64(32), new)
+    data = out.astype("<u4").tobytes()
+    return [data[4 * b : 4 * b + (t + 7) // 8] for b, t in zip(base.tolist(), total.tolist(), strict=True)]
+
+
+def _file(data: bytes) -> bytes:
     chunk = struct.pack("<4sI", b"VP8L", len(data)) + data + b"\0" * (len(data) & 1)
     return struct.pack("<4sI4s", b"RIFF", 4 + len(chunk), b"WEBP") + chunk
 
 
-def store(payload: bytes) -> bytes:
-    """The files of a payload whose length is a positive multiple of 64, one after the other."""
-    samples = np.frombuffer(payload, np.uint8)
+def store_all(payloads: list[bytes]) -> list[bytes]:
+    """For each payload, whose length is a positive multiple of 64, its files one after the other."""
     step = WIDTH * ROWS
-    return b"".join(encode_samples(samples[i : i + step]) for i in range(0, len(samples), step))
+    images = [(k, np.frombuffer(p, np.uint8)[i : i + step]) for k, p in enumerate(payloads) for i in range(0, len(p), step)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    at = 0
+    while at < len(images):
+        end, size = at + 1, len(images[at][1])
+        while end < len(images) and size + len(images[end][1]) <= TOGETHER:
+            size += len(images[end][1])
+            end += 1
+        for (k, _), file in zip(images[at:end], encode_images([x for _, x in images[at:end]]), strict=True):
+            out[k].append(file)
+        at = end
+    return [b"".join(x) for x in out]
+
+
+def store(payload: bytes) -> bytes:
+    """The files of one payload."""
+    return store_all([payload])[0]
 
 
 def files(stored: bytes):
@@ -433,19 +707,19 @@ def to_media(docs: DataFrame, text_col: str = "text", with_media: bool = True) -
 
     def run(batches):
         for batch in ar.slices(batches, "_wp_text"):
-            rows = [_row(t.encode(), with_media) for t in pc.fill_null(batch.column("_wp_text"), "").to_pylist()]
+            raw = [t.encode() for t in pc.fill_null(batch.column("_wp_text"), "").to_pylist()]
+            stored = store_all([r + b"\0" * ((-len(r)) % WIDTH or (0 if r else WIDTH)) for r in raw])
+            rows = [_row(len(r), media, with_media) for r, media in zip(raw, stored, strict=True)]
             cols = {n: [r[k] for r in rows] for k, n in enumerate(added.names)}
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return kept.withColumn("_wp_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, out)
 
 
-def _row(raw: bytes, with_media: bool):
-    payload = raw + b"\0" * ((-len(raw)) % 64 or (0 if raw else 64))
-    media = store(payload)
+def _row(n_bytes: int, media: bytes, with_media: bool):
     samples = load(media)
     back = samples.tobytes()
     return (
-        len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media),
+        n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media),
         hashlib.sha256(media).hexdigest(), feature(samples), media if with_media else None,
     )

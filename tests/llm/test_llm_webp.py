@@ -318,6 +318,44 @@ def test_stored_bytes_come_back(used):
     assert media == webp.store(payload)
 
 
+def test_text_is_stored_through_the_format_s_steps(monkeypatch):
+    read = []
+    real = webp.read_code
+    monkeypatch.setattr(webp, "read_code", lambda bits, size: read.append(real(bits, size)) or read[-1])
+    greens = []
+    undo = webp.undo_subtract_green
+    monkeypatch.setattr(webp, "undo_subtract_green", lambda p: greens.append(len(p)) or undo(p))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", range(12, 0, -1), k=rng.randint(2, 9))) for _ in range(60)]
+    payload = " ".join(rng.choices(words, k=900)).encode()
+    payload += b"\0" * (-len(payload) % 64)
+    media = webp.store(payload)
+    assert webp.load(media).tobytes() == payload and greens == [len(payload)]
+    green, far = read[0], read[4]
+    # Codes of several lengths, of lengths and of distances; the repeated words leave less than half.
+    assert len({e & 15 for e in green.table}) > 2 and max(e >> 4 for e in green.table) >= 256 and len(set(far.table)) > 1
+    assert 2 * len(media) < len(payload)
+    grey = webp.decode(media).reshape(-1)
+    assert (grey == 0xFF000000 + np.frombuffer(payload, np.uint8).astype(np.uint32) * 0x010101).all()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_images_together_are_those_alone(seed):
+    rng = random.Random(seed)
+    payloads = [bytes(rng.choices(range(2 + rng.randint(0, 254)), k=64 * rng.randint(1, 60))) for _ in range(9)]
+    payloads += [payloads[3], b"\0" * 64, b"ab" * 3200, payloads[1] * 3, bytes(range(256)) * 40]
+    # Frequencies like Fibonacci numbers would give codes of more than 15 bits.
+    a, b, deep = 1, 1, b""
+    for c in range(22):
+        deep += bytes([c]) * a
+        a, b = b, a + b
+    deep = bytes(rng.sample(deep, len(deep)))
+    payloads.append(deep + b"\0" * (-len(deep) % 64))
+    files = webp.store_all(payloads)
+    assert files == [webp.store(p) for p in payloads]
+    assert [webp.load(f).tobytes() for f in files] == payloads
+
+
 def test_long_payloads_become_several_images():
     payload = random.Random(1).randbytes(webp.WIDTH * webp.ROWS + 6400)
     media = webp.store(payload)
