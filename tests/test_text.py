@@ -2,11 +2,14 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from modwarden.functions import text as tx
-from modwarden.functions.windows import slice_windows, window_text
+from modwarden.functions import windows as wn
+from modwarden.functions.automaton import cuts, text_bytes
+from modwarden.functions.windows import slice_windows, window_lists, window_text
 from modwarden.profiles import WindowPolicy
 
 
@@ -87,3 +90,19 @@ def test_window_column(spark):
     texts = [sentences(n) for n in (1, 12, 300)]
     got = one(spark, texts, window_text)
     assert [[dict(w.asDict()) for w in g] for g in got] == [slice_windows(t) for t in texts]
+
+
+def test_windows_are_cut_a_bounded_number_of_bytes_at_a_time(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", " ", *("x. " * rng.randint(1, 900) for _ in range(60))]
+    column = pa.array(texts, pa.string())
+    parts = list(cuts(text_bytes(column), 4000))
+    assert [a for a, _ in parts] == [0, *(b for _, b in parts[:-1])] and parts[-1][1] == len(texts) > len(parts) > 10
+    assert all(b == a + 1 or text_bytes(column)[a:b].sum() <= 4000 for a, b in parts)
+    policy = WindowPolicy(max_windows=None)
+    want = [slice_windows(t, policy) for t in texts]
+    found = [window_lists(column.slice(a, b - a), policy) for a, b in parts]
+    assert pa.concat_arrays(found).to_pylist() == want
+    # Batches of any size come back row by row.
+    monkeypatch.setattr(wn, "cuts", lambda size: cuts(size, 4000))
+    assert [[w.asDict() for w in r] for r in one(spark, texts, lambda c: window_text(c, policy))] == want
