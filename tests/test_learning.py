@@ -8,6 +8,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from modwarden.functions import windows as wn
+from modwarden.functions.automaton import cuts
 from modwarden.functions.automaton import utf8
 from modwarden.functions.hashed import murmur3
 from modwarden.operators import learning as ml
@@ -100,3 +101,13 @@ def test_an_epoch_in_one_task_is_plain_gradient_descent(spark):
             off.append(1 / (1 + np.exp(-(w @ x + c))) - y)
         w, c = w - 0.25 * sum(o * x for o, x in zip(off, xs, strict=True)), c - 0.25 * sum(off)
     assert np.allclose(got, w) and np.isclose(b, c)
+
+
+def test_folded_scores_come_in_pieces(spark, monkeypatch):
+    weights = np.random.default_rng(1).normal(size=1 << 10)
+    score = ml.folded_scorer(spark, ml.FoldedModel(weights, 0.1))
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else [f"Word{j} and {i}" * (j + 1) for j in range(i % 5)]) for i in range(80)], "id int, t array<string>").coalesce(1)
+    whole = {r.id: r.s for r in rows.select("id", score(F.col("t")).alias("s")).collect()}
+    monkeypatch.setattr(ml, "cuts", lambda size: cuts(size, 50))
+    again = {r.id: r.s for r in rows.select("id", ml.folded_scorer(spark, ml.FoldedModel(weights, 0.1))(F.col("t")).alias("s")).collect()}
+    assert again.keys() == whole.keys() and all(np.allclose(again[i], whole[i], atol=1e-12) and len(whole[i]) == (i % 5 if i % 7 else 0) for i in whole)
