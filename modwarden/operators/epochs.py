@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modwarden.functions.automaton import utf8
+from modwarden.functions.automaton import cuts, text_bytes, utf8
 from modwarden.functions.hashed import murmur3
 from modwarden.operators.learning import FoldedModel
 from modwarden.session import scratch
 
 FEATURES = 1 << 16
+# Features of rows that a step holds together.
+AT_ONCE = 1 << 18
 RUN_SCHEMA = "epoch int, loss double, tp bigint, fp bigint, tn bigint, fn bigint, precision double, recall double, f1 double, best boolean"
 
 
@@ -47,7 +49,7 @@ def _hashed(features: int):
     """Label, and the distinct features of each text with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, end - at) for b in batches for at, end in cuts(text_bytes(b.column("t")))):
             data, offsets = utf8(batch.column("t"))
             word = data != 32
             before, after = np.append(True, ~word[:-1])[: len(word)], np.append(~word[1:], True)[: len(word)]
@@ -79,6 +81,14 @@ def inverse_frequencies(hashed: DataFrame, features: int = FEATURES) -> np.ndarr
     return np.log((rows + 1) / (df + 1))
 
 
+def _parts(batch: pa.RecordBatch, together: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, so many features at a time at most; ``together`` rows in a row from its start stay in one part."""
+    offsets = batch.column("ix").offsets.to_numpy()
+    first = np.append(np.arange(0, batch.num_rows, together), batch.num_rows)
+    for a, b in cuts(np.diff(offsets[first]), AT_ONCE):
+        yield batch.slice(first[a], first[b] - first[a])
+
+
 def _rows(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Labels, and of each feature met its row, number and weight; a text's weights have length one."""
     ix, n = batch.column("ix"), batch.column("n").flatten().to_numpy().astype(np.float64)
@@ -101,17 +111,17 @@ def _epoch(hashed: DataFrame, weights: np.ndarray, intercept: float, idf: np.nda
         before, b0, idf = shared.value
         w, b, rows = before.copy(), b0, 0
         for batch in batches:
-            y, row, ix, x = _rows(batch, idf)
-            rows += len(y)
-            cut = np.searchsorted(row, np.arange(0, len(y) + policy.batch, policy.batch))
-            for k in range(len(cut) - 1):
-                at, end = k * policy.batch, min(len(y), (k + 1) * policy.batch)
-                r, i, v = row[cut[k] : cut[k + 1]] - at, ix[cut[k] : cut[k + 1]], x[cut[k] : cut[k + 1]]
-                off = _sigmoid(np.bincount(r, w[i] * v, end - at) + b) - y[at:end]
-                step = policy.rate / (end - at)
-                np.subtract.at(w, i, step * off[r] * v)
-                b -= step * off.sum()
-            w *= 1 - policy.decay * len(y)
+            rows += batch.num_rows
+            for y, row, ix, x in (_rows(p, idf) for p in _parts(batch, policy.batch)):
+                cut = np.searchsorted(row, np.arange(0, len(y) + policy.batch, policy.batch))
+                for k in range(-(-len(y) // policy.batch)):
+                    at, end = k * policy.batch, min(len(y), (k + 1) * policy.batch)
+                    r, i, v = row[cut[k] : cut[k + 1]] - at, ix[cut[k] : cut[k + 1]], x[cut[k] : cut[k + 1]]
+                    off = _sigmoid(np.bincount(r, w[i] * v, end - at) + b) - y[at:end]
+                    step = policy.rate / (end - at)
+                    np.subtract.at(w, i, step * off[r] * v)
+                    b -= step * off.sum()
+            w *= 1 - policy.decay * batch.num_rows
         changed = np.flatnonzero(w != before)
         # Two numbers beside the features: the intercept's change, and the rows.
         out = np.append(changed, [len(w), len(w) + 1])
@@ -131,8 +141,7 @@ def _judged(hashed: DataFrame, weights: np.ndarray, intercept: float, idf: np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b, idf = shared.value
-        for batch in batches:
-            y, row, ix, x = _rows(batch, idf)
+        for y, row, ix, x in (_rows(p, idf) for batch in batches for p in _parts(batch)):
             p = _sigmoid(np.bincount(row, w[ix] * x, len(y)) + b)
             loss = -np.where(y == 1, np.log(p), np.log(1 - p)).sum()
             hit = p >= cutoff
@@ -168,8 +177,7 @@ class EpochModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            for batch in batches:
-                y, row, ix, x = _rows(batch, m.idf)
+            for y, row, ix, x in (_rows(p, m.idf) for batch in batches for p in _parts(batch)):
                 yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(_sigmoid(np.bincount(row, m.weights[ix] * x, len(y)) + m.intercept))], ["label", "score"])
 
         return hashed_texts(df, text, label, len(self.weights)).mapInArrow(run, "label int, score double")

@@ -3,13 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from modwarden.functions import windows as wn
-from modwarden.functions.automaton import cuts
-from modwarden.functions.automaton import utf8
+from modwarden.functions.automaton import cuts, utf8
 from modwarden.functions.hashed import murmur3
 from modwarden.operators import learning as ml
 
@@ -111,3 +111,26 @@ def test_folded_scores_come_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(ml, "cuts", lambda size: cuts(size, 50))
     again = {r.id: r.s for r in rows.select("id", ml.folded_scorer(spark, ml.FoldedModel(weights, 0.1))(F.col("t")).alias("s")).collect()}
     assert again.keys() == whole.keys() and all(np.allclose(again[i], whole[i], atol=1e-12) and len(whole[i]) == (i % 5 if i % 7 else 0) for i in whole)
+
+
+def test_training_holds_a_bounded_number_of_features(monkeypatch):
+    from modwarden.operators import epochs as ep
+
+    rng = np.random.default_rng(2)
+    lists = [sorted(rng.choice(900, rng.integers(0, 40), replace=False).tolist()) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 2 for i in range(300)], pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array([[1.0 + i for i, _ in enumerate(x)] for x in lists], pa.list_(pa.float32()))], ["label", "ix", "n"])
+    idf = rng.random(1000)
+    whole = ep._rows(batch, idf)
+    assert [p.num_rows for p in ep._parts(batch, 32)] == [300]
+    monkeypatch.setattr(ep, "AT_ONCE", 1500)
+    parts = list(ep._parts(batch, 32))
+    # Mini-batches stay whole, and each row has the weights it had.
+    assert len(parts) > 3 and all(p.num_rows % 32 == 0 for p in parts[:-1]) and sum(p.num_rows for p in parts) == 300
+    found = [ep._rows(p, idf) for p in parts]
+    assert all((np.concatenate([f[k] for f in found]) == whole[k]).all() for k in (0, 2, 3))
+    # Texts are hashed a bounded number of bytes at a time, into the same lists.
+    texts = pa.RecordBatch.from_arrays([pa.array([0] * 90, pa.int32()), pa.array(["word and more words " * (i % 9) for i in range(90)])], ["label", "t"])
+    once = pa.Table.from_batches(list(ep._hashed(64)([texts]))).to_pylist()
+    monkeypatch.setattr(ep, "cuts", lambda size: cuts(size, 300))
+    again = list(ep._hashed(64)([texts]))
+    assert len(again) > 10 and pa.Table.from_batches(again).to_pylist() == once
