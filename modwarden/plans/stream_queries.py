@@ -48,12 +48,15 @@ _LEXICON_OUT = ("doc_id", "CAST(size(hits) AS BIGINT) AS hits", "lexicon_action"
 
 
 def cut_stream(spark, d, name, parts, order):
-    """A table as a stream of ``parts`` files, dealt out by hash, so that no file follows the order of the rows."""
+    """A table as a stream of ``parts`` micro-batches of files, dealt out by hash, so that no file follows the order of the rows.
+
+    A batch has as many files as the table has input splits for it, so tasks do not grow with the table.
+    """
     path = shared_dir(spark, f"cut-{name}")
-    rows = rd.read_table(spark, d, name).withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
-    rows.repartition(parts, "_part").write.partitionBy("_part").parquet(path)
-    schema = spark.read.parquet(path).drop("_part").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    rows = rd.read_table(spark, d, name)
+    files = -(-rows.rdd.getNumPartitions() // parts)
+    rows.repartition(parts * files, F.xxhash64(order)).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("stream_lexicon_verdicts_large", ORACLES["lexicon_verdict_by_join"])

@@ -341,3 +341,22 @@ def test_hot_key_keeps_bounded_memory(monkeypatch):
         largest = max(largest, len(part))
         seen.append(part["seq"].to_numpy())
     assert (np.concatenate(seen) == np.sort(order)).all() and largest < 100_000 and not spill.rows
+
+
+def test_cut_streams_have_more_files_for_more_splits(spark, tmp_path, monkeypatch):
+    from modwarden.plans import stream_queries as sq
+
+    monkeypatch.setattr(sq, "shared_dir", lambda _, purpose: f"{tmp_path}/{purpose}-{len(list(tmp_path.iterdir()))}")
+    monkeypatch.setattr(sq.rd, "read_table", lambda s, d, n: s.read.option("mergeSchema", "false").parquet(f"{d}/{n}.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    seen = set()
+    for splits, files in ((1, 4), (11, 12)):
+        spark.range(5000).repartition(splits).write.mode("overwrite").parquet(f"{tmp_path}/t{splits}/n.parquet")
+        stream = sq.cut_stream(spark, f"{tmp_path}/t{splits}", "n", 4, "id")
+        (cut,) = set(tmp_path.glob("cut-n-*")) - seen
+        seen.add(cut)
+        assert len(list(cut.glob("part-*"))) == files
+        out = sj.run_to_table(stream, "cut-test", per_batch=lambda b: b)
+        assert sorted(r.id for r in out.select("id").collect()) == list(range(5000))
+        assert out.select("batch_id").distinct().count() == 4
+    spark.conf.unset("spark.sql.files.openCostInBytes")
