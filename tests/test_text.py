@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from modwarden import fixed_values as fv
 from modwarden.functions import text as tx
 from modwarden.functions import windows as wn
 from modwarden.functions.automaton import cuts, text_bytes
@@ -106,3 +107,21 @@ def test_windows_are_cut_a_bounded_number_of_bytes_at_a_time(spark, monkeypatch)
     # Batches of any size come back row by row.
     monkeypatch.setattr(wn, "cuts", lambda size: cuts(size, 4000))
     assert [[w.asDict() for w in r] for r in one(spark, texts, lambda c: window_text(c, policy))] == want
+
+
+def test_romanisation_passes_once_for_each_ending(spark):
+    """Every sign of the tables, alone and after a consonant, and a plan of few passes."""
+    table = dict(fv.DEVANAGARI_CONSONANTS + fv.DEVANAGARI_VOWELS + fv.DEVANAGARI_SIGNS + fv.DEVANAGARI_OTHER)
+    signs = {k for k, _ in fv.DEVANAGARI_SIGNS} | {"्"}
+    consonants = {k for k, _ in fv.DEVANAGARI_CONSONANTS}
+
+    def plain(t):
+        return "".join(table.get(c, "" if c == "्" else c) + ("a" if c in consonants and t[i + 1 : i + 2] not in signs else "") for i, c in enumerate(t))
+
+    rng = random.Random(6)
+    texts = [*table, *(f"क{k}" for k in table), *("".join(rng.choice([*table, "्", " ", "a", "h", "."]) for _ in range(40)) for _ in range(60))]
+    texts = [t for t in texts if re.search("[ऀ-ॿ]", t)]
+    assert one(spark, texts, tx.romanize_devanagari) == [plain(t) for t in texts]
+    df = spark.createDataFrame([("क",)], "t string").select(tx.romanize_devanagari("t").alias("o"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") - plan.count("regexp_replace(") == 0 and plan.count("regexp_replace(") <= 8
