@@ -185,6 +185,40 @@ def test_bounded_wait_is_the_same_for_any_cut():
             assert newest(rows, over) == plain_wait(events, 50, over)
 
 
+def test_units_of_a_bucket_wait_in_one_step():
+    """All units of a bucket, null among them, against the rule; calls to the state do not grow with the units."""
+    import pandas as pd
+
+    for n in (5, 200):
+        rng = random.Random(n)
+        units = [None, *(f"u{i}" for i in range(n - 1))]
+        events = [(u, rng.choice(("text", "media")), rng.randrange(300)) for u in units for _ in range(8)]
+        rng.shuffle(events)
+        step, rows = wt.BoundedWait(50, 10**9), []
+        step.init(Handle())
+        counted = []
+        for state in (step.events, step.over, step.timer):
+            for name in ("get", "exists", "update", "appendValue", "clear"):
+                if hasattr(state, name):
+                    setattr(state, name, lambda *a, name=name, call=getattr(state, name): (counted.append(name), call(*a))[1])
+        for i in range(0, len(events), n):
+            frame = pd.DataFrame(events[i : i + n], columns=["unit_key", "kind", "ts_ms"])
+            for out in step.handleInputRows((7,), iter([frame]), Clock(1000 + i)):
+                rows += list(out.itertuples(index=False))
+        assert len(step.handle.timers) <= 1 and len(counted) <= 8 * 6
+        for u in units:
+            mine = [r for r in rows if r.unit_key == u or (u is None and pd.isna(r.unit_key))]
+            assert newest(mine, 10**6) == plain_wait([e[1:] for e in events if e[0] == u], 50, 10**6)
+        # The timer ends the open waits that are due first, each once, until none is open.
+        fired = []
+        while step.handle.timers:
+            at = step.handle.timers.pop()
+            fired += [(r.unit_key, r.outcome) for f in step.handleExpiredTimer((7,), Clock(at), Clock(at)) for r in f.itertuples(index=False)]
+        last = {u: max((ts, kind == "media") for v, kind, ts in events if v == u) for u in units}
+        assert sorted(map(str, (u for u, _ in fired))) == sorted(str(u) for u, (_, media) in last.items() if not media)
+        assert all(o == wt.WITHOUT for _, o in fired)
+
+
 def test_bounded_wait_writes_each_event_a_bounded_number_of_times():
     """In time order a text is written twice at most, media once, whatever the number of micro-batches."""
     rng = random.Random(2)
