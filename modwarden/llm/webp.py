@@ -19,7 +19,6 @@ import hashlib
 import struct
 import zlib
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -89,15 +88,14 @@ class Code:
     """A canonical prefix code; a single symbol takes no bits."""
 
     def __init__(self, lengths: dict[int, int]):
-        used = sorted((n, s) for s, n in lengths.items() if n)
-        if not used:
-            used = [(1, 0)]
-        self.only = used[0][1] if len(used) == 1 else None
-        self.width = 0 if len(used) == 1 else used[-1][0]
+        # ``length << 16 | symbol``, in the order of the code.
+        used = np.sort(np.array([n << 16 | s for s, n in lengths.items() if n] or [1 << 16], np.int64))
+        n, symbols = used >> 16, used & 0xFFFF
+        self.only = int(symbols[0]) if len(used) == 1 else None
+        self.width = 0 if len(used) == 1 else int(n[-1])
         # ``symbol << 4 | length`` by the next ``width`` bits, lowest first.
-        self.entries = np.array([used[0][1] << 4], np.int64)
+        self.entries = symbols << 4
         if self.only is None:
-            n, symbols = np.array(used, np.int64).T
             share = 1 << (self.width - n)
             if share.sum() != 1 << self.width:
                 raise ValueError("a prefix code is not complete")
@@ -126,6 +124,12 @@ def _code_of(lengths: tuple[tuple[int, int], ...]) -> Code:
     return Code(dict(lengths))
 
 
+@lru_cache(maxsize=4096)
+def _code_of_lengths(raw: int, count: int) -> Code:
+    """The code of code lengths whose own lengths are these numbers of 3 bits."""
+    return Code({s: n for k, s in enumerate(LENGTH_ORDER[:count]) if (n := (raw >> 3 * k) & 7)})
+
+
 def read_code(bits: Bits, size: int) -> Code:
     if bits.read(1):
         two = bits.read(1)
@@ -134,7 +138,7 @@ def read_code(bits: Bits, size: int) -> Code:
             symbols.append(bits.read(8))
         return _code_of(tuple((s, 1) for s in symbols))
     count = 4 + bits.read(4)
-    lengths = _code_of(tuple((s, n) for s in LENGTH_ORDER[:count] if (n := bits.read(3))))
+    lengths = _code_of_lengths(bits.read(3 * count), count)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     found: dict[int, int] = {}
     at, last, table, mask = 0, 8, lengths.table, lengths.mask
@@ -239,63 +243,63 @@ def _two_bytes() -> list[bytes]:
 
 def _one_channel(bits: Bits, green: Code, far: Code, width: int, total: int) -> np.ndarray:
     """Symbols and back-references of an image in which only green varies; bits are held ahead in one number."""
-    data, near, out, size = bits.data, _near(width), bytearray(), 0
+    data, near, out = bits.data, _near(width), bytearray()
     far_table, far_mask, two = far.table, far.mask, _two_bytes()
     at = bits.at >> 3
-    held, left = int.from_bytes(data[at : at + 32], "little") >> (bits.at & 7), 8 * len(data[at : at + 32]) - (bits.at & 7)
+    left = 8 * len(data[at : at + 32]) - (bits.at & 7)
+    # A bit above those that are held tells how many they are.
+    held = int.from_bytes(data[at : at + 32], "little") >> (bits.at & 7) | 1 << max(0, left)
     at += 32
     add = out.append
     # Two literals at a time up to the last sample; small images are not worth that table.
     ways = [(*green.pairs(), total - 1)] if total >= 1024 else []
     for table, mask, stop in (*ways, (green.table, green.mask, total)):
-        while size < stop:
-            if left < 64:
+        while (size := len(out)) < stop:
+            left = held.bit_length() - 1
+            if left < 128:
                 if left < 0:
                     raise ValueError("the image ends early")
                 more = data[at : at + 32]
-                held |= int.from_bytes(more, "little") << left
+                held += (int.from_bytes(more, "little") + (1 << 8 * len(more)) - 1) << left
                 left += 8 * len(more)
                 at += 32
-            found = table[held & mask]
-            n = found & 15
-            held >>= n
-            left -= n
-            if found >= 8192:
-                out += two[found >> 13]
-                size += 2
-                continue
-            s = found >> 4
-            if s < 256:
-                add(s)
-                size += 1
-                continue
-            s -= 256
-            if s < 4:
-                n = s + 1
-            else:
-                extra = (s - 2) >> 1
-                n = ((2 + (s & 1)) << extra) + (held & ((1 << extra) - 1)) + 1
-                held >>= extra
-                left -= extra
-            found = far_table[held & far_mask]
-            held >>= found & 15
-            left -= found & 15
-            s = found >> 4
-            if s < 4:
-                back = s + 1
-            else:
-                extra = (s - 2) >> 1
-                back = ((2 + (s & 1)) << extra) + (held & ((1 << extra) - 1)) + 1
-                held >>= extra
-                left -= extra
-            back = back - 120 if back > 120 else near[back - 1]
-            if back > size or size + n > total:
-                raise ValueError("a back-reference leaves the image")
-            if back >= n:
-                out += out[size - back : size - back + n]
-            else:
-                out += (out[size - back :] * (n // back + 1))[:n]
-            size += n
+            # So many literals, or pairs of them, and one reference have room in the bits and in the image.
+            for _ in range(max(1, min((left - 58) // 15, (total - size) // 2))):
+                found = table[held & mask]
+                held >>= found & 15
+                if found >= 8192:
+                    out += two[found >> 13]
+                    continue
+                s = found >> 4
+                if s < 256:
+                    add(s)
+                    continue
+                s -= 256
+                if s < 4:
+                    n = s + 1
+                else:
+                    extra = (s - 2) >> 1
+                    n = ((2 + (s & 1)) << extra) + (held & ((1 << extra) - 1)) + 1
+                    held >>= extra
+                found = far_table[held & far_mask]
+                held >>= found & 15
+                s = found >> 4
+                if s < 4:
+                    back = s + 1
+                else:
+                    extra = (s - 2) >> 1
+                    back = ((2 + (s & 1)) << extra) + (held & ((1 << extra) - 1)) + 1
+                    held >>= extra
+                back = back - 120 if back > 120 else near[back - 1]
+                size = len(out)
+                if back > size or size + n > total:
+                    raise ValueError("a back-reference leaves the image")
+                if back >= n:
+                    out += out[size - back : size - back + n]
+                else:
+                    out += (out[size - back :] * (n // back + 1))[:n]
+                break
+    left = held.bit_length() - 1
     if left < 0:
         raise ValueError("the image ends early")
     bits.at = bits.end - 8 * max(0, len(data) - at) - left
@@ -490,22 +494,43 @@ def _length_codes() -> list[int]:
     return canonical(np.array(LENGTH_BITS, np.int64)).tolist()
 
 
-def _runs(lengths: list[int]):
-    """Code lengths as ``(symbol, extra, bits of it)``: 16 repeats the last one, 17 and 18 are runs of zeros."""
-    for value, run in ((v, len(list(same))) for v, same in groupby(lengths)):
-        if value:
-            yield value, 0, 0
-            run -= 1
-            while run >= 3:
-                n = min(run, 6)
-                yield 16, n - 3, 2
-                run -= n
-        while not value and run >= 3:
-            n = min(run, 138)
-            yield (18, n - 11, 7) if n >= 11 else (17, n - 3, 3)
+def _run(value: int, run: int):
+    """A run of one code length as ``(symbol, extra, bits of it)``: 16 repeats the last one, 17 and 18 are runs of zeros."""
+    if value:
+        yield value, 0, 0
+        run -= 1
+        while run >= 3:
+            n = min(run, 6)
+            yield 16, n - 3, 2
             run -= n
-        for _ in range(run):
-            yield value, 0, 0
+    while not value and run >= 3:
+        n = min(run, 138)
+        yield (18, n - 11, 7) if n >= 11 else (17, n - 3, 3)
+        run -= n
+    for _ in range(run):
+        yield value, 0, 0
+
+
+@lru_cache(maxsize=8192)
+def _run_bits(value: int, run: int) -> tuple[int, int]:
+    """The bits of a run of one code length, and how many they are."""
+    codes, out, at = _length_codes(), 0, 0
+    for s, extra, n in _run(value, run):
+        out |= (codes[s] | extra << LENGTH_BITS[s]) << at
+        at += LENGTH_BITS[s] + n
+    return out, at
+
+
+@lru_cache(maxsize=1)
+def _code_head() -> tuple[int, int]:
+    """What stands before the code lengths: the code in which they are written."""
+    w = Writer()
+    w.put(0, 1)
+    w.put(len(LENGTH_ORDER) - 4, 4)
+    for s in LENGTH_ORDER:
+        w.put(LENGTH_BITS[s], 3)
+    w.put(0, 1)
+    return w.value, w.n
 
 
 def write_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -519,15 +544,13 @@ def write_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths[used] = len(used) - 1
         return canonical(lengths), lengths
     lengths[used] = code_lengths(counts[used].tolist(), LONGEST_CODE)
-    w.put(0, 1)
-    w.put(len(LENGTH_ORDER) - 4, 4)
-    for s in LENGTH_ORDER:
-        w.put(LENGTH_BITS[s], 3)
-    w.put(0, 1)
-    codes, value, at, last = _length_codes(), 0, 0, int(used[-1]) + 1
-    for s, extra, n in (*_runs(lengths[:last].tolist()), *_runs([0] * (len(counts) - last))):
-        value |= (codes[s] | extra << LENGTH_BITS[s]) << at
-        at += LENGTH_BITS[s] + n
+    value, at = _code_head()
+    each, start = lengths.tolist(), 0
+    for end in (*(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(each)):
+        bits, n = _run_bits(each[start], end - start)
+        value |= bits << at
+        at += n
+        start = end
     w.put(value, at)
     return canonical(lengths), lengths
 
@@ -539,8 +562,8 @@ def _head(height: int, green: np.ndarray, far: np.ndarray) -> tuple[Writer, list
         w.put(value, n)
     codes = [*write_code(w, green)]
     for only in (0, 0, 255):
-        for value, n in ((1, 1), (0, 1), (1, 1), (only, 8)):
-            w.put(value, n)
+        # One symbol, of 8 bits.
+        w.put(0b101 | only << 3, 11)
     return w, [*codes, *write_code(w, far)]
 
 
@@ -686,10 +709,11 @@ def load(stored: bytes) -> np.ndarray:
 
 def feature(samples: np.ndarray) -> str:
     """Sample count, distinct values, sum, sum of squared steps, and shares of eight value ranges in hex."""
-    x = samples.astype(np.int64)
-    bins = np.bincount(samples >> 5, minlength=8)
-    share = "".join(f"{v:02x}" for v in (bins * 255 // len(x)).tolist())
-    return f"{len(x)}:{np.count_nonzero(np.bincount(samples, minlength=256))}:{x.sum()}:{(np.diff(x) ** 2).sum()}:{share}"
+    counts = np.bincount(samples, minlength=256)
+    x = samples.astype(np.int32)
+    step = x[1:] - x[:-1]
+    share = "".join(f"{v:02x}" for v in (counts.reshape(8, 32).sum(axis=1) * 255 // len(samples)).tolist())
+    return f"{len(samples)}:{np.count_nonzero(counts)}:{counts @ np.arange(256)}:{(step * step).sum(dtype=np.int64)}:{share}"
 
 
 ADDED = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, media binary"

@@ -384,3 +384,13 @@ def test_rows(spark):
         assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(bytes(r.media)).hexdigest())
         assert webp.load(bytes(r.media)).tobytes() == payload
     assert webp.to_media(df.limit(0)).count() == 0
+
+
+def test_code_lengths_are_read_in_one_piece(monkeypatch):
+    """The 19 lengths in front of each code cost one read, so an image costs few reads whatever its codes."""
+    payload = (bytes(range(32, 127)) * 3 + b"the quick brown fox " * 40)[:1024]
+    stored, reads = webp.store(payload), []
+    plain = webp.Bits.read
+    monkeypatch.setattr(webp.Bits, "read", lambda self, n: (reads.append(n), plain(self, n))[1])
+    assert webp.load(stored).tobytes() == payload
+    assert len(reads) < 40
