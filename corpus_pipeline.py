@@ -27,7 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    """The smallest id of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles.
+
+    SimHash links of the operator come first, verified exactly; a prefix filter finds the pairs beyond their radius.
+    """
     return nearcopies.keep_first(docs)
 
 

@@ -1,7 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash links that are verified exactly, and a prefix filter for the pairs beyond their radius.
 
-A text is the set of its shingles, hashed to 64 bits; texts with one set are one value. In an order that all texts
-share, two sets at the similarity have a common shingle among their first ``n - ceil(least * n) + 1`` (prefix
+A text is the set of its shingles, hashed to 64 bits; texts with one set are one value. SimHash fingerprints are linked
+by multi-index hashing (``simhash``); each value meets the first one of its fingerprint's component, and their exact
+Jaccard similarity decides. SimHash cannot tell all pairs at the similarity, so the prefix filter looks for links
+between values that are still apart.
+
+In an order that all texts share, two sets at the similarity have a common shingle among their first ``n - ceil(least * n) + 1`` (prefix
 filter), so no pair is missed. Shingles that are common in some of the texts come last in that order; this
 decides how many candidates there are, never which pairs are found. Shingles that only one text has among its first
 leave at once; the others meet again with a parity sketch of each set: one bit per place, flipped by every shingle that
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modwarden.llm import arrays as ar
+from modwarden.llm import simhash
 from modwarden.llm.components import components
 from modwarden.session import materialize, scratch
 
@@ -138,7 +143,7 @@ class Sketches:
 
 
 def _with_prefix(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> DataFrame:
-    """``(doc_id, fp, n, sketch, prefix)``: number and size of each text's set, its parity bits and its first shingles."""
+    """``(doc_id, sim, fp, n, sketch, prefix)``: each text's SimHash, number and size of its set, its parity bits and its first shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -152,12 +157,13 @@ def _with_prefix(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle
             cut = np.append(0, np.cumsum([len(s) for s in sets])).tolist()
             first = [prefix(s, seen[a:b], least).tobytes() for s, a, b in zip(sets, cut[:-1], cut[1:], strict=True)]
             cols = [
-                batch.column("doc_id"), pa.array([value_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                batch.column("doc_id"), pa.array(simhash.fingerprints(batch.column("_t")).view(np.int64)),
+                pa.array([value_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array(first, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sim", "fp", "n", "sketch", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id bigint, fp bigint, n int, sketch binary, prefix binary")
+    return docs.mapInArrow(run, "doc_id bigint, sim bigint, fp bigint, n int, sketch binary, prefix binary")
 
 
 def _entries(batches):
@@ -349,6 +355,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint")
 
 
+def simhash_pairs(marked: DataFrame) -> DataFrame:
+    """Pairs of values to verify: each with the smallest one of the component of its SimHash, at most one a value and fingerprint."""
+    of = marked.select("sim", "fp").distinct()
+    found = components(simhash.links(of.select(F.col("sim").alias("fp")).distinct()))
+    groups = of.join(found.withColumnRenamed("node", "sim"), "sim", "left").select("fp", F.coalesce("component", "sim").alias("component"))
+    lead = groups.groupBy("component").agg(F.min("fp").alias("lead"))
+    return groups.join(lead, "component").filter("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs that no links connect yet."""
+    at = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row; the component is the smallest id reachable over similar pairs."""
     texts = _texts(docs, id_col, text_col)
@@ -356,10 +377,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         marked = held(_with_prefix(texts, common_shingles(texts, shingle), shingle, least), "prefixes")
         values = held(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "values")
         firsts, about = values.select("fp", "first_id"), values.select("fp", "n", "sketch")
+        close = held(simhash_pairs(marked), "simhash-pairs")
+        linked = held(_verified(close, _sets(texts, _in_pairs(close), firsts, shingle), least), "simhash-links")
+        known = components(linked)
         met = held(marked.select("fp", "prefix").mapInArrow(_entries, "h bigint, fp bigint").repartition("h").mapInArrow(_met, "h bigint, fp bigint"), "shared-shingles")
         tried = held(met.join(about, "fp").repartition("h").mapInArrow(_first(least), _FIRST), "candidates")
-        pairs = tried.filter("h is null").select("a", "b").distinct()
-        links = held(_verified(pairs, _sets(texts, _in_pairs(pairs), firsts, shingle), least), "links")
+        pairs = held(_apart(tried.filter("h is null").select("a", "b").distinct(), known), "apart")
+        links = linked.unionByName(held(_verified(pairs, _sets(texts, _in_pairs(pairs), firsts, shingle), least), "links"))
         members = tried.filter("h is not null").select("h", F.col("a").alias("fp"))
         found, sketches, nearest = components(links), about, True
         while True:

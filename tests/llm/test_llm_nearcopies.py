@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -74,6 +75,31 @@ def test_pair_far_in_simhash_is_found(spark):
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == brute_kept(rows) == set(range(0, 80, 2))
 
 
+def test_simhash_links_come_first_and_are_verified(spark, monkeypatch):
+    """Copies within the radius are linked by SimHash, so the prefix filter tries no pair of them; alike fingerprints of unlike texts are not linked."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(3000)]
+    near = [" ".join(base), *(" ".join(w if i != k else "x" for i, w in enumerate(base)) for k in (7, 900, 2100))]
+    # The repeated line decides the fingerprint, the words after it the set.
+    alike = [" ".join(["same old line again here"] * 3000 + [f"{c}{i}" for i in range(40)]) for c in "ab"]
+    far = [f"z{rng.randrange(10**6)}" for _ in range(60)]
+    rows = list(enumerate([*near, *alike, " ".join(far), " ".join(edited(rng, far, 1))]))
+    assert len({nearcopies.simhash.fingerprints(pa.array([t])).item() for t in alike}) == 1
+    steps, plain = [], nearcopies._verified
+
+    def verified(pairs, *rest):
+        out = plain(pairs, *rest)
+        steps.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(nearcopies, "_verified", verified)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, df, DATA).collect()}
+    assert kept == brute_kept(rows) == {0, 4, 5, 6}
+    # Three near copies and the alike text meet a first one by SimHash; only the far pair is left for the prefix filter.
+    assert steps[0] == (4, 3) and steps[1] == (1, 1)
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "q r s t u v"), (4, "A b c d e f"), (2, "z")], "doc_id long, text string")
     found = {(r.doc_id, r.component_id) for r in nearcopies.near_copies(df).collect()}
