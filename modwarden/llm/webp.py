@@ -1,8 +1,8 @@
 """Lossless WebP: a complete decoder of the lossless bitstream, and the encoder that stores bytes as grey samples.
 
 The decoder reads prefix codes, back-references, the colour cache and meta prefix images and inverts the
-predictor, cross-colour, subtract-green and palette transforms. Codes are looked up in tables of their bits, so the
-symbol reader is the only way through an image.
+predictor, cross-colour, subtract-green and palette transforms. Codes are looked up in tables of their bits. Symbols of
+images in which only green varies are read for many images at once: looked up at every bit, and walked from the first.
 
 A payload becomes one image of 64 samples a row per MiB, a sample a grey pixel; a payload of several MiB becomes
 several images in a row, so memory stays bounded. The encoder subtracts green, which leaves one channel, looks for
@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +52,11 @@ LONGEST_CODE = 15
 LENGTH_BITS = (3, 7, 7, 5, 4, 4, 3, 3, 3, 3, 4, 7, 7, 7, 7, 7, 7, 4, 5)
 # Shortest and longest back-reference, and the farthest one beside the numbers of near places.
 SHORTEST, LONGEST, FARTHEST = 6, 4096, (1 << 20) - 120
-# Samples that are encoded together, if not those of one image.
-TOGETHER = 1 << 20
+# Samples that are encoded or read together, if not those of one image, and bits and images that are looked up at once.
+TOGETHER, BITS_AT_ONCE, IMAGES_AT_ONCE = 1 << 17, 1 << 17, 1024
+# Extra bits and least value of each prefix symbol of a length or distance.
+_EXTRA = np.array([max(0, (s - 2) >> 1) for s in range(DISTANCES)], np.uint64)
+_LEAST = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(DISTANCES)], np.int64)
 _REVERSED = np.packbits(np.unpackbits(np.arange(1 << 16, dtype=np.uint16).view(np.uint8).reshape(-1, 2), axis=1, bitorder="little"), axis=1).astype(np.int64)
 _REVERSED = (_REVERSED[: 1 << 15, 0] << 8 | _REVERSED[: 1 << 15, 1]) >> 1
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
@@ -100,17 +105,11 @@ class Code:
             if share.sum() != 1 << self.width:
                 raise ValueError("a prefix code is not complete")
             self.entries = np.repeat(symbols << 4 | n, share)[_REVERSED[: 1 << self.width] >> (LONGEST_CODE - self.width)]
-        self.table, self.mask = self.entries.tolist(), (1 << self.width) - 1
-
-    def pairs(self) -> tuple[list[int], int]:
-        """A table of 12 bits or more, and its mask: two literals whose codes fit are one entry, ``1 + both << 13 | length``."""
-        width = max(self.width, 12)
-        one = np.tile(self.entries, 1 << (width - self.width))
-        n = one & 15
-        then = one[np.arange(len(one)) >> n]
-        both = n + (then & 15)
-        fit = (one < LITERALS << 4) & (then < LITERALS << 4) & (both <= 12) & (n > 0)
-        return np.where(fit, (1 + (one >> 4) + (then >> 4) * 256) << 13 | both, one).tolist(), (1 << width) - 1
+        self.mask = (1 << self.width) - 1
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.entries.tolist()
 
     def read(self, bits: Bits) -> int:
         found = self.table[bits.peek() & self.mask]
@@ -136,6 +135,8 @@ def read_code(bits: Bits, size: int) -> Code:
         symbols = [bits.read(8 if bits.read(1) else 1)]
         if two:
             symbols.append(bits.read(8))
+        if max(symbols) >= size:
+            raise ValueError("no such symbol")
         return _code_of(tuple((s, 1) for s in symbols))
     count = 4 + bits.read(4)
     lengths = _code_of_lengths(bits.read(3 * count), count)
@@ -176,8 +177,30 @@ def _number(symbol: int, bits: Bits) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
+class Symbols(NamedTuple):
+    """What is left to read of an image in which only green varies."""
+
+    data: bytes
+    at: int
+    green: Code
+    far: Code
+    width: int
+    total: int
+    rest: int
+
+
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """One entropy-coded image as 32-bit ARGB numbers."""
+    found = _read_pixels(bits, width, height, main)
+    return _argb(one_channel([found])[0], found.rest) if isinstance(found, Symbols) else found
+
+
+def _argb(green: np.ndarray, rest: int) -> np.ndarray:
+    return green.astype(np.uint32) << np.uint32(8) | np.uint32(rest)
+
+
+def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray | Symbols:
+    """The numbers of an image, or its symbols where they are read together with those of others; nothing follows a main image."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -192,9 +215,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     codes = [[read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
     total = width * height
     green, red, blue, alpha, _ = codes[0]
-    if groups == 1 and not cache_size and None not in (red.only, blue.only, alpha.only):
-        value = _one_channel(bits, green, codes[0][4], width, total).astype(np.uint32) << np.uint32(8)
-        return value | np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
+    if main and groups == 1 and not cache_size and None not in (red.only, blue.only, alpha.only):
+        return Symbols(bits.data, bits.at, green, codes[0][4], width, total, alpha.only << 24 | red.only << 16 | blue.only)
     out = [0] * total
     cache = [0] * cache_size
     at = 0
@@ -236,74 +258,132 @@ def _near(width: int) -> tuple[int, ...]:
     return tuple(max(1, dx + dy * width) for dx, dy in NEAR)
 
 
-@lru_cache(maxsize=1)
-def _two_bytes() -> list[bytes]:
-    return [b"", *((k).to_bytes(2, "little") for k in range(1 << 16))]
-
-
-def _one_channel(bits: Bits, green: Code, far: Code, width: int, total: int) -> np.ndarray:
-    """Symbols and back-references of an image in which only green varies; bits are held ahead in one number."""
-    data, near, out = bits.data, _near(width), bytearray()
-    far_table, far_mask, two = far.table, far.mask, _two_bytes()
-    at = bits.at >> 3
-    left = 8 * len(data[at : at + 32]) - (bits.at & 7)
-    # A bit above those that are held tells how many they are.
-    held = int.from_bytes(data[at : at + 32], "little") >> (bits.at & 7) | 1 << max(0, left)
-    at += 32
-    add = out.append
-    # Two literals at a time up to the last sample; small images are not worth that table.
-    ways = [(*green.pairs(), total - 1)] if total >= 1024 else []
-    for table, mask, stop in (*ways, (green.table, green.mask, total)):
-        while (size := len(out)) < stop:
-            left = held.bit_length() - 1
-            if left < 128:
-                if left < 0:
-                    raise ValueError("the image ends early")
-                more = data[at : at + 32]
-                held += (int.from_bytes(more, "little") + (1 << 8 * len(more)) - 1) << left
-                left += 8 * len(more)
-                at += 32
-            # So many literals, or pairs of them, and one reference have room in the bits and in the image.
-            for _ in range(max(1, min((left - 58) // 15, (total - size) // 2))):
-                found = table[held & mask]
-                held >>= found & 15
-                if found >= 8192:
-                    out += two[found >> 13]
-                    continue
-                s = found >> 4
-                if s < 256:
-                    add(s)
-                    continue
-                s -= 256
-                if s < 4:
-                    n = s + 1
-                else:
-                    extra = (s - 2) >> 1
-                    n = ((2 + (s & 1)) << extra) + (held & ((1 << extra) - 1)) + 1
-                    held >>= extra
-                found = far_table[held & far_mask]
-                held >>= found & 15
-                s = found >> 4
-                if s < 4:
-                    back = s + 1
-                else:
-                    extra = (s - 2) >> 1
-                    back = ((2 + (s & 1)) << extra) + (held & ((1 << extra) - 1)) + 1
-                    held >>= extra
-                back = back - 120 if back > 120 else near[back - 1]
-                size = len(out)
-                if back > size or size + n > total:
-                    raise ValueError("a back-reference leaves the image")
-                if back >= n:
-                    out += out[size - back : size - back + n]
-                else:
-                    out += (out[size - back :] * (n // back + 1))[:n]
-                break
-    left = held.bit_length() - 1
-    if left < 0:
-        raise ValueError("the image ends early")
-    bits.at = bits.end - 8 * max(0, len(data) - at) - left
-    return np.frombuffer(out, np.uint8)
+def _ahead(raw: np.ndarray) -> np.ndarray:
+    """From each byte on, the next eight as one number; the last seven bytes have none."""
+    v = raw.astype(np.uint64)
+    for k in (1, 2, 4):
+        v = v[:-k] | v[k:] << np.uint64(8 * k)
+    return v
+
+
+def _numbers(symbol: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances from their prefix symbols and the bits that follow those, and how many bits they take of them."""
+    extra = _EXTRA[symbol]
+    return _LEAST[symbol] + (bits & (np.uint64(1) << extra) - np.uint64(1)).astype(np.int64), extra.astype(np.int64)
+
+
+def _tokens(runs: list[Symbols], stops: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of each image the symbols that start before its bit ``stop``: their values, lengths (1 for literals), distances (0 for literals), the bit after them.
+
+    What a symbol at a bit would be depends on that bit alone, so all bits are looked up at once, and those where symbols
+    start are a walk from the first one, eight symbols a step.
+    """
+    # Each image has a byte after its end, where its walk stays, and the last one room to look ahead.
+    spans = [(s.at >> 3, (stop + 7) >> 3) for s, stop in zip(runs, stops, strict=True)]
+    room = np.array([b - a + 16 for a, b in spans], np.int64)
+    raw = np.zeros(int(room.sum()), np.uint8)
+    base = np.cumsum(room) - room
+    for s, (a, b), at in zip(runs, spans, base.tolist(), strict=True):
+        piece = s.data[a : b + 8]
+        raw[at : at + len(piece)] = np.frombuffer(piece, np.uint8)
+    ahead = _ahead(raw)
+    image = np.repeat(np.arange(len(runs)), room)[: len(ahead)]
+    greens, fars = ([getattr(s, name) for s in runs] for name in ("green", "far"))
+    (table, first, mask), (far_table, far_first, far_mask) = (
+        (np.concatenate([c.entries for c in codes]), np.cumsum([0, *(len(c.entries) for c in codes[:-1])]), np.array([c.mask for c in codes], np.int64))
+        for codes in (greens, fars)
+    )
+    seen = (ahead & np.uint64((1 << 32) - 1)).astype(np.int64)
+    found = table.take(((seen[:, None] >> np.arange(8)) & mask[image][:, None]) + first[image][:, None]).reshape(-1)
+    then = np.arange(len(found)) + (found & 15)
+    # References: the length's own bits, the code of the distance, the distance's own bits.
+    ref = np.flatnonzero(found >= LITERALS << 4)
+    ref = ref[ref < 8 * (len(ahead) - 8)]
+    bits = lambda at: ahead[at >> 3] >> (at & 7).astype(np.uint64)
+    n, extra = _numbers((found[ref] >> 4) - LITERALS, bits(then[ref]))
+    at, of = then[ref] + extra, image[ref >> 3]
+    far = far_table[(bits(at) & far_mask[of].astype(np.uint64)).astype(np.int64) + far_first[of]]
+    at += far & 15
+    back, extra = _numbers(far >> 4, bits(at))
+    then[ref] = at + extra
+    begin = 8 * base + np.array([s.at & 7 for s in runs])
+    stay = 8 * base + np.array([stop - 8 * a for stop, (a, _) in zip(stops, spans, strict=True)])
+    after = then.copy()
+    np.minimum(then.reshape(-1, 8), stay[image][:, None], out=then.reshape(-1, 8))
+    jump = then
+    for _ in range(3):
+        jump = jump.take(jump)
+    steps, ends, step = [], [], memoryview(jump)
+    for at, end in zip(begin.tolist(), stay.tolist(), strict=True):
+        while at < end:
+            steps.append(at)
+            at = step[at]
+        ends.append(len(steps))
+    eight = np.empty((len(steps), 8), np.int64)
+    eight[:, 0] = steps
+    for k in range(1, 8):
+        eight[:, k] = then.take(eight[:, k - 1])
+    token = eight.reshape(-1)
+    token = token[token < stay[image[token >> 3]]]
+    value = found[token] >> 4
+    length, distance = np.ones(len(token), np.int64), np.zeros(len(token), np.int64)
+    copied = np.flatnonzero(value >= LITERALS)
+    own = np.searchsorted(ref, token[copied])
+    near = np.array([_near(s.width) for s in runs], np.int64)
+    far = back[own]
+    length[copied], distance[copied] = n[own], np.where(far > 120, far - 120, near[image[token[copied] >> 3], np.minimum(far, 120) - 1])
+    cut = np.searchsorted(token, np.append(begin, 8 * len(raw))).tolist()
+    for s, at, a, b in zip(runs, begin.tolist(), cut[:-1], cut[1:], strict=True):
+        # The last symbol may end in another window, or after the data; then it cannot be read.
+        to = s.at + (int(after[token[b - 1]]) - at if b > a else 0)
+        b -= to > 8 * len(s.data)
+        yield value[a:b], length[a:b], distance[a:b], to
+
+
+def one_channel(runs: list[Symbols]) -> list[np.ndarray]:
+    """Samples of images in which only green varies: small images together, large ones in windows of ``BITS_AT_ONCE``."""
+    parts: list[list] = [[] for _ in runs]
+    runs = list(runs)
+    left = [s.total for s in runs]
+    for s, found in zip(runs, parts, strict=True):
+        if s.green.only is not None:
+            if s.green.only >= LITERALS:
+                raise ValueError("a back-reference leaves the image")
+            found.append((np.full(s.total, s.green.only), np.ones(s.total, np.int64), np.zeros(s.total, np.int64)))
+    todo = [k for k, s in enumerate(runs) if s.green.only is None]
+    while todo:
+        size = np.cumsum([8 * len(runs[k].data) - runs[k].at for k in todo[:IMAGES_AT_ONCE]])
+        group = todo[: max(1, int(np.searchsorted(size, BITS_AT_ONCE, "right")))]
+        stops = [min(8 * len(s.data), s.at + BITS_AT_ONCE) for s in (runs[k] for k in group)]
+        for k, stop, (*found, at) in zip(group, stops, _tokens([runs[k] for k in group], stops), strict=True):
+            left[k] -= int(found[1].sum())
+            # Symbols after the last sample are none.
+            used = len(found[1])
+            while left[k] < 0 and left[k] + found[1][used - 1] <= 0:
+                used -= 1
+                left[k] += int(found[1][used])
+            parts[k].append([x[:used] for x in found])
+            runs[k] = runs[k]._replace(at=at)
+            if left[k] > 0 and stop == 8 * len(runs[k].data):
+                raise ValueError("the image ends early")
+        todo = [k for k in group if left[k] > 0] + todo[len(group) :]
+    value, length, distance = (np.concatenate([p[i] for found in parts for p in found]) for i in range(3))
+    total = np.array([s.total for s in runs], np.int64)
+    place = np.cumsum(length) - length
+    plain = distance == 0
+    copied = np.flatnonzero(~plain)
+    start = np.repeat(np.cumsum(total) - total, [sum(len(p[0]) for p in found) for found in parts])[copied]
+    if min(left, default=0) < 0 or (distance[copied] > place[copied] - start).any():
+        raise ValueError("a back-reference leaves the image")
+    out = np.zeros(int(total.sum()), np.uint8)
+    out[place[plain]] = value[plain]
+    out = bytearray(out)
+    for to, n, back in zip(place[copied].tolist(), length[copied].tolist(), distance[copied].tolist(), strict=True):
+        if back >= n:
+            out[to : to + n] = out[to - back : to - back + n]
+        else:
+            out[to : to + n] = (out[to - back : to] * (n // back + 1))[:n]
+    return np.split(np.frombuffer(out, np.uint8), np.cumsum(total)[:-1])
 
 
 def _mean(a, b):
@@ -392,8 +472,8 @@ def _palette_shift(n: int) -> int:
     return 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
 
 
-def decode(image: bytes) -> np.ndarray:
-    """ARGB numbers of one WebP file, a row of the array per image row."""
+def _opened(image: bytes) -> tuple[np.ndarray | Symbols, list, int, int]:
+    """Of one file its stored numbers or symbols, the transforms to invert, width and height."""
     if image[:4] != b"RIFF" or image[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     (size,) = struct.unpack_from("<I", image, 16)
@@ -425,10 +505,34 @@ def decode(image: bytes) -> np.ndarray:
             colours = np.cumsum(steps, axis=0, dtype=np.uint8).view(np.uint32).reshape(n)
             undo.append(lambda p, w=stored, colours=colours: undo_palette(p, w, height, colours))
             stored = (stored + (1 << _palette_shift(n)) - 1) >> _palette_shift(n)
-    pixels = read_pixels(bits, stored, height, True)
-    for fn in reversed(undo):
-        pixels = fn(pixels)
-    return pixels.reshape(height, width)
+    return _read_pixels(bits, stored, height, True), undo, width, height
+
+
+def decode(image: bytes) -> np.ndarray:
+    """ARGB numbers of one WebP file, a row of the array per image row."""
+    _, _, width, height = opened = _opened(image)
+    return _numbers_of([opened])[0].reshape(height, width)
+
+
+def _numbers_of(opened: list[tuple[np.ndarray | Symbols, list, int, int]]) -> list[np.ndarray]:
+    """ARGB numbers of files, whose symbols are read together; so are transforms that look at nothing but a pixel."""
+    late = [k for k, (p, *_) in enumerate(opened) if isinstance(p, Symbols)]
+    out = [p for p, *_ in opened]
+    if late:
+        green = one_channel([out[k] for k in late])
+        rest = np.array([out[k].rest for k in late], np.uint32)
+        sizes = [len(x) for x in green]
+        whole = np.concatenate(green).astype(np.uint32) << np.uint32(8) | np.repeat(rest, sizes)
+        alike = all(opened[k][1] == [undo_subtract_green] for k in late)
+        if alike:
+            whole = undo_subtract_green(whole)
+        for k, x in zip(late, np.split(whole, np.cumsum(sizes)[:-1]), strict=True):
+            out[k] = x
+    done = set(late) if late and alike else ()
+    for k, (_, undo, *_) in enumerate(opened):
+        for fn in reversed(undo if k not in done else ()):
+            out[k] = fn(out[k])
+    return out
 
 
 class Writer:
@@ -704,7 +808,37 @@ def files(stored: bytes):
 
 def load(stored: bytes) -> np.ndarray:
     """Samples of all files, from their green channel."""
-    return np.concatenate([((decode(f) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8).reshape(-1) for f in files(stored)])
+    return next(load_all([stored]))
+
+
+def load_all(stored: list[bytes]) -> Iterator[np.ndarray]:
+    """Samples of the files of each stored form; images are read together up to ``TOGETHER`` samples."""
+    held, parts = [], [[] for _ in stored]
+
+    def read():
+        for (k, *_), pixels in zip(held, _numbers_of([x for _, *x in held]), strict=True):
+            parts[k].append((pixels >> np.uint32(8)).astype(np.uint8))
+
+    size = told = 0
+    for k, media in enumerate(stored):
+        for file in files(media):
+            opened = _opened(file)
+            n = opened[2] * opened[3]
+            if held and size + n > TOGETHER:
+                read()
+                held, size = [], 0
+                # All forms before this file's are whole.
+                yield from map(_joined, parts[told:k])
+                parts[told:k], told = [()] * (k - told), k
+            held.append((k, *opened))
+            size += n
+    if held:
+        read()
+    yield from map(_joined, parts[told:])
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def feature(samples: np.ndarray) -> str:
@@ -733,15 +867,14 @@ def to_media(docs: DataFrame, text_col: str = "text", with_media: bool = True) -
         for batch in ar.slices(batches, "_wp_text"):
             raw = [t.encode() for t in pc.fill_null(batch.column("_wp_text"), "").to_pylist()]
             stored = store_all([r + b"\0" * ((-len(r)) % WIDTH or (0 if r else WIDTH)) for r in raw])
-            rows = [_row(len(r), media, with_media) for r, media in zip(raw, stored, strict=True)]
+            rows = [_row(len(r), media, samples, with_media) for r, media, samples in zip(raw, stored, load_all(stored), strict=True)]
             cols = {n: [r[k] for r in rows] for k, n in enumerate(added.names)}
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return kept.withColumn("_wp_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, out)
 
 
-def _row(n_bytes: int, media: bytes, with_media: bool):
-    samples = load(media)
+def _row(n_bytes: int, media: bytes, samples: np.ndarray, with_media: bool):
     back = samples.tobytes()
     return (
         n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media),

@@ -394,3 +394,57 @@ def test_code_lengths_are_read_in_one_piece(monkeypatch):
     monkeypatch.setattr(webp.Bits, "read", lambda self, n: (reads.append(n), plain(self, n))[1])
     assert webp.load(stored).tobytes() == payload
     assert len(reads) < 40
+
+
+def test_symbols_of_small_images_are_read_together(monkeypatch):
+    """A step of the reader serves many images, so a small one does not cost a loop over its symbols."""
+    rng = random.Random(9)
+    payloads = [bytes(rng.choices(range(32, 32 + rng.randint(1, 90)), k=64 * rng.randint(1, 9))) for _ in range(120)]
+    stored, calls = webp.store_all(payloads), []
+    real = webp._tokens
+    monkeypatch.setattr(webp, "_tokens", lambda runs, stops: calls.append(len(runs)) or real(runs, stops))
+    assert [x.tobytes() for x in webp.load_all(stored)] == payloads
+    assert len(calls) < 8
+
+
+@pytest.mark.parametrize("bits", [64, 70, 333, 5000])
+def test_symbols_run_over_the_ends_of_windows(monkeypatch, bits):
+    rng = random.Random(bits)
+    payloads = [rng.randbytes(6400), b"\0" * 64, b"ab" * 32 * 90, rng.randbytes(64) * 200, bytes(rng.choices(b"etaoin", k=64 * 40)), b"a" * 640]
+    payloads += [payloads[0] + rng.randbytes(64 * 300) + payloads[0]]
+    stored = webp.store_all(payloads)
+    monkeypatch.setattr(webp, "BITS_AT_ONCE", bits)
+    assert [x.tobytes() for x in webp.load_all(stored)] == payloads
+    monkeypatch.setattr(webp, "TOGETHER", 64)
+    assert [x.tobytes() for x in webp.load_all([*stored[:3], stored[3] + stored[4], *stored[5:]])] == [*payloads[:3], payloads[3] + payloads[4], *payloads[5:]]
+
+
+def test_images_that_end_early_or_refer_too_far_are_refused():
+    good = webp.store(bytes(random.Random(3).choices(b"etaoin shrdlu", k=64 * 20)))
+    (size,) = struct.unpack_from("<I", good, 16)
+    for less in (1, 2, 9, 200):
+        with pytest.raises(ValueError, match="ends early"):
+            webp.decode(good[:16] + struct.pack("<I", size - less) + good[20:])
+    for far, n, text in ((1, 3, "leaves"), (3, 2, None), (4, 2, "leaves"), (1, 62, "leaves"), (1, 61, None)):
+        out = start(64, 1)
+        out.put(0, 1), out.put(0, 1), out.put(0, 1)
+        symbols = [1, 2, 3] if far > 1 or n > 3 else []
+        s, extra, wide = number_symbol(n)
+        ds, dextra, dwide = number_symbol(far + 120)
+        green, distance = book_of([1, 2, 3, 256 + s]), book_of([ds])
+        for book, of in ((green, 280), ({0: (0, 0)}, 256), ({0: (0, 0)}, 256), ({255: (0, 0)}, 256), (distance, 40)):
+            write_book(out, book, of)
+        for x in symbols:
+            out.code(green, x)
+        out.code(green, 256 + s), out.put(extra, wide), out.code(distance, ds), out.put(dextra, dwide)
+        for _ in range(64 - len(symbols) - n):
+            out.code(green, 1)
+        if text:
+            with pytest.raises(ValueError, match=text):
+                webp.decode(out.file())
+        else:
+            got = ((webp.decode(out.file()).reshape(-1) >> 8) & 255).tolist()
+            want = list(symbols)
+            for _ in range(n):
+                want.append(want[-far])
+            assert got == want + [1] * (64 - len(want))
