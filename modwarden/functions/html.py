@@ -100,7 +100,7 @@ NODE_SCHEMA = (
     "part_text string, page_text string"
 )
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
-KEPT_ATTRS = ("class", "id", "role", "data-testid", "data-test-id", "aria-label", "data-pagelet", "source", "src")
+KEPT_ATTRS = frozenset(("class", "id", "role", "data-testid", "data-test-id", "aria-label", "data-pagelet", "source", "src"))
 NODES_AT_ONCE = 20_000
 # Start tags that end an open paragraph, and the elements a paragraph is looked for through.
 ENDS_PARAGRAPH = frozenset((
@@ -123,6 +123,13 @@ CLOSED_BY = {
 
 
 _FURNITURE = re.compile(rf"(?:^|[\s_\-])(?:{'|'.join(fv.FURNITURE_WORDS)})(?:[\s_\-]|$)", re.IGNORECASE)
+# Tags as most are written: a name and attributes in double quotes without entities.
+_PLAIN_START, _PLAIN_END = re.compile('<([a-z][a-z0-9]*)((?: [a-z][a-z-]*="[^"&<>]*")*)>'), re.compile("</([a-z][a-z0-9]*)>")
+# What follows these may be read in another way, which is left to the standard parser.
+_RAW_TEXT_TAGS = frozenset(("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext"))
+_PLAIN_ATTR = re.compile(' ([a-z-]+)="([^"]*)"')
+# White space by code point, as far as there is any.
+_SPACES = np.array([chr(c).isspace() for c in range(0x3002)], bool)
 _CHROME_TAGS, _CHROME_ROLES = frozenset(fv.CHROME_TAGS), frozenset(fv.CHROME_ROLES)
 _BLOCKS, _FALLBACKS = frozenset(fv.BLOCK_TAGS), frozenset(fv.FALLBACK_TAGS)
 
@@ -142,28 +149,46 @@ class _Tree(HTMLParser):
         self.text: list[str] = []
         self.size = 0
 
+    def updatepos(self, i, j):
+        """Lines are not counted."""
+        return j
+
+    def parse_starttag(self, i):
+        plain = _PLAIN_START.match(self.rawdata, i)
+        if not plain or plain[1] in _RAW_TEXT_TAGS:
+            return super().parse_starttag(i)
+        self.lasttag = plain[1]
+        self.handle_starttag(plain[1], _PLAIN_ATTR.findall(plain[2]) if plain[2] else ())
+        return plain.end()
+
+    def parse_endtag(self, i):
+        plain = None if self.cdata_elem else _PLAIN_END.match(self.rawdata, i)
+        if not plain:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1])
+        return plain.end()
+
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_PARAGRAPH:
             self._close_paragraph()
         while self.open and tag in CLOSED_BY.get(self.tag[self.open[-1]], ()):
             self._close()
-        parent = self.open[-1] if self.open else -1
-        kept = {k: v or "" for k, v in attrs if k in KEPT_ATTRS}
+        parent, node = self.open[-1] if self.open else -1, len(self.tag)
+        kept = {k: v or "" for k, v in attrs if k in KEPT_ATTRS} if attrs else {}
         self.tag.append(tag)
         self.attrs.append(kept)
         self.parent.append(parent)
-        self.last.append(len(self.tag) - 1)
+        self.last.append(node)
         self.start.append(self.size)
         self.end.append(self.size)
         self.img.append(tag == "img")
         self.own.append(None)
         self.child_ix.append(len(self.kids[parent]) if parent >= 0 else 0)
         self.chrome.append(
-            (parent >= 0 and self.chrome[parent]) or tag in _CHROME_TAGS or kept.get("role") in _CHROME_ROLES
-            or any(_FURNITURE.search(kept[k]) for k in ("id", "class") if k in kept)
+            (parent >= 0 and self.chrome[parent]) or tag in _CHROME_TAGS
+            or (len(kept) > 0 and (kept.get("role") in _CHROME_ROLES or any(_FURNITURE.search(kept[k]) for k in ("id", "class") if k in kept)))
         )
         self.kids.append([])
-        node = len(self.tag) - 1
         if parent >= 0:
             self.kids[parent].append(node)
             if tag == "img":
@@ -172,7 +197,9 @@ class _Tree(HTMLParser):
             self.open.append(node)
 
     def handle_endtag(self, tag):
-        if any(self.tag[i] == tag for i in self.open):
+        if self.open and self.tag[self.open[-1]] == tag:
+            self._close()
+        elif any(self.tag[i] == tag for i in self.open):
             while self.tag[self.open[-1]] != tag:
                 self._close()
             self._close()
@@ -224,8 +251,8 @@ def page_tree(html: str) -> tuple[_Tree, str]:
 
 def _squeezed_lengths(text: str, starts: list[int], ends: list[int]) -> list[int]:
     """Length of each span once its whitespace runs are single and its ends are trimmed."""
-    points, inverse = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-    solid = np.array([not chr(c).isspace() for c in points.tolist()], bool)[inverse] if len(points) else np.zeros(0, bool)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    solid = ~_SPACES[np.minimum(points, len(_SPACES) - 1)]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     chars, words = np.append(0, np.cumsum(solid)), np.append(0, np.cumsum(first))

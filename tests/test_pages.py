@@ -1,3 +1,5 @@
+from random import Random
+
 from pyspark.sql import functions as F
 
 from modwarden.functions import html as hm
@@ -189,3 +191,54 @@ def test_admit_and_furniture(spark):
     assert pg.admit_units(df, "s", "t", "i").count() == 2
     parts = spark.createDataFrame([("Like", ""), ("3h", ""), ("text of a post", "ad-slot"), ("text of a post", "innovative")], "text string, cls string")
     assert pg.furniture_filter(parts, "text", "cls").count() == 1
+
+
+def test_plain_tags_are_read_as_the_standard_parser_reads_them(monkeypatch):
+    """Most tags take a short way past the standard parser; the tree is the same for whatever markup."""
+    pieces = ["<p>", "</p>", "<div class=\"a b\">", "<div id='x'>", "</div >", "<DIV>", "<br/>", "<p/>", "<img src=\"u&amp;v\">", "<li class=\"\">", "</li>", "<a href=\"/x\" class=\"nav\">",
+              "</a>", "<script>", "</script>", "<style>p{}", "</style>", "<title>", "</title>", "<textarea>", "<!-- c -->", "<!doctype html>", "<?x?>", "</>", "<", "&lt;", "&", " t　x ", "<b x>",
+              "<td role=\"menu\" role=\"cell\">", "<p", "</p", "<h1 class=\"<\">", "<x-y a=\"1\">", "</x-y>", "<p class=\"a\"id=\"b\">", "word\n"]
+    rng = Random(4)
+    markup = ["".join(rng.choices(pieces, k=rng.randint(1, 25))) for _ in range(1500)]
+    calls = []
+
+    def trees():
+        return [(vars(t)["tag"], t.attrs, t.parent, t.last, t.start, t.end, t.kids, t.child_ix, t.img, t.chrome, t.own, text) for t, text in map(hm.page_tree, markup)]
+
+    short = trees()
+    slow = hm.HTMLParser.parse_starttag
+    monkeypatch.setattr(hm.HTMLParser, "parse_starttag", lambda self, i: calls.append(i) or slow(self, i))
+    hm.page_tree("<p>a</p><div class=\"b\">c</div>" * 50)
+    assert not calls
+    for name in ("parse_starttag", "parse_endtag", "updatepos"):
+        monkeypatch.delattr(hm._Tree, name)
+    assert trees() == short and calls
+
+
+def test_outermost_parts_of_units(spark):
+    """Only blocks that stand in no other block of a unit leave the sweep, and containers likewise; chrome does not, the unit itself does."""
+    html = "<div>aaaaaaaaaaaaaa<ul><li>bbbbbbbbbbbbbb<p>cccccccccccccc</p></li></ul><nav><p>dddddddddddddd</p></nav><span>eeeeeeeeeeeeee</span></div><p>ffffffffffffff</p><div>gggggggggggggg</div>"
+    nodes = pg.node_table(pages(spark, html))
+    units = nodes.filter("tag in ('div', 'p', 'ul')")
+    rows = [r.asDict() for r in nodes.collect()]
+    text = {r["node"]: r for r in rows if len(r["part_text"] or "") >= 12}
+    want = []
+    for u in (r for r in rows if r["tag"] in ("div", "p", "ul")):
+        if u["node"] in text:
+            want.append((u["node"], u["node"], 2))
+        for kind, tags in enumerate((hm.fv.BLOCK_TAGS, hm.fv.FALLBACK_TAGS)):
+            end = -1
+            for n in sorted(text):
+                if u["node"] < n <= u["last"] and text[n]["tag"] in tags and not text[n]["chrome"] and n > end:
+                    want.append((u["node"], n, kind))
+                    end = text[n]["last"]
+    texts = nodes.filter("length(part_text) >= 12")
+    assert sorted((r._unit, r.node, r.kind) for r in pg._outermost(units, texts).collect()) == sorted(want)
+    assert len(want) > 6
+
+
+def test_unit_detection_looks_for_containers_once(spark):
+    """Containers and their sections are one join, so the elements are read once for each."""
+    nodes = pg.node_table(pages(spark, POST.format(long="word " * 40)))
+    plan = pg.section_units(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2
