@@ -87,6 +87,16 @@ def test_window_moves_back_to_sentence_end():
     assert slice_windows("x" * 200 + '." ' + "y" * 400)[0]["end"] == 203
 
 
+@pytest.mark.parametrize("mark", "\x1c\x1f\x85")
+def test_separators_end_no_sentence(mark):
+    assert slice_windows("x" * 200 + "." + mark + "y" * 400)[0]["end"] == 294
+
+
+def test_texts_without_a_window_are_known_before_the_cut(spark):
+    texts = [None, "", *wn._JS_SPACE, wn._JS_SPACE, "a", " a ", "\n.\n", "\x00", "\x85", "\x1c", "👍", " " * 400, " " * 400 + "a"]
+    assert one(spark, texts, wn.holds_window) == [bool(slice_windows(t)) for t in texts]
+
+
 def test_window_column(spark):
     texts = [sentences(n) for n in (1, 12, 300)]
     got = one(spark, texts, window_text)
